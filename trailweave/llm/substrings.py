@@ -142,11 +142,13 @@ def _second_hash(words: tv.Words, at: np.ndarray, window: int) -> np.ndarray:
 def _settle(h1, h2, doc, tkey, pos) -> pa.RecordBatch:
     """Windows of one task: those of the smallest document of each go on; occurrences in larger ones are sure to be removed."""
     order = np.lexsort((pos, tkey, doc, h2, h1))
-    h1, h2, doc, tkey, pos = (x[order] for x in (h1, h2, doc, tkey, pos))
+    given = h1, h2, doc, tkey, pos
+    h1, h2, doc, tkey, pos = (x[order] for x in given)
     new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
     least = doc[new][np.cumsum(new) - 1]
-    go, sure = doc == least, doc > least
+    go, sure = np.sort(order[doc == least]), doc > least
     d, t, p = (x[sure] for x in (doc, tkey, pos))
+    h1, h2, doc, tkey, pos = (x[go] for x in given)  # in the documents' order, in which they compress best
     order = np.lexsort((p, t, d))
     d, t, p = d[order], t[order], p[order]
     starts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)))) if len(d) else np.empty(0, np.int64)
@@ -156,13 +158,13 @@ def _settle(h1, h2, doc, tkey, pos) -> pa.RecordBatch:
     cat = np.concatenate
     return pa.RecordBatch.from_pydict(
         {
-            "h1": pa.array(cat((h1[go].view(np.int64), own.view(np.int64)))),
-            "h2": pa.array(cat((h2[go], np.zeros(len(d), np.int32))), pa.int32()),
-            "doc": pa.array(cat((doc[go], d)), pa.int64()),
-            "tkey": pa.array(cat((tkey[go], t)), pa.int64()),
-            "pos": pa.array(cat((pos[go], p)).astype(np.int32)),
-            "len": pa.array(cat((np.ones(int(go.sum()), np.int32), length.astype(np.int32)))),
-            "sure": pa.array(cat((np.zeros(int(go.sum()), bool), np.ones(len(d), bool)))),
+            "h1": pa.array(cat((h1.view(np.int64), own.view(np.int64)))),
+            "h2": pa.array(cat((h2, np.zeros(len(d), np.int32))), pa.int32()),
+            "doc": pa.array(cat((doc, d)), pa.int64()),
+            "tkey": pa.array(cat((tkey, t)), pa.int64()),
+            "pos": pa.array(cat((pos, p)).astype(np.int32)),
+            "len": pa.array(cat((np.ones(len(go), np.int32), length.astype(np.int32)))),
+            "sure": pa.array(cat((np.zeros(len(go), bool), np.ones(len(d), bool)))),
         }
     )
 
