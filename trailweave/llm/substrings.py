@@ -251,11 +251,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
     return rows.withColumn("least", least).where("sure or doc > least").groupBy("doc", "tkey").agg(F.collect_list(F.struct("pos", "len")).alias("runs"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], text: str, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
-        text, runs = batch.column(names.index("_text")), batch.column(names.index("_runs"))
-        bodies = text.fill_null("").cast(pa.large_binary())
+        runs = batch.column(names.index("_runs"))
+        bodies = batch.column(names.index(text)).fill_null("").cast(pa.large_binary())
         n_words, n_removed, kept = [], [], []
         for i in range(batch.num_rows):
             words = bodies[i].as_py().split()
@@ -271,8 +271,8 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             n_words.append(len(words))
             n_removed.append(gone)
             kept.append(b" ".join(compress(words, stay) if gone else words))
-        out = [c for c, n in zip(batch.columns, names, strict=True) if n not in ("_text", "_runs")]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[n for n in names if n not in ("_text", "_runs")] + ["n_words", "n_removed", "kept_text"])
+        out = [c for c, n in zip(batch.columns, names, strict=True) if n != "_runs"]
+        yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[n for n in names if n != "_runs"] + ["n_words", "n_removed", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, max_sketch_bytes: int = MAX_SKETCH_BYTES) -> DataFrame:
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
     runs = repeated_windows(keyed, window, min(GRAM, window), max_sketch_bytes)
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    left = docs.select(*own, F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text).alias("_tkey"))
-    joined = left.join(runs.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("runs").alias("_runs")), ["_doc", "_tkey"], "left").select(*own, "_text", "_runs")
+    left = docs.select(*own, F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text).alias("_tkey"))
+    joined = left.join(runs.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("runs").alias("_runs")), ["_doc", "_tkey"], "left").select(*own, "_runs")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own)
-    return joined.mapInArrow(lambda it: _cut(it, window), schema + ", n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(lambda it: _cut(it, text, window), schema + ", n_words long, n_removed long, kept_text string")
