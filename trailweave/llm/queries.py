@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, minmax, packing, quality, shared, substrings, token_files
+from . import bpe, chat, embed_dedup, licences, minmax, packing, quality, shared, substrings, token_files, urls
 
 
 def _tokenizer(name: str) -> str:
@@ -26,6 +26,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(control))
+    return chat.digest(chat.windows(turns))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
 
@@ -40,6 +51,14 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+#: (verdict, host, path) of the rules to apply.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -57,14 +76,77 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"""
 docs AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents)"""
 
+_PAIRS = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
+
+
+def _replaced(count: int) -> str:
+    left = "s"
+    for _, ids in licences.RULES[:count]:
+        left = f"replace({left}, '{''.join(f'<{i}>' for i in ids)}', '|')"
+    return left
+
+
+_HITS = ", ".join(f"CASE WHEN contains({_replaced(n)}, '{''.join(f'<{i}>' for i in ids)}') THEN '{licence}' END" for n, (licence, ids) in enumerate(licences.RULES))
+_NAMES = list(dict.fromkeys(licence for licence, _ in licences.RULES))
+_OP2 = rf"""
+WITH known(sentence, name) AS (VALUES {_PAIRS}),
+plain AS (
+  SELECT doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?:;]+(\s|$)|
+', chr(10), 'g'), '[^\p{{L}}\p{{N}}
+]+', ' ', 'g') AS p
+  FROM documents),
+parts AS (SELECT doc_id, list_transform(string_split(p, chr(10)), lambda x: trim(x)) AS xs FROM plain),
+cut AS (SELECT doc_id, unnest(xs) AS sentence, unnest(range(len(xs))) AS pos FROM parts),
+ids AS (SELECT doc_id, list(name ORDER BY pos) AS names FROM cut JOIN known USING (sentence) GROUP BY doc_id),
+seq AS (SELECT d.doc_id, coalesce(names, []) AS names, coalesce('<' || array_to_string(names, '><') || '>', '') AS s FROM documents d LEFT JOIN ids USING (doc_id)),
+hit AS (SELECT *, [{_HITS}] AS h FROM seq)
+SELECT doc_id, len(names) AS n_known, array_to_string(names, ',') AS sentence_ids,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN list_contains(h, '{x}') THEN '{x}' END" for x in _NAMES)}], lambda x: x IS NOT NULL), ',') AS licences
+FROM hit"""
+
+_OP3 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS a,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS b
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(a) AS turns_sha256, length(b) AS loss_chars, sha256(b) AS loss_sha256 FROM whole"""
+
+_OP4 = r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (SELECT a AS node, a AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other),
+n AS (SELECT a, count(*) AS c FROM links GROUP BY a),
+m AS (SELECT node, min(other) AS o FROM reach GROUP BY node)
+SELECT v.vec_id, coalesce(n.c, 0) AS n_links, coalesce(m.o, v.vec_id) AS component_id, coalesce(m.o, v.vec_id) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN m ON m.node = v.vec_id"""
+
+_OP7 = r"""
+WITH cut AS (
+  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS p FROM pages),
+named AS (
+  SELECT page_id,
+    CASE WHEN p > 0 THEN translate(regexp_extract(substr(u, p + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN p > 0 THEN regexp_extract(substr(u, p + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM cut),
+rules(verdict, h, q) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fits AS (
+  SELECT page_id, h || q AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC, length(h) DESC) AS k
+  FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT n.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND k = 1"""
+
 _OP6 = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
-long_sets AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM docs WHERE len(w) >= 5),
+long_sets AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM docs WHERE len(w) >= 5),
 sets AS (SELECT DISTINCT doc_id, s FROM long_sets UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
@@ -82,15 +164,18 @@ seen AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM keyed
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM seen WHERE doc_id > least),
 lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(l.ps), 0) AS n_removed,
-  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(d.w) + 1), i -> NOT coalesce(list_contains(l.ps, i), false)), i -> d.w[i]), ' '), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(d.w) + 1), lambda i: NOT coalesce(list_contains(l.ps, i), false)), lambda i: d.w[i]), ' '), '')) AS kept_sha256
 FROM docs d LEFT JOIN lists l USING (doc_id)"""
 
 
 _QUERIES = (
     op1_token_files,
+    op2_licence_rules,
+    op3_chat_windows,
     op4_embedding_near_dedup,
     op5_best_fit_packing,
     op6_minmax_near_dedup,
+    op7_url_cascade,
     op8_bpe_round_trip,
     op9_substring_dedup,
     op10_distribution_divergence,
@@ -102,4 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minmax_near_dedup": _OP6, "op9_substring_dedup": _OP9}
+    return {
+        "op2_licence_rules": _OP2,
+        "op3_chat_windows": _OP3,
+        "op4_embedding_near_dedup": _OP4,
+        "op6_minmax_near_dedup": _OP6,
+        "op7_url_cascade": _OP7,
+        "op9_substring_dedup": _OP9,
+    }
