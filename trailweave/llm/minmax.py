@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return joined.select(doc_id, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(doc_id), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` whose document is kept, one for each group of near-duplicates; all columns pass through."""
-    gone = near_duplicates(docs.select(doc_id, text), doc_id, text, percent).where("not kept").select(doc_id).distinct()
+    gone = near_duplicates(docs.select(doc_id, text), doc_id, text, percent, bands=bands).where("not kept").select(doc_id).distinct()
     return docs.join(gone, doc_id, "left_anti")

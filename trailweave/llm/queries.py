@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, chat, embed_dedup, licences, minmax, packing, quality, shared, substrings, token_files, urls
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,7 +22,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "token-files")
-    token_files.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, _tokenizer("word_bpe_49k.json"), end_id=1)
+    token_files.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer("word_bpe_49k.json"), end_id=1)
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -42,7 +42,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut(_read(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    pieces = packing.cut(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), end_id=2)
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(pieces, by=["doc_id", "piece"])
 
@@ -60,7 +60,7 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+    coded = bpe.encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
