@@ -1,11 +1,57 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept;
+all but the last return the columns of ``documents``.  ``run`` writes each stage's
+result as Parquet in the shared folder and reads it back, so a lost executor costs no
+more than one stage's tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailweave.llm import minmax, packing, quality, shared, substrings
+from trailweave.llm.queries import tokenizer
+
+#: Near-duplicates share this many hundredths of their 5-word shingles.
+SIMILARITY = 80
+END_ID, CAPACITY = 2, 1024
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the divergence from their language let pass."""
+    return quality.judge(docs).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return minmax.keep_one(docs, percent=SIMILARITY, bands=32).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that an earlier document holds."""
+    cut = substrings.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its place in a sequence."""
+    pieces = packing.cut(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), END_ID, CAPACITY)
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces, by=["doc_id", "piece"], capacity=CAPACITY)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]
+
+#: The Jensen-Shannon test and the tokenizer have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = shared.table(stage(spark, docs, sf_dir), name)
     return docs
