@@ -9,11 +9,12 @@ with probability (1 - 0.85**5)**24 < 1e-6.
 
 Large groups: documents with equal shingle sets collapse to one representative
 first.  Inside a band's bucket each document is then compared with the bucket's
-smallest document only; after the links found so have been contracted, buckets that
-still hold documents of different components are compared further (again with one
-leader for each round while the open pairs outnumber the documents, then pair by
-pair), until no pair that shares a bucket is both unconnected and untested.  So a
-group of n copies costs about n comparisons, and no link between components is lost.
+smallest document, its leader, only.  After the links found so have been contracted,
+pairs of a leader's group that are still in different components are compared, unless
+what the two share with the leader (an exact number by then) bounds their similarity
+below the threshold.  While such groups are very large, another leader is drawn for
+them first.  So a group of n copies costs about n comparisons, and every pair that
+shares a bucket ends up connected, bounded or tested.
 
 Defined cases: null or empty text has no shingles and links with nothing; a text of
 fewer than ``width`` words is one shingle; rows without id link with nothing; rows
@@ -29,7 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -108,54 +109,68 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row).cast(pa.int64()), tv.lists(hashes.view(np.int64), np.diff(ends), pa.int64())], names=["doc", "shingles"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets reach the threshold."""
+def _score(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the sizes of both full sets and of what they share."""
     right = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
     both = right.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
 
 
-def link_components(docs: DataFrame, doc_id: str, text: str, percent: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(sketches by document, (doc, component) of every document that is linked with another)."""
+def _reaches(shared: Column, na: Column, nb: Column, percent: int) -> Column:
+    return 100 * shared >= percent * (na + nb - shared)
+
+
+def link_components(docs: DataFrame, doc_id: str, text: str, percent: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, direct: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(sketches by document, (node, component) of every document that is linked with another).
+
+    ``direct``: open pairs for each document of an open group up to which they are compared at once.
+    """
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     sketch = table(keyed.mapInArrow(lambda it: _sketches(it, width, bands, rows), _SKETCH), "sketches")
     full = sketch.where("doc is not null and n > 0")
     same = ["set_a", "set_b", "n"]
-    reps = full.groupBy(*same).agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    copies = full.join(reps.where("copies > 1"), same).where("doc > rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    chosen = full.join(reps.select(*same, F.col("rep").alias("doc")), [*same, "doc"], "left_semi").dropDuplicates([*same, "doc"])
-    member = chosen.select("doc", "n", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
-    member = table(member.join(shared, "key"), "buckets")
-    sets = table(keyed.join(member.select("doc").distinct(), "doc", "left_semi").mapInArrow(lambda it: _full_sets(it, width), "doc long, shingles array<long>"), "sets")
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-
-    first = member.groupBy("key").agg(F.min_by(F.struct("doc", "n"), "doc").alias("x")).select("key", F.col("x.doc").alias("leader"), F.col("x.n").alias("na"))
-    tested = table(member.withColumnRenamed("n", "nb").join(first, "key").where("doc > leader").where(fits).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    links = table(_confirm(tested, sets, percent), "links")
+    # The smallest document of equal sets stands for all of them from here on.
+    reps = full.groupBy(*same).agg(F.min("doc").alias("rep"), F.max("doc").alias("most"), F.first("keys").alias("keys"))
+    reps = table(reps, "representatives")
+    copies = full.select(*same, "doc").join(reps.where("rep < most").select(*same, "rep"), same).where("doc > rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    member = reps.select(F.col("rep").alias("doc"), F.explode("keys").alias("key"))
+    shared = member.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("most")).where("leader < most").select("key", "leader")
+    star = table(member.join(shared, "key").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    sets = table(keyed.join(star.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi").mapInArrow(lambda it: _full_sets(it, width), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
+    reached = _reaches(F.col("shared"), F.col("na"), F.col("nb"), percent)
+    group = table(_score(star, sets), "scores")  # each leader's group, the leader included
+    label = table(components(group.where("a != b").where(reached).select("a", "b").union(copies)), "labels")
     for round_ in count(1):
-        label = table(components(links.union(copies)), "labels")
-        named = member.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.col("n").alias("nb"), F.coalesce("component", "doc").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size")
-        open_ = table(named.join(mixed, "key"), "open")
-        many = open_.agg(F.count("*").alias("rows"), F.sum("size").alias("pairs")).first()
-        if not many.rows:
+        named = group.select("a", F.col("b").alias("x"), "nb", "shared").join(label.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
+        mixed = named.groupBy("a").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where("least < most").select("a", "size")
+        open_ = table(named.join(mixed, "a"), "open")
+        todo = open_.agg(F.count("*").alias("rows"), F.sum("size").alias("pairs")).first()
+        if not todo.rows:
+            break
+        last = todo.pairs <= direct * todo.rows or round_ > 8
+        one = open_ if last else open_.groupBy("a").agg(F.min_by(F.struct("x", "nb", "shared", "label"), F.xxhash64("x", F.lit(round_))).alias("s")).select("a", "s.*")
+        one = one.select("a", *[F.col(c).alias(f"_{c}") for c in ("x", "nb", "shared", "label")])
+        # What two documents share is at most what both share with the leader, and what both have besides it.
+        most = F.least("shared", "_shared") + F.least(F.col("nb") - F.col("shared"), F.col("_nb") - F.col("_shared"))
+        worth = F.col("label") != F.col("_label") if last else F.col("x") != F.col("_x")
+        pairs = open_.join(one, "a").where(worth & (F.col("x") < F.col("_x") if last else F.lit(True))).where(_reaches(most, F.col("nb"), F.col("_nb"), percent) if last else F.lit(True))
+        if last:
+            pairs = pairs.select(F.col("x").alias("a"), F.col("_x").alias("b")).distinct()
+            scored = table(_score(pairs, sets), "scores")
+        else:  # the group's next leader
+            pairs = pairs.select(F.col("_x").alias("a"), F.col("x").alias("b")).union(one.select(F.col("_x").alias("a"), F.col("_x").alias("b"))).distinct()
+            scored = group = table(_score(pairs, sets), "scores")
+        found = scored.where("a != b").where(reached).select("a", "b")
+        if not found.isEmpty():
+            ends = found
+            for c in ("a", "b"):
+                ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+            above = table(components(ends), "labels")
+            joined = label.union(found.select("a", "a")).union(found.select("b", "b"))
+            moved = joined.join(above.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+            label = table(moved.select("node", F.coalesce("to", "component").alias("component")).groupBy("node").agg(F.min("component").alias("component")), "labels")
+        if last:
             break
-        few = many.pairs <= 64 * many.rows
-        one = open_.select("key", F.col("doc").alias("leader"), F.col("nb").alias("na"), F.col("label").alias("other"))
-        if not few:  # a leader drawn anew in each round
-            one = one.groupBy("key").agg(F.min_by(F.struct("leader", "na", "other"), F.xxhash64("leader", F.lit(round_))).alias("x")).select("key", "x.*")
-        pairs = open_.join(one, "key").where("doc != leader and label != other").where(fits)
-        pairs = pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-        fresh = table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if few:
-                break
-            continue
-        found = table(_confirm(fresh, sets, percent), "links")
-        tested = tested.union(fresh)
-        links = links.union(found)
     return sketch, label
 
 
