@@ -1,0 +1 @@
+"""Evidence-to-finding analytics as PySpark DataFrame operators."""
