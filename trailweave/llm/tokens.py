@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ import regex
 
 from . import textvec as tv
 
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 120_000
+SLICE_BYTES = 2 << 20
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 
@@ -54,20 +56,12 @@ class Chunks:
     def _learn(self) -> None:
         cut = [[chunk] if kind == 2 else self.pieces(kind, chunk) for kind, chunk in self.new]
         fresh = list(dict.fromkeys(p for (kind, _), ps in zip(self.new, cut, strict=True) if kind != 2 for p in ps if p not in self.of_piece))
-        self.of_piece.update(zip(fresh, self.encode_pieces(fresh), strict=True))
-        ids: list[int] = []
-        counts = []
-        for (kind, _), ps in zip(self.new, cut, strict=True):
-            before = len(ids)
-            if kind == 2:
-                ids.append(self.added[ps[0]])
-            else:
-                for p in ps:
-                    ids.extend(self.of_piece[p])
-            counts.append(len(ids) - before)
-        self.start = np.concatenate((self.start, len(self.flat) + np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)))
-        self.count = np.concatenate((self.count, np.array(counts, np.int64)))
-        self.flat = np.concatenate((self.flat, np.array(ids, np.uint32)))
+        self.of_piece.update((p, array("I", ids).tobytes()) for p, ids in zip(fresh, self.encode_pieces(fresh), strict=True))
+        bodies = [b"".join([self.of_piece[p] for p in ps]) if kind != 2 else array("I", [self.added[ps[0]]]).tobytes() for (kind, _), ps in zip(self.new, cut, strict=True)]
+        counts = np.array([len(b) for b in bodies], np.int64) // 4
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
+        self.count = np.concatenate((self.count, counts))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(bodies), np.uint32)))
         self.known, self.new = self.known + len(self.new), []
         if len(self.of_piece) > MAX_CHUNKS:
             self.of_piece = {}
@@ -185,6 +179,6 @@ def cached(path: str) -> Chunks:
 
 def encoded(texts, encoder: Chunks) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, ids, number of ids of each) of an Arrow column of texts; null texts are empty."""
-    for row, to, _, _ in tv.slices(texts):
+    for row, to, _, _ in tv.slices(texts, SLICE_BYTES):
         ids, counts = encoder.encode([t or "" for t in texts.slice(row, to - row).to_pylist()])
         yield row, to, ids, counts
