@@ -61,8 +61,8 @@ def test_substrings(docs, none, max_bytes):
     assert substrings.remove_repeats(none, max_sketch_bytes=max_bytes).count() == 0
 
 
-@pytest.mark.parametrize("percent,direct", [(85, 256), (80, 0)])
-def test_near_duplicates(spark, docs, none, percent, direct):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates(spark, docs, none, percent):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
     for i, t in known():
@@ -74,7 +74,7 @@ def test_near_duplicates(spark, docs, none, percent, direct):
             for b in sets:
                 if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    _, links = minmax.link_components(docs, "doc_id", "text", percent=percent, direct=direct)
+    _, links = minmax.link_components(docs, "doc_id", "text", percent=percent)
     found = {r.node: r.component for r in links.collect()}
     assert {i: found.get(i, i) for i in sets} == label
     got = minmax.near_duplicates(docs, percent=percent).collect()

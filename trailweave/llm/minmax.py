@@ -10,11 +10,11 @@ with probability (1 - 0.85**5)**24 < 1e-6.
 Large groups: documents with equal shingle sets collapse to one representative
 first.  Inside a band's bucket each document is then compared with the bucket's
 smallest document, its leader, only.  After the links found so have been contracted,
-pairs of a leader's group that are still in different components are compared, unless
-what the two share with the leader (an exact number by then) bounds their similarity
-below the threshold.  While such groups are very large, another leader is drawn for
-them first.  So a group of n copies costs about n comparisons, and every pair that
-shares a bucket ends up connected, bounded or tested.
+pairs of a leader's group that are still in different components are compared, as far
+as what they share with the leader (an exact number by then) and the shingles they have
+besides it allow them to reach the threshold (see ``_open_pairs``).  So a group of n
+copies costs about n comparisons, and every pair that shares a bucket ends up connected,
+bounded or tested.
 
 Defined cases: null or empty text has no shingles and links with nothing; a text of
 fewer than ``width`` words is one shingle; rows without id link with nothing; rows
@@ -26,12 +26,12 @@ are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .components import components
@@ -120,11 +120,38 @@ def _reaches(shared: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * shared >= percent * (na + nb - shared)
 
 
-def link_components(docs: DataFrame, doc_id: str, text: str, percent: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, direct: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(sketches by document, (node, component) of every document that is linked with another).
+def _open_pairs(group: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of leaders' groups that are still in different components and may reach the threshold.
 
-    ``direct``: open pairs for each document of an open group up to which they are compared at once.
+    Two documents must share ``percent`` / (100 + ``percent``) of the sum of their sizes.  They share
+    at most what each shares with the leader, so the rest must be shingles that both have besides the
+    leader's.  So either what they share with the leader is enough by itself, or they have one of those
+    own shingles in common, and, by the prefix principle, one of the rarest: a document that needs k of
+    its d own shingles is listed under its d - k + 1 rarest only.
     """
+    named = group.select("a", F.col("b").alias("x"), F.col("nb").alias("n"), "shared").join(label.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
+    mixed = named.groupBy("a").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("n").alias("smallest")).where("least < most").select("a", "smallest")
+    part = lambda n, m: F.ceil(percent * (n + m) / (100 + percent))
+    least = F.greatest(F.col("smallest"), F.ceil(percent * F.col("n") / 100))
+    open_ = table(named.join(mixed, "a").withColumn("need", part(F.col("n"), least) - F.col("shared")).drop("smallest"), "open")
+    own = open_.join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
+    own = own.select("a", "x", "label", "n", "shared", "need", F.explode(F.array_except("sx", "sa")).alias("s"))
+    often = own.withColumn("often", F.count("*").over(Window.partitionBy("a", "s"))).where("often > 1 or need > 1")
+    rank = F.row_number().over(Window.partitionBy("a", "x").orderBy("often", "s"))
+    listed = often.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("shared") - F.greatest(F.col("need"), F.lit(1)) + 1).where("often > 1")
+    columns = ["x", "label", "n", "shared"]
+    other = lambda df: df.select("a", *[c for c in df.columns if c == "s"], *[F.col(c).alias(f"_{c}") for c in columns])
+    apart = (F.col("x") < F.col("_x")) & (F.col("label") != F.col("_label"))
+    both = F.least("shared", "_shared")
+    most = both + F.least(F.col("n") - F.col("shared"), F.col("_n") - F.col("_shared"))
+    with_own = listed.select("a", "s", *columns).join(other(listed.select("a", "s", *columns)), ["a", "s"]).where(apart & _reaches(most, F.col("n"), F.col("_n"), percent))
+    ready = open_.where("need <= 0").select("a", *columns)
+    at_once = ready.join(other(ready), "a").where(apart & _reaches(both, F.col("n"), F.col("_n"), percent))
+    return with_own.select("x", "_x").union(at_once.select("x", "_x")).distinct().toDF("a", "b")
+
+
+def link_components(docs: DataFrame, doc_id: str, text: str, percent: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(sketches by document, (node, component) of every document that is linked with another)."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     sketch = table(keyed.mapInArrow(lambda it: _sketches(it, width, bands, rows), _SKETCH), "sketches")
     full = sketch.where("doc is not null and n > 0")
@@ -136,41 +163,18 @@ def link_components(docs: DataFrame, doc_id: str, text: str, percent: int = 85,
     member = reps.select(F.col("rep").alias("doc"), F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("most")).where("leader < most").select("key", "leader")
     star = table(member.join(shared, "key").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
-    sets = table(keyed.join(star.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi").mapInArrow(lambda it: _full_sets(it, width), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
+    sets = table(keyed.join(star.select(F.col("b").alias("doc")).distinct().hint("merge"), "doc", "left_semi").mapInArrow(lambda it: _full_sets(it, width), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
     reached = _reaches(F.col("shared"), F.col("na"), F.col("nb"), percent)
     group = table(_score(star, sets), "scores")  # each leader's group, the leader included
     label = table(components(group.where("a != b").where(reached).select("a", "b").union(copies)), "labels")
-    for round_ in count(1):
-        named = group.select("a", F.col("b").alias("x"), "nb", "shared").join(label.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
-        mixed = named.groupBy("a").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where("least < most").select("a", "size")
-        open_ = table(named.join(mixed, "a"), "open")
-        todo = open_.agg(F.count("*").alias("rows"), F.sum("size").alias("pairs")).first()
-        if not todo.rows:
-            break
-        last = todo.pairs <= direct * todo.rows or round_ > 8
-        one = open_ if last else open_.groupBy("a").agg(F.min_by(F.struct("x", "nb", "shared", "label"), F.xxhash64("x", F.lit(round_))).alias("s")).select("a", "s.*")
-        one = one.select("a", *[F.col(c).alias(f"_{c}") for c in ("x", "nb", "shared", "label")])
-        # What two documents share is at most what both share with the leader, and what both have besides it.
-        most = F.least("shared", "_shared") + F.least(F.col("nb") - F.col("shared"), F.col("_nb") - F.col("_shared"))
-        worth = F.col("label") != F.col("_label") if last else F.col("x") != F.col("_x")
-        pairs = open_.join(one, "a").where(worth & (F.col("x") < F.col("_x") if last else F.lit(True))).where(_reaches(most, F.col("nb"), F.col("_nb"), percent) if last else F.lit(True))
-        if last:
-            pairs = pairs.select(F.col("x").alias("a"), F.col("_x").alias("b")).distinct()
-            scored = table(_score(pairs, sets), "scores")
-        else:  # the group's next leader
-            pairs = pairs.select(F.col("_x").alias("a"), F.col("x").alias("b")).union(one.select(F.col("_x").alias("a"), F.col("_x").alias("b"))).distinct()
-            scored = group = table(_score(pairs, sets), "scores")
-        found = scored.where("a != b").where(reached).select("a", "b")
-        if not found.isEmpty():
-            ends = found
-            for c in ("a", "b"):
-                ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-            above = table(components(ends), "labels")
-            joined = label.union(found.select("a", "a")).union(found.select("b", "b"))
-            moved = joined.join(above.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-            label = table(moved.select("node", F.coalesce("to", "component").alias("component")).groupBy("node").agg(F.min("component").alias("component")), "labels")
-        if last:
-            break
+    found = table(_score(_open_pairs(group, label, sets, percent), sets), "scores").where(reached).select("a", "b")
+    if not found.isEmpty():
+        ends = found
+        for c in ("a", "b"):
+            ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        above = components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        joined = label.union(found.select("a", "a")).union(found.select("b", "b"))
+        label = table(joined.join(above, "component", "left").groupBy("node").agg(F.min(F.coalesce("to", "component")).alias("component")), "labels")
     return sketch, label
 
 
