@@ -5,7 +5,7 @@ pre-tokenizer does), each distinct chunk is encoded once for each worker with th
 library's model, and the ids of a text are gathered from the chunks' ids.  The result
 equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, special tokens that
 stand in the text included.  The chunk table is bounded: it starts anew when it holds
-``MAX_CHUNKS`` chunks, so memory doesn't grow with the input.
+``MAX_CHUNKS`` chunks (and its pre-tokens at ``MAX_PIECES``), so memory doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import regex
 
 from . import textvec as tv
 
-MAX_CHUNKS = 120_000
+MAX_CHUNKS, MAX_PIECES = 400_000, 250_000
 SLICE_BYTES = 2 << 20
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -63,7 +63,7 @@ class Chunks:
         self.count = np.concatenate((self.count, counts))
         self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(bodies), np.uint32)))
         self.known, self.new = self.known + len(self.new), []
-        if len(self.of_piece) > MAX_CHUNKS:
+        if len(self.of_piece) > MAX_PIECES:
             self.of_piece = {}
 
     def _numbers(self, text: str) -> list[int]:
@@ -101,6 +101,11 @@ BYTE_LETTERS = _byte_letters()
 
 
 def letters(piece: str) -> str:
+    if piece.isascii():  # by far the most common cases first
+        if piece.isalnum():
+            return piece
+        if piece[0] == " " and piece[1:].isalnum():
+            return BYTE_LETTERS[32] + piece[1:]
     return piece.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
