@@ -180,3 +180,19 @@ def test_fingerprint_sees_content(spark):
     df = spark.createDataFrame([(i, str(i)) for i in range(100)], "a long, b string")
     same = {cases.fingerprint(x).first()[0] for x in (df, df.repartition(7), df.orderBy(F.desc("a")))}
     assert len(same) == 1 and cases.fingerprint(df.where("a > 0")).first()[0] not in same
+
+
+def test_loaders(spark, tmp_path):
+    from trailweave.sources import loaders
+
+    path = write(tmp_path / "w.json", json.dumps([LOGON, {"event": {"code": 1}}]))
+    ip_map = spark.createDataFrame([("10.0.0.60", "SRV-APP-01")], "ip string, host string")
+    xml = '<Event><System><EventID>4672</EventID><TimeCreated SystemTime="2026-08-10T10:00:31Z"/><EventRecordID>5</EventRecordID><Computer>srv-app-01</Computer></System><EventData><Data Name="SubjectUserName">alice</Data><Data Name="SubjectLogonId">0xA1</Data></EventData></Event>'
+    made = loaders.load_windows_sources(spark, [path], ip_map, spark.createDataFrame([("x.xml", 0, xml)], "source_file string, line long, xml string"))
+    assert [(r.code, r.host_name, r.logon_id) for r in made.rows.collect()] == [("4624", "SRV-APP-01", "0xA1"), ("4672", "SRV-APP-01", "0xA1")]
+    assert {(r.source_file, r.raw_records, r.accepted_records) for r in made.files.collect()} == {("w.json", 2, 1), ("x.xml", 1, 1)}
+    assert made.issues.count() == 0 and made.bad.count() == 0
+    cloud = loaders.load_cloudtrail_sources(spark, [write(tmp_path / "c.json", json.dumps({"Records": [role(), role(eventName="x")]}))])
+    (edge,) = cloud.rows.collect()
+    assert len(edge.evidence_refs[0].source_sha256) == 64 and [tuple(r) for r in cloud.files.collect()] == [("c.json", 2, 1)]
+    assert [tuple(r) for r in cloud.issues.collect()] == [("not sts:AssumeRole", 1)]
