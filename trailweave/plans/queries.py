@@ -104,6 +104,11 @@ def _edges(ev: Evidence) -> DataFrame:
     return edges.materialize_edges(ev.flows, ev.logons, ev.privs, ev.creds, ev.ip_map, WINDOW, WINDOW, WINDOW)
 
 
+def _kept_edges(ev: Evidence) -> DataFrame:
+    """Edges for queries that use them more than once."""
+    return _edges(ev).persist()
+
+
 _MINUTES = WINDOW / 60
 
 
@@ -289,20 +294,20 @@ def continuation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRED + "SELECT h.edge_id, d.edge_id IS NOT NULL AS second_hop FROM edges h LEFT JOIN (SELECT DISTINCT next_id AS edge_id FROM pairs) d USING (edge_id)")
 def second_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(Evidence(spark, sf_dir))
+    e = _kept_edges(Evidence(spark, sf_dir))
     _, second = graph.build_index(graph.sanitize_edges(e), _MINUTES)
     return e.select("edge_id").join(second.withColumn("hop", F.lit(True)), "edge_id", "left").select("edge_id", F.coalesce("hop", F.lit(False)).alias("second_hop"))
 
 
 @query(CLASSIFIED + "SELECT * FROM findings")
 def classify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = policy.classify(_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES)
+    found = policy.classify(_kept_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES)
     return found.select("label", F.array_join("path", ">").alias("path"), "identity", F.array_join("edges", ",").alias("edges"), "occurrence_count")
 
 
 @query(CLASSIFIED + "SELECT first_id, next_id, label, route, novel, approved FROM hops")
 def classify_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.continuation_pairs(graph.sanitize_edges(_edges(Evidence(spark, sf_dir))), _MINUTES)
+    pairs = graph.continuation_pairs(graph.sanitize_edges(_kept_edges(Evidence(spark, sf_dir))), _MINUTES)
     p = pairs.select("first", "next", "lineage", F.concat_ws("|", "first.edge_id", "next.edge_id").alias("pair"), F.col("next.effective_identity").alias("who"), F.col("first.target_host").alias("h2"), F.col("next.target_host").alias("h3"), F.col("next.ts").alias("at"), F.col("next.service").alias("svc"))
     ctx = context(spark)
     p = policy.with_novelty(policy.with_host(p, ctx.hosts, "h3", "dst"), ctx.known_edges, "who", "h3")
@@ -446,7 +451,7 @@ def check_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CLASSIFIED + "SELECT label || '|' || identity || '|' || path AS key, 'label is not known' AS message FROM (SELECT CASE label WHEN 'NONE' THEN 'NOTHING' ELSE label END AS label, identity, path FROM findings) WHERE label = 'NOTHING'")
 def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = policy.classify(_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES)
+    found = policy.classify(_kept_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES)
     return checks.check_findings(found.withColumn("label", F.when(F.col("label") == "NONE", "NOTHING").otherwise(F.col("label"))))
 
 
@@ -467,7 +472,7 @@ def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _case(spark: SparkSession, sf_dir: str) -> cases.Case:
     ev = Evidence(spark, sf_dir)
-    pivot = _edges(ev)
+    pivot = _kept_edges(ev)
     events = ev.logons.select("ts", F.lit("4624").alias("code")).unionByName(ev.privs.select("ts", F.lit("4672").alias("code"))).unionByName(ev.creds.select("ts", F.lit("4648").alias("code")))
     findings = policy.classify(pivot, context(spark), _MINUTES)
     lifted = hybrid.pivot_to_reachability(pivot)
