@@ -189,7 +189,7 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.speculator = Speculator(spec)
-        self.encoder = tokens.load(path, self.speculator.encode)
+        self.encoder = tokens.load(path, lambda pieces: [np.array(ids, np.uint32).tobytes() for ids in self.speculator.encode(pieces)])
         pieces = dict(zip(self.speculator.id.tolist(), self.speculator.bytes, strict=True)) | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         size = max(pieces) + 1
         raw = [pieces.get(i, b"") for i in range(size)]

@@ -21,7 +21,7 @@ import regex
 
 from . import textvec as tv
 
-MAX_CHUNKS, MAX_PIECES = 400_000, 250_000
+MAX_CHUNKS, MAX_PIECES = 400_000, 400_000
 SLICE_BYTES = 2 << 20
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -41,7 +41,7 @@ class _Table(dict):
 
 
 class Chunks:
-    """Ids of chunks.  ``pieces(kind, chunk)`` gives a chunk's pre-tokens, ``encode(pieces)`` the id lists of many."""
+    """Ids of chunks.  ``pieces(kind, chunk)`` gives a chunk's pre-tokens, ``encode(pieces)`` the ids of many, as unsigned 32-bit bytes."""
 
     def __init__(self, split: Callable, pieces: Callable, encode: Callable, added: dict[str, int]):
         self.split, self.pieces, self.encode_pieces, self.added = split, pieces, encode, added
@@ -54,16 +54,17 @@ class Chunks:
         self.start, self.count, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _learn(self) -> None:
-        cut = [[chunk] if kind == 2 else self.pieces(kind, chunk) for kind, chunk in self.new]
-        fresh = list(dict.fromkeys(p for (kind, _), ps in zip(self.new, cut, strict=True) if kind != 2 for p in ps if p not in self.of_piece))
-        self.of_piece.update((p, array("I", ids).tobytes()) for p, ids in zip(fresh, self.encode_pieces(fresh), strict=True))
-        bodies = [b"".join([self.of_piece[p] for p in ps]) if kind != 2 else array("I", [self.added[ps[0]]]).tobytes() for (kind, _), ps in zip(self.new, cut, strict=True)]
-        counts = np.array([len(b) for b in bodies], np.int64) // 4
+        known = self.of_piece
+        cut = [None if kind == 2 else self.pieces(kind, chunk) for kind, chunk in self.new]
+        fresh = list({p: None for ps in cut if ps for p in ps if p not in known})
+        known.update(zip(fresh, self.encode_pieces(fresh), strict=True))
+        bodies = [array("I", [self.added[new[1]]]).tobytes() if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for new, ps in zip(self.new, cut, strict=True)]
+        counts = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
         self.count = np.concatenate((self.count, counts))
         self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(bodies), np.uint32)))
         self.known, self.new = self.known + len(self.new), []
-        if len(self.of_piece) > MAX_PIECES:
+        if len(known) > MAX_PIECES:
             self.of_piece = {}
 
     def _numbers(self, text: str) -> list[int]:
@@ -109,12 +110,13 @@ def letters(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
-def _library(spec: dict) -> Callable[[list[str]], list[list[int]]]:
+def _library(spec: dict) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     bare = spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
     model = Tokenizer.from_str(json.dumps(bare)).model
-    return lambda pieces: [[t.id for t in model.tokenize(letters(p))] for p in pieces]
+    tokenize = model.tokenize
+    return lambda pieces: [array("I", [t.id for t in tokenize(letters(p))]).tobytes() for p in pieces]
 
 
 # The pre-tokenizers' own patterns.
