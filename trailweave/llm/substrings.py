@@ -181,7 +181,8 @@ def _suspects(batches: Iterator[pa.RecordBatch], suspect, window: int, gram: int
             if len(at):
                 yes = np.flatnonzero(suspect(batch, row, to, least, words.doc[at]))
                 doc = row + words.doc[at[yes]]
-                held.append((h1[yes], _second_hash(words, at[yes], window), ids[doc], keys[doc], at[yes] - words.first[words.doc[at[yes]]]))
+                if len(yes):
+                    held.append((h1[yes], _second_hash(words, at[yes], window), ids[doc], keys[doc], at[yes] - words.first[words.doc[at[yes]]]))
             size += len(data)
             if size > _FLUSH_BYTES:
                 if held:
