@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node that has a smaller neighbour has one only, which has none itself; one shuffle of the links' ends."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node long, component long) for every node that has a link; component is the smallest node reachable.
 
     Each round replaces the links of a node by links to the smallest node of its
-    neighbourhood (first for larger neighbours, then for smaller ones).  The rounds
+    neighbourhood (first for larger neighbours, then for smaller ones) until all links
+    form stars.  The rounds
     number about the logarithm of the longest path, and no round makes more links
     than the one before it.  Self links and repeated links are ignored; nulls link
     nothing.  An empty table gives an empty table.
@@ -21,18 +28,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(),
         "links",
     )
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = table(small.where("u != v").distinct(), "links")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return ends.unionByName(roots)
