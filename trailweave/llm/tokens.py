@@ -21,8 +21,8 @@ import regex
 
 from . import textvec as tv
 
-MAX_CHUNKS, MAX_PIECES = 400_000, 400_000
-SLICE_BYTES = 2 << 20
+MAX_CHUNKS, MAX_PIECES = 600_000, 600_000
+SLICE_BYTES = 4 << 20
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 
