@@ -295,6 +295,74 @@ def test_licences(spark):
     assert rows[5].sentence_ids == ["MIT_GRANT", "MIT_NOTICE", "CC_BY_NC_4_REF"]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_TEXT = """ *  This program is free software: you can redistribute it and/or modify
+ *  it under the terms of the GNU General Public License as published by
+ *  the Free Software Foundation, either version 3 of the License, or
+ *  (at your option) any later version.
+ *
+ *  This program is distributed in the hope that it will be useful,
+ *  but WITHOUT ANY WARRANTY; without even the implied warranty of
+ *  MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ *  GNU General Public License for more details.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+APACHE_TEXT = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+
+
+def test_real_licence_texts(spark):
+    wrapped = [MIT_TEXT, GPL_TEXT, BSD_TEXT, BSD_TEXT.replace("the copyright holder nor", "Some\n   Company nor"), BSD_TEXT.split("3. ")[0], APACHE_TEXT]
+    unwrapped = [re.sub(r"\n[ *#]*(?=[^\n *#\d])", " ", t) for t in (GPL_TEXT, BSD_TEXT)] + [MIT_TEXT.replace("One\n", "One\n\n").replace("\n\n", "\t").replace("\n", " ").replace("\t", "\n")]
+    split = MIT_TEXT.replace("free of charge, to", "free of charge,\n\nto").split("The above")[0]
+    texts = [*wrapped, *unwrapped, *(t.replace("\n", "\r\n") for t in wrapped), split]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [["MIT"], ["GPL-3.0-or-later"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["BSD-2-Clause"], ["Apache-2.0"]]
+    assert [r.licences for r in rows] == [*want, want[1], want[2], want[0], *want, []]
+    assert rows[0].sentence_ids == ["MIT_GRANT", "MIT_NOTICE", "AS_IS", "NO_LIABILITY"] and not any(r.unmatched for r in rows)
+
+
 CONTROL = ["</s>[INST] ok [/INST]", "<|turn|>user\n<|end|>\n", "<\\s> [\\INST]", "\\n \\", "<\\\\|end|>", "", None]
 
 
