@@ -182,6 +182,15 @@ def test_fingerprint_sees_content(spark):
     assert len(same) == 1 and cases.fingerprint(df.where("a > 0")).first()[0] not in same
 
 
+def test_fingerprint_gathers_one_digest_a_bucket(spark, monkeypatch):
+    df, held = spark.range(5000), []
+    agg = type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: held.append(self.count()) or agg(self, *a))
+    digest = cases.fingerprint(df, buckets=16).first()[0]
+    assert held == [16] and len(digest) == 64
+    assert cases.fingerprint(df.limit(0)).first()[0] != digest
+
+
 def test_loaders(spark, tmp_path):
     from trailweave.sources import loaders
 
