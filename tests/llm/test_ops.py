@@ -147,6 +147,23 @@ def test_quality_verdicts(spark):
     assert all(kept[i] for i in [*range(60), 300]) and not any(kept[i] for i in [*range(100, 104), *range(200, 204)])
 
 
+def test_languages_without_a_word_list(spark):
+    rnd = random.Random(2)
+    prose = lambda common, letters: " ".join(rnd.choice(common) if rnd.random() < 0.4 else "".join(rnd.choice(letters) for _ in range(6)) for _ in range(150))
+    en = lambda: prose("the of and to in is that it was for".split(), "etaoinshr")
+    ru = lambda: prose("и в не на что он как это но по".split(), "оеаинтсрвл")
+    pl = lambda: prose("i w nie się jest to że z do jak".split(), "aioeznrwsc")
+    rows = [(i, en(), "en") for i in range(40)] + [(100 + i, ru(), "ru") for i in range(40)] + [(200 + i, pl(), "pl") for i in range(40)] + [(300, ru(), None), (301, pl(), "en"), (302, ru(), "uk"), (303, ru(), "de")]
+    junk = [(400, en().upper(), "en"), (401, en().replace(" ", "### "), "ru"), (402, pl().replace(" ", " x$%& "), "pl"), (403, "same words again and again here now " * 30, "uk")]
+    frame = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id: r.kept for r in quality.judge(frame).collect()}
+    assert [i for i, *_ in rows if not kept[i]] == [] and not any(kept[i] for i, *_ in junk)
+    alone = {r.doc_id: (r.char_distance, r.word_distance) for r in quality.judge(frame.where("lang = 'en' AND doc_id < 40")).collect()}
+    _, refs = quality.references(frame.where("doc_id < 300"))
+    _, only = quality.references(frame.where("doc_id < 40"))
+    assert set(refs) == {"en", "ru", "pl"} and all(np.array_equal(a, b) for a, b in zip(refs["en"][:2], only["en"][:2], strict=True)) and len(alone) == 40
+
+
 def test_distance_is_jensen_shannon():
     p, q = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]]), np.array([0.5, 0.5, 0.0])
     m = (p[1] + q) / 2

@@ -3,18 +3,21 @@
 Method: a document's histograms of character classes and of common words are
 compared with the references of the languages by the Jensen-Shannon distance (the
 square root of the divergence in bits, between 0 and 1).  The references come from
-all long enough documents of each language, in one pass whose result is one short row
-for each language that has a word list: for each character class the median share
-(junk documents don't move it), for the words the mean share.  A
-document is held against the reference nearest to it, so a wrong or missing
-language label rejects nothing.
+all long enough documents of each language, in one pass whose result is some short rows
+for each language: for each character class the median share
+(junk documents don't move it), for the words the mean share.  Languages are the
+labels of ``COMMON_WORDS`` and every other label with ``MIN_DOCS`` long enough documents;
+the common words of the latter are the ``LEARNT`` words that most of those documents hold,
+counted in a grouped job.  A document is held against the reference nearest to it, so a
+wrong or missing language label rejects nothing.  A document whose label has no reference
+passes on the base rule alone.
 
 Length guards: a histogram of few words says little, so the word test needs
 ``MIN_WORDS`` words and the character test ``MIN_CHARS`` code points in words.
 
 Defined cases: null text has no words and fails the base rule; a null language
-counts for no reference; a corpus without any reference (no long document of a known
-language, or an empty table) is judged by the base rule alone; repeated rows are
+counts for no reference, and is held against all; a corpus without any reference (no long
+document of a known language and few of each other, or an empty table) is judged by the base rule alone; repeated rows are
 judged alike; a null id is passed through.
 """
 
@@ -26,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textvec as tv
 
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.35
+MIN_DOCS, LEARNT = 20, 25
 _STEPS = 1000  # shares of character classes are counted in steps of 1/_STEPS
 _UNIT = 1 << 24  # word shares are summed as integers, so that the order of tasks doesn't matter
 
@@ -44,7 +49,6 @@ COMMON_WORDS = {
 _LIST = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 _ONE = np.frombuffer(" ".join(_LIST).encode(), np.uint8)
 _HASHES = np.sort(tv.Words(_ONE, np.array([0, len(_ONE)]), lower=True).hashes)
-_BINS = len(_LIST) + 1
 
 #: Classes: lower-case, upper-case, other letters (any code point beyond ASCII), marks of prose, symbols, controls;
 #: digits count in none, as clean prose holds many or few of them.
@@ -62,7 +66,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TAIL = (np.arange(256) & 0xC0) == 0x80
 
 
-def _histograms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _histograms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray = _HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points in words by class (the last column: digits), words by common word (the last bin: all others), and the number of words."""
     n = len(off) - 1
     doc = np.repeat(np.arange(n), np.diff(off))
@@ -70,10 +74,11 @@ def _histograms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     kind = np.where(_DIGIT, _CLASSES, _CLASS)
     chars = np.bincount(doc[seen] * (_CLASSES + 1) + kind[data[seen]], minlength=n * (_CLASSES + 1)).reshape(n, _CLASSES + 1)
     words = tv.Words(data, off, lower=True)
-    at = np.searchsorted(_HASHES, words.hashes)
-    at[at == len(_HASHES)] = 0
-    at = np.where(_HASHES[at] == words.hashes, at, _BINS - 1)
-    common = np.bincount(words.doc * _BINS + at, minlength=n * _BINS).reshape(n, _BINS)
+    bins = len(vocabulary) + 1
+    at = np.searchsorted(vocabulary, words.hashes)
+    at[at == len(vocabulary)] = 0
+    at = np.where(vocabulary[at] == words.hashes, at, bins - 1)
+    common = np.bincount(words.doc * bins + at, minlength=n * bins).reshape(n, bins)
     return chars, common, words.counts
 
 
@@ -81,36 +86,73 @@ def _share(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(axis=-1, keepdims=True), 1)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    sums = {lang: [0, np.zeros(_CLASSES * (_STEPS + 1), np.int64), np.zeros(_BINS, np.int64)] for lang in COMMON_WORDS}
+def _of(common: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The bins of one language's common words; all other words are in the last."""
+    own = common[:, columns]
+    return np.column_stack((own, common.sum(axis=1) - own.sum(axis=1)))
+
+
+def _spread(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """(language, word, long documents with it); the null word counts the long documents."""
+    for batch in batches:
+        langs = np.array(batch.column(0).to_pylist(), dtype=object)
+        for row, to, data, off in tv.slices(batch.column(1)):
+            words = tv.Words(data, off, lower=True)
+            for lang in set(langs[row:to]):
+                of = (langs[row:to] == lang) & (words.counts >= min_words)
+                if of.any():
+                    inside = of[words.doc]
+                    pairs = np.unique(np.stack((words.doc[inside].astype(np.uint64), words.hashes[inside])), axis=1)
+                    found, n = np.unique(pairs[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(found) + 1)), pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([int(of.sum()), *n.tolist()], pa.int64())], names=["lang", "word", "n"])
+
+
+def _learnt(docs: DataFrame, min_words: int) -> dict[str, np.ndarray]:
+    """The common words' hashes of each label that is not in COMMON_WORDS and has enough long documents."""
+    spread = docs.where(~F.col("lang").isin(list(COMMON_WORDS))).mapInArrow(lambda it: _spread(it, min_words), "lang string, word long, n long")
+    counted = spread.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word"))
+    found: dict[str, list] = {}
+    for r in counted.withColumn("rank", rank).where(F.col("rank") <= LEARNT + 1).orderBy("lang", "rank").collect():
+        found.setdefault(r.lang, []).append(r)
+    return {lang: np.sort(np.array([r.word for r in rows[1:]], np.int64).view(np.uint64)) for lang, rows in found.items() if rows[0].n >= MIN_DOCS}
+
+
+def _gather(batches: Iterator[pa.RecordBatch], min_words: int, vocabulary: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    sums = {lang: [0, np.zeros(_CLASSES * (_STEPS + 1), np.int64), np.zeros(len(own) + 1, np.int64)] for lang, own in columns.items()}
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for row, to, data, off in tv.slices(batch.column(1)):
-            chars, common, n = _histograms(data, off)
+            chars, common, n = _histograms(data, off, vocabulary)
             for lang, held in sums.items():
                 of = (langs[row:to] == lang) & (n >= min_words)
                 held[0] += int(of.sum())
                 steps = np.rint(_share(chars[of, :-1]) * _STEPS).astype(np.int64) + np.arange(_CLASSES) * (_STEPS + 1)
                 held[1] += np.bincount(steps.ravel(), minlength=len(held[1]))
-                held[2] += np.rint(_share(common[of]) * _UNIT).astype(np.int64).sum(axis=0)
+                held[2] += np.rint(_share(_of(common[of], columns[lang])) * _UNIT).astype(np.int64).sum(axis=0)
     rows = [(lang, n, chars.tolist(), common.tolist()) for lang, (n, chars, common) in sums.items() if n]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["lang", "docs", "chars", "words"])
 
 
-def references(docs: DataFrame, lang: str = "lang", text: str = "text", min_words: int = MIN_WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(character reference, word reference) of each language of ``COMMON_WORDS`` that the corpus holds; at most one row each reaches the driver."""
-    parts = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(lambda it: _gather(it, min_words), "lang string, docs long, chars array<long>, words array<long>")
+def references(docs: DataFrame, lang: str = "lang", text: str = "text", min_words: int = MIN_WORDS) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The vocabulary, and (character reference, word reference, its words' places in the vocabulary) of each language; some short rows of each reach the driver."""
+    docs = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    lists = dict.fromkeys(COMMON_WORDS, _HASHES) | _learnt(docs, min_words)
+    vocabulary = np.unique(np.concatenate(list(lists.values())))
+    columns = {k: np.searchsorted(vocabulary, own) for k, own in lists.items()}
+    parts = docs.mapInArrow(lambda it: _gather(it, min_words, vocabulary, columns), "lang string, docs long, chars array<long>, words array<long>")
     long = parts.select("lang", F.posexplode(F.concat("chars", "words")).alias("bin", "n"))
     found: dict[str, np.ndarray] = {}
     for r in long.groupBy("lang", "bin").agg(F.sum("n").alias("n")).where("n > 0").collect():
-        found.setdefault(r.lang, np.zeros(_CLASSES * (_STEPS + 1) + _BINS))[r.bin] = r.n
-    return [_reference(found[k]) for k in sorted(found)]
+        found.setdefault(r.lang, np.zeros(_CLASSES * (_STEPS + 1) + len(lists[r.lang]) + 1))[r.bin] = r.n
+    return vocabulary, {k: (*_reference(found[k]), columns[k]) for k in sorted(found)}
 
 
 def _reference(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.cumsum(counts[:-_BINS].reshape(_CLASSES, _STEPS + 1), axis=1)
-    return _share((2 * steps >= steps[:, -1:]).argmax(axis=1).astype(float)), _share(counts[-_BINS:])
+    chars = _CLASSES * (_STEPS + 1)
+    steps = np.cumsum(counts[:chars].reshape(_CLASSES, _STEPS + 1), axis=1)
+    return _share((2 * steps >= steps[:, -1:]).argmax(axis=1).astype(float)), _share(counts[chars:])
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -155,24 +197,26 @@ def _repeats(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return words.counts, covered, lines
 
 
-def _judge(batches: Iterator[pa.RecordBatch], refs: list, min_words: int, min_chars: int, max_char: float, max_word: float) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, refs: dict, min_words: int, min_chars: int, max_char: float, max_word: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        langs = batch.column(batch.schema.names.index("_lang")).to_pylist()
         for row, to, data, off in tv.slices(batch.column(batch.schema.names.index("_text"))):
             n = to - row
             n_words, n_repeat, n_dup = _repeats(data, off)
-            chars, common, _ = _histograms(data, off)
+            chars, common, _ = _histograms(data, off, vocabulary)
             symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))[off]
             word_chars = chars.sum(axis=1)
             failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
             if refs:
-                by_char = np.stack([distance(_share(chars[:, :-1]), c) for c, _ in refs]).min(axis=0)
-                by_word = np.stack([distance(_share(common), w) for _, w in refs]).min(axis=0)
+                by_char = np.stack([distance(_share(chars[:, :-1]), c) for c, _, _ in refs.values()]).min(axis=0)
+                by_word = np.stack([distance(_share(_of(common, at)), w) for _, w, at in refs.values()]).min(axis=0)
             else:
                 by_char = by_word = np.zeros(n)
-            kept = ~failed & ~((word_chars >= min_chars) & (by_char > max_char)) & ~((n_words >= min_words) & (by_word > max_word))
-            own = [c for c, name in zip(batch.slice(row, n).columns, batch.schema.names, strict=True) if name != "_text"]
+            held = np.array([x is None or x in refs for x in langs[row:to]], bool)
+            kept = ~failed & ~(held & (word_chars >= min_chars) & (by_char > max_char)) & ~(held & (n_words >= min_words) & (by_word > max_word))
+            own = [c for c, name in zip(batch.slice(row, n).columns, batch.schema.names, strict=True) if name not in ("_text", "_lang")]
             values = {"n_words": n_words, "word_chars": word_chars, "n_symbols": np.diff(symbols), "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "char_distance": by_char, "word_distance": by_word, "base_failed": failed, "kept": kept}
-            yield pa.RecordBatch.from_arrays(own + [pa.array(v) for v in values.values()], names=[x for x in batch.schema.names if x != "_text"] + list(values))
+            yield pa.RecordBatch.from_arrays(own + [pa.array(v) for v in values.values()], names=[x for x in batch.schema.names if x not in ("_text", "_lang")] + list(values))
 
 
 _RESULT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "char_distance": "double", "word_distance": "double", "base_failed": "boolean", "kept": "boolean"}
@@ -180,7 +224,7 @@ _RESULT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_
 
 def judge(docs: DataFrame, lang: str = "lang", text: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``docs`` with the counts, the two distances, base_failed and kept; columns of those names are replaced."""
-    refs = references(docs, lang, text, min_words)
+    vocabulary, refs = references(docs, lang, text, min_words)
     own = [c for c in docs.columns if c not in _RESULT]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own] + [f"{k} {v}" for k, v in _RESULT.items()])
-    return docs.select(*own, F.col(text).alias("_text")).mapInArrow(lambda it: _judge(it, refs, min_words, min_chars, max_char, max_word), schema)
+    return docs.select(*own, F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).mapInArrow(lambda it: _judge(it, vocabulary, refs, min_words, min_chars, max_char, max_word), schema)
