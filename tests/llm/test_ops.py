@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trailweave.llm import bpe, chat, embed_dedup, licences, minmax, packing, quality, shared, substrings, token_files, tokens, urls
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -84,6 +85,15 @@ def test_near_duplicates(spark, docs, none, percent):
     assert minmax.keep_one(docs, percent=percent).columns == docs.columns
 
 
+def test_bands_follow_from_the_threshold(docs, monkeypatch):
+    assert (minmax.bands_for(85), minmax.bands_for(80)) == (24, 36) and all((1 - (p / 100) ** 5) ** minmax.bands_for(p) < 1e-6 for p in (50, 70, 95, 100))
+    used, near = [], minmax.near_duplicates
+    monkeypatch.setattr(minmax, "near_duplicates", lambda *a, bands: used.append(bands) or near(*a, bands=bands))
+    minmax.keep_one(docs.limit(3), percent=80)
+    corpus_pipeline.near_dedup(None, docs.limit(3), "")
+    assert used == [36, 36]
+
+
 def test_a_chain_of_copies_is_one_component(spark):
     words = ["w%d" % i for i in range(400)]
     rows = []

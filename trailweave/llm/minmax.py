@@ -5,7 +5,8 @@ the minimum and the maximum are kept, so half the hash evaluations give a signat
 of ``bands * rows`` values.  A band takes ``rows`` values of different permutations.
 Documents that share a band are candidates; every link is confirmed on the full
 shingle sets, so no link is wrong, and a pair at the threshold 0.85 shares no band
-with probability (1 - 0.85**5)**24 < 1e-6.
+with probability (1 - 0.85**5)**24 < 1e-6; ``bands_for`` gives the bands for that at other
+thresholds.
 
 Large groups: documents with equal shingle sets collapse to one representative
 first.  Inside a band's bucket each document is then compared with the bucket's
@@ -38,6 +39,7 @@ from .components import components
 from .shared import table
 
 WIDTH, BANDS, ROWS = 5, 24, 5
+MISSED = 1e-6
 _SKETCH = "doc long, n long, set_a long, set_b long, keys array<long>"
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -190,7 +192,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return joined.select(doc_id, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(doc_id), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, bands: int = BANDS) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, one for each group of near-duplicates; all columns pass through."""
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """The least even number of bands of which a pair at the threshold shares none with probability below MISSED."""
+    none = 1 - (percent / 100) ** rows
+    bands = 2
+    while none**bands >= MISSED:
+        bands += 2
+    return bands
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, bands: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, one for each group of near-duplicates; all columns pass through.  ``bands`` follow from ``percent`` if not given."""
+    bands = bands or bands_for(percent)
     gone = near_duplicates(docs.select(doc_id, text), doc_id, text, percent, bands=bands).where("not kept").select(doc_id).distinct()
     return docs.join(gone, doc_id, "left_anti")
