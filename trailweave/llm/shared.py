@@ -1,17 +1,22 @@
-"""Tables in the folder that the whole cluster shares."""
+"""Tables in the folder that the whole cluster shares, and names of columns that can't clash."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests) a folder of this machine, which is then set."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset on one machine (tests) a folder of it, which is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trailweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,3 +34,27 @@ def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """The columns of ``df`` but those; names are compared as Spark does, without case."""
+    gone = {n.lower() for n in taken}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def pick(names: list[str]) -> list[Column]:
+    return [F.col(quoted(n)) for n in names]
+
+
+def map_arrow(df: DataFrame, own: list[str], inner: list[Column], run: Callable, more: str) -> DataFrame:
+    """``df``'s columns ``own`` with the columns ``more`` (DDL) that ``run`` makes by ``mapInArrow``.
+
+    ``run`` sees the columns own0, own1, ... and then ``inner``, so names can't clash; it returns the own ones first.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    new = T.StructType.fromDDL(more).fields
+    schema = T.StructType([T.StructField(f"own{i}", types[n]) for i, n in enumerate(own)] + new)
+    plain = df.select(*[c.alias(f"own{i}") for i, c in enumerate(pick(own))], *inner)
+    return plain.mapInArrow(run, schema).toDF(*own, *[f.name for f in new])

@@ -4,7 +4,10 @@ A text is cut where no token can cross (at white space, as the tokenizer's own
 pre-tokenizer does), each distinct chunk is encoded once for each worker with the
 library's model, and the ids of a text are gathered from the chunks' ids.  The result
 equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, special tokens that
-stand in the text included.  The chunk table is bounded: it starts anew when it holds
+stand in the text included.  A chunk of letters whose classes and cases are old and
+settled (``_SETTLED``) is normalised and cut here; any other chunk that is not ASCII goes
+through the file's own normaliser and pre-tokeniser, so no table of letters but the library's counts.
+The chunk table is bounded: it starts anew when it holds
 ``MAX_CHUNKS`` chunks (and its pre-tokens at ``MAX_PIECES``), so memory doesn't grow with the input.
 """
 
@@ -12,7 +15,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -23,8 +25,11 @@ from . import textvec as tv
 
 MAX_CHUNKS, MAX_PIECES = 600_000, 600_000
 SLICE_BYTES = 4 << 20
+_WHITE = "\t-\r \x85\xa0  -     　"  # fixed values: what both files' patterns call white space
 _CONTROL = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACES = re.compile(f"[{_WHITE}]+")
+#: ASCII and the letters of Latin-1, Latin Extended-A and Russian: each is a letter, composed, with a case of one letter.
+_SETTLED = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-žА-я]*")
 
 
 class _Table(dict):
@@ -119,30 +124,52 @@ def _library(spec: dict) -> Callable[[list[str]], list[bytes]]:
     return lambda pieces: [array("I", [t.id for t in tokenize(letters(p))]).tobytes() for p in pieces]
 
 
-# The pre-tokenizers' own patterns.
+def _library_pieces(spec: dict) -> Callable[[str], list[str]]:
+    """The file's own normaliser and pre-tokeniser."""
+    from tokenizers import Tokenizer
+
+    bare = Tokenizer.from_str(json.dumps(spec | {"model": spec["model"] | {"vocab": {}, "merges": []}, "post_processor": None, "decoder": None, "added_tokens": []}))
+    normalizer, cut = bare.normalizer, bare.pre_tokenizer.pre_tokenize_str
+
+    def pieces(text: str) -> list[str]:
+        text = normalizer.normalize_str(text) if normalizer else text
+        return [text[a:b] for _, (a, b) in cut(text)]
+
+    return pieces
+
+
+# The pre-tokenizers' own patterns, used on ASCII chunks.
 _GPT2 = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _MARKS = frozenset(".,;:!?)")
-_WIDE = re.compile(r"\s (?=\s|\Z)")
-_LUMPS = re.compile(r" ?\S+|\s+")
+_WIDE = re.compile(f"[{_WHITE}] (?=[{_WHITE}]|\\Z)")
+_LUMPS = re.compile(f"[{_WHITE}]+(?![^{_WHITE}])| ?[^{_WHITE}]+|[{_WHITE}]")
 
 
 def _split_byte_level(tables: list[_Table], text: str) -> list[int]:
-    """Chunks with the single space before them; a text in which a space stands inside a longer run of white space is one chunk."""
+    """Chunks with the single space before them; a text in which a space stands inside a longer run of white space is cut at such runs."""
     plain, spaced = tables[0], tables[1]
     if _WIDE.search(text):
-        return [plain[p] for p in _GPT2.findall(text)]
+        return [spaced[p[1:]] if len(p) > 1 and p[0] == " " and p[1] != " " else plain[p] for p in _LUMPS.findall(text)]
     first, *rest = text.split(" ")
     return ([plain[first]] if first else []) + list(map(spaced.__getitem__, rest))
 
 
-def byte_level_pieces(kind: int, chunk: str) -> list[str]:
-    text = " " + chunk if kind else chunk
-    if chunk.isalpha():
-        return [text]
-    if chunk[:-1].isalpha() and chunk[-1] in _MARKS:
-        return [text[:-1], chunk[-1]]
-    return _GPT2.findall(text)
+def _byte_level_pieces(library: Callable[[str], list[str]]) -> Callable[[int, str], list[str]]:
+    def pieces(kind: int, chunk: str) -> list[str]:
+        text = " " + chunk if kind else chunk
+        if not chunk.isascii():
+            body = text[:-1] if chunk[-1] in _MARKS else text
+            if _SETTLED.fullmatch(body, kind) and len(body) > kind:
+                return [body, chunk[-1]] if len(body) < len(text) else [body]
+            return library(text)
+        if chunk.isalpha():
+            return [text]
+        if chunk[:-1].isalpha() and chunk[-1] in _MARKS:
+            return [text[:-1], chunk[-1]]
+        return _GPT2.findall(text)
+
+    return pieces
 
 
 def _split_words(tables: list[_Table], text: str) -> list[int]:
@@ -150,14 +177,21 @@ def _split_words(tables: list[_Table], text: str) -> list[int]:
     return list(map(tables[0].__getitem__, words))
 
 
-def _word_pieces(kind: int, chunk: str) -> list[str]:
-    word = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-    word = word.lower()
-    if word.isalpha():
-        return [word]
-    if word[:-1].isalpha() and word[-1] in _MARKS:
-        return [word[:-1], word[-1]]
-    return _WORD.findall(word)
+def _word_pieces(library: Callable[[str], list[str]]) -> Callable[[int, str], list[str]]:
+    def pieces(kind: int, chunk: str) -> list[str]:
+        if not chunk.isascii():
+            body = chunk[:-1] if chunk[-1] in _MARKS else chunk
+            if body and _SETTLED.fullmatch(body):
+                return [body.lower(), chunk[-1]] if len(body) < len(chunk) else [body.lower()]
+            return library(chunk)
+        word = chunk.lower()
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-1] in _MARKS:
+            return [word[:-1], word[-1]]
+        return _WORD.findall(word)
+
+    return pieces
 
 
 def load(path: str, encode: Callable | None = None) -> Chunks:
@@ -167,10 +201,10 @@ def load(path: str, encode: Callable | None = None) -> Chunks:
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     encode = encode or _library(spec)
     if spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]:
-        return Chunks(_split_byte_level, byte_level_pieces, encode, added)
+        return Chunks(_split_byte_level, _byte_level_pieces(_library_pieces(spec)), encode, added)
     kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
     if kinds == ["NFC", "Replace", "Lowercase"]:
-        return Chunks(_split_words, _word_pieces, encode, added)
+        return Chunks(_split_words, _word_pieces(_library_pieces(spec)), encode, added)
     raise ValueError(f"{path}: neither a byte-level nor a lower-cased word BPE")
 
 
