@@ -14,7 +14,8 @@ last sequences part-filled; adaptive execution merges small partitions before th
 Defined cases: null or empty text is the end id alone; null document ids are packed
 like others; rows that repeat an id are packed each; pieces of length 0 or over the
 capacity are an error in ``pack`` (``cut`` never makes them); an empty table gives an
-empty table; other columns pass through ``pack``.
+empty table; other columns pass through both, and columns named like the results are
+replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .shared import map_arrow, others
 
 CAPACITY, OPEN_BINS = 1024, 256
 
@@ -46,9 +48,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
             base = (np.cumsum(counts) - counts)[doc] + start
             raw = ids.astype("<u4")
             own = batch.slice(row, to - row).take(pa.array(doc))
-            cols = [c for c, n in zip(own.columns, batch.schema.names, strict=True) if n != "_text"]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(piece.astype(np.int32)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([raw[a : a + n].tobytes() for a, n in zip(base.tolist(), length.tolist(), strict=True)], pa.binary())],
+                [*own.columns[:-1], pa.array(piece.astype(np.int32)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([raw[a : a + n].tobytes() for a, n in zip(base.tolist(), length.tolist(), strict=True)], pa.binary())],
                 names=[*batch.schema.names[:-1], "piece", "start", "length", "ids"],
             )
 
@@ -58,9 +59,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 
     Only a document longer than ``capacity`` is cut; all its pieces but the first are full.
     """
-    own = [c for c in docs.columns if c not in (text, "piece", "start", "length", "ids")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own] + ["piece int, start long, length long, ids binary"])
-    return docs.select(*own, F.col(text).alias("_text")).mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity), schema)
+    own = others(docs, text, "piece", "start", "length", "ids")
+    return map_arrow(docs, own, [F.col(text).alias("body")], lambda it: _cut(it, tokenizer, end_id, capacity), "piece int, start long, length long, ids binary")
 
 
 class Packer:
@@ -100,22 +100,21 @@ class Packer:
         return found, self.capacity - space
 
 
-def _pack(batches: Iterator[pa.RecordBatch], length: str, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     base = TaskContext.get().partitionId() << 40
     packer = Packer(capacity, open_bins)
     for batch in batches:
-        placed = [packer.place(n) for n in batch.column(batch.schema.names.index(length)).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
+        placed = [packer.place(n) for n in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
 
 def pack(pieces: DataFrame, by: list[str], length: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """``pieces`` with sequence_id and offset; ``by`` names columns that tell pieces apart (they deal out the work and break ties)."""
-    own = pieces.select(*[c for c in pieces.columns if c not in ("sequence_id", "offset")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", sequence_id long, offset long"
-    ordered = own.repartition(*by).sortWithinPartitions(F.desc(length), *by)
-    return ordered.mapInArrow(lambda it: _pack(it, length, capacity, open_bins), schema)
+    names = others(pieces, "sequence_id", "offset")
+    ordered = pieces.repartition(*by).sortWithinPartitions(F.xxhash64(*by), *by)
+    return map_arrow(ordered, names, [F.col(length).alias("length")], lambda it: _pack(it, capacity, open_bins), "sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
