@@ -44,7 +44,9 @@ SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids array<long>,
 
 
 def pack(counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
-    """The image of documents with these numbers of ids."""
+    """The image of documents with these numbers of ids; an id that ``width`` bytes can't hold is an error."""
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"id {int(ids.max())} needs more than {width} bytes")
     ends = np.concatenate(([0], np.cumsum(counts))).astype(np.uint64)
     low = max(0, int(len(ids) // len(ends)).bit_length() - 1)
     lows = ((ends[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
@@ -57,7 +59,7 @@ def pack(counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
 
 
 class Segment:
-    """Reads an image; ``offset`` takes one boundary by select, ``offsets`` decodes all."""
+    """Reads an image; boundaries are taken by select."""
 
     def __init__(self, image: bytes):
         magic, width, self.low, self.n_docs, self.n_ids, n_high, n_samples = _HEAD.unpack_from(image)
@@ -72,20 +74,20 @@ class Segment:
 
     def offset(self, i: int) -> int:
         """The ids of the segment before its document ``i``."""
-        start = int(self.samples[i // _SAMPLE])
-        stop = int(self.samples[i // _SAMPLE + 1]) if i // _SAMPLE + 1 < len(self.samples) else 8 * len(self.high)
+        return int(self.offsets(i, i)[0])
+
+    def offsets(self, first: int, last: int) -> np.ndarray:
+        """Boundaries ``first`` to ``last``, by select: the samples bound the bits to look at, so only these boundaries are ever decoded."""
+        start = int(self.samples[first // _SAMPLE])
+        after = last // _SAMPLE + 1
+        stop = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
         bits = np.unpackbits(self.high[start >> 3 : (stop >> 3) + 1], bitorder="little")
         bits[: start & 7] = 0
-        one = np.flatnonzero(bits)[i % _SAMPLE] + (start & ~7)
-        first = self.low * i
-        lows = np.unpackbits(self.lows[first >> 3 : (first + self.low + 7) >> 3], bitorder="little")[first & 7 : (first & 7) + self.low]
-        return ((int(one) - i) << self.low) | int(lows.astype(np.int64) @ (1 << np.arange(self.low)))
-
-    def offsets(self) -> np.ndarray:
-        n = self.n_docs + 1
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:n]
-        lows = np.unpackbits(self.lows, bitorder="little")[: n * self.low].reshape(n, self.low).astype(np.int64)
-        return ((ones - np.arange(n)) << self.low) | (lows @ (1 << np.arange(self.low)))
+        at = np.arange(first, last + 1)
+        ones = np.flatnonzero(bits)[at - first // _SAMPLE * _SAMPLE] + (start & ~7)
+        begin, end = self.low * first, self.low * (last + 1)
+        lows = np.unpackbits(self.lows[begin >> 3 : (end + 7) >> 3], bitorder="little")[begin & 7 :][: end - begin]
+        return ((ones - at) << self.low) | (lows.reshape(len(at), self.low).astype(np.int64) @ (1 << np.arange(self.low)))
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,7 @@ _NO_ID = -(2**63)
 def write(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", width: int = 2, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode all texts, in ascending document order, into token segments at the folder ``to``.
 
-    ``width``: bytes of an id, 2 for vocabularies up to 65,536.
+    ``width``: bytes of an id, 2 for vocabularies up to 65,536; a larger id is an error, none is cut short.
     """
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc", "text")
     ordered.mapInArrow(lambda it: _segments(it, tokenizer, end_id, width, segment_ids), SCHEMA).write.parquet(to)
@@ -134,12 +136,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs, base, image in zip(*batch.columns, strict=True):
             segment = Segment(image.as_py())
-            ends = segment.offsets()
-            ids = segment.ids.astype("<u4")
             for lo in range(0, segment.n_docs, 512):  # small batches of results
                 hi = min(lo + 512, segment.n_docs)
+                ends = segment.offsets(lo, hi)
+                ids = segment.ids[ends[0] : ends[-1]].astype("<u4")
+                cuts = (ends - ends[0]).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [docs.values.slice(lo, hi - lo), pa.array(ends[lo:hi] + base.as_py(), pa.int64()), pa.array(np.diff(ends[lo : hi + 1]), pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(ends[lo:hi], ends[lo + 1 : hi + 1], strict=True)], pa.binary())],
+                    [docs.values.slice(lo, hi - lo), pa.array(ends[:-1] + base.as_py(), pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
