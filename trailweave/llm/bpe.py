@@ -11,8 +11,8 @@ an incompatible pair are merged exactly, by rank, with a heap.
 Defined cases: null text is empty (no ids, decoded to the empty string); special tokens
 that stand in a text become their id, as in the library; text that is not in the
 vocabulary's pieces falls back to its bytes; rows are independent of each other, so
-ties, repeated rows and other columns don't matter (columns named like the results are
-replaced); an empty table gives an empty table.
+ties and repeated rows don't matter; other columns pass through (columns named like the
+results are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from . import tokens
+from .shared import map_arrow, others
 
-_LONG = 256  # pre-tokens of more bytes are walked one by one
+_LONG = 256  # pre-tokens of more bytes are walked one by one, so that the others don't wait for them
 
 
 class Speculator:
@@ -71,6 +72,7 @@ class Speculator:
                     token.append(-1)
                 node = child[key]
             token[node] = i
+        self.walk, self.at_node = child, token
         self.edges = np.sort(np.fromiter(child, np.int64, len(child)))
         self.child = np.fromiter((child[k] for k in self.edges.tolist()), np.int64, len(child))
         self.token = np.array(token)
@@ -107,6 +109,19 @@ class Speculator:
         order = np.argsort(owner, kind="stable")
         return found[order], owner[order]
 
+    def propose_long(self, raw: bytes) -> list[int]:
+        """The same for one long pre-token."""
+        out, pos, walk, token = [], 0, self.walk, self.at_node
+        while pos < len(raw):
+            node, at, best, best_end = 0, pos, -1, pos + 1
+            while at < len(raw) and (node := walk.get(node << 8 | raw[at])) is not None:
+                at += 1
+                if token[node] >= 0:
+                    best, best_end = token[node], at
+            out.append(best)
+            pos = best_end
+        return out
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the encoding of the bytes of a and b together is just a, b."""
         result = np.ones(len(a), bool)
@@ -162,23 +177,24 @@ class Speculator:
         """The ids of each pre-token."""
         raw = [p.encode() for p in pieces]
         short = [i for i, r in enumerate(raw) if len(r) <= _LONG]
-        out: list = [None] * len(raw)
-        for i, r in enumerate(raw):
-            if len(r) > _LONG:
-                out[i] = self.id[self.merge(r)].tolist()
         ends = np.cumsum([0, *(len(raw[i]) for i in short)])
         found, owner = self.propose(np.frombuffer(b"".join(raw[i] for i in short) or b"\0", np.uint8), ends[:-1], ends[1:])
+        order = short + [i for i, r in enumerate(raw) if len(r) > _LONG]
+        walked = [self.propose_long(raw[i]) for i in order[len(short) :]]
+        found = np.concatenate((found, *walked)).astype(np.int64)
+        owner = np.concatenate((owner, np.repeat(np.arange(len(short), len(order)), [len(w) for w in walked])))
         same = np.flatnonzero(owner[1:] == owner[:-1])
         key = found[same] * self.size + found[same + 1]
         pairs, back = np.unique(key, return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)[back]
         failed = np.unique(owner[same[~good]])
-        self.checked, self.failed = self.checked + len(short), self.failed + len(failed)
-        ids, cuts = self.id[found].tolist(), np.searchsorted(owner, np.arange(len(short) + 1)).tolist()
-        for k, i in enumerate(short):
+        self.checked, self.failed = self.checked + len(order), self.failed + len(failed)
+        out: list = [None] * len(raw)
+        ids, cuts = self.id[found].tolist(), np.searchsorted(owner, np.arange(len(order) + 1)).tolist()
+        for k, i in enumerate(order):
             out[i] = ids[cuts[k] : cuts[k + 1]]
         for k in failed.tolist():
-            out[short[k]] = self.id[self.merge(raw[short[k]])].tolist()
+            out[order[k]] = self.id[self.merge(raw[order[k]])].tolist()
         return out
 
 
@@ -227,6 +243,5 @@ def _round(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """The other columns of ``docs`` with n_tokens, ids (little-endian uint32 bytes) and decoded (from those ids)."""
-    own = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "decoded")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own] + ["n_tokens long, ids binary, decoded string"])
-    return docs.select(*own, F.col(text).alias("_text")).mapInArrow(lambda it: _round(it, tokenizer), schema)
+    own = others(docs, text, "n_tokens", "ids", "decoded")
+    return map_arrow(docs, own, [F.col(text).alias("body")], lambda it: _round(it, tokenizer), "n_tokens long, ids binary, decoded string")
