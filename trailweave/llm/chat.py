@@ -3,15 +3,16 @@
 Method: prefix sums of the turns' tokens cut each conversation into spans at turn
 borders.  Half of the budget that the system turn and the history leave is the stride:
 a span holds the turns whose prefix sum starts in one stride, so spans of ordinary
-turns keep within the budget; a turn of more than a stride has a span of its own (and
-only such a turn can exceed the budget: ``over_budget`` says so).  Each window is the
+turns keep within the budget; a turn of more than a stride has a span of its own.  Only
+such a turn can exceed the budget, or a system turn that alone leaves no room for a
+stride; ``over_budget`` says so, and nothing is cut off.  Each window is the
 system turn, then the last turns of the span before, as many as fit ``history`` tokens,
 then its own span.  Only a window's own assistant turns are under its loss mask, so a
 repeated target is never learned twice.
 
 Tokens are estimated as the words and marks of a text plus ``TURN_TOKENS`` for a turn's
 markers.  A turn is written as ``<|turn|>role\\ntext<|end|>\\n``; control strings inside
-texts get one backslash after their first character (one more if they already have
+texts (every ``<|name|>``, ``<s>``, ``[INST]``, ``<<SYS>>`` and their closing forms) get one backslash after their first character (one more if they already have
 some), which ``unescape`` takes away again.
 
 Everything runs on one shuffle by conversation; sums and windows are streamed through
@@ -21,7 +22,8 @@ conversation in one row, as a hash of it does.
 Defined cases: null text or role is empty; a null conversation id is a conversation of
 its own; rows of the same turn number are ordered by role and text, repeated rows stay;
 a conversation without turns has no rows; only a first turn of role ``system`` is
-retained in all windows; other columns are ignored; an empty table gives an empty table.
+retained in all windows; other columns, whatever their names, are ignored; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 BUDGET, HISTORY, TURN_TOKENS = 1024, 128, 4
 _TURN, _END = "<|turn|>", "<|end|>"
 #: Strings with a meaning to chat templates, by their first character.
-_ANGLE, _SQUARE = r"(\|(?:turn|end|im_start|im_end)\|>|/?s>)", r"(/?INST\])"
+_ANGLE, _SQUARE = r"(\|\w+\|>|/?s>|</?SYS>>)", r"(/?INST\])"
 
 
 def escape(text: Column) -> Column:

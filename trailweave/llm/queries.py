@@ -111,11 +111,32 @@ _OP3 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
-whole AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS a,
-    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS b
-  FROM turns GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(a) AS turns_sha256, length(b) AS loss_chars, sha256(b) AS loss_sha256 FROM whole"""
+ranked AS (
+  SELECT *, len(regexp_extract_all(text, '\w+|[^\w\x09-\x0D\x20]')) + 4 AS tokens,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rank
+  FROM turns),
+marked AS (SELECT *, rank = 1 AND role = 'system' AS sys, CASE WHEN rank = 1 AND role = 'system' THEN 0 ELSE tokens END AS own FROM ranked),
+summed AS (
+  SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY rank) AS upto,
+    greatest(1, floor((1024 - 128 - coalesce(max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id), 0)) / 2)) AS stride
+  FROM marked),
+slots AS (SELECT *, own > stride AS big, floor((upto - own) / stride) AS slot FROM summed),
+breaks AS (
+  SELECT *, NOT sys AND rank > 1 AND NOT coalesce(lag(sys) OVER w, false) AND (big OR slot <> lag(slot) OVER w OR lag(big) OVER w) AS b
+  FROM slots WINDOW w AS (PARTITION BY conv_id ORDER BY rank)),
+spans AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY rank) AS span FROM breaks),
+ends AS (SELECT *, max(span) OVER (PARTITION BY conv_id) AS last, max(upto) OVER (PARTITION BY conv_id, span) AS stop FROM spans),
+sized AS (
+  SELECT conv_id, rank, role, text,
+    CASE WHEN sys THEN last + 1 WHEN span < last AND stop - upto + own <= 128 THEN 2 ELSE 1 END AS times,
+    17 + sum(length(regexp_replace(regexp_replace(x, '<(\\*)(\|\w+\|>|/?s>|</?SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g'))) AS chars
+  FROM (SELECT *, unnest([text, replace(replace(role, '\', '\\'), chr(10), '\n')]) AS x FROM ends)
+  GROUP BY ALL)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank)) AS turns_sha256,
+  length(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY rank), '')) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY rank), '')) AS loss_sha256,
+  CAST(sum(times * chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
 
 _OP4 = r"""
 WITH RECURSIVE good AS (
