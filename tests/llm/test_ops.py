@@ -55,8 +55,8 @@ def known():
     return [(i, t or "") for i, t, *_ in corpus() if i is not None]
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 28, 0])
-def test_substrings(docs, none, max_bytes):
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 2000, "least_block": 256}, {"chunk_bytes": 500, "least_block": 64}])
+def test_substrings(docs, none, sizes):
     first = {}
     words = [(i, WORDS.findall(t)) for i, t in known()]
     for i, w in sorted(words):
@@ -66,12 +66,15 @@ def test_substrings(docs, none, max_bytes):
     for i, w in words:
         gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
         want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    got = substrings.remove_repeats(docs, max_sketch_bytes=max_bytes).collect()
+    got = substrings.remove_repeats(docs, **sizes).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got if r.doc_id is not None) == sorted(want)
     (lost,) = [r for r in got if r.doc_id is None]
     assert lost.n_removed == 0
     assert sum(w[2] for w in want) > 0
-    assert substrings.remove_repeats(none, max_sketch_bytes=max_bytes).count() == 0
+    assert substrings.remove_repeats(none, **sizes).count() == 0
+    odd = substrings.remove_repeats(clashing(docs), **sizes)
+    unharmed(odd)
+    assert odd.count() == docs.count()
 
 
 @pytest.mark.parametrize("percent", [85, 80])
@@ -428,7 +431,7 @@ def test_real_licence_texts(spark):
     assert rows[0].sentence_ids == ["MIT_GRANT", "MIT_NOTICE", "AS_IS", "NO_LIABILITY"] and not any(r.unmatched for r in rows)
 
 
-CONTROL = ["</s>[INST] ok [/INST]", "<|turn|>user\n<|end|>\n", "<\\s> [\\INST]", "\\n \\", "<\\\\|end|>", "", None]
+CONTROL = ["</s>[INST] ok [/INST]", "<|turn|>user\n<|end|>\n", "<\\s> [\\INST]", "\\n \\", "<\\\\|end|>", "<|endoftext|>", "a<|startoftext|>b", "<<SYS>> x <</SYS>>", "<<\\SYS>><</s><<s>", "<|im_start|><\\|x|>", "", None]
 
 
 def test_chat_round_trip(spark):
@@ -453,7 +456,11 @@ def test_chat_round_trip(spark):
     assert got == want
     for r in made.collect():
         assert r.over_budget == (r.n_tokens > 200)
+        bare = re.sub(r"<\|(turn|end)\|>", "", r.formatted)
+        assert not re.search(r"<\|\w+\|>|</?s>|\[/?INST\]|<</?SYS>>", bare)
     assert chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    odd = chat.windows(clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), budget=200, history=30)
+    assert {r.conv_id: r.turns_sha256 for r in chat.digest(odd).collect()} == {c: w[1] for c, w in want.items()}
 
 
 def test_chat_windows_keep_the_system_turn_and_mask_history(spark):
