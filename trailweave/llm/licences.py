@@ -10,16 +10,16 @@ identifier sequence: a rule fits where its identifiers stand one after the other
 takes them away, so a later, shorter rule can't count them again.
 
 The scan is a projection: no shuffle, one row out for each row in, whatever the sizes
-of groups or sources.  The tables of sentences and rules are parameters of bounded size
-(they are part of the plan; ``MAX_SENTENCES`` is checked).
+of groups or sources.  The tables of sentences and rules are parameters that the caller
+holds; in the plan they are a hashed set of sentences, and a table that only known ones
+are looked up in.
 
 Defined cases: null or empty text has no identifiers and no licences; a sentence may be
 wrapped over lines anywhere between two words; the holder's name in the third BSD
 condition may be any (``NAMED``); repeated rows give repeated results; an
 empty table gives an empty table; other columns pass through, and columns named like the
-results are replaced.
-
-The query's SQL has the same tables, but knows sentences on one line and the listed names only.
+results are replaced.  Sentences of one text that overlap are taken from left to right,
+the longer first, so ties can't occur.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_SENTENCES = 10_000
+from .shared import others, pick
 
 #: Known sentences in normal form, and their identifiers.
 SENTENCES = {
@@ -99,6 +99,8 @@ RULES = [
 #: Where a sentence holds a name: its beginning, the pattern of the name with what stands around it, and the form under which it is known.
 NAMED = [("neither the name of ", "^neither the name of .+ nor the names of (its|their|any) contributors ", "neither the name of the copyright holder nor the names of its contributors ")]
 
+#: A sentence may be this many pieces longer than the known one it stands for, by a name in it.
+NAME_WORDS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -117,29 +119,29 @@ def _filled(sentence: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """``docs`` with ``sentence_ids`` (array), ``licences`` (array, each once, in the rules' order) and ``unmatched`` (identifiers no rule took)."""
-    if len(known) > MAX_SENTENCES:
-        raise ValueError(f"more than {MAX_SENTENCES} sentences: join the exploded sentences with a table instead")
-    own = [c for c in docs.columns if c not in ("sentence_ids", "licences", "unmatched")]
+    own = others(docs, "sentence_ids", "licences", "unmatched")
+    plain = [f"own{i}" for i in range(len(own))]
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     words = [k.split() for k in known]
     heads = sorted({" ".join(w[:n]) for w in words for n in (1, 2, 3)})  # a piece that begins a known sentence begins with one of these, or is one
-    longest = max([len(w) for w in words], default=1) + 20  # pieces of a sentence have a word each; a name may have some more
-    cut = docs.select(*own, pieces(F.coalesce(F.col(text), F.lit(""))).alias("_pieces"))
-    begins = F.filter(F.transform("_pieces", lambda s, i: F.when(F.substring_index(s, " ", 3).isin(heads), i + 1)), lambda i: i.isNotNull())
-    cut = cut.withColumn("_runs", F.transform(begins, lambda i: F.struct(i.alias("at"), F.slice("_pieces", i, longest).alias("run"))))
+    longest = max([len(w) for w in words], default=1) + NAME_WORDS  # pieces of a sentence have a word each; a name may have some more
+    cut = docs.select(*[c.alias(n) for c, n in zip(pick(own), plain, strict=True)], pieces(F.coalesce(F.col(text), F.lit(""))).alias("pieces"))
+    begins = F.filter(F.transform("pieces", lambda s, i: F.when(F.substring_index(s, " ", 3).isin(heads), i + 1)), lambda i: i.isNotNull())
+    cut = cut.withColumn("runs", F.transform(begins, lambda i: F.struct(i.alias("at"), F.slice("pieces", i, longest).alias("run"))))
     size = lambda r: F.when(F.array_contains(r["run"], ""), F.array_position(r["run"], "") - 1).otherwise(F.size(r["run"])).cast("int")
     spans = lambda r: F.transform(F.sequence(size(r), F.lit(1), F.lit(-1)), lambda n: F.struct(r["at"].alias("at"), (r["at"] + n).alias("next"), _filled(F.array_join(F.slice(r["run"], 1, n), " ")).alias("s")))
-    cut = cut.withColumn("_hits", F.filter(F.flatten(F.transform("_runs", spans)), lambda x: x["s"].isin(list(known))))
+    cut = cut.withColumn("hits", F.filter(F.flatten(F.transform("runs", spans)), lambda x: x["s"].isin(list(known))))
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("ids"))
     take = lambda a, x: F.when(x["at"] >= a["next"], F.struct(x["next"].alias("next"), F.concat(a["ids"], F.array(F.element_at(table, x["s"]))).alias("ids"))).otherwise(a)
-    named = cut.select(*own, F.aggregate("_hits", start, take, lambda a: a["ids"]).alias("sentence_ids"))
-    names = sorted(set(known.values()))
-    named = named.withColumn("_left", F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
+    named = cut.select(*plain, F.aggregate("hits", start, take, lambda a: a["ids"]).alias("ids"))
+    names = set(known.values())
+    named = named.withColumn("left", F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     found = []
     for n, (licence, ids) in enumerate(rules):
-        if not set(ids) <= set(names):
+        if not set(ids) <= names:
             raise ValueError(f"{licence}: a rule names an unknown sentence")
         pattern = "".join(f"<{i}>" for i in ids)
-        named = named.withColumns({f"_hit{n}": F.when(F.contains("_left", F.lit(pattern)), F.lit(licence)), "_left": F.replace("_left", F.lit(pattern), F.lit("|"))})
-        found.append(F.col(f"_hit{n}"))
-    return named.select(*own, "sentence_ids", F.array_distinct(F.array_compact(F.array(*found))).alias("licences"), F.regexp_extract_all("_left", F.lit("<([^>]+)>"), 1).alias("unmatched"))
+        named = named.withColumns({f"hit{n}": F.when(F.contains("left", F.lit(pattern)), F.lit(licence)), "left": F.replace("left", F.lit(pattern), F.lit("|"))})
+        found.append(F.col(f"hit{n}"))
+    results = "ids", F.array_distinct(F.array_compact(F.array(*found).cast("array<string>"))), F.regexp_extract_all("left", F.lit("<([^>]+)>"), 1)
+    return named.select(*plain, *results).toDF(*own, "sentence_ids", "licences", "unmatched")
