@@ -3,22 +3,23 @@
 Method: a document's histograms of character classes and of common words are
 compared with the references of the languages by the Jensen-Shannon distance (the
 square root of the divergence in bits, between 0 and 1).  The references come from
-all long enough documents of each language, in one pass whose result is some short rows
-for each language: for each character class the median share
-(junk documents don't move it), for the words the mean share.  Languages are the
-labels of ``COMMON_WORDS`` and every other label with ``MIN_DOCS`` long enough documents;
-the common words of the latter are the ``LEARNT`` words that most of those documents hold,
-counted in a grouped job.  A document is held against the reference nearest to it, so a
-wrong or missing language label rejects nothing.  A document whose label has no reference
-passes on the base rule alone.
+all long enough documents of each language label that has ``MIN_DOCS`` of them, in two
+passes whose results are some short rows for each label.  The first counts, in a grouped
+job, how many of those documents hold each word; a label's common words are the
+``COMMON`` that most hold (of equal ones the first in byte order).  The second takes, for
+each character class, the median share (junk documents don't move it), and for the
+common words the mean share.  A document is held against the reference nearest to it, so
+a wrong label rejects nothing.  A document whose own label is null or has no
+reference passes on the base rule alone, as nothing is known of its language.
 
 Length guards: a histogram of few words says little, so the word test needs
 ``MIN_WORDS`` words and the character test ``MIN_CHARS`` code points in words.
 
 Defined cases: null text has no words and fails the base rule; a null language
-counts for no reference, and is held against all; a corpus without any reference (no long
-document of a known language and few of each other, or an empty table) is judged by the base rule alone; repeated rows are
-judged alike; a null id is passed through.
+counts for no reference and is held against none; a corpus without any reference (few long
+documents of each language, or an empty table) is judged by the base rule alone; repeated
+rows are judged alike, and count as often as they stand there in the references; a null id
+is passed through, as are all other columns, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -32,24 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
+from .shared import map_arrow, others
 
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.35
-MIN_DOCS, LEARNT = 20, 25
+MIN_DOCS, COMMON = 20, 25
 _STEPS = 1000  # shares of character classes are counted in steps of 1/_STEPS
 _UNIT = 1 << 24  # word shares are summed as integers, so that the order of tasks doesn't matter
 
-#: Frequent function words of each language.
-COMMON_WORDS = {
-    "en": "the of and to in is that it was for on as with be by at this are from or an a not which",
-    "fr": "le la les de des du un une et en que qui est dans pour par sur au ce se pas plus avec elle",
-    "de": "der die das und in den von zu mit ist des im für auf ein eine nicht sich dem es als auch an bei",
-    "es": "el la los las de del y en que un una por con para se no es su al lo como más o sin",
-}
-_LIST = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
-_ONE = np.frombuffer(" ".join(_LIST).encode(), np.uint8)
-_HASHES = np.sort(tv.Words(_ONE, np.array([0, len(_ONE)]), lower=True).hashes)
-
 #: Classes: lower-case, upper-case, other letters (any code point beyond ASCII), marks of prose, symbols, controls;
 #: digits count in none, as clean prose holds many or few of them.
 _CLASSES = 6
@@ -66,7 +57,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TAIL = (np.arange(256) & 0xC0) == 0x80
 
 
-def _histograms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray = _HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _histograms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points in words by class (the last column: digits), words by common word (the last bin: all others), and the number of words."""
     n = len(off) - 1
     doc = np.repeat(np.arange(n), np.diff(off))
@@ -77,7 +68,7 @@ def _histograms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray = _HAS
     bins = len(vocabulary) + 1
     at = np.searchsorted(vocabulary, words.hashes)
     at[at == len(vocabulary)] = 0
-    at = np.where(vocabulary[at] == words.hashes, at, bins - 1)
+    at = np.where(vocabulary[at] == words.hashes, at, bins - 1) if len(vocabulary) else at
     common = np.bincount(words.doc * bins + at, minlength=n * bins).reshape(n, bins)
     return chars, common, words.counts
 
@@ -98,24 +89,36 @@ def _spread(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for row, to, data, off in tv.slices(batch.column(1)):
             words = tv.Words(data, off, lower=True)
-            for lang in set(langs[row:to]):
+            for lang in {x for x in langs[row:to] if x is not None}:
                 of = (langs[row:to] == lang) & (words.counts >= min_words)
                 if of.any():
-                    inside = of[words.doc]
-                    pairs = np.unique(np.stack((words.doc[inside].astype(np.uint64), words.hashes[inside])), axis=1)
-                    found, n = np.unique(pairs[1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(found) + 1)), pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([int(of.sum()), *n.tolist()], pa.int64())], names=["lang", "word", "n"])
-
-
-def _learnt(docs: DataFrame, min_words: int) -> dict[str, np.ndarray]:
-    """The common words' hashes of each label that is not in COMMON_WORDS and has enough long documents."""
-    spread = docs.where(~F.col("lang").isin(list(COMMON_WORDS))).mapInArrow(lambda it: _spread(it, min_words), "lang string, word long, n long")
+                    inside = np.flatnonzero(of[words.doc])
+                    hashes, doc = words.hashes[inside], words.doc[inside]
+                    order = np.lexsort((doc, hashes))
+                    hashes, doc = hashes[order], doc[order]
+                    new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(order) else np.empty(0, bool)
+                    own = new | np.concatenate(([True], doc[1:] != doc[:-1])) if len(order) else new
+                    n = np.add.reduceat(own.astype(np.int64), np.flatnonzero(new))
+                    at = inside[order[new]]
+                    names = [data[b:e].tobytes().lower() for b, e in zip(words.begin[at].tolist(), words.end[at].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(names) + 1)), pa.array([None, *names], pa.binary()).cast(pa.string()), pa.array([int(of.sum()), *n.tolist()], pa.int64())], names=["lang", "word", "n"])
+
+
+def common_words(docs: DataFrame, min_words: int = MIN_WORDS) -> dict[str, list[str]]:
+    """The words that most long documents of a label hold, for each label that has enough of them; COMMON + 1 short rows a label reach the driver."""
+    spread = docs.select("lang", "text").mapInArrow(lambda it: _spread(it, min_words), "lang string, word string, n long")
     counted = spread.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word"))
     found: dict[str, list] = {}
-    for r in counted.withColumn("rank", rank).where(F.col("rank") <= LEARNT + 1).orderBy("lang", "rank").collect():
-        found.setdefault(r.lang, []).append(r)
-    return {lang: np.sort(np.array([r.word for r in rows[1:]], np.int64).view(np.uint64)) for lang, rows in found.items() if rows[0].n >= MIN_DOCS}
+    for r in counted.withColumn("rank", rank).where(F.col("rank") <= COMMON + 1).collect():
+        found.setdefault(r.lang, []).append((r["rank"], r.word, r.n))
+    ranked = {lang: sorted(rows) for lang, rows in found.items()}
+    return {lang: [word for _, word, _ in rows[1:]] for lang, rows in ranked.items() if rows[0][2] >= MIN_DOCS}
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    one = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return np.sort(tv.Words(one, np.array([0, len(one)]), lower=True).hashes)
 
 
 def _gather(batches: Iterator[pa.RecordBatch], min_words: int, vocabulary: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,9 @@ def _gather(batches: Iterator[pa.RecordBatch], min_words: int, vocabulary: np.nd
 def references(docs: DataFrame, lang: str = "lang", text: str = "text", min_words: int = MIN_WORDS) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The vocabulary, and (character reference, word reference, its words' places in the vocabulary) of each language; some short rows of each reach the driver."""
     docs = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    lists = dict.fromkeys(COMMON_WORDS, _HASHES) | _learnt(docs, min_words)
+    lists = {k: _hashes(words) for k, words in common_words(docs, min_words).items()}
+    if not lists:
+        return np.empty(0, np.uint64), {}
     vocabulary = np.unique(np.concatenate(list(lists.values())))
     columns = {k: np.searchsorted(vocabulary, own) for k, own in lists.items()}
     parts = docs.mapInArrow(lambda it: _gather(it, min_words, vocabulary, columns), "lang string, docs long, chars array<long>, words array<long>")
@@ -199,8 +204,8 @@ def _repeats(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _judge(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, refs: dict, min_words: int, min_chars: int, max_char: float, max_word: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs = batch.column(batch.schema.names.index("_lang")).to_pylist()
-        for row, to, data, off in tv.slices(batch.column(batch.schema.names.index("_text"))):
+        langs = batch.column(batch.num_columns - 1).to_pylist()
+        for row, to, data, off in tv.slices(batch.column(batch.num_columns - 2)):
             n = to - row
             n_words, n_repeat, n_dup = _repeats(data, off)
             chars, common, _ = _histograms(data, off, vocabulary)
@@ -212,19 +217,17 @@ def _judge(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, refs: dict
                 by_word = np.stack([distance(_share(_of(common, at)), w) for _, w, at in refs.values()]).min(axis=0)
             else:
                 by_char = by_word = np.zeros(n)
-            held = np.array([x is None or x in refs for x in langs[row:to]], bool)
+            held = np.array([x in refs for x in langs[row:to]], bool)
             kept = ~failed & ~(held & (word_chars >= min_chars) & (by_char > max_char)) & ~(held & (n_words >= min_words) & (by_word > max_word))
-            own = [c for c, name in zip(batch.slice(row, n).columns, batch.schema.names, strict=True) if name not in ("_text", "_lang")]
-            values = {"n_words": n_words, "word_chars": word_chars, "n_symbols": np.diff(symbols), "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "char_distance": by_char, "word_distance": by_word, "base_failed": failed, "kept": kept}
-            yield pa.RecordBatch.from_arrays(own + [pa.array(v) for v in values.values()], names=[x for x in batch.schema.names if x not in ("_text", "_lang")] + list(values))
+            values = n_words, word_chars, np.diff(symbols), n_dup, n_repeat, by_char, by_word, failed, kept
+            yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns[:-2], *map(pa.array, values)], names=batch.schema.names[:-2] + [x.split()[0] for x in _RESULT.split(", ")])
 
 
-_RESULT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "char_distance": "double", "word_distance": "double", "base_failed": "boolean", "kept": "boolean"}
+_RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
 def judge(docs: DataFrame, lang: str = "lang", text: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``docs`` with the counts, the two distances, base_failed and kept; columns of those names are replaced."""
     vocabulary, refs = references(docs, lang, text, min_words)
-    own = [c for c in docs.columns if c not in _RESULT]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own] + [f"{k} {v}" for k, v in _RESULT.items()])
-    return docs.select(*own, F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).mapInArrow(lambda it: _judge(it, vocabulary, refs, min_words, min_chars, max_char, max_word), schema)
+    own = others(docs, *[x.split()[0] for x in _RESULT.split(", ")])
+    return map_arrow(docs, own, [F.col(text).alias("body"), F.col(lang).cast("string").alias("lang")], lambda it: _judge(it, vocabulary, refs, min_words, min_chars, max_char, max_word), _RESULT)

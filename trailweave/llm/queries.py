@@ -91,16 +91,30 @@ def _replaced(count: int) -> str:
 
 _HITS = ", ".join(f"CASE WHEN contains({_replaced(n)}, '{''.join(f'<{i}>' for i in ids)}') THEN '{licence}' END" for n, (licence, ids) in enumerate(licences.RULES))
 _NAMES = list(dict.fromkeys(licence for licence, _ in licences.RULES))
+_FIRST = ", ".join(f"'{w}'" for w in sorted({k.split()[0] for k in licences.SENTENCES}))
+_RUN = max(len(k.split()) for k in licences.SENTENCES) + licences.NAME_WORDS
+_FILLED = "s"
+for _begin, _pattern, _form in licences.NAMED:
+    _FILLED = f"CASE WHEN starts_with({_FILLED}, '{_begin}') THEN regexp_replace({_FILLED}, '{_pattern}', '{_form}') ELSE {_FILLED} END"
 _OP2 = rf"""
 WITH known(sentence, name) AS (VALUES {_PAIRS}),
 plain AS (
-  SELECT doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?:;]+(\s|$)|
-', chr(10), 'g'), '[^\p{{L}}\p{{N}}
-]+', ' ', 'g') AS p
+  SELECT doc_id, regexp_replace(replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?:;]+([\x09-\x0D\x20]|$)', chr(1) || chr(1) || '\1', 'g'), chr(10), chr(1)), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g') AS p
   FROM documents),
-parts AS (SELECT doc_id, list_transform(string_split(p, chr(10)), lambda x: trim(x)) AS xs FROM plain),
-cut AS (SELECT doc_id, unnest(xs) AS sentence, unnest(range(len(xs))) AS pos FROM parts),
-ids AS (SELECT doc_id, list(name ORDER BY pos) AS names FROM cut JOIN known USING (sentence) GROUP BY doc_id),
+parts AS (SELECT doc_id, list_transform(string_split_regex(p, ' ?\x01 ?'), lambda x: trim(x)) AS xs FROM plain),
+begins AS (
+  SELECT doc_id, pos, xs[pos:pos + {_RUN} - 1] AS run FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS pos FROM parts)
+  WHERE split_part(xs[pos], ' ', 1) IN ({_FIRST})),
+spans AS (
+  SELECT doc_id, pos, pos + n AS next, {_FILLED} AS s
+  FROM (SELECT doc_id, pos, n, array_to_string(run[1:n], ' ') AS s
+    FROM (SELECT doc_id, pos, run, unnest(range(1, coalesce(nullif(list_position(run, ''), 0), len(run) + 1))) AS n FROM begins))),
+hits AS (
+  SELECT doc_id, list({{'pos': pos, 'next': next, 'ids': [name]}} ORDER BY pos, next DESC) AS xs FROM spans JOIN known ON s = sentence GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, list_reduce(list_prepend({{'pos': 0::BIGINT, 'next': 0::BIGINT, 'ids': []::VARCHAR[]}}, xs),
+    lambda a, x: CASE WHEN x.pos >= a.next THEN {{'pos': x.pos, 'next': x.next, 'ids': list_concat(a.ids, x.ids)}} ELSE a END).ids AS names
+  FROM hits),
 seq AS (SELECT d.doc_id, coalesce(names, []) AS names, coalesce('<' || array_to_string(names, '><') || '>', '') AS s FROM documents d LEFT JOIN ids USING (doc_id)),
 hit AS (SELECT *, [{_HITS}] AS h FROM seq)
 SELECT doc_id, len(names) AS n_known, array_to_string(names, ',') AS sentence_ids,
@@ -189,6 +203,59 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(l.ps), 0) AS n_removed,
 FROM docs d LEFT JOIN lists l USING (doc_id)"""
 
 
+_CHAR_CLASSES = ["[a-z]", "[A-Z]", r"[^\x00-\x7F]", r"[.,;:?''\"()-]", r"[#*$%&|<>!~^_=+{}\[\]@/\\`]", r"[\x00-\x08\x0E-\x1F\x7F]"]
+_JS = "sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)))"
+_OP10 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+base AS (
+  SELECT row, doc_id, lang, t, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines
+  FROM docs),
+windows AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM docs)),
+again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, s) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM again, range(8) r(k) GROUP BY row),
+counted AS (
+  SELECT b.*, len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM base b LEFT JOIN covered c USING (row)),
+failing AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
+terms AS (SELECT row, lang, n_words, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM docs JOIN (SELECT row, n_words FROM base) USING (row)),
+labels AS (SELECT lang FROM base WHERE lang IS NOT NULL AND n_words >= {quality.MIN_WORDS} GROUP BY lang HAVING count(*) >= {quality.MIN_DOCS}),
+common AS (
+  SELECT lang, word FROM (
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(DISTINCT row) DESC, word) AS k
+    FROM terms JOIN labels USING (lang) WHERE n_words >= {quality.MIN_WORDS} GROUP BY lang, word)
+  WHERE k <= {quality.COMMON}),
+chars AS (
+  SELECT row, c, n, sum(n) OVER (PARTITION BY row) AS total
+  FROM (SELECT row, unnest([{", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in _CHAR_CLASSES)}]) AS n, unnest(range({len(_CHAR_CLASSES)})) AS c FROM base)),
+medians AS (
+  SELECT lang, c, quantile_disc(round_even(n / greatest(total, 1) * {quality._STEPS}, 0), 0.5) AS m
+  FROM chars JOIN base USING (row) JOIN labels USING (lang) WHERE n_words >= {quality.MIN_WORDS} GROUP BY lang, c),
+char_ref AS (SELECT lang, c, m / greatest(sum(m) OVER (PARTITION BY lang), 1) AS q FROM medians),
+seen AS (SELECT t.row, c.lang, c.word, count(*) AS n FROM terms t JOIN common c USING (word) GROUP BY ALL),
+grid AS (SELECT row, n_words, b.lang AS own, c.lang, c.word FROM base b, common c),
+word_part AS (
+  SELECT g.row, g.own, g.lang, g.word, g.n_words, coalesce(s.n, 0) AS n FROM grid g LEFT JOIN seen s ON s.row = g.row AND s.lang = g.lang AND s.word = g.word),
+word_bins AS (
+  SELECT row, own, lang, word, n_words, n / greatest(n_words, 1) AS p FROM word_part
+  UNION ALL SELECT row, any_value(own), lang, NULL, any_value(n_words), (any_value(n_words) - sum(n)) / greatest(any_value(n_words), 1) FROM word_part GROUP BY row, lang),
+word_sums AS (SELECT lang, word, sum(round_even(p * {quality._UNIT}, 0)) AS s FROM word_bins WHERE own = lang AND n_words >= {quality.MIN_WORDS} GROUP BY lang, word),
+word_ref AS (SELECT lang, word, s / greatest(sum(s) OVER (PARTITION BY lang), 1) AS q FROM word_sums),
+by_word AS (
+  SELECT row, min(d) AS d FROM (
+    SELECT row, lang, {_JS} AS d FROM (SELECT row, lang, p, q FROM word_bins JOIN word_ref r USING (lang) WHERE word_bins.word IS NOT DISTINCT FROM r.word) GROUP BY row, lang) GROUP BY row),
+by_char AS (
+  SELECT row, min(d) AS d FROM (
+    SELECT row, lang, {_JS} AS d FROM (SELECT row, r.lang, n / greatest(total, 1) AS p, q FROM chars JOIN char_ref r USING (c)) GROUP BY row, lang) GROUP BY row)
+SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
+  NOT base_failed AND NOT (coalesce(f.lang IN (SELECT lang FROM labels), false) AND
+    ((f.word_chars >= {quality.MIN_CHARS} AND coalesce(c.d, 0) > {quality.MAX_CHAR_DISTANCE}) OR (f.n_words >= {quality.MIN_WORDS} AND coalesce(w.d, 0) > {quality.MAX_WORD_DISTANCE}))) AS kept
+FROM failing f LEFT JOIN by_char c USING (row) LEFT JOIN by_word w USING (row)"""
+
+
 _QUERIES = (
     op1_token_files,
     op2_licence_rules,
@@ -215,4 +282,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minmax_near_dedup": _OP6,
         "op7_url_cascade": _OP7,
         "op9_substring_dedup": _OP9,
+        "op10_distribution_divergence": _OP10,
     }
