@@ -321,7 +321,7 @@ def test_packer_takes_the_tightest_bin_and_closes_the_fullest():
         p.place(11)
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/")]
     rnd = random.Random(4)
     made = [None, "", "abc", "http://", "HTTP://A.Example.COM/en/77?x", "x://org", "x://forg/es/", "x://a..org/#", "x://example.net/de/8x\ny", "a://b://com/en/"]
@@ -337,21 +337,28 @@ def test_urls(spark):
         return (host, path, max(fits)[3], max(fits)[2]) if fits else (host, path, None, "allow")
 
     pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
-    assert [(r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, rules).orderBy("page_id").collect()] == [brute(u) for u in made]
+    want = [brute(u) for u in made]
+    assert [(r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, rules).orderBy("page_id").collect()] == want
+    unharmed(urls.judge(clashing(pages), rules))
+    monkeypatch.setattr(urls, "PER_CASCADE", 1)  # a list of several cascades, and level 1 so loose that it is built anew
+    monkeypatch.setattr(urls, "hashes_for", lambda *_: 1)
+    monkeypatch.setattr(urls, "LEAST", 5)
+    monkeypatch.setattr(urls, "SLACK", 0)
+    assert [(r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, rules).orderBy("page_id").collect()] == want
     assert urls.judge(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urls.judge(pages, []).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_on_its_universe(spark):
-    listed, universe = [(f"k{i}",) for i in range(0, 3000, 10)], [(f"k{i}",) for i in range(3000)]
-    old, urls.BITS = urls.BITS, 2  # so dense that it needs several levels
-    try:
-        keys = spark.createDataFrame(universe, "key string")
-        cascade = urls.build(spark.createDataFrame(listed, "key string"), keys)
-        assert len(cascade.levels) > 2
-        assert {r.key for r in keys.where(cascade.holds(F.col("key"))).collect()} == {k for (k,) in listed}
-    finally:
-        urls.BITS = old
+@pytest.mark.parametrize("most", [24, 2])
+def test_cascade_is_exact_on_its_universe(spark, monkeypatch, most):
+    listed, universe = [f"k{i}" for i in range(0, 3000, 10)], [(f"k{i}",) for i in range(3000)]
+    monkeypatch.setattr(urls, "BITS", 4)  # so dense that it needs several levels
+    monkeypatch.setattr(urls, "HASHES", 2)
+    monkeypatch.setattr(urls, "_MAX_LEVELS", most)
+    keys = spark.createDataFrame(universe, "key string")
+    (cascade,) = urls.build([listed], keys)
+    assert len(cascade.levels) > 2 or (most == 2 and cascade.left)
+    assert {r.key for r in keys.where(cascade.holds(F.col("key"))).collect()} == set(listed)
 
 
 def test_licences(spark):
