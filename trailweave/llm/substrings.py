@@ -49,7 +49,7 @@ WINDOW = 13
 GRAM = 7
 CELLS_PER_BYTE = 0.16
 ROWS = 2
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 LEAST_BLOCK, LARGEST_BLOCK = 1 << 22, 1 << 26  # counters of a block; between them a 4096th of all
 _SEEDS = (0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35)
 _RUN_SCHEMA = "h1 long, h2 int, doc long, tkey long, pos int, len int, sure boolean"
@@ -91,9 +91,9 @@ def _blobs(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _sketch(chunk: pa.Table, blocks: int, window: int, gram: int) -> pa.Table:
+def _sketch(chunk: pa.Table, body: str, blocks: int, window: int, gram: int) -> pa.Table:
     """A chunk's sketch, sparse: the marks of each block."""
-    held = [(least, words.doc[at] + row) for row, words, _, at, least in _slices(chunk, window, gram)]
+    held = [(least, words.doc[at] + row) for row, words, _, at, least in _slices(chunk, body, window, gram)]
     keys = _keys(*(np.concatenate(x) for x in zip(*held, strict=True)), blocks) if held else np.empty(0, np.uint64)
     block = (keys >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.empty(0, np.int64)
@@ -101,9 +101,9 @@ def _sketch(chunk: pa.Table, blocks: int, window: int, gram: int) -> pa.Table:
     return pa.table({"block": pa.array(block[starts], pa.int64()), "c": pa.array(np.full(len(starts), c), pa.int64()), "marks": _blobs(keys.astype(np.uint32), np.append(starts, len(keys)))})
 
 
-def _slices(chunk: pa.Table, window: int, gram: int) -> Iterator[tuple]:
+def _slices(chunk: pa.Table, body: str, window: int, gram: int) -> Iterator[tuple]:
     """(first row, words, and the windows' hashes, first words and minimizers) of a chunk, some texts at a time."""
-    for row, _, data, off in tv.slices(chunk.column("body"), _SLICE):
+    for row, _, data, off in tv.slices(chunk.column(body), _SLICE):
         words = tv.Words(data, off)
         yield row, words, *_windows(words, window, gram)
 
@@ -151,9 +151,9 @@ def _second_hash(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return (total >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _suspects(chunk: pa.Table, answers: pa.Table, blocks: int, window: int, gram: int) -> pa.Table:
+def _suspects(chunk: pa.Table, answers: pa.Table, body: str, blocks: int, window: int, gram: int) -> pa.Table:
     """The windows of a chunk that the merged sketch estimates as repeated."""
-    held = [(row, words.hashes, words.doc[at] + row, at, at - words.first[words.doc[at]], h1, least) for row, words, h1, at, least in _slices(chunk, window, gram)] if len(chunk) else []
+    held = [(row, words.hashes, words.doc[at] + row, at, at - words.first[words.doc[at]], h1, least) for row, words, h1, at, least in _slices(chunk, body, window, gram)] if len(chunk) else []
     held = [x for x in held if len(x[3])]
     if not held:
         return pa.Table.from_batches([], _arrow(_RUN_SCHEMA))
@@ -209,7 +209,7 @@ def _settle(h1, h2, doc, tkey, pos) -> pa.Table:
     )
 
 
-def _cut(own: list[str], chunk: pa.Table, runs: pa.Table, window: int) -> pa.Table:
+def _cut(own: list[str], body: str, chunk: pa.Table, runs: pa.Table, window: int) -> pa.Table:
     """The rows of a chunk without the words of the runs (doc, tkey, pos, len): ``len`` windows from word ``pos`` on."""
     doc, tkey, pos, length = (runs.column(n).to_numpy() for n in ("doc", "tkey", "pos", "len"))
     of: dict[tuple, list] = {}
@@ -218,10 +218,10 @@ def _cut(own: list[str], chunk: pa.Table, runs: pa.Table, window: int) -> pa.Tab
     starts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tkey[1:] != tkey[:-1])))) if len(doc) else np.empty(0, np.int64)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=False):
         of[int(doc[a]), int(tkey[a])] = (pos[a:b], length[a:b])
-    bodies = chunk.column("body").cast(pa.large_binary())
+    bodies = chunk.column(body).cast(pa.large_binary())
     n_words, n_removed, kept = [], [], []
-    for body, key in zip(bodies, zip(chunk.column("doc").to_pylist(), chunk.column("tkey").to_pylist(), strict=True), strict=True):
-        words = body.as_py().split()
+    for raw, key in zip(bodies, zip(chunk.column("doc").to_pylist(), chunk.column("tkey").to_pylist(), strict=True), strict=True):
+        words = raw.as_py().split()
         gone = 0
         if key in of:
             edge = np.zeros(len(words) + 1, np.int64)
@@ -262,14 +262,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = F.col(doc_id).isNotNull() & F.col(text).isNotNull()
     chunk_of = lambda *key: F.pmod(F.xxhash64(*key), F.lit(chunks))
     plain = [f"own{i}" for i in range(len(own))]
+    body = plain[[c.lower() for c in own].index(text.lower())]
     doc, tkey = F.col(doc_id).cast("long"), F.xxhash64(text)
-    keyed = docs.where(known).select(chunk_of(doc, tkey).alias("c"), doc.alias("doc"), tkey.alias("tkey"), F.col(text).alias("body"), *[c.alias(n) for c, n in zip(pick(own), plain, strict=True)])
-    sketches = keyed.groupBy("c").applyInArrow(lambda t: _sketch(t, blocks, window, gram), "block long, c long, marks binary")
+    keyed = docs.where(known).select(chunk_of(doc, tkey).alias("c"), doc.alias("doc"), tkey.alias("tkey"), *[c.alias(n) for c, n in zip(pick(own), plain, strict=True)])
+    sketches = keyed.groupBy("c").applyInArrow(lambda t: _sketch(t, body, blocks, window, gram), "block long, c long, marks binary")
     answers = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _merge(it, block), "c long, block long, bits binary")
-    rows = keyed.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(lambda t, a: _suspects(t, a, blocks, window, gram), _RUN_SCHEMA)
+    rows = keyed.groupBy("c").cogroup(answers.groupBy("c")).applyInArrow(lambda t, a: _suspects(t, a, body, blocks, window, gram), _RUN_SCHEMA)
     least = F.min("doc").over(Window.partitionBy("h1", "h2"))
     runs = rows.withColumn("least", least).where("sure or doc > least").select(chunk_of("doc", "tkey").alias("c"), "doc", "tkey", "pos", "len")
     types = {f.name: f.dataType for f in docs.schema.fields}
     schema = T.StructType([T.StructField(p, types[n]) for p, n in zip(plain, own, strict=True)] + T.StructType.fromDDL(_RESULT).fields)
-    cut = keyed.groupBy("c").cogroup(runs.groupBy("c")).applyInArrow(lambda t, r: _cut(plain, t, r, window), schema).toDF(*own, "n_words", "n_removed", "kept_text")
+    cut = keyed.groupBy("c").cogroup(runs.groupBy("c")).applyInArrow(lambda t, r: _cut(plain, body, t, r, window), schema).toDF(*own, "n_words", "n_removed", "kept_text")
     return cut.unionByName(map_arrow(docs.where(~known), own, [F.col(text).alias("body")], _whole, _RESULT))
