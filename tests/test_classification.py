@@ -61,7 +61,8 @@ SCENARIOS = {
     "18": ([hop("10:00", WS, FIN, ALICE, "A"), hop("10:03", FIN, APP, ALICE)], [("PRIVILEGED_DESTINATION_REACH", (WS, FIN, APP), "medium")]),
     "19": ([hop("10:00", *A, BOB, day="2026-01-01"), hop("10:03", *B, BOB, "PA", "smb", day="2026-01-01")], [("POSSIBLE_PRIVILEGED_PROGRESSION", (WS, APP, FILE), "low")]),
     "20": ([hop("10:00", *A, BOB, "A"), hop("10:05", APP, DC, BOB, "A")], [("INSUFFICIENT_CONTEXT", (WS, APP, DC), "low")]),
-    "session": ([hop("10:00", *A, ALICE, lid="0xL1"), hop("10:01", *A, ALICE, lid="0xL2"), hop("10:03", *B, ALICE, "A", "smb", lid="0xL3", parent="0xL1")], [("PRIVILEGED_PROGRESSION", (WS, APP, FILE), "high"), ("NONE", A, "none")]),
+    "session": ([hop("10:00", *A, ALICE, lid="0xL1"), hop("10:01", *A, ALICE, lid="0xL2"), hop("10:03", *B, ALICE, "A", "smb", lid="0xL3", parent="0xL1")], [("PRIVILEGED_PROGRESSION", (WS, APP, FILE), "medium"), ("NONE", A, "none")]),
+    "claimed": ([hop("10:00", *A, BOB, lid="0xA1"), hop("10:03", *B, BOB, service="smb", lid="0xB2", parent="0xA1", transition=(BOB, ALICE, "confirmed"), effective=ADMIN)], [("CREDENTIAL_TRANSITION_PROGRESSION", (WS, APP, FILE), "high")]),
     "forged": ([hop("10:00", WS, APP, ALICE), hop("10:05", APP, DC, ALICE, effective=ADMIN)], [("INSUFFICIENT_CONTEXT", (WS, APP, DC), "low")]),
 }
 

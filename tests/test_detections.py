@@ -1,5 +1,6 @@
 """Rules, sequences, flows, input adapters and hybrid edges on the samples' cases."""
 
+import ipaddress
 import json
 import random
 from datetime import datetime, timedelta, timezone
@@ -96,9 +97,25 @@ def test_fan_out(spark):
 
 
 def test_scalars(spark):
-    rows = [("::ffff:10.0.0.1",), (" 10.0.0.1 ",), ("2001:DB8:0:0::1",), ("-",), ("",), (None,), ("nonsense",), ("a:b",)]
+    texts = ["::ffff:10.0.0.1", " 10.0.0.1 ", "2001:DB8:0:0::1", "-", "", None, "nonsense", "a:b", "::ffff:999.1.1.1", " host x ", "\t::1\n", "::", "1:0:0:2:0:0:0:3", "1:0:0:2:3:0:0:4", "::ffff:0a00:0001", "64:ff9b::1.2.3.4", "fe80::00a%eth0", "1::2::3", ":::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "12345::", "::1%", "::ffff:10.0.0.1%x", "0:0:0:0:0:0:13.1.68.3", "::01.2.3.4", "1:2:3:4:5:6:7"]
+
+    def library(v):
+        if v in (None, "", "-"):
+            return v
+        try:
+            ip = ipaddress.ip_address(v.strip())
+        except ValueError:
+            return v.strip()
+        return str(getattr(ip, "ipv4_mapped", None) or ip)
+
+    rnd = random.Random(8)
+    group = lambda: rnd.choice(["0", "0", "0", "00", "1", "ab", "0C", "ffff", ""])
+    texts += [":".join(group() for _ in range(rnd.choice([3, 7, 8, 8, 8, 9]))) for _ in range(400)]
+    rows = [(x,) for x in texts]
     got = [r[0] for r in spark.createDataFrame(rows, "ip string").select(S.canonical_ip(F.col("ip"))).collect()]
-    assert got == ["10.0.0.1", "10.0.0.1", "2001:db8::1", "-", "", None, "nonsense", "a:b"]
+    assert got == [library(x) for x in texts]
+    many = spark.createDataFrame([(texts,)], "ips array<string>").select(F.transform("ips", S.canonical_ip)).first()[0]
+    assert many == got
     df = spark.createDataFrame([("alice", "CORP"), ("CORP\\bob", "X"), ("a@b", "X"), ("", "X"), (None, "X"), ("alice", None)], "u string, d string")
     assert [r[0] for r in df.select(S.norm_identity(F.col("u"), F.col("d"))).collect()] == ["CORP\\alice", "CORP\\bob", "a@b", "", None, "alice"]
 
@@ -126,11 +143,48 @@ def test_input_adapters(spark, tmp_path):
     assert [r.seq for r in got] == [0, 1, 2]
     for r in got:
         assert (r.host_name, r.host_ips, r.src_ip, r.identity, r.outcome) == ("SRV-APP-01", ["10.0.0.60"], "10.0.0.10", "CORP\\alice", "success")
-    assert got[1].ref == "x1" and got[0].ref.startswith("windows:SRV-APP-01:")
+    assert got[1].ref == "x1" and got[0].ref.startswith("raw-") and got[0].ref == got[2].ref  # no number, no id: what it holds is its reference
     assert windows.windows_quality(events).count() == 0
     assert records.evidence_descriptors(spark, [array], "windows").first().size == (tmp_path / "a.json").stat().st_size
 
 
+def test_line_numbers_count_within_each_file(spark, tmp_path):
+    files = {f"f{i}.ndjson": ["", *[json.dumps({"n": n}) if n % 7 else "bad" for n in range(200 * i)]] for i in range(1, 4)}
+    paths = [write(tmp_path / name, "\n".join(lines) + "\n") for name, lines in files.items()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # several blocks in a file, several files in a partition
+    try:
+        good, bad = records.read_json_records(spark, paths)
+        assert {(r.source_file, r.line, r.n) for r in good.select("source_file", "line", F.try_variant_get("v", "$.n", "int").alias("n")).collect()} == {(f, i, json.loads(x)["n"]) for f, xs in files.items() for i, x in enumerate(xs) if x.startswith("{")}
+        assert {(r.source_file, r.line) for r in bad.collect()} == {(f, i) for f, xs in files.items() for i, x in enumerate(xs) if x == "bad"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_windows_ids_addresses_and_map_order(spark):
+    rows = [(0, "4624", "a.corp", ["2001:DB8:0::1"], "7", None, {"IpAddress": "2001:db8::0:2"}), (1, "4672", "b", None, None, "12", {}), (2, "4672", "c", ["9.9.9.9", "10.0.0.2", "10.0.0.1"], None, None, {}), (3, "4672", None, None, None, "1", {})]
+    events = spark.createDataFrame([(*r[:4], None, r[4], r[5], r[6], '{"n":%d}' % r[0], "2026-08-10T10:00:00") for r in rows], "seq long, code string, host_name string, host_ips array<string>, computer_name string, record_id string, sequence string, data map<string, string>, raw string, ts_raw string")
+    ip_map = spark.createDataFrame([(0, "10.0.0.2", "B.corp"), (1, "10.0.0.1", "b"), (2, "2001:db8::1", "A")], "pos int, ip string, host string")
+    got = {r.seq: r for r in windows.normalize_windows_events(events, ip_map).collect()}
+    assert (got[0].host_name, got[0].host_ips, got[0].src_ip, got[0].ref) == ("A", ["2001:db8::1"], "2001:db8::2", "windows:A:7")
+    assert (got[1].host_name, got[1].host_ips, got[1].ref) == ("B.corp", ["10.0.0.2", "10.0.0.1"], "windows:B.corp:12")
+    assert (got[2].host_name, got[2].host_ips) == ("B.corp", ["9.9.9.9", "10.0.0.2", "10.0.0.1"]) and got[2].ref.startswith("raw-")
+    assert (got[3].host_name, got[3].host_ips, got[3].ref) == (None, [], "windows:unknown:1")
+
+
+def test_contract_rules_of_common_edges(spark):
+    from trailweave.operators import checks
+
+    entity = "struct<kind: string, id: string, display_name: string>"
+    schema = f"schema_version string, edge_id string, ts timestamp, environment string, edge_type string, subject {entity}, effective_subject {entity}, source {entity}, target {entity}, session struct<id: string, parent_session_id: string, state: string>, auth_state string, privilege_state string, credential_transition struct<from_subject: {entity}, to_subject: {entity}, state: string, evidence_ref: string>, evidence_refs array<struct<source_type: string, evidence_ref: string, source_file: string, source_sha256: string>>, native_context map<string, string>"
+    e, t = ("host", "h", None), datetime(2026, 8, 10)
+    good = ["2.0", "id", t, "aws", "accessed_resource", e, e, e, e, ("s", None, "unknown"), "absent", "unknown", (e, e, "unknown", None), [("x", "r", None, None)], {}]
+    faults = {4: "other", 5: ("host", "", None), 6: ("host", "h", ""), 9: ("s", None, "absent"), 12: (None, e, "confirmed", None), 13: [("", "r", None, None)], 14: None}
+    rows = [good] + [[v if k == i else x for i, x in enumerate(good)] for k, v in faults.items()] + [[("absent" if i == 12 else x) if i != 12 else (e, e, "absent", None) for i, x in enumerate(good)], [x if i != 13 else [("x", "r", "", "0" * 63)] for i, x in enumerate(good)]]
+    got = [checks.check_reachability_edges(spark.createDataFrame([r], schema)).count() for r in rows]
+    assert got == [0] + [1] * (len(rows) - 1)
+
+
 def role(**kw):
     r = {"eventSource": "sts.amazonaws.com", "eventName": "AssumeRole", "eventID": "e1", "eventTime": "2026-08-10T10:00:00Z", "userIdentity": {"arn": "arn:u"}, "requestParameters": {"roleArn": "arn:r/x/Admin"}, "responseElements": {"credentials": {"accessKeyId": "AK"}}}
     return {k: v for k, v in (r | kw).items() if v is not None}
@@ -186,7 +240,7 @@ def test_fingerprint_gathers_one_digest_a_bucket(spark, monkeypatch):
     df, held = spark.range(5000), []
     agg = type(df).agg
     monkeypatch.setattr(type(df), "agg", lambda self, *a: held.append(self.count()) or agg(self, *a))
-    digest = cases.fingerprint(df, buckets=16).first()[0]
+    digest = cases.fingerprint(df, digits=1).first()[0]
     assert held == [16] and len(digest) == 64
     assert cases.fingerprint(df.limit(0)).first()[0] != digest
 

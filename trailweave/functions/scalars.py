@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Remote-access services by port and by logon type, protocol names by port.
 SERVICE_BY_PORT = {3389: "rdp", 445: "smb"}
@@ -27,35 +25,61 @@ def utc_ts(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+_BLANKS = r"[\s\p{Z}\x1c-\x1f\x85]+"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+
+
 def canonical_ip(value: Column) -> Column:
-    """Trimmed, IPv4-mapped IPv6 as IPv4, IPv6 compressed in lower case; null, '', '-' and invalid text unchanged."""
-    plain = F.trim(value)
-    mapped = F.regexp_extract(plain, r"(?i)^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
-    return (
-        F.when(value.isNull() | value.isin("", "-"), value)
-        .when(mapped != "", mapped)
-        .when(plain.contains(":"), _compress_ipv6(value))
-        .when(plain.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), plain)
-        .otherwise(value)
-    )
-
-
-@F.pandas_udf(T.StringType())
-def _compress_ipv6(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The one thing without a built-in form: RFC 5952 text of an IPv6 address."""
-    import ipaddress
-
-    def one(v: str | None) -> str | None:
-        if v is None or ":" not in v:
-            return v
-        try:
-            ip = ipaddress.ip_address(v.strip())
-        except ValueError:
-            return v
-        return str(ip.ipv4_mapped or ip)
-
-    for s in values:
-        yield s.map(one)
+    """Trimmed, IPv4-mapped IPv6 as IPv4, IPv6 compressed in lower case; null, '' and '-' unchanged, invalid text trimmed only."""
+    plain = F.regexp_replace(value, f"^{_BLANKS}|{_BLANKS}$", "")
+    return F.when(value.isNull() | value.isin("", "-"), value).when(F.contains(plain, F.lit(":")), F.coalesce(_ipv6(plain), plain)).otherwise(plain)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
+def _hextets(v4: Column) -> Column:
+    """The last two groups of an IPv6 address that ends in an IPv4 one."""
+    o = F.transform(F.split(v4, r"\."), lambda x: x.cast("int"))
+    return F.lower(F.concat(F.conv((o[0] * 256 + o[1]).cast("string"), 10, 16), F.lit(":"), F.conv((o[2] * 256 + o[3]).cast("string"), 10, 16)))
+
+
+def _ipv6(text: Column) -> Column:
+    """The canonical text of an IPv6 address (a mapped one as IPv4), null for any other text."""
+    scope = F.regexp_extract(text, "^[^%]+(%[^%]+)$", 1)
+    base = F.lower(F.split_part(text, F.lit("%"), F.lit(1)))
+    tail = F.regexp_extract(base, f"^.*:({_V4})$", 1)
+    full = F.when(tail != "", F.concat(F.regexp_extract(base, f"^(.*:){_V4}$", 1), _hextets(tail))).otherwise(base)
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+    def filled(halves: Column) -> Column:
+        left, right = groups(halves[0]), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+        missing = 8 - F.size(left) - F.size(right)
+        fits = ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing > 0))
+        return F.when(fits, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+
+    def written(all_groups: Column) -> Column:
+        valid = F.forall(all_groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(valid, _let(F.array_join(F.transform(all_groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"), short))
+
+    def short(joined: Column) -> Column:
+        parts = F.split(joined, ":")
+        number = lambda i: F.conv(parts[i], 16, 10).cast("int")
+        mapped = F.concat_ws(".", *[x.cast("string") for i in (6, 7) for x in (F.floor(number(i) / 256), number(i) % 256)])
+        edged = F.concat(F.lit(":"), joined, F.lit(":"))
+        out = F.concat(joined, scope)
+        for n in range(2, 9):  # the longest run of zeros decides, the first of equal ones
+            run = ":0" * n + ":"
+            before = F.substring_index(edged, run, 1)
+            after = F.substring(edged, F.char_length(before) + len(run) + 1, F.char_length(edged))
+            tight = F.concat(F.ltrim(before, F.lit(":")), F.lit("::"), F.rtrim(after, F.lit(":")), scope)
+            out = F.when(F.contains(edged, F.lit(run)), tight).otherwise(out)
+        return F.when(joined.startswith("0:0:0:0:0:ffff:"), mapped).otherwise(out)
+
+    return F.when(~F.contains(text, F.lit("%")) | (scope != ""), _let(F.split(full, "::", -1), lambda h: _let(filled(h), written)))
 
 
 def host_aliases(name: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .policy import CONFIDENCE, Context
 
+# The states and labels of the contracts.
 STATES = ["confirmed", "absent", "unknown"]
+LINK_STATES = ["confirmed", "unknown"]
 PROGRESSIONS = ["CRITICAL_UNAPPROVED_PATH", "CREDENTIAL_TRANSITION_PROGRESSION", "PRIVILEGED_PROGRESSION", "POSSIBLE_PRIVILEGED_PROGRESSION", "PRIVILEGED_DESTINATION_REACH", "PIVOT_PROGRESSION"]
 _IP = r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}|[0-9a-fA-F:]*:[0-9a-fA-F:.]*)$"
 
@@ -41,16 +45,23 @@ def check_pivot_edges(edges: DataFrame) -> DataFrame:
             (_outside("auth_state", STATES), "auth_state is not a known state"),
             (~F.col("source_ip").rlike(_IP), "source_ip is not an address"),
             (~F.col("target_ip").rlike(_IP), "target_ip is not an address"),
-            (t.isNotNull() & (t["from_identity"].isNull() | t["to_identity"].isNull()), "credential_transition lacks an identity"),
-            (t.isNotNull() & ~F.coalesce(t["state"].isin(STATES), F.lit(False)), "credential_transition.state is not a known state"),
+            (t.isNotNull() & (_blank("credential_transition.from_identity") | _blank("credential_transition.to_identity")), "credential_transition lacks an identity"),
+            (t.isNotNull() & _outside("credential_transition.state", LINK_STATES), "credential_transition.state is not a known state"),
             (F.col("evidence_refs").isNull(), "evidence_refs is missing"),
-            *[(F.col(f"evidence_refs.{k}") == "", f"evidence_refs.{k} is empty") for k in ("network", "logon", "privilege")],
         ],
     )
 
 
 def check_reachability_edges(edges: DataFrame, version: str = "2.0") -> DataFrame:
     entities = ("subject", "effective_subject", "source", "target")
+    lacks = lambda e: _blank(f"{e}.id") | _blank(f"{e}.kind") | F.coalesce(F.col(f"{e}.display_name") == "", F.lit(False))
+    t = "credential_transition"
+    there = F.col(t).isNotNull()
+    empty = lambda r, c: F.coalesce(r[c], F.lit("")) == ""
+    refs = [f.name for f in edges.schema["evidence_refs"].dataType.elementType.fields]
+    rules = [lambda r: empty(r, "evidence_ref") | empty(r, "source_type")]
+    rules += [lambda r: F.coalesce(r["source_file"] == "", F.lit(False))] if "source_file" in refs else []
+    rules += [lambda r: ~F.coalesce(r["source_sha256"].rlike("^[0-9a-f]{64}$"), F.lit(True))] if "source_sha256" in refs else []
     return violations(
         edges,
         "edge_id",
@@ -59,13 +70,16 @@ def check_reachability_edges(edges: DataFrame, version: str = "2.0") -> DataFram
             (_blank("edge_id"), "edge_id is missing"),
             (F.col("ts").isNull(), "@timestamp is not a date-time"),
             (_outside("environment", ["on_prem", "aws"]), "environment is not known"),
-            (_outside("edge_type", ["authenticated_to", "assumed_role"]), "edge_type is not known"),
-            *[(_blank(f"{e}.id") | _blank(f"{e}.kind"), f"{e} lacks kind or id") for e in entities],
-            (_outside("session.state", STATES), "session.state is not a known state"),
+            (_outside("edge_type", ["authenticated_to", "assumed_role", "accessed_resource"]), "edge_type is not known"),
+            *[(lacks(e), f"{e} lacks kind or id, or has an empty name") for e in entities],
+            (_outside("session.state", LINK_STATES), "session.state is not a known state"),
             (_outside("auth_state", STATES), "auth_state is not a known state"),
             (_outside("privilege_state", STATES), "privilege_state is not a known state"),
-            (F.size("evidence_refs") < 1, "evidence_refs is empty"),
-            (F.exists("evidence_refs", lambda r: (F.coalesce(r["evidence_ref"], F.lit("")) == "") | ~F.coalesce(r["source_sha256"].rlike("^[0-9a-f]{64}$"), F.lit(True))), "evidence_refs has an item without reference or with a bad sha256"),
+            (there & (lacks(f"{t}.from_subject") | lacks(f"{t}.to_subject")), "credential_transition lacks a subject"),
+            (there & _outside(f"{t}.state", LINK_STATES), "credential_transition.state is not a known state"),
+            (F.coalesce(F.size("evidence_refs"), F.lit(0)) < 1, "evidence_refs is empty"),
+            (F.exists("evidence_refs", lambda r: reduce(lambda a, b: a | b, [rule(r) for rule in rules])), "evidence_refs has an item without type or reference, or with an empty file or a bad sha256"),
+            (F.col("native_context").isNull(), "native_context is missing"),
         ],
     )
 

@@ -62,13 +62,18 @@ def logon_flow_asof(logons: DataFrame, flows: DataFrame, window: float = FLOW_WI
 
 
 def privilege_match(logons: DataFrame, privs: DataFrame, window: float = PRIVILEGE_WINDOW, strict_keys: bool = False) -> DataFrame:
-    """``logons`` with privilege_ref of the first special-privilege event of the same session, host and identity, 0 to ``window`` seconds after; else null."""
+    """``logons`` with privilege_ref of the first special-privilege event of the same session, host and identity, 0 to ``window`` seconds after; else null.
+
+    The host's addresses are part of the key: sessions that exist on every host (the system's own) and
+    missing session ids meet only on one host.
+    """
     b = _bin(F.col("ts"), window)
-    left = logons.select("seq", "ts", "host_ips", "identity", "logon_id", F.explode(F.array(b, b + 1)).alias("bin"))
-    right = privs.select(F.col("seq").alias("p_seq"), F.col("ts").alias("p_ts"), F.col("host_ips").alias("p_ips"), F.col("identity").alias("p_identity"), F.col("logon_id").alias("p_logon"), F.col("ref").alias("p_ref"), _bin(F.col("ts"), window).alias("p_bin"))
-    on = (F.col("bin") == F.col("p_bin")) & _same(F.col("logon_id"), F.col("p_logon"), strict_keys) & _same(F.col("identity"), F.col("p_identity"), strict_keys)
+    left = logons.select("seq", "ts", "identity", "logon_id", F.explode(F.array_distinct("host_ips")).alias("ip"), F.array(b, b + 1).alias("bins")).where("ip is not null")
+    left = left.select("seq", "ts", "identity", "logon_id", "ip", F.explode("bins").alias("bin"))
+    right = privs.select(F.col("seq").alias("p_seq"), F.col("ts").alias("p_ts"), F.explode(F.array_distinct("host_ips")).alias("p_ip"), F.col("identity").alias("p_identity"), F.col("logon_id").alias("p_logon"), F.col("ref").alias("p_ref"), _bin(F.col("ts"), window).alias("p_bin"))
+    on = (F.col("bin") == F.col("p_bin")) & (F.col("ip") == F.col("p_ip")) & _same(F.col("logon_id"), F.col("p_logon"), strict_keys) & _same(F.col("identity"), F.col("p_identity"), strict_keys)
     age = _age(F.col("p_ts"), F.col("ts"))
-    pairs = left.join(right, on).where((age >= 0) & (age <= int(window * 1_000_000)) & F.coalesce(F.arrays_overlap("host_ips", "p_ips"), F.lit(False)))
+    pairs = left.join(right, on).where((age >= 0) & (age <= int(window * 1_000_000)))
     first = pairs.groupBy("seq").agg(F.min_by("p_ref", "p_seq").alias("privilege_ref"))
     return logons.join(first, "seq", "left")
 
@@ -106,7 +111,12 @@ def assemble_edges(found: DataFrame, ip_map: DataFrame) -> DataFrame:
     edge = S.edge_id(F.col("host_name"), F.col("identity"), F.col("logon_id"), F.col("ts_raw"), F.col("src_ip"))
     ranked = found.join(names, "src_ip", "left").withColumn("edge_id", edge)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("edge_id").orderBy("seq"))).where("rank = 1")
-    return ranked.select(
+    return edge_columns(ranked)
+
+
+def edge_columns(found: DataFrame) -> DataFrame:
+    """Edges in their contract's form from logons with all that was found for them; ``mapped`` is the map's host of the source address."""
+    return found.select(
         "edge_id",
         "seq",
         "ts",

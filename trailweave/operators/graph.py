@@ -9,17 +9,17 @@ CONTINUATION_MINUTES = 30
 
 
 def _confirmed(edge: str) -> Column:
-    t = f"{edge}credential_transition"
-    return F.coalesce(F.col(f"{t}.state") == "confirmed", F.lit(False))
+    """A confirmed transition that names both its ends."""
+    t = F.col(f"{edge}credential_transition")
+    named = lambda c: F.coalesce(t[c], F.lit("")) != ""
+    return F.coalesce(t["state"] == "confirmed", F.lit(False)) & named("from_identity") & named("to_identity")
 
 
 def sanitize_edges(edges: DataFrame) -> DataFrame:
-    """Trust an effective identity only under a confirmed transition with both endpoints; missing states are ``unknown``."""
-    t = F.col("credential_transition")
-    trusted = _confirmed("") & (F.coalesce(t["from_identity"], F.lit("")) != "") & (F.coalesce(t["to_identity"], F.lit("")) != "")
+    """The effective identity is where a confirmed transition leads, else the identity, whatever the edge claims; missing states are ``unknown``."""
     return edges.withColumns(
         {
-            "effective_identity": F.when(trusted, F.coalesce("effective_identity", "identity")).otherwise(F.col("identity")),
+            "effective_identity": F.when(_confirmed(""), F.col("credential_transition.to_identity")).otherwise(F.col("identity")),
             "privilege_state": F.coalesce("privilege_state", F.lit("unknown")),
             "auth_state": F.coalesce("auth_state", F.lit("unknown")),
         }
@@ -42,7 +42,7 @@ def reject_duplicate_edge_ids(edges: DataFrame) -> DataFrame:
 
 def session_lineage(first_logon: Column, next_source_logon: Column) -> Column:
     """session-exact or mismatch where both sessions are known, else identity."""
-    known = (F.coalesce(first_logon, F.lit("")) != "") & (F.coalesce(next_source_logon, F.lit("")) != "")
+    known = first_logon.isNotNull() & next_source_logon.isNotNull()
     return F.when(known & (first_logon == next_source_logon), "session-exact").when(known, "mismatch").otherwise("identity")
 
 
@@ -50,7 +50,7 @@ def transition_links(first: str = "first", nxt: str = "next") -> Column:
     """Whether the next hop's confirmed transition goes from the first hop's effective identity to its own."""
     t = F.col(f"{nxt}.credential_transition")
     ends = (t["from_identity"] == F.col(f"{first}.effective_identity")) & (t["to_identity"] == F.col(f"{nxt}.effective_identity"))
-    return F.coalesce((t["state"] == "confirmed") & ends, F.lit(False))
+    return _confirmed(f"{nxt}.") & F.coalesce(ends, F.lit(False))
 
 
 def continuation_pairs(edges: DataFrame, minutes: float = CONTINUATION_MINUTES) -> DataFrame:

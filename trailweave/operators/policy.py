@@ -18,17 +18,17 @@ from .graph import CONTINUATION_MINUTES, continuation_pairs, sanitize_edges, tra
 
 # The confidence of each label.
 CONFIDENCE = {
-    "CRITICAL_UNAPPROVED_PATH": "highest",
-    "CREDENTIAL_TRANSITION_PROGRESSION": "high",
-    "PRIVILEGED_PROGRESSION": "high",
-    "POSSIBLE_PRIVILEGED_PROGRESSION": "low",
-    "PRIVILEGED_DESTINATION_REACH": "medium",
-    "PIVOT_PROGRESSION": "low",
-    "INSUFFICIENT_EVIDENCE": "low",
-    "INSUFFICIENT_CONTEXT": "low",
+    "NONE": "none",
     "EXPECTED": "none",
     "JUSTIFIED": "none",
-    "NONE": "none",
+    "INSUFFICIENT_EVIDENCE": "low",
+    "INSUFFICIENT_CONTEXT": "low",
+    "PIVOT_PROGRESSION": "low",
+    "POSSIBLE_PRIVILEGED_PROGRESSION": "low",
+    "PRIVILEGED_DESTINATION_REACH": "medium",
+    "PRIVILEGED_PROGRESSION": "medium",
+    "CREDENTIAL_TRANSITION_PROGRESSION": "high",
+    "CRITICAL_UNAPPROVED_PATH": "highest",
 }
 
 
@@ -71,51 +71,67 @@ def with_novelty(df: DataFrame, known_edges: DataFrame, identity: str, target: s
 def with_route_decision(df: DataFrame, ctx: Context, identity: str, via: str, tier: str, ts: str, environment: str = "on_prem") -> DataFrame:
     """``df`` with ``route``: AUTHORIZED, PROHIBITED or UNKNOWN_CONTEXT.
 
-    Without a valid policy of that day nothing is known; an approved path authorises; a missing one
-    prohibits only where the policy says it is complete for the identity and tier.
+    Without a policy that is valid on that day nothing is known (each policy row is tested by itself);
+    an approved path authorises; a missing one prohibits only where the policy says it is complete for
+    the identity and tier.  The policy's rows, one in any sound context, travel as one array.
     """
-    policy = ctx.policy.select(F.try_to_date("valid_from").alias("_from"), F.try_to_date("valid_until").alias("_until")).agg(F.min("_from").alias("_from"), F.min("_until").alias("_until"))
+    spans = ctx.policy.select(F.struct(F.try_to_date("valid_from").alias("a"), F.try_to_date("valid_until").alias("b")).alias("s")).agg(F.collect_set("s").alias("s"))
     approved = ctx.approved_paths.select(F.col("identity").alias("_ai"), F.col("via").alias("_av"), F.col("to_tier").alias("_at")).distinct().withColumn("_approved", F.lit(True))
     complete = ctx.complete_for.where(F.col("environment") == environment).select(F.col("identity").alias("_ci"), F.col("target_tier").alias("_ct")).distinct().withColumn("_complete", F.lit(True))
-    out = df.withColumns({"_from": policy.select("_from").scalar(), "_until": policy.select("_until").scalar()})
-    out = out.join(approved, (F.col(identity) == F.col("_ai")) & (F.col(via) == F.col("_av")) & (F.col(tier) == F.col("_at")), "left")
-    out = out.join(complete, (F.col(identity) == F.col("_ci")) & (F.col(tier) == F.col("_ct")), "left")
-    valid = F.coalesce(F.to_date(ts).between(F.col("_from"), F.col("_until")), F.lit(False))
+    out = df.join(approved, (F.col(identity) == F.col("_ai")) & (F.col(via) == F.col("_av")) & (F.col(tier) == F.col("_at")), "left")
+    out = out.join(complete, (F.col(identity) == F.col("_ci")) & (F.col(tier) == F.col("_ct")), "left").withColumns({"_day": F.to_date(ts), "_spans": spans.scalar()})
+    valid = F.coalesce(F.exists("_spans", lambda s: F.coalesce(F.col("_day").between(s["a"], s["b"]), F.lit(False))), F.lit(False))
     route = F.when(~valid | F.col(tier).isNull(), "UNKNOWN_CONTEXT").when(F.col("_approved"), "AUTHORIZED").when(F.col("_complete"), "PROHIBITED").otherwise("UNKNOWN_CONTEXT")
-    return out.withColumn("route", route).drop("_from", "_until", "_ai", "_av", "_at", "_approved", "_ci", "_ct", "_complete")
+    return out.withColumn("route", route).drop("_day", "_spans", "_ai", "_av", "_at", "_approved", "_ci", "_ct", "_complete")
 
 
-def with_approved_change(df: DataFrame, changes: DataFrame, key: str, identity: str, target: str, via: str, service: str, ts: str) -> DataFrame:
+def with_approved_change(df: DataFrame, changes: DataFrame, identity: str, target: str, via: str, service: str, ts: str) -> DataFrame:
     """``df`` with ``approved_change``: some change ticket covers the identity, target and day, and its via and service if it names them.
 
-    ``key`` names a column that tells the rows of ``df`` apart.
+    The tickets of an identity and target are joined as one array, so no row of ``df`` comes twice.
     """
-    c = changes.select(F.col("identity").alias("_i"), F.col("target_host").alias("_t"), F.try_to_date("approved_from").alias("_from"), F.try_to_date("approved_until").alias("_until"), F.col("via").alias("_via"), F.col("service").alias("_service"))
-    day = F.to_date(ts)
-    fits = (F.col("_from").isNull() | (day >= F.col("_from"))) & (F.col("_until").isNull() | (day <= F.col("_until"))) & (F.col("_via").isNull() | (F.col("_via") == F.col(via))) & (F.col("_service").isNull() | (F.col("_service") == F.col(service)))
-    hits = df.select(F.col(key).alias("_key"), F.col(identity).alias("_hi"), F.col(target).alias("_ht"), F.col(via), F.col(service), F.col(ts)).join(c, (F.col("_hi") == F.col("_i")) & (F.col("_ht") == F.col("_t"))).where(fits)
-    hits = hits.select("_key").distinct().withColumn("_hit", F.lit(True))
-    return df.join(hits, F.col(key) == F.col("_key"), "left").withColumn("approved_change", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+    ticket = F.struct(F.try_to_date("approved_from").alias("a"), F.try_to_date("approved_until").alias("b"), "via", "service")
+    c = changes.groupBy(F.col("identity").alias("_i"), F.col("target_host").alias("_t")).agg(F.collect_set(ticket).alias("_tickets"))
+    out = df.join(c, (F.col(identity) == F.col("_i")) & (F.col(target) == F.col("_t")), "left").withColumns({"_day": F.to_date(ts), "_via": F.col(via), "_service": F.col(service)})
+    free = lambda bound, ok: F.coalesce(bound.isNull() | ok, F.lit(False))
+    fits = lambda t: free(t["a"], F.col("_day") >= t["a"]) & free(t["b"], F.col("_day") <= t["b"]) & free(t["via"], t["via"] == F.col("_via")) & free(t["service"], t["service"] == F.col("_service"))
+    return out.withColumn("approved_change", F.coalesce(F.exists("_tickets", fits), F.lit(False))).drop("_i", "_t", "_tickets", "_day", "_via", "_service")
 
 
 def privilege_scope(source: Column, destination: Column) -> Column:
     return F.when(source & destination, "both").when(source, "source").when(destination, "destination").otherwise("none")
 
 
-def classify_hops(pairs: DataFrame, ctx: Context) -> DataFrame:
-    """One finding for each pair that is worth one; the first clause that applies gives the label."""
+def with_context(edges: DataFrame, ctx: Context) -> DataFrame:
+    """``edges`` with all that the context says of each: its hosts, its identities, novelty, route and change ticket.
+
+    A pair's pivot host is the second edge's source host, so everything that a second hop is judged by
+    but the first hop's own hosts and identities belongs to that one edge: lookups are made once for
+    each edge, not for each pair.
+    """
+    e = with_host(with_host(edges, ctx.hosts, "source_host", "src"), ctx.hosts, "target_host", "dst")
+    e = with_identity(with_identity(e, ctx.identities, "identity", "id"), ctx.identities, "effective_identity", "eff")
+    e = with_novelty(e, ctx.known_edges, "effective_identity", "target_host")
+    e = with_route_decision(e, ctx, "effective_identity", "source_host", "dst_tier", "ts")
+    return with_approved_change(e, ctx.approved_changes, "effective_identity", "target_host", "source_host", "service", "ts")
+
+
+def classify_hops(pairs: DataFrame) -> DataFrame:
+    """One finding for each pair (of edges :func:`with_context`) that is worth one; the first clause that applies gives the label."""
+    return _judged(pairs).where("label is not null")
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Every pair with its label, which is null where the pair isn't worth a finding."""
     p = pairs.select(
-        "first", "next", "lineage", transition_links().alias("linked"), F.concat_ws("|", "first.edge_id", "next.edge_id").alias("pair"),
+        "first", "next", "lineage", transition_links().alias("linked"),
         F.col("next.effective_identity").alias("who"), F.col("first.source_host").alias("h1"), F.col("first.target_host").alias("h2"), F.col("next.target_host").alias("h3"),
-        F.col("next.ts").alias("at"), F.col("next.service").alias("svc"), F.col("first.identity").alias("i1"), F.col("first.effective_identity").alias("i2"), F.col("next.identity").alias("i3"),
+        F.col("first.identity").alias("i1"), F.col("first.effective_identity").alias("i2"), F.col("next.identity").alias("i3"),
+        F.col("first.src_known").alias("a_known"), F.col("first.dst_known").alias("src_known"), F.col("first.dst_tier").alias("src_tier"),
+        F.col("next.dst_known").alias("dst_known"), F.col("next.dst_tier").alias("dst_tier"), F.col("next.dst_critical").alias("dst_critical"),
+        F.col("first.id_known").alias("p_known"), F.col("first.eff_known").alias("q_known"), F.col("next.id_known").alias("r_known"), F.col("next.eff_known").alias("w_known"),
+        F.col("next.eff_max_tier").alias("w_max_tier"), F.col("next.novel").alias("novel"), F.col("next.route").alias("route"), F.col("next.approved_change").alias("approved_change"),
     )
-    for host, prefix in (("h1", "a"), ("h2", "src"), ("h3", "dst")):
-        p = with_host(p, ctx.hosts, host, prefix)
-    for identity, prefix in (("i1", "p"), ("i2", "q"), ("i3", "r"), ("who", "w")):
-        p = with_identity(p, ctx.identities, identity, prefix)
-    p = with_novelty(p, ctx.known_edges, "who", "h3")
-    p = with_route_decision(p, ctx, "who", "h2", "dst_tier", "at")
-    p = with_approved_change(p, ctx.approved_changes, "pair", "who", "h3", "h2", "svc", "at")
     missing = lambda items: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(~F.col(f"{k}_known"), F.coalesce(n, F.lit("None"))) for n, k in items]))))
     p = p.withColumns({"undeclared_hosts": missing([("h1", "a"), ("h2", "src"), ("h3", "dst")]), "undeclared_identities": missing([("i1", "p"), ("i2", "q"), ("i3", "r"), ("who", "w")])})
     confirmed = lambda c: F.coalesce(F.col(c) == "confirmed", F.lit(False))
@@ -158,9 +174,8 @@ def classify_hops(pairs: DataFrame, ctx: Context) -> DataFrame:
         F.col("undeclared_hosts"),
         F.col("undeclared_identities"),
     )
-    found = p.where(F.col("novel") | higher | has_transition | F.col("dst_critical"))
-    return found.select(
-        label.alias("label"),
+    return p.select(
+        F.when(F.col("novel") | higher | has_transition | F.col("dst_critical"), label).alias("label"),
         F.array("h1", "h2", "h3").alias("path"),
         F.col("who").alias("identity"),
         F.array("first.edge_id", "next.edge_id").alias("edges"),
@@ -187,17 +202,16 @@ def aggregate_findings(findings: DataFrame) -> DataFrame:
     )
 
 
-def standalone_findings(edges: DataFrame, hops: DataFrame, pairs: DataFrame) -> DataFrame:
+def standalone_findings(edges: DataFrame, judged: DataFrame) -> DataFrame:
     """Edges that neither lead to a finding nor are a second hop: NONE, or INSUFFICIENT_EVIDENCE without confirmed authentication."""
-    progressed = hops.select(F.col("edges")[0].alias("edge_id")).distinct()
-    second = pairs.select(F.col("next.edge_id").alias("edge_id")).distinct()
-    alone = edges.join(progressed, "edge_id", "left_anti").join(second, "edge_id", "left_anti")
+    hops = judged.select(F.explode(F.array(F.when(F.col("label").isNotNull(), F.col("edges")[0]), F.col("edges")[1])).alias("edge_id"))
+    alone = edges.join(hops.distinct(), "edge_id", "left_anti")
     return alone.select(
         F.when(F.coalesce(F.col("auth_state") == "confirmed", F.lit(False)), "NONE").otherwise("INSUFFICIENT_EVIDENCE").alias("label"),
         F.array("source_host", "target_host").alias("path"),
         F.col("effective_identity").alias("identity"),
         F.array("edge_id").alias("edges"),
-        F.lit(None).cast(hops.schema["modifiers"].dataType).alias("modifiers"),
+        F.lit(None).cast(judged.schema["modifiers"].dataType).alias("modifiers"),
         F.struct(F.col("ts").alias("t1"), F.col("edge_id").alias("e1"), F.lit(None).cast("timestamp").alias("t2"), F.lit(None).cast("string").alias("e2")).alias("order"),
     )
 
@@ -205,6 +219,5 @@ def standalone_findings(edges: DataFrame, hops: DataFrame, pairs: DataFrame) ->
 def classify(edges: DataFrame, ctx: Context, minutes: float = CONTINUATION_MINUTES) -> DataFrame:
     """All findings of a set of edges."""
     clean = sanitize_edges(edges)
-    pairs = continuation_pairs(clean, minutes)
-    hops = classify_hops(pairs, ctx)
-    return aggregate_findings(hops.unionByName(standalone_findings(clean, hops, pairs)))
+    judged = _judged(continuation_pairs(with_context(clean, ctx), minutes))
+    return aggregate_findings(judged.where("label is not null").unionByName(standalone_findings(clean, judged)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,33 +16,59 @@ REQUIRED_FIELDS = {
 }
 
 
+def _ordered(ip_map: DataFrame) -> DataFrame:
+    """(ip, host, pos): the map in its own order, which ``load_ip_map`` keeps in ``pos``."""
+    return ip_map.select("ip", "host", F.col("pos") if "pos" in ip_map.columns else F.lit(0).alias("pos"))
+
+
 def reverse_host_map(ip_map: DataFrame) -> DataFrame:
-    """(alias, ips): the addresses of each alias of a host."""
-    aliases = ip_map.select(F.explode(S.host_aliases(F.col("host"))).alias("alias"), S.canonical_ip(F.col("ip")).alias("ip"))
-    return aliases.groupBy("alias").agg(F.array_sort(F.collect_set("ip")).alias("ips"))
+    """(alias, ips): the addresses of each alias of a host, in the map's order."""
+    aliases = _ordered(ip_map).select(F.explode(S.host_aliases(F.col("host"))).alias("alias"), "pos", S.canonical_ip(F.col("ip")).alias("ip"))
+    return aliases.groupBy("alias").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ip"))), lambda x: x["ip"])).alias("ips"))
+
+
+def _named(events: DataFrame, ip_map: DataFrame) -> DataFrame:
+    """``events`` with ``name``: the map's host of the first of their addresses that it has, else their own.
+
+    Events of one address need a lookup only; those of several are the few that are grouped again.
+    """
+    names = _ordered(ip_map).groupBy(F.col("ip").alias("map_ip")).agg(F.min_by("host", "pos").alias("map_host"))
+    own = F.coalesce("map_host", "host_name").alias("name")
+    one = events.where(F.size("host_ips") <= 1).join(names, F.get("host_ips", F.lit(0)) == F.col("map_ip"), "left").select(*events.columns, own)
+    spread = events.where(F.size("host_ips") > 1).select("seq", F.struct(*events.columns).alias("row"), F.posexplode("host_ips").alias("place", "ip"))
+    spread = spread.join(names, F.col("ip") == F.col("map_ip"), "left")
+    many = spread.groupBy("seq").agg(F.first("row").alias("row"), F.min_by("map_host", F.when(F.col("map_host").isNotNull(), F.col("place"))).alias("map_host"))
+    return one.unionByName(many.select("row.*", "map_host").select(*events.columns, own))
 
 
 def normalize_windows_events(events: DataFrame, ip_map: DataFrame) -> DataFrame:
     """Events of the supported codes with host name and addresses, UTC time, source address and id filled in.
 
-    ``events``: seq, ts_raw, code, outcome, event_id, host_name, host_ips, computer_name, record_id,
-    source_ip, data, raw (as ``sources.records`` makes them; missing columns count as null).
+    ``events``: seq (unique), ts_raw, code, outcome, event_id, host_name, host_ips, computer_name, record_id,
+    sequence, source_ip, data, raw (as ``sources.records`` makes them; missing columns count as null).
+    The id of an event without one is made of its host and record number, or its sequence number; with
+    neither, ``ref`` is the reference that follows from its content.
     """
-    for c, kind in (("outcome", "string"), ("event_id", "string"), ("host_name", "string"), ("host_ips", "array<string>"), ("computer_name", "string"), ("record_id", "string"), ("source_ip", "string"), ("raw", "string"), ("source_file", "string")):
+    for c, kind in (("outcome", "string"), ("event_id", "string"), ("host_name", "string"), ("host_ips", "array<string>"), ("computer_name", "string"), ("record_id", "string"), ("sequence", "string"), ("source_ip", "string"), ("raw", "string"), ("source_file", "string")):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast(kind))
     blank = F.lit("")
+    nothing = F.array().cast("array<string>")
     e = events.where(F.col("code").isin(list(REQUIRED_FIELDS)))
-    e = e.withColumns({"host_name": F.coalesce(F.nullif("host_name", blank), F.nullif("computer_name", blank)), "own_ips": F.filter(F.coalesce("host_ips", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))})
-    mapped = e.select("seq", F.explode(S.host_aliases(F.col("host_name"))).alias("alias")).join(reverse_host_map(ip_map), "alias").groupBy("seq").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ips")))).alias("mapped_ips"))
-    e = e.join(mapped, "seq", "left").withColumn("host_ips", F.when(F.size("own_ips") > 0, F.transform("own_ips", _canonical_v4)).otherwise(F.coalesce("mapped_ips", F.array().cast("array<string>"))))
-    known = e.select("seq", F.posexplode("host_ips").alias("pos", "ip")).join(ip_map.select("ip", "host"), "ip").groupBy("seq").agg(F.min_by("host", "pos").alias("canonical_name"))
-    e = e.join(known, "seq", "left").withColumn("name", F.coalesce("canonical_name", "host_name"))
+    e = e.withColumns({"host_name": F.coalesce(F.nullif("host_name", blank), F.nullif("computer_name", blank)), "own_ips": F.transform(F.filter(F.coalesce("host_ips", nothing), lambda x: x.isNotNull() & (x != "")), S.canonical_ip)})
+    e = e.withColumn("aliases", S.host_aliases(F.col("host_name")))
+    by_alias = reverse_host_map(ip_map)
+    for n in range(2):
+        e = e.join(by_alias.select(F.col("alias").alias(f"alias{n}"), F.col("ips").alias(f"ips{n}")), F.get("aliases", F.lit(n)) == F.col(f"alias{n}"), "left")
+    mapped = F.array_distinct(F.concat(F.coalesce("ips0", nothing), F.coalesce("ips1", nothing)))
+    e = e.withColumn("host_ips", F.when(F.size("own_ips") > 0, F.col("own_ips")).otherwise(mapped)).drop("own_ips", "aliases", "alias0", "alias1", "ips0", "ips1")
+    e = _named(e, ip_map)
     ts = S.utc_ts(F.col("ts_raw"))
     logon = F.col("code") == "4624"
     source = S.canonical_ip(F.coalesce(F.nullif(F.element_at("data", "IpAddress"), blank), "source_ip"))
     user = F.when(logon, S.norm_identity(F.element_at("data", "TargetUserName"), F.element_at("data", "TargetDomainName")))
-    event_id = F.coalesce(F.nullif("event_id", blank), F.concat_ws(":", F.lit("windows"), F.coalesce("name", F.lit("unknown")), F.coalesce("record_id", F.col("seq").cast("string"))))
+    number = F.coalesce(F.nullif("record_id", blank), "sequence")
+    event_id = F.coalesce(F.nullif("event_id", blank), F.when(number.isNotNull(), F.concat_ws(":", F.lit("windows"), F.coalesce("name", F.lit("unknown")), number)))
     return e.select(
         "seq",
         "source_file",
@@ -50,7 +76,7 @@ def normalize_windows_events(events: DataFrame, ip_map: DataFrame) -> DataFrame:
         F.when(ts.isNotNull(), S.iso_text(ts)).alias("ts_raw"),
         "code",
         F.when(logon, F.coalesce(F.nullif("outcome", blank), F.lit("success"))).otherwise(F.col("outcome")).alias("outcome"),
-        event_id.alias("ref"),
+        S.evidence_ref(event_id, F.col("raw")).alias("ref"),
         F.col("name").alias("host_name"),
         "host_ips",
         F.when(logon, source).alias("src_ip"),
@@ -63,11 +89,6 @@ def normalize_windows_events(events: DataFrame, ip_map: DataFrame) -> DataFrame:
     )
 
 
-def _canonical_v4(ip: Column) -> Column:
-    """Inside arrays, where a UDF can't run: IPv4-mapped addresses as IPv4, the rest trimmed."""
-    return F.regexp_replace(F.trim(ip), r"(?i)^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$", "$1")
-
-
 def split_events(windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(logons, privileges, credential uses) as ``operators.edges`` takes them."""
     logons = windows.where("code = '4624' and outcome = 'success'").select("seq", "ts", "ts_raw", "host_name", "host_ips", "src_ip", "identity", "logon_id", "logon_type", "ref")

@@ -70,11 +70,12 @@ def case_counts(case: Case) -> DataFrame:
     return out
 
 
-def bucket_digests(df: DataFrame, buckets: int = 256) -> DataFrame:
-    """(b, d): one digest for each bucket of the rows' hashes; a bucket is hashed in parts by the hashes' beginnings first."""
+def bucket_digests(df: DataFrame, digits: int = 2) -> DataFrame:
+    """(b, d): one digest for each beginning of ``digits`` hex digits of the rows' hashes; each is hashed in parts, by longer beginnings, first."""
     plain = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in sorted(df.columns)]
     row = F.sha2(F.concat_ws("\n", *plain), 256)
-    parts = df.select(row.alias("h")).groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("b"), F.substring("h", 1, 4).alias("s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    begins = lambda n: F.substring("h", 1, n)
+    parts = df.select(row.alias("h")).groupBy(begins(digits).alias("b"), begins(digits + 2).alias("s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
     return parts.groupBy("b").agg(F.sha2(_joined("s"), 256).alias("d"))
 
 
@@ -83,13 +84,13 @@ def _joined(key: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "d"))), lambda x: x["d"]), "")
 
 
-def fingerprint(df: DataFrame, buckets: int = 256) -> DataFrame:
+def fingerprint(df: DataFrame, digits: int = 2) -> DataFrame:
     """(digest): one SHA-256 that depends on the rows alone, not on their order or files.
 
     Rows are hashed, the hashes are sorted and hashed within each bucket, and one digest for each
     bucket is hashed at the end.
     """
-    return bucket_digests(df, buckets).agg(F.sha2(_joined("b"), 256).alias("digest"))
+    return bucket_digests(df, digits).agg(F.sha2(_joined("b"), 256).alias("digest"))
 
 
 def derivation_id(outputs: dict[str, DataFrame], inputs: dict[str, str], config: dict[str, str], revision: str = "") -> DataFrame:

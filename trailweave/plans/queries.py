@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.functions import scalars as S
 from trailweave.operators import checks, detections, edges, flows, graph, hybrid, policy, windows
-from trailweave.sources import records
+from trailweave.sources import context as contexts
+from trailweave.sources import loaders, records, scratch
 
 from . import case as cases
 from .evidence import WINDOW, Evidence, context, read
 
+#: UTC ISO-8601 of ``us`` in SQL.
+_ISO = "(strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') END || 'Z')"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _W = WINDOW * 1_000_000
@@ -32,7 +36,7 @@ logons AS (SELECT seq, us, ts, 't' || seq AS ts_raw, 'H' || (k % 5) AS host_name
 privs AS (SELECT seq, us, host_ip, identity, session AS logon_id, ref FROM p WHERE event_type = 'signup'),
 creds AS (SELECT seq, us, host_ip, 'CORP\u' || ((u + 1) % 20) AS subject_identity, identity AS target_identity, '0x' || (u % 40) AS slid, 'H' || (u % 5) AS server, ref FROM p WHERE event_type = 'error')"""
 
-JOINED = BASE + rf""",
+_JOINS = rf""",
 j1 AS (
   SELECT * FROM (
     SELECT l.*, f.ref AS flow_ref, f.dst_ip AS target_ip, row_number() OVER (PARTITION BY l.seq ORDER BY f.us DESC, f.seq DESC) AS rn
@@ -50,7 +54,9 @@ edges AS (
     CASE WHEN sessions = 1 THEN 'confirmed' WHEN sessions > 1 THEN 'unknown' END AS transition_state, from_identity, cred_ref, flow_ref, ref AS logon_ref, privilege_ref
   FROM j1 LEFT JOIN j2 USING (seq) LEFT JOIN j3 USING (seq))"""
 
-PAIRED = JOINED + """,
+JOINED = BASE + _JOINS
+
+_PAIRS = """,
 pairs AS (
   SELECT a.edge_id AS first_id, b.edge_id AS next_id, a.us AS first_us, b.us AS next_us, a.source_host AS h1, a.target_host AS h2, b.target_host AS h3, b.ts AS next_ts, b.service,
     a.identity AS first_identity, b.identity AS who, a.privilege_state AS first_priv, b.privilege_state AS next_priv, b.transition_state,
@@ -60,32 +66,43 @@ pairs AS (
     AND b.us > a.us AND b.us - a.us <= 43200000000 AND a.edge_id <> b.edge_id
   WHERE CASE WHEN b.source_logon_id IS NULL THEN 'identity' WHEN a.logon_id = b.source_logon_id THEN 'session-exact' ELSE 'mismatch' END <> 'mismatch')"""
 
+PAIRED = JOINED + _PAIRS
+
 CONTEXT = r"""
 hosts(host, tier, critical) AS (VALUES ('H0', 0, true), ('H1', 0, false), ('H2', 1, false), ('H3', 2, false)),
 ids AS (SELECT 'CORP\u' || i AS identity, i FROM range(18) t(i))"""
 
-CLASSIFIED = PAIRED + "," + CONTEXT + r""",
+_CONFIDENCE = "CASE label " + " ".join(f"WHEN '{label}' THEN '{c}'" for label, c in policy.CONFIDENCE.items()) + " END"
+_LIST = "coalesce(array_to_string(list_sort(list_distinct(list_filter([{0}], lambda x: x IS NOT NULL))), ','), '')"
+_FINDINGS = "," + CONTEXT + rf""",
 seen AS (
   SELECT p.*, coalesce(s.tier, 99) AS src_tier, d.tier AS dst_tier, coalesce(d.critical, false) AS critical, (i.i IS NULL OR 'H' || (i.i % 4) <> p.h3) AS novel,
     (a.host IS NULL OR s.host IS NULL OR d.host IS NULL OR i.i IS NULL OR f.i IS NULL) AS undeclared, i.i,
+    {_LIST.format("CASE WHEN a.host IS NULL THEN h1 END, CASE WHEN s.host IS NULL THEN h2 END, CASE WHEN d.host IS NULL THEN h3 END")} AS undeclared_hosts,
+    {_LIST.format("CASE WHEN i.i IS NULL THEN who END, CASE WHEN f.i IS NULL THEN first_effective END, CASE WHEN o.i IS NULL THEN first_identity END")} AS undeclared_identities,
     CASE WHEN NOT (CAST(next_ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-20') OR d.tier IS NULL THEN 'UNKNOWN_CONTEXT'
       WHEN i.i < 5 AND p.h2 = 'H1' AND d.tier = 0 THEN 'AUTHORIZED' WHEN i.i < 10 AND d.tier = 0 THEN 'PROHIBITED' ELSE 'UNKNOWN_CONTEXT' END AS route,
     coalesce((i.i = 6 AND p.h3 = 'H2' AND CAST(next_ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-15') OR (i.i = 7 AND p.h3 = 'H2' AND p.h2 = 'H3') OR (i.i = 8 AND p.h3 = 'H3' AND p.service = 'smb'), false) AS approved
-  FROM pairs p LEFT JOIN hosts a ON a.host = p.h1 LEFT JOIN hosts s ON s.host = p.h2 LEFT JOIN hosts d ON d.host = p.h3
-    LEFT JOIN ids i ON i.identity = p.who LEFT JOIN ids f ON f.identity = p.first_identity),
+  FROM (SELECT *, first_identity AS first_effective FROM pairs) p LEFT JOIN hosts a ON a.host = p.h1 LEFT JOIN hosts s ON s.host = p.h2 LEFT JOIN hosts d ON d.host = p.h3
+    LEFT JOIN ids i ON i.identity = p.who LEFT JOIN ids f ON f.identity = p.first_effective LEFT JOIN ids o ON o.identity = p.first_identity),
 hops AS (
   SELECT *, CASE
       WHEN transition_state IS NOT NULL AND NOT linked THEN 'INSUFFICIENT_EVIDENCE' WHEN undeclared THEN 'INSUFFICIENT_CONTEXT'
       WHEN dst_tier = 0 AND critical AND route = 'AUTHORIZED' THEN 'EXPECTED' WHEN dst_tier = 0 AND critical AND route = 'PROHIBITED' THEN 'CRITICAL_UNAPPROVED_PATH'
       WHEN dst_tier = 0 AND critical THEN 'INSUFFICIENT_CONTEXT' WHEN approved THEN 'JUSTIFIED' WHEN route = 'AUTHORIZED' THEN 'EXPECTED'
       WHEN linked THEN 'CREDENTIAL_TRANSITION_PROGRESSION' WHEN first_priv = 'confirmed' AND lineage = 'session-exact' THEN 'PRIVILEGED_PROGRESSION'
-      WHEN first_priv = 'confirmed' THEN 'POSSIBLE_PRIVILEGED_PROGRESSION' WHEN next_priv = 'confirmed' THEN 'PRIVILEGED_DESTINATION_REACH' ELSE 'PIVOT_PROGRESSION' END AS label
+      WHEN first_priv = 'confirmed' THEN 'POSSIBLE_PRIVILEGED_PROGRESSION' WHEN next_priv = 'confirmed' THEN 'PRIVILEGED_DESTINATION_REACH' ELSE 'PIVOT_PROGRESSION' END AS label,
+    CASE WHEN first_priv = 'confirmed' AND next_priv = 'confirmed' THEN 'both' WHEN first_priv = 'confirmed' THEN 'source' WHEN next_priv = 'confirmed' THEN 'destination' ELSE 'none' END AS privilege_scope,
+    CASE WHEN NOT (transition_state IS NOT NULL AND NOT linked) AND NOT undeclared THEN route END AS route_state
   FROM seen WHERE novel OR (src_tier <> 99 AND dst_tier < src_tier) OR transition_state IS NOT NULL OR critical),
 findings AS (
-  SELECT label, h1 || '>' || h2 || '>' || h3 AS path, who AS identity, arg_min(first_id || ',' || next_id, (first_us, first_id, next_us, next_id)) AS edges, count(*) AS occurrence_count FROM hops GROUP BY ALL
-  UNION ALL
-  SELECT 'NONE', source_host || '>' || target_host, identity, arg_min(edge_id, (us, edge_id)), count(*)
-  FROM edges WHERE edge_id NOT IN (SELECT first_id FROM hops) AND edge_id NOT IN (SELECT next_id FROM pairs) GROUP BY ALL)"""
+  SELECT label, path, identity, f.edges AS edges, f.scope AS privilege_scope, f.lineage AS session_lineage, f.route AS route_state, f.tier AS entitlement, occurrence_count, {_CONFIDENCE} AS confidence FROM (
+    SELECT label, h1 || '>' || h2 || '>' || h3 AS path, who AS identity, count(*) AS occurrence_count,
+      arg_min({{'edges': first_id || ',' || next_id, 'scope': privilege_scope, 'lineage': lineage, 'route': route_state, 'tier': CAST(i % 3 AS INT)}}, (first_us, first_id, next_us, next_id)) AS f FROM hops GROUP BY ALL
+    UNION ALL
+    SELECT 'NONE', source_host || '>' || target_host, identity, count(*), arg_min({{'edges': edge_id, 'scope': NULL::VARCHAR, 'lineage': NULL::VARCHAR, 'route': NULL::VARCHAR, 'tier': NULL::INT}}, (us, edge_id))
+    FROM edges WHERE edge_id NOT IN (SELECT first_id FROM hops) AND edge_id NOT IN (SELECT next_id FROM pairs) GROUP BY ALL))"""
+CLASSIFIED = PAIRED + _FINDINGS
 
 
 def query(sql: str | None):
@@ -104,11 +121,6 @@ def _edges(ev: Evidence) -> DataFrame:
     return edges.materialize_edges(ev.flows, ev.logons, ev.privs, ev.creds, ev.ip_map, WINDOW, WINDOW, WINDOW)
 
 
-def _kept_edges(ev: Evidence) -> DataFrame:
-    """Edges for queries that use them more than once."""
-    return _edges(ev).persist()
-
-
 _MINUTES = WINDOW / 60
 
 
@@ -159,6 +171,55 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ADDRESSES = BASE + r""", x AS (SELECT seq, u, k, lower(printf('%x', k)) AS h FROM e)
+SELECT seq, CASE k % 8 WHEN 0 THEN '2001:db8::' || h WHEN 1 THEN '1:0:0:2::' || h WHEN 2 THEN 'host ' || u WHEN 3 THEN '::ffff:999.1.1.' || u WHEN 4 THEN '10.0.' || (k // 256) || '.' || (k % 256)
+  WHEN 5 THEN 'fe80::' || h || '%eth0' WHEN 6 THEN '-' END AS ip FROM x"""
+
+
+@query(_ADDRESSES)
+def canonical_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, u = F.col("k"), F.col("u")
+    digits = F.lower(F.hex("k"))
+    forms = [
+        F.concat(F.lit("2001:DB8:0:0:0::"), F.lpad(digits, 4, "0")),
+        F.concat(F.lit("1:0:0:2:0:0:0:"), F.upper(digits)),
+        F.concat(F.lit(" host "), u, F.lit("\t")),
+        F.concat(F.lit(" ::ffff:999.1.1."), u),
+        F.concat(F.lit("::FFFF:0a00:"), digits),
+        F.concat(F.lit("FE80:0::"), digits, F.lit("%eth0")),
+        F.lit("-"),
+    ]
+    text = F.coalesce(*[F.when(k % 8 == i, form) for i, form in enumerate(forms)])
+    return Evidence(spark, sf_dir).events.select("seq", S.canonical_ip(text).alias("ip"))
+
+
+_DOCUMENTS = BASE + rf"""
+SELECT seq, us + CASE WHEN k % 3 = 1 THEN -7200000000 ELSE 0 END AS ts_us, CASE WHEN k % 5 <> 0 THEN CAST(4600 + k % 9 AS VARCHAR) ELSE 'w' || (k % 7) END AS code,
+  k % 4 <> 3 AS network, CASE k % 3 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN '10.0.0.1,10.0.0.2' ELSE '' END AS ips,
+  CASE WHEN k % 2 = 0 THEN 'e' || seq ELSE 'raw-' || substr(sha256('{{"a":' || u || ',"b":"' || k || '"}}'), 1, 16) END AS ref, sha256('{{"a":' || u || ',"b":"' || k || '"}}') AS hash
+FROM e"""
+
+
+@query(_DOCUMENTS)
+def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that may be one value or many, numbers or text, of documents written from events."""
+    k, u = F.col("k"), F.col("u")
+    zone = F.when(k % 3 == 0, "Z").when(k % 3 == 1, "+02:00").otherwise("")
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), zone)
+    code = F.when(k % 5 != 0, F.concat(F.lit('"event":{"code":'), F.when(k % 2 == 0, (4600 + k % 9).cast("string")).otherwise(quote((4600 + k % 9).cast("string"))), F.lit(',"category":'))).otherwise(F.lit('"event":{"category":'))
+    category = F.when(k % 4 == 0, '"network"').when(k % 4 == 1, '["host","network"]').when(k % 4 == 2, '["network"]').otherwise('"process"')
+    ips = F.when(k % 3 == 0, '"10.0.0.1"').when(k % 3 == 1, '["10.0.0.1","10.0.0.2","10.0.0.1"]').otherwise('[]')
+    text = F.concat(F.lit("{"), code, category, F.lit('},"winlog":{"event_id":"w'), k % 7, F.lit('"},"host":{"ip":'), ips, F.lit("}}"))
+    raw = F.concat(F.lit('{ "b": "'), k, F.lit('",  "a": '), u, F.lit("}"))
+    d = Evidence(spark, sf_dir).events.select("seq", "k", stamp.alias("stamp"), F.parse_json(text).alias("v"), raw.alias("raw"))
+    event_id = F.when(F.col("k") % 2 == 0, F.concat(F.lit("e"), "seq"))
+    return d.select(
+        "seq", F.unix_micros(S.utc_ts(F.col("stamp"))).alias("ts_us"), S.event_code(F.col("v")).alias("code"), S.is_network(S.categories(F.col("v"))).alias("network"),
+        F.array_join(S.host_ips(F.col("v")), ",").alias("ips"), S.evidence_ref(event_id, F.col("raw")).alias("ref"), S.canonical_hash(F.col("raw")).alias("hash"),
+    )
+
+
 @query(BASE + "SELECT seq FROM e WHERE event_type = 'click' AND k % 2 = 0 AND u % 3 = 0 AND u % 5 NOT IN (1, 2, 3)")
 def rc4_tgt(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Evidence(spark, sf_dir).events
@@ -269,7 +330,11 @@ _EDGE_COLUMNS = "edge_id, source_host, source_ip, target_host, target_ip, identi
 
 @query(JOINED + f"SELECT {_EDGE_COLUMNS} FROM edges")
 def materialize_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(Evidence(spark, sf_dir)).select(
+    return _flat_edges(_edges(Evidence(spark, sf_dir)))
+
+
+def _flat_edges(made: DataFrame) -> DataFrame:
+    return made.select(
         "edge_id", "source_host", "source_ip", "target_host", "target_ip", "identity", "service", "logon_id", "source_logon_id", "privilege_state", F.col("credential_transition.state").alias("transition_state"),
         "credential_transition.from_identity", F.col("credential_transition.evidence_ref").alias("cred_ref"), F.col("evidence_refs.network").alias("flow_ref"), F.col("evidence_refs.logon").alias("logon_ref"), F.col("evidence_refs.privilege").alias("privilege_ref"),
     )
@@ -294,26 +359,40 @@ def continuation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRED + "SELECT h.edge_id, d.edge_id IS NOT NULL AS second_hop FROM edges h LEFT JOIN (SELECT DISTINCT next_id AS edge_id FROM pairs) d USING (edge_id)")
 def second_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _kept_edges(Evidence(spark, sf_dir))
+    e = _edges(Evidence(spark, sf_dir))
     _, second = graph.build_index(graph.sanitize_edges(e), _MINUTES)
     return e.select("edge_id").join(second.withColumn("hop", F.lit(True)), "edge_id", "left").select("edge_id", F.coalesce("hop", F.lit(False)).alias("second_hop"))
 
 
-@query(CLASSIFIED + "SELECT * FROM findings")
+_FINDING_COLUMNS = "label, confidence, path, identity, edges, privilege_scope, session_lineage, route_state, entitlement, occurrence_count"
+
+
+def _flat_findings(found: DataFrame) -> DataFrame:
+    m = F.col("modifiers")
+    return found.select(
+        "label", "confidence", F.array_join("path", ">").alias("path"), "identity", F.array_join("edges", ",").alias("edges"), m["privilege_scope"].alias("privilege_scope"),
+        m["session_lineage"].alias("session_lineage"), m["route_policy_state"].alias("route_state"), m["identity_tier_entitlement"].alias("entitlement"), "occurrence_count",
+    )
+
+
+@query(CLASSIFIED + f"SELECT {_FINDING_COLUMNS} FROM findings")
 def classify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = policy.classify(_kept_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES)
-    return found.select("label", F.array_join("path", ">").alias("path"), "identity", F.array_join("edges", ",").alias("edges"), "occurrence_count")
+    return _flat_findings(policy.classify(_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES))
 
 
-@query(CLASSIFIED + "SELECT first_id, next_id, label, route, novel, approved FROM hops")
+@query(CLASSIFIED + """SELECT first_id, next_id, label, route, novel, approved, nullif(src_tier, 99) AS src_tier, dst_tier, critical, privilege_scope, lineage, CAST(i % 3 AS INT) AS entitlement, route_state,
+  transition_state IS NOT NULL AS transition, linked, undeclared_hosts, undeclared_identities FROM hops""")
 def classify_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.continuation_pairs(graph.sanitize_edges(_kept_edges(Evidence(spark, sf_dir))), _MINUTES)
-    p = pairs.select("first", "next", "lineage", F.concat_ws("|", "first.edge_id", "next.edge_id").alias("pair"), F.col("next.effective_identity").alias("who"), F.col("first.target_host").alias("h2"), F.col("next.target_host").alias("h3"), F.col("next.ts").alias("at"), F.col("next.service").alias("svc"))
-    ctx = context(spark)
-    p = policy.with_novelty(policy.with_host(p, ctx.hosts, "h3", "dst"), ctx.known_edges, "who", "h3")
-    p = policy.with_approved_change(policy.with_route_decision(p, ctx, "who", "h2", "dst_tier", "at"), ctx.approved_changes, "pair", "who", "h3", "h2", "svc", "at")
-    hops = policy.classify_hops(pairs, ctx).select("label", F.array_join("edges", "|").alias("pair"))
-    return p.join(hops, "pair").select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("first_id"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("next_id"), "label", "route", "novel", F.col("approved_change").alias("approved"))
+    known = policy.with_context(graph.sanitize_edges(_edges(Evidence(spark, sf_dir))), context(spark))
+    pairs = graph.continuation_pairs(known, _MINUTES)
+    looked_up = pairs.select(F.col("first.edge_id").alias("first_id"), F.col("next.edge_id").alias("next_id"), "next.route", F.col("next.approved_change").alias("approved"))
+    m = F.col("modifiers")
+    hops = policy.classify_hops(pairs).select(
+        F.col("edges")[0].alias("first_id"), F.col("edges")[1].alias("next_id"), "label", m["target_novelty"].alias("novel"), m["src_tier"].alias("src_tier"), m["dst_tier"].alias("dst_tier"), m["target_critical"].alias("critical"),
+        m["privilege_scope"].alias("privilege_scope"), m["session_lineage"].alias("lineage"), m["identity_tier_entitlement"].alias("entitlement"), m["route_policy_state"].alias("route_state"),
+        m["credential_transition_present"].alias("transition"), m["credential_transition_confirmed"].alias("linked"), F.array_join(m["undeclared_hosts"], ",").alias("undeclared_hosts"), F.array_join(m["undeclared_identities"], ",").alias("undeclared_identities"),
+    )
+    return hops.join(looked_up, ["first_id", "next_id"])
 
 
 _H1 = JOINED + r"""
@@ -328,8 +407,8 @@ def pivot_to_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifted.select("edge_id", F.col("subject.id").alias("subject"), F.col("source.id").alias("source"), F.col("target.id").alias("target"), refs.alias("refs"), F.col("session.id").alias("session_id"), F.col("session.state").alias("session_state"), F.col("credential_transition.state").alias("state"))
 
 
-def _cloud(ev: Evidence) -> DataFrame:
-    """Cloud audit records written from events: two thirds are role assumptions, some failed or incomplete."""
+def _cloud_lines(ev: Evidence) -> DataFrame:
+    """(source_file, raw): cloud audit records written from events: two thirds are role assumptions, some failed or incomplete."""
     k, u = F.col("k"), F.col("u")
     record = F.struct(
         F.when(k % 3 != 0, "sts.amazonaws.com").otherwise("s3.amazonaws.com").alias("eventSource"),
@@ -341,18 +420,23 @@ def _cloud(ev: Evidence) -> DataFrame:
         F.struct(F.when(k % 4 != 0, F.concat(F.lit("arn:aws:iam::1:role/r"), u)).alias("roleArn")).alias("requestParameters"),
         F.struct(F.struct(F.concat(F.lit("AK"), "seq").alias("accessKeyId")).alias("credentials")).alias("responseElements"),
     )
-    raw = ev.events.where("event_type = 'error'").select(F.concat(F.lit("f"), u % 3, F.lit(".json")).alias("source_file"), F.to_json(F.struct(F.array(record).alias("Records"))).alias("raw"))
-    return records.expand_cloudtrail(raw.select("source_file", F.parse_json("raw").alias("v")))
+    return ev.events.where("event_type = 'error'").select(F.concat(F.lit("f"), u % 3, F.lit(".json")).alias("source_file"), F.to_json(F.struct(F.array(record).alias("Records"))).alias("raw"))
+
+
+def _cloud(ev: Evidence) -> DataFrame:
+    return records.expand_cloudtrail(_cloud_lines(ev).select("source_file", F.parse_json("raw").alias("v")))
 
 
+#: The accepted record's canonical text.
+_RECORD = """'{{"eventID":"ev' || seq || '","eventName":"AssumeRole","eventSource":"sts.amazonaws.com","eventTime":"2026-08-10T10:00:00Z","requestParameters":{{"roleArn":"arn:aws:iam::1:role/r' || u || '"}},"responseElements":{{"credentials":{{"accessKeyId":"AK' || seq || '"}}}},"userIdentity":{{"arn":"arn:aws:iam::1:user/u' || u || '"}}}}'""".replace("{{", "{").replace("}}", "}")
 _REASON = r"""CASE WHEN k % 3 = 0 THEN 'not sts:AssumeRole' WHEN k % 7 = 0 THEN 'failed AssumeRole'
   WHEN k % 5 = 0 AND k % 4 = 0 THEN 'missing actor, requestParameters.roleArn' WHEN k % 5 = 0 THEN 'missing actor' WHEN k % 4 = 0 THEN 'missing requestParameters.roleArn' END"""
 
 
-@query(BASE + f", r AS (SELECT *, {_REASON} AS reason FROM e WHERE event_type = 'error') SELECT 'principal:aws:arn:aws:iam::1:user/u' || u AS actor, 'r' || u AS role, 'AK' || seq AS session, 'ev' || seq AS ref FROM r WHERE reason IS NULL")
+@query(BASE + f", r AS (SELECT *, {_REASON} AS reason FROM e WHERE event_type = 'error') SELECT 'aws:' || substr(sha256({_RECORD}), 1, 24) AS edge_id, 1786356000000000 AS us, 'principal:aws:arn:aws:iam::1:user/u' || u AS actor, 'r' || u AS role, 'AK' || seq AS session, 'ev' || seq AS ref FROM r WHERE reason IS NULL")
 def assume_role_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hybrid.assume_role_edges(_cloud(Evidence(spark, sf_dir)))
-    return found.select(F.col("subject.id").alias("actor"), F.col("target.display_name").alias("role"), F.col("session.id").alias("session"), F.col("evidence_refs")[0]["evidence_ref"].alias("ref"))
+    return found.select("edge_id", F.unix_micros("ts").alias("us"), F.col("subject.id").alias("actor"), F.col("target.display_name").alias("role"), F.col("session.id").alias("session"), F.col("evidence_refs")[0]["evidence_ref"].alias("ref"))
 
 
 @query(BASE + f", r AS (SELECT *, {_REASON} AS reason FROM e WHERE event_type = 'error') SELECT reason AS item, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'f' || (u % 3) || '.json', count(*) FROM r WHERE reason IS NULL GROUP BY 1")
@@ -361,10 +445,17 @@ def cloudtrail_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasons.select(F.col("reason").alias("item"), "n").unionByName(files.select(F.col("source_file").alias("item"), F.col("accepted_records").alias("n")).where("n > 0"))
 
 
-@query(JOINED + f", r AS (SELECT *, {_REASON} AS reason FROM e WHERE event_type = 'error') SELECT 'on_prem' AS environment, count(*) AS n FROM edges UNION ALL SELECT 'aws', count(*) FROM r WHERE reason IS NULL")
+_UNIFIED = f""", r AS (SELECT *, {_REASON} AS reason FROM e WHERE event_type = 'error'),
+unified AS (
+  SELECT 'on_prem' AS environment, 'onprem:' || edge_id AS edge_id, us, 'host:on_prem:' || target_host AS target, privilege_state FROM edges
+  UNION ALL SELECT 'aws', 'aws:' || substr(sha256({_RECORD}), 1, 24), 1786356000000000, 'role:aws:arn:aws:iam::1:role/r' || u, 'unknown' FROM r WHERE reason IS NULL)"""
+
+
+@query(JOINED + _UNIFIED + "SELECT * FROM unified")
 def unify_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = Evidence(spark, sf_dir)
-    return hybrid.unify_edges(hybrid.pivot_to_reachability(_edges(ev)), hybrid.assume_role_edges(_cloud(ev))).groupBy("environment").agg(F.count("*").alias("n"))
+    both = hybrid.unify_edges(hybrid.pivot_to_reachability(_edges(ev)), hybrid.assume_role_edges(_cloud(ev)))
+    return both.select("environment", "edge_id", F.unix_micros("ts").alias("us"), F.col("target.id").alias("target"), "privilege_state")
 
 
 @query(BASE + r"SELECT DISTINCT identity AS on_prem_identity, CASE WHEN u % 20 < 5 THEN 'confirmed' ELSE 'unknown' END AS state, CASE WHEN u % 20 < 5 THEN 'map-' || (u % 20) END AS evidence_ref FROM p")
@@ -375,35 +466,41 @@ def cross_env_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.cross_env_continuity(ids, maps).select("on_prem_identity", "state", "evidence_ref")
 
 
-def _json_events(ev: Evidence) -> DataFrame:
-    """Windows events as raw JSON documents in search-response form, some parts missing."""
+def _json_lines(ev: Evidence) -> DataFrame:
+    """(seq, raw): Windows events as JSON documents in search-response form, some parts missing."""
     k, u = F.col("k"), F.col("u")
     code = F.when(F.col("event_type") == "click", F.lit("4624")).when(F.col("event_type") == "signup", F.lit("4672")).when(F.col("event_type") == "error", F.lit("4648"))
     user = F.concat(F.lit("u"), u % 20)
     data = F.struct(user.alias("TargetUserName"), F.lit("CORP").alias("TargetDomainName"), user.alias("SubjectUserName"), F.concat(F.lit("0x"), u % 20).alias("SubjectLogonId"), F.when(k % 7 != 0, F.concat(F.lit("0x"), u % 20)).alias("TargetLogonId"), F.concat(F.lit("::ffff:10.0.0."), u % 5).alias("IpAddress"), F.lit("10").alias("LogonType"))
-    doc = F.struct(F.lit("2026-08-10T10:00:00Z").alias("@timestamp"), F.struct(code.cast("int").alias("code")).alias("event"), F.struct(F.concat(F.lit("h"), k % 6, F.lit(".corp.example")).alias("name")).alias("host"), F.struct(data.alias("event_data")).alias("winlog"))
+    doc = F.struct(S.iso_text(F.col("ts")).alias("@timestamp"), F.struct(code.cast("int").alias("code")).alias("event"), F.struct(F.concat(F.lit("h"), k % 6, F.lit(".corp.example")).alias("name")).alias("host"), F.struct(data.alias("event_data")).alias("winlog"))
     raw = F.to_json(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("id"), "seq").alias("_id"), doc.alias("_source"))).alias("hits")).alias("hits")))
-    docs = records.unwrap_envelope(ev.events.where(code.isNotNull()).select("seq", raw.alias("raw")).withColumn("v", F.parse_json("raw")))
-    return records.windows_records(docs)
+    return ev.events.where(code.isNotNull()).select("seq", raw.alias("raw"))
+
 
+def _json_events(ev: Evidence) -> DataFrame:
+    return records.windows_records(records.unwrap_envelope(_json_lines(ev).withColumn("v", F.parse_json("raw"))))
 
-_N1 = BASE + r""", n AS (
-  SELECT 'id' || seq AS ref, CASE event_type WHEN 'click' THEN '4624' WHEN 'signup' THEN '4672' ELSE '4648' END AS code, CASE WHEN k % 6 < 5 THEN 'H' || (k % 6) ELSE 'h5.corp.example' END AS host_name,
+
+_N1 = BASE + rf""", n AS (
+  SELECT {_ISO} AS ts_raw, us, 'id' || seq AS ref, CASE event_type WHEN 'click' THEN '4624' WHEN 'signup' THEN '4672' ELSE '4648' END AS code, CASE WHEN k % 6 < 5 THEN 'H' || (k % 6) ELSE 'h5.corp.example' END AS host_name,
     CASE WHEN k % 6 < 5 THEN '10.0.0.' || (k % 6) ELSE '' END AS ips, CASE WHEN event_type = 'click' THEN from_ip END AS src_ip,
     CASE WHEN event_type = 'click' THEN 'CORP\u' || (u % 20) ELSE 'u' || (u % 20) END AS identity, k, event_type
   FROM p WHERE event_type IN ('click', 'signup', 'error'))"""
 
 
-@query(_N1 + "SELECT ref, code, host_name, ips, src_ip, identity FROM n")
+@query(_N1 + "SELECT us, ts_raw, ref, code, host_name, ips, src_ip, identity FROM n")
 def normalize_windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = Evidence(spark, sf_dir)
     out = windows.normalize_windows_events(_json_events(ev), ev.ip_map)
-    return out.select("ref", "code", "host_name", F.array_join("host_ips", ",").alias("ips"), "src_ip", "identity")
+    return out.select(F.unix_micros("ts").alias("us"), "ts_raw", "ref", "code", "host_name", F.array_join("host_ips", ",").alias("ips"), "src_ip", "identity")
 
 
-@query(_N1 + """SELECT code, 'missing host.ip' AS issue, count(*) AS n FROM n WHERE ips = '' GROUP BY 1
+_QUALITY = """SELECT code, 'missing host.ip' AS issue, count(*) AS n FROM n WHERE ips = '' GROUP BY 1
 UNION ALL SELECT code, 'missing winlog.event_data.TargetLogonId', count(*) FROM n WHERE event_type = 'click' AND k % 7 = 0 GROUP BY 1
-UNION ALL SELECT code, 'missing winlog.event_data.TargetServerName', count(*) FROM n WHERE event_type = 'error' GROUP BY 1""")
+UNION ALL SELECT code, 'missing winlog.event_data.TargetServerName', count(*) FROM n WHERE event_type = 'error' GROUP BY 1"""
+
+
+@query(_N1 + _QUALITY)
 def windows_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = Evidence(spark, sf_dir)
     return windows.windows_quality(windows.normalize_windows_events(_json_events(ev), ev.ip_map))
@@ -418,78 +515,253 @@ def windows_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "code", "outcome", F.element_at("data", "TargetUserName").alias("user_name"))
 
 
-_FAULTS = JOINED + """, broken AS (SELECT edge_id, seq FROM edges)
-SELECT edge_id AS key, 'service is not rdp or smb' AS message FROM broken WHERE seq % 3 = 0
-UNION ALL SELECT edge_id, 'identity is missing' FROM broken WHERE seq % 5 = 0
-UNION ALL SELECT edge_id, 'evidence_refs.network is empty' FROM broken WHERE seq % 7 = 0"""
+def _seeded(df: DataFrame, faults: list[tuple[str, Column, str]]) -> DataFrame:
+    """``df`` with one fault in each row: rule number seq % (rules + 1), the last number none."""
+    at = F.col("seq") % (len(faults) + 1)
+    changed: dict[str, Column] = {}
+    for i, (column, bad, _) in enumerate(faults):
+        changed[column] = F.when(at == i, bad).otherwise(changed.get(column, F.col(column)))
+    return df.withColumns(changed)
+
+
+def _expected(key: str, faults: list[tuple[str, Column, str]], table: str, condition: str = "true") -> str:
+    cases_ = " ".join(f"WHEN {i} THEN '{message}'" for i, (_, _, message) in enumerate(faults))
+    empty = " OR ".join(f"seq % {len(faults) + 1} = {i}" for i, (column, _, _) in enumerate(faults) if column == "edge_id") or "false"
+    return f"SELECT CASE WHEN {empty} THEN '' ELSE {key} END AS key, CASE seq % {len(faults) + 1} {cases_} END AS message FROM {table} WHERE seq % {len(faults) + 1} < {len(faults)} AND {condition}"
+
+
+_TRANSITION = "struct<from_identity: string, to_identity: string, state: string, evidence_ref: string>"
+
+
+def _transition(origin: str | None, to: str | None, state: str, ref: str | None = "r") -> Column:
+    return F.struct(F.lit(origin).alias("from_identity"), F.lit(to).alias("to_identity"), F.lit(state).alias("state"), F.lit(ref).alias("evidence_ref")).cast(_TRANSITION)
+
+
+def _pivot_faults() -> list[tuple[str, Column, str]]:
+    nothing = F.lit(None).cast("struct<network: string, logon: string, privilege: string>")
+    return [
+        *[(c, F.lit(""), f"{c} is missing") for c in ("edge_id", "source_host", "target_host", "identity", "effective_identity")],
+        ("ts", F.lit(None).cast("timestamp"), "@timestamp is not a date-time"),
+        ("service", F.lit("ssh"), "service is not rdp or smb"),
+        ("privilege_state", F.lit("maybe"), "privilege_state is not a known state"),
+        ("auth_state", F.lit(None).cast("string"), "auth_state is not a known state"),
+        ("source_ip", F.lit("10.0.0.256"), "source_ip is not an address"),
+        ("target_ip", F.lit("host"), "target_ip is not an address"),
+        ("credential_transition", _transition("", "x", "confirmed"), "credential_transition lacks an identity"),
+        ("credential_transition", _transition("x", "y", "absent"), "credential_transition.state is not a known state"),
+        ("evidence_refs", nothing, "evidence_refs is missing"),
+    ]
+
+
+def _common_faults() -> list[tuple[str, Column, str]]:
+    entity = "struct<kind: string, id: string, display_name: string>"
+    thing = lambda kind, identifier, name="n": F.struct(F.lit(kind).alias("kind"), F.lit(identifier).alias("id"), F.lit(name).alias("display_name")).cast(entity)
+    good = thing("host", "h")
+    link = lambda a, state: F.struct(a.alias("from_subject"), good.alias("to_subject"), F.lit(state).alias("state"), F.lit("r").alias("evidence_ref"))
+    ref = lambda kind, value, sha=None: F.array(F.struct(F.lit(kind).alias("source_type"), F.lit(value).alias("evidence_ref"), F.lit(None).cast("string").alias("source_file"), F.lit(sha).cast("string").alias("source_sha256")))
+    bad_ref = "evidence_refs has an item without type or reference, or with an empty file or a bad sha256"
+    return [
+        ("schema_version", F.lit("1.0"), "schema_version is not the supported one"),
+        ("edge_id", F.lit(""), "edge_id is missing"),
+        ("ts", F.lit(None).cast("timestamp"), "@timestamp is not a date-time"),
+        ("environment", F.lit("moon"), "environment is not known"),
+        ("edge_type", F.lit("waved_at"), "edge_type is not known"),
+        ("subject", thing("identity", ""), "subject lacks kind or id, or has an empty name"),
+        ("effective_subject", F.lit(None).cast(entity), "effective_subject lacks kind or id, or has an empty name"),
+        ("source", thing("", "h"), "source lacks kind or id, or has an empty name"),
+        ("target", thing("host", "h", ""), "target lacks kind or id, or has an empty name"),
+        ("session", F.col("session").withField("state", F.lit("absent")), "session.state is not a known state"),
+        ("auth_state", F.lit("maybe"), "auth_state is not a known state"),
+        ("privilege_state", F.lit(None).cast("string"), "privilege_state is not a known state"),
+        ("credential_transition", link(F.lit(None).cast(entity), "confirmed"), "credential_transition lacks a subject"),
+        ("credential_transition", link(good, "absent"), "credential_transition.state is not a known state"),
+        ("evidence_refs", F.filter(ref("x", "y"), lambda _: F.lit(False)), "evidence_refs is empty"),
+        ("evidence_refs", ref("", "r"), bad_ref),
+        ("evidence_refs", ref("x", "r", "00ff"), bad_ref),
+        ("native_context", F.lit(None).cast("map<string, string>"), "native_context is missing"),
+        ("edge_type", F.lit("accessed_resource"), ""),
+    ]
+
+
+def _semantic_faults() -> list[tuple[str, Column, str]]:
+    who = F.col("identity")
+    sure = lambda ref: F.struct(F.lit("x").alias("from_identity"), who.alias("to_identity"), F.lit("confirmed").alias("state"), F.lit(ref).alias("evidence_ref")).cast(_TRANSITION)
+    refs = F.col("evidence_refs")
+    return [
+        ("effective_identity", F.lit("CORP\\other"), "effective_identity differs without a confirmed transition"),
+        ("credential_transition", _transition("x", "y", "confirmed"), "confirmed transition does not lead to effective_identity"),
+        ("credential_transition", sure(None), "confirmed transition without evidence_ref"),
+        ("credential_transition", sure("r"), "confirmed transition without source_logon_id"),
+        ("evidence_refs", refs.withField("network", F.lit(None).cast("string")), "confirmed auth_state needs network and logon references"),
+        ("evidence_refs", refs.withField("privilege", F.lit("")), "confirmed privilege_state needs a privilege reference"),
+    ]
+
+
+def _some(df: DataFrame) -> DataFrame:
+    """Edges without transition, with a privilege and, where the fault isn't its lack, a source session; each breaks no rule."""
+    known = F.when(F.col("seq") % 7 == 3, F.lit(None).cast("string")).otherwise("0x1")
+    return df.withColumns({"credential_transition": F.lit(None).cast(_TRANSITION), "source_logon_id": known, "privilege_state": F.lit("confirmed"), "evidence_refs": F.col("evidence_refs").withField("privilege", F.lit("p"))})
+
+
+@query(JOINED + _expected("edge_id", [(c, None, m) for c, m in [(c, f"{c} is missing") for c in ("edge_id", "source_host", "target_host", "identity", "effective_identity")] + [
+    ("ts", "@timestamp is not a date-time"), ("service", "service is not rdp or smb"), ("privilege_state", "privilege_state is not a known state"), ("auth_state", "auth_state is not a known state"),
+    ("source_ip", "source_ip is not an address"), ("target_ip", "target_ip is not an address"), ("", "credential_transition lacks an identity"), ("", "credential_transition.state is not a known state"), ("", "evidence_refs is missing")]], "edges"))
+def check_pivot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.check_pivot_edges(_seeded(_edges(Evidence(spark, sf_dir)), _pivot_faults()))
 
 
-@query(_FAULTS)
-def check_pivot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(Evidence(spark, sf_dir))
-    bad = e.withColumns({"service": F.when(F.col("seq") % 3 == 0, "ssh").otherwise(F.col("service")), "identity": F.when(F.col("seq") % 5 == 0, "").otherwise(F.col("identity")), "evidence_refs": F.when(F.col("seq") % 7 == 0, F.col("evidence_refs").withField("network", F.lit(""))).otherwise(F.col("evidence_refs"))})
-    return checks.check_pivot_edges(bad)
+_SEMANTIC = ["effective_identity differs without a confirmed transition", "confirmed transition does not lead to effective_identity", "confirmed transition without evidence_ref", "confirmed transition without source_logon_id", "confirmed auth_state needs network and logon references", "confirmed privilege_state needs a privilege reference"]
 
 
-@query(JOINED + """
-SELECT edge_id AS key, 'effective_identity differs without a confirmed transition' AS message FROM edges WHERE coalesce(transition_state, '') <> 'confirmed' AND seq % 3 = 0
-UNION ALL SELECT edge_id, 'confirmed transition does not lead to effective_identity' FROM edges WHERE transition_state = 'confirmed' AND seq % 3 = 0
-UNION ALL SELECT edge_id, 'confirmed privilege_state needs a privilege reference' FROM edges WHERE privilege_state = 'absent' AND seq % 5 = 0""")
+@query(JOINED + _expected("edge_id", [("", None, m) for m in _SEMANTIC], "edges") + " UNION ALL SELECT 'd' || edge_id, 'duplicate edge_id' FROM edges, range(2) WHERE seq % 5 = 0")
 def check_edge_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(Evidence(spark, sf_dir))
-    forged = e.withColumns({"effective_identity": F.when(F.col("seq") % 3 == 0, "CORP\\other").otherwise(F.col("effective_identity")), "privilege_state": F.when(F.col("seq") % 5 == 0, "confirmed").otherwise(F.col("privilege_state"))})
-    return checks.check_edge_semantics(forged)
+    e = _some(_edges(Evidence(spark, sf_dir)))
+    twice = e.where("seq % 5 = 0").withColumn("edge_id", F.concat(F.lit("d"), "edge_id"))
+    twice = twice.withColumn("source_logon_id", F.lit("0x1"))
+    return checks.check_edge_semantics(_seeded(e, _semantic_faults()).unionByName(twice).unionByName(twice))
 
 
-@query(JOINED + "SELECT 'onprem:' || edge_id AS key, 'schema_version is not the supported one' AS message FROM edges WHERE seq % 2 = 0")
-def check_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(Evidence(spark, sf_dir))
-    even = e.where("seq % 2 = 0").select(F.concat(F.lit("onprem:"), "edge_id").alias("edge_id"), F.lit(True).alias("old"))
-    lifted = hybrid.pivot_to_reachability(e).join(even, "edge_id", "left")
-    return checks.check_reachability_edges(lifted.withColumn("schema_version", F.when(F.col("old"), "1.0").otherwise(F.col("schema_version"))))
+_COMMON = ["schema_version is not the supported one", "edge_id is missing", "@timestamp is not a date-time", "environment is not known", "edge_type is not known", *[f"{x} lacks kind or id, or has an empty name" for x in ("subject", "effective_subject", "source", "target")],
+    "session.state is not a known state", "auth_state is not a known state", "privilege_state is not a known state", "credential_transition lacks a subject", "credential_transition.state is not a known state", "evidence_refs is empty",
+    "evidence_refs has an item without type or reference, or with an empty file or a bad sha256", "evidence_refs has an item without type or reference, or with an empty file or a bad sha256", "native_context is missing", ""]
 
 
-@query(CLASSIFIED + "SELECT label || '|' || identity || '|' || path AS key, 'label is not known' AS message FROM (SELECT CASE label WHEN 'NONE' THEN 'NOTHING' ELSE label END AS label, identity, path FROM findings) WHERE label = 'NOTHING'")
-def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = policy.classify(_kept_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES)
-    return checks.check_findings(found.withColumn("label", F.when(F.col("label") == "NONE", "NOTHING").otherwise(F.col("label"))))
+@query(JOINED + _expected("'onprem:' || edge_id", [("edge_id" if m == "edge_id is missing" else "", None, m) for m in _COMMON], "edges", f"seq % {len(_COMMON) + 1} <> {len(_COMMON) - 1}"))
+def check_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(Evidence(spark, sf_dir))
+    numbered = e.select(F.concat(F.lit("onprem:"), "edge_id").alias("edge_id"), "seq")
+    lifted = hybrid.pivot_to_reachability(e).join(numbered, "edge_id")
+    return checks.check_reachability_edges(_seeded(lifted, _common_faults()))
 
 
 @query(BASE + r"""
-SELECT key, message FROM (SELECT DISTINCT 'CORP\u' || (u % 20) AS key, 'known_edges: identity is not declared' AS message, u % 20 AS i FROM e) WHERE i >= 18
-UNION ALL SELECT DISTINCT 'H4', 'known_edges: host is not declared' FROM e WHERE k % 5 = 4""")
+SELECT DISTINCT key, message FROM (
+  SELECT CASE m WHEN 0 THEN 'NOTHING' WHEN 6 THEN 'NONE' WHEN 5 THEN 'PIVOT_PROGRESSION' ELSE 'EXPECTED' END || '|' || CASE WHEN m = 2 THEN '' ELSE 'u' || (u % 20) END || '|' || CASE m WHEN 3 THEN 'a' WHEN 5 THEN 'a>b' ELSE 'a>b>c' END AS key,
+    CASE m WHEN 0 THEN 'label is not known' WHEN 1 THEN 'confidence is not known' WHEN 2 THEN 'identity is missing' WHEN 3 THEN 'path has fewer than two hosts' WHEN 4 THEN 'edges is empty' WHEN 5 THEN 'a progression needs three hosts and two edges' WHEN 6 THEN 'NONE needs one edge' END AS message
+  FROM (SELECT u, k % 8 AS m FROM e)) WHERE message IS NOT NULL""")
+def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, path = F.col("k") % 8, ["a", "b", "c"]
+    found = Evidence(spark, sf_dir).events.select(
+        F.when(m == 0, "NOTHING").when(m == 6, "NONE").when(m == 5, "PIVOT_PROGRESSION").otherwise("EXPECTED").alias("label"), F.when(m == 1, "sure").otherwise("low").alias("confidence"), F.when(m == 2, "").otherwise(F.concat(F.lit("u"), F.col("u") % 20)).alias("identity"),
+        F.when(m == 3, F.array(F.lit("a"))).when(m == 5, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(*map(F.lit, path))).alias("path"), F.when(m == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("e1"), F.lit("e2"))).alias("edges"),
+    )
+    return checks.check_findings(found).distinct()
+
+
+@query(BASE + r""", a AS (SELECT DISTINCT u % 20 AS i, k % 5 AS h FROM e)
+SELECT DISTINCT key, message FROM (
+  SELECT 'CORP\u' || i AS key, unnest(['known_edges: identity is not declared', 'approved_paths: identity is not declared', 'complete_for: identity is not declared', 'approved_changes: identity is not declared']) AS message FROM a WHERE i >= 18
+  UNION ALL SELECT 'H4', unnest(['known_edges: host is not declared', 'approved_paths: via is not declared', 'approved_changes: target_host is not declared']) FROM a WHERE h = 4
+  UNION ALL SELECT 'CORP\u' || i, 'complete_for: environment is missing' FROM a WHERE i % 3 = 0
+  UNION ALL SELECT 'CORP\u' || i, 'complete_for: target_tier is not an integer' FROM a WHERE i % 4 = 0
+  UNION ALL SELECT 'CORP\u' || i, 'approved_changes: approved_from is not an ISO date' FROM a WHERE i % 5 = 0
+  UNION ALL SELECT 'CORP\u' || i, 'approved_changes: approved_until is not an ISO date' FROM a WHERE i % 7 = 0
+  UNION ALL SELECT 'policy', 'policy: valid_from is not an ISO date' FROM a WHERE i = 0 UNION ALL SELECT 'policy', 'policy: valid_until is not an ISO date' FROM a WHERE i = 1
+  UNION ALL SELECT 'policy', 'policy: valid_from is after valid_until' FROM a WHERE i = 2)""")
 def check_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Evidence(spark, sf_dir).events
+    i = F.col("u") % 20
+    rows = e.select(i.alias("i"), F.concat(F.lit("CORP\\u"), i).alias("identity"), F.concat(F.lit("H"), F.col("k") % 5).alias("host")).distinct()
+    i = F.col("i")
     ctx = context(spark)
-    ctx.known_edges = e.select(F.concat(F.lit("CORP\\u"), F.col("u") % 20).alias("identity"), F.concat(F.lit("H"), F.col("k") % 5).alias("host"))
+    day = lambda n, bad: F.when(i % n == 0, bad).otherwise("2024-01-01")
+    ctx.known_edges = rows.select("identity", "host")
+    ctx.approved_paths = rows.select("identity", F.col("host").alias("via"), F.lit(0).alias("to_tier"))
+    ctx.complete_for = rows.select(F.when(i % 3 == 0, "").otherwise("on_prem").alias("environment"), "identity", F.when(i % 4 != 0, 0).alias("target_tier"))
+    ctx.approved_changes = rows.select("identity", F.col("host").alias("target_host"), day(5, "soon").alias("approved_from"), day(7, "2024-13-01").alias("approved_until"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("service"))
+    ctx.policy = rows.where("i < 3").select(F.when(i == 0, "x").when(i == 2, "2025-01-01").otherwise("2024-01-01").alias("valid_from"), F.when(i == 1, "y").otherwise("2024-12-31").alias("valid_until"))
     return checks.check_context(ctx).distinct()
 
 
-@query(CLASSIFIED + "SELECT 'network_flows' AS name, count(*) AS n FROM flows UNION ALL SELECT 'windows_events', count(*) FROM p WHERE event_type IN ('click', 'signup', 'error') UNION ALL SELECT 'pivot_edges', count(*) FROM edges UNION ALL SELECT 'reachability_edges', count(*) FROM edges UNION ALL SELECT 'findings', count(*) FROM findings UNION ALL SELECT 'violations', 0")
-def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases.case_counts(_case(spark, sf_dir))
+_CASE = BASE[: BASE.index("flows AS (")] + rf"""
+flows AS (
+  SELECT seq, us, from_ip AS src_ip, host_ip AS dst_ip, port, port_service AS service, protocol, 'raw-' || substr(sha256({_ISO} || '|' || from_ip || '|' || (10000 + seq) || '|' || host_ip || '|' || port || '|tcp|2|' || (100 + k)), 1, 16) AS ref
+  FROM p WHERE event_type = 'view'),
+logons AS (SELECT seq, us, ts, {_ISO} AS ts_raw, 'H' || (k % 5) AS host_name, host_ip, from_ip AS src_ip, identity, session AS logon_id, logon_service AS service, ref FROM p WHERE event_type = 'click'),
+""" + BASE[BASE.index("privs AS (") :] + _JOINS + _PAIRS + _FINDINGS + _UNIFIED
 
 
 def _case(spark: SparkSession, sf_dir: str) -> cases.Case:
+    """A whole case from packets, event documents and cloud records, which are written from events."""
     ev = Evidence(spark, sf_dir)
-    pivot = _kept_edges(ev)
-    events = ev.logons.select("ts", F.lit("4624").alias("code")).unionByName(ev.privs.select("ts", F.lit("4672").alias("code"))).unionByName(ev.creds.select("ts", F.lit("4648").alias("code")))
-    findings = policy.classify(pivot, context(spark), _MINUTES)
-    lifted = hybrid.pivot_to_reachability(pivot)
-    found = checks.check_pivot_edges(pivot).unionByName(checks.check_edge_semantics(pivot)).unionByName(checks.check_reachability_edges(lifted)).unionByName(checks.check_findings(findings))
-    quality = spark.createDataFrame([], "source string, issue string, n long")
-    return cases.Case(ev.flows, events, pivot, lifted, findings, quality, found)
+    k, u = F.col("k"), F.col("u")
+    view = ev.events.where("event_type = 'view'")
+    client, server = F.struct(F.concat(F.lit("10.0.0."), u % 5).alias("ip"), (F.lit(10_000) + F.col("seq")).cast("int").alias("port")), F.struct(F.concat(F.lit("10.0.0."), k % 5).alias("ip"), F.when(k % 3 == 0, 3389).when(k % 3 == 1, 445).otherwise(443).alias("port"))
+    sent = lambda a, b, flags, size: F.struct(a.alias("a"), b.alias("b"), F.lit(flags).alias("flags"), size.alias("size"))
+    both = view.select("seq", "ts", F.posexplode(F.array(sent(client, server, "S", 60 + k), sent(server, client, "SA", F.lit(40)))).alias("n", "x"))
+    packets = both.select((F.col("seq") * 2 + F.col("n")).alias("seq"), "ts", F.col("x.a.ip").alias("src_ip"), F.col("x.a.port").alias("src_port"), F.col("x.b.ip").alias("dst_ip"), F.col("x.b.port").alias("dst_port"), F.lit("tcp").alias("transport"), "x.flags", "x.size")
+    user = lambda n: F.concat(F.lit("u"), n % 20)
+    error = F.col("event_type") == "error"
+    code = F.when(F.col("event_type") == "click", "4624").when(F.col("event_type") == "signup", "4672").when(error, "4648")
+    data = {
+        "TargetUserName": user(u), "TargetDomainName": F.lit("CORP"), "SubjectUserName": F.when(error, user(u + 1)).otherwise(user(u)), "SubjectDomainName": F.lit("CORP"), "TargetLogonId": F.concat(F.lit("0x"), u % 20),
+        "SubjectLogonId": F.concat(F.lit("0x"), F.when(error, u % 40).otherwise(u % 20)), "IpAddress": F.concat(F.lit("::ffff:10.0.0."), u % 5), "LogonType": F.when(k % 2 == 0, "10").otherwise("3"), "TargetServerName": F.concat(F.lit("h"), u % 5, F.lit(".corp.example")),
+    }
+    doc = F.struct(S.iso_text(F.col("ts")).alias("@timestamp"), F.struct(code.alias("code"), F.concat(F.lit("e"), "seq").alias("id")).alias("event"), F.struct(F.concat(F.lit("h"), k % 5, F.lit(".corp.example")).alias("name")).alias("host"), F.struct(F.struct(*[v.alias(n) for n, v in data.items()]).alias("event_data")).alias("winlog"))
+    docs = ev.events.where(code.isNotNull()).select("seq", F.parse_json(F.to_json(doc)).alias("v"), F.lit(None).cast("string").alias("raw"))
+    found = records.windows_records(records.unwrap_envelope(docs))
+    return cases.reconstruct_case(packets, found, _cloud(ev), ev.ip_map, context(spark), cases.Params(WINDOW, WINDOW, WINDOW, _MINUTES))
+
+
+@query(_CASE + """SELECT 'network_flows' AS name, count(*) AS n FROM flows UNION ALL SELECT 'windows_events', count(*) FROM p WHERE event_type IN ('click', 'signup', 'error') UNION ALL SELECT 'pivot_edges', count(*) FROM edges
+UNION ALL SELECT 'reachability_edges', count(*) FROM unified UNION ALL SELECT 'findings', count(*) FROM findings UNION ALL SELECT 'violations', 0""")
+def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.case_counts(_case(spark, sf_dir))
 
 
-@query(CLASSIFIED + "SELECT label, count(*) AS n, sum(occurrence_count) AS occurrences FROM findings GROUP BY 1")
+@query(_CASE + f"SELECT {_FINDING_COLUMNS} FROM findings")
+def reconstruct_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_findings(_case(spark, sf_dir).findings)
+
+
+@query(_CASE + "SELECT label, confidence, count(*) AS n, sum(occurrence_count) AS occurrences FROM findings GROUP BY 1, 2")
 def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases.report_tables(_case(spark, sf_dir))["findings"].select("label", "n", "occurrences")
+    return cases.report_tables(_case(spark, sf_dir))["findings"].select("label", "confidence", "n", "occurrences")
+
+
+@query(_CASE + f""", w AS (SELECT us, CASE event_type WHEN 'click' THEN '4624' WHEN 'signup' THEN '4672' ELSE '4648' END AS code FROM p WHERE event_type IN ('click', 'signup', 'error'))
+SELECT 'evidence' AS section, 'windows ' || code AS item, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM w GROUP BY code
+UNION ALL SELECT 'evidence', 'network ' || protocol, count(*), min(us), max(us) FROM flows GROUP BY protocol
+UNION ALL SELECT 'edges', environment || ' ' || privilege_state, count(*), NULL, NULL FROM unified GROUP BY environment, privilege_state
+UNION ALL SELECT 'quality', 'cloud ' || reason, count(*), NULL, NULL FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+def report_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = cases.report_tables(_case(spark, sf_dir))
+    row = lambda df, section, item, first, last: df.select(F.lit(section).alias("section"), item.alias("item"), "n", first.alias("first_us"), last.alias("last_us"))
+    none = F.lit(None).cast("long")
+    parts = [
+        row(tables["evidence"], "evidence", F.concat_ws(" ", "source", "kind"), F.unix_micros("first"), F.unix_micros("last")),
+        row(tables["edges"], "edges", F.concat_ws(" ", "environment", "privilege_state"), none, none),
+        row(tables["quality"], "quality", F.concat_ws(" ", "source", "issue"), none, none),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
 
+@query(_CASE + """SELECT 'network_ingest_ms' AS stage, count(*) AS n FROM flows UNION ALL SELECT 'windows_ingest_ms', count(*) FROM p WHERE event_type IN ('click', 'signup', 'error') UNION ALL SELECT 'edge_materialization_ms', count(*) FROM edges
+UNION ALL SELECT 'hybrid_normalization_ms', count(*) FROM unified UNION ALL SELECT 'graph_classification_ms', count(*) FROM findings UNION ALL SELECT 'derived_output_ms', 0""")
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each timed stage; its milliseconds, which no SQL can give, are measured and must be there."""
+    timed = cases.timed_counts(_case(spark, sf_dir))
+    rows = [(stage, n) for stage, took, n in timed if took >= 0 and stage != "pipeline_total_ms"]
+    return spark.createDataFrame(rows, "stage string, n long")
 
-@query(None)
+
+def _digest_sql(name: str, table: str, columns: list[str]) -> str:
+    """The fingerprint of ``table`` in SQL."""
+    parts = " || chr(10) || ".join(f"CASE WHEN {c} IS NULL THEN '{{}}' ELSE '{{\"{c}\":' || to_json({c}) || '}}' END" for c in sorted(columns))
+    return f"""h_{name} AS (SELECT sha256({parts}) AS h FROM {table}),
+s_{name} AS (SELECT substr(h, 1, 2) AS b, substr(h, 1, 4) AS s, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h_{name} GROUP BY 1, 2),
+b_{name} AS (SELECT b, sha256(string_agg(d, '' ORDER BY s)) AS d FROM s_{name} GROUP BY b),
+d_{name} AS (SELECT '{name}=' || sha256(coalesce(string_agg(d, '' ORDER BY b), '')) AS d FROM b_{name})"""
+
+
+_OUTPUTS = {"findings": _FINDING_COLUMNS.split(", "), "pivot_edges": _EDGE_COLUMNS.split(", ")}
+
+
+@query(CLASSIFIED + "".join(f", {_digest_sql(n, t, _OUTPUTS[n])}" for n, t in (("findings", "findings"), ("pivot_edges", "edges"))) + f" SELECT sha256('{cases.TOOL_VERSION}||events=table|window={WINDOW}|' || f.d || '|' || e.d) AS derivation_id FROM d_findings f, d_pivot_edges e")
 def derivation_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case = _case(spark, sf_dir)
-    return cases.derivation_id({"pivot_edges": case.pivot_edges, "findings": case.findings}, {"events": "table"}, {"window": str(WINDOW)})
+    e = _edges(Evidence(spark, sf_dir))
+    outputs = {"pivot_edges": _flat_edges(e), "findings": _flat_findings(policy.classify(e, context(spark), _MINUTES))}
+    return cases.derivation_id(outputs, {"events": "table"}, {"window": str(WINDOW)})
 
 
 @query(BASE + r"""SELECT 'T' || (k % 4) AS tactic, 'A' || (k % 9) AS technique_id, count(DISTINCT 'D' || (u % 6)) AS n_detections, string_agg(DISTINCT 'name' || (u % 6), ', ' ORDER BY 'name' || (u % 6)) AS names FROM e GROUP BY 1, 2""")
@@ -516,3 +788,162 @@ def live_flow_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.live_flow_fold(p, "1 hour")
     ends = F.array_sort(F.array("client.ip", "server.ip"))
     return found.select(F.concat_ws("-", ends[0], F.substring_index(ends[1], ".", -1)).alias("pair"), "packets", (F.unix_micros("last_ts") - F.unix_micros("ts")).alias("us"))
+
+
+def _written(lines: DataFrame, name: str, suffix: str = "", by: str | None = None) -> str:
+    """One text column (and the column to partition by) as a folder of text files in the shared folder."""
+    path = scratch.new_path(lines.sparkSession, name) + suffix
+    writer = lines.write.partitionBy(by) if by else lines.write
+    writer.text(path)
+    return path
+
+
+@query(BASE + r""", x AS (SELECT seq, u, k, row_number() OVER (PARTITION BY u % 8 ORDER BY seq) - 1 AS line FROM e)
+SELECT 'code c' || (u % 3) AS item, CAST(sum(CASE k % 6 WHEN 4 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM x WHERE k % 6 >= 3 GROUP BY 1
+UNION ALL SELECT 'bad', count(*) FROM x WHERE k % 6 = 1
+UNION ALL SELECT 'line of ' || seq, line FROM x WHERE k % 6 = 3""")
+def json_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every kind, one file for each of eight users' groups, in order of the events."""
+    k = F.col("k")
+    doc = F.concat(F.lit('{"id":'), "seq", F.lit(',"event":{"code":"c'), F.col("u") % 3, F.lit('"}}'))
+    line = F.when(k % 6 == 0, "").when(k % 6 == 1, "{bad").when(k % 6 == 2, '{"index":{}}').when(k % 6 == 3, doc).when(k % 6 == 4, F.concat(F.lit("["), doc, F.lit(",5,"), doc, F.lit("]"))).otherwise(F.concat(F.lit('{"hits":{"hits":[{"_source":'), doc, F.lit("},{}]}}")))
+    e = Evidence(spark, sf_dir).events.select((F.col("u") % 8).alias("part"), "seq", line.alias("value")).repartition("part").sortWithinPartitions("part", "seq")
+    good, bad = records.read_json_records(spark, [_written(e.select("part", "value"), "lines", ".ndjson", "part")])
+    items = records.unwrap_envelope(good).select(F.concat(F.lit("code "), S.event_code(F.col("v"))).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    plain = F.try_variant_get("v", "$.id", "long")
+    lines = good.where(plain.isNotNull()).select(F.concat(F.lit("line of "), plain).alias("item"), F.col("line").alias("n"))
+    return items.unionByName(bad.groupBy(F.lit("bad").alias("item")).agg(F.count("*").alias("n"))).unionByName(lines)
+
+
+@query(_N1 + f"SELECT us, ts_raw, ref, code, host_name, ips, src_ip, identity FROM n UNION ALL SELECT count(*), NULL, NULL, code, issue, NULL, NULL, NULL FROM (SELECT code, issue, unnest(range(n)) FROM ({_QUALITY})) GROUP BY code, issue UNION ALL SELECT count(*), NULL, NULL, NULL, 'accepted', NULL, NULL, NULL FROM n")
+def windows_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, and loaded with their issues and counts."""
+    ev = Evidence(spark, sf_dir)
+    made = loaders.load_windows_sources(spark, [_written(_json_lines(ev).select("raw"), "windows", ".ndjson")], ev.ip_map)
+    none = [F.lit(None).cast("string").alias(c) for c in ("ts_raw", "ref", "ips", "src_ip", "identity")]
+    rows = made.rows.select(F.unix_micros("ts").alias("us"), "ts_raw", "ref", "code", "host_name", F.array_join("host_ips", ",").alias("ips"), "src_ip", "identity")
+    issues = made.issues.select(F.col("n").alias("us"), F.split_part("issue", F.lit(": "), F.lit(1)).alias("code"), F.split_part("issue", F.lit(": "), F.lit(2)).alias("host_name"), *none)
+    files = made.files.agg(F.sum("accepted_records").alias("us")).select("us", F.lit(None).cast("string").alias("code"), F.lit("accepted").alias("host_name"), *none)
+    return rows.unionByName(issues).unionByName(files)
+
+
+@query(BASE + f", r AS (SELECT *, {_REASON} AS reason FROM e WHERE event_type = 'error') SELECT 'aws:' || substr(sha256({_RECORD}), 1, 24) AS item, 1 AS n FROM r WHERE reason IS NULL UNION ALL SELECT reason, count(*) FROM r WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'raw', count(*) FROM r UNION ALL SELECT 'accepted', count(*) FROM r WHERE reason IS NULL UNION ALL SELECT 'hashed', count(*) FROM r WHERE reason IS NULL")
+def cloudtrail_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = loaders.load_cloudtrail_sources(spark, [_written(_cloud_lines(Evidence(spark, sf_dir)).select("raw"), "cloud", ".ndjson")])
+    one = made.rows.select(F.col("edge_id").alias("item"), F.lit(1).cast("long").alias("n"))
+    hashed = made.rows.where("length(evidence_refs[0].source_sha256) = 64").agg(F.count("*").alias("n")).select(F.lit("hashed").alias("item"), "n")
+    files = made.files.agg(F.sum("raw_records").alias("raw"), F.sum("accepted_records").alias("accepted")).select(F.explode(F.create_map(F.lit("raw"), "raw", F.lit("accepted"), "accepted")).alias("item", "n"))
+    return one.unionByName(made.issues.select(F.col("issue").alias("item"), "n")).unionByName(files).unionByName(hashed)
+
+
+_GROUPED = """, g AS (SELECT u % 6 AS part, string_agg(seq || ',' || event_type || chr(10), '' ORDER BY seq) AS body FROM e GROUP BY 1)"""
+
+
+@query(BASE + _GROUPED + "SELECT 'windows' AS role, CAST(length(body) AS BIGINT) AS size, sha256(body) AS sha256 FROM g")
+def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and hash of files that are written from events, one for each group of users."""
+    e = Evidence(spark, sf_dir).events.select((F.col("u") % 6).alias("part"), "seq", F.concat_ws(",", "seq", "event_type").alias("value")).repartition("part").sortWithinPartitions("part", "seq")
+    return records.evidence_descriptors(spark, [_written(e.select("part", "value"), "evidence", "", "part")], "windows").select("role", "size", "sha256")
+
+
+@query(BASE + "SELECT 'json' AS kind, seq, host_ip, port FROM p UNION ALL SELECT 'parquet', seq, host_ip, port FROM p")
+def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written by either sink, partitioned, and read back."""
+    k = F.col("k")
+    e = Evidence(spark, sf_dir).events.select("seq", F.concat(F.lit("10.0.0."), k % 5).alias("host_ip"), F.when(k % 3 == 0, 3389).when(k % 3 == 1, 445).otherwise(443).alias("port"), (k % 2).alias("case_name"))
+    parts = []
+    for kind in ("json", "parquet"):
+        path = scratch.new_path(spark, "results")
+        records.write_results(e, path, kind, ["case_name"])
+        back = spark.read.schema("seq long, host_ip string, port int, case_name int").format(kind).load(path)
+        parts.append(back.select(F.lit(kind).alias("kind"), "seq", "host_ip", "port"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(BASE + r""", x AS (SELECT 'f' || (seq % 3) || '.pcap' AS file, from_ip, host_ip, port, us + 90500000 AS us, k, 1000 + u % 7 AS sport FROM p WHERE event_type = 'view')
+SELECT file, from_ip AS src_ip, sport AS src_port, host_ip AS dst_ip, port AS dst_port, min(us) AS us, count(*) AS packets, CAST(sum(60 + k) AS BIGINT) AS bytes, CASE file WHEN 'f0.pcap' THEN sha256('zero') WHEN 'f1.pcap' THEN sha256('one') END AS source_sha256
+FROM x WHERE from_ip <> host_ip OR sport <> port GROUP BY ALL""")
+def network_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of three capture files with a corrected clock and the hashes of two of them."""
+    k, u = F.col("k"), F.col("u")
+    packets = Evidence(spark, sf_dir).events.where("event_type = 'view'").select(
+        "seq", "ts", F.concat(F.lit("10.0.0."), u % 5).alias("src_ip"), (F.lit(1000) + u % 7).cast("int").alias("src_port"), F.concat(F.lit("10.0.0."), k % 5).alias("dst_ip"), F.when(k % 3 == 0, 3389).when(k % 3 == 1, 445).otherwise(443).alias("dst_port"),
+        F.lit("tcp").alias("transport"), F.lit("S").alias("flags"), (F.lit(60) + k).alias("size"), F.concat(F.lit("f"), F.col("seq") % 3, F.lit(".pcap")).alias("source_file"),
+    )
+    hashes = spark.createDataFrame([("f0.pcap", "zero"), ("f1.pcap", "one")], "file_name string, body string").select("file_name", F.sha2("body", 256).alias("sha256"))
+    found = flows.load_network(packets, clock_offset=90.5, evidence=hashes)
+    return found.select(F.col("source_file").alias("file"), "src_ip", "src_port", "dst_ip", "dst_port", F.unix_micros("ts").alias("us"), "packets", "bytes", "source_sha256")
+
+
+@query(BASE + r"""
+SELECT DISTINCT 'host' AS item, 'H' || (k % 9) AS name, CAST(k % 3 AS VARCHAR) AS value FROM e WHERE k % 9 % 3 = k % 3 UNION ALL SELECT DISTINCT 'identity', 'CORP\u' || u, CAST(u % 3 AS VARCHAR) FROM e
+UNION ALL SELECT 'policy', '2024-01-01', '2024-12-31' UNION ALL SELECT DISTINCT 'complete_for', 'CORP\u' || u, 'on_prem' FROM e UNION ALL SELECT DISTINCT 'approved_path', 'CORP\u' || u, 'H1' FROM e
+UNION ALL SELECT DISTINCT 'approved_change', 'CORP\u' || u, 'H2' FROM e UNION ALL SELECT DISTINCT 'known_edge', 'CORP\u' || u, 'H' || (u % 4) FROM e UNION ALL SELECT DISTINCT 'ip', '10.0.0.' || (k % 9), 'H' || (k % 9) FROM e""")
+def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five context documents and the address map, written as JSON from events and loaded."""
+    e = Evidence(spark, sf_dir).events
+    name = F.concat(F.lit("CORP\\u"), "u")
+    folder = scratch.new_path(spark, "context")
+    users = e.select("u").distinct().select("u", name.alias("who"))
+    numbers = e.select((F.col("k") % 9).alias("n")).distinct()
+    host = F.concat(F.lit("H"), "n")
+    as_map = lambda df, key, value: df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+    listed = lambda *fields: F.collect_list(F.struct(*[v.alias(n) for n, v in fields]))
+    documents = {
+        "asset_tiers": as_map(numbers, host, F.struct((F.col("n") % 3).alias("tier"), (F.col("n") == 0).alias("critical"))).select(F.to_json(F.struct(F.col("m").alias("hosts")))),
+        "identity_roles": as_map(users, F.col("who"), F.struct((F.col("u") % 3).alias("justified_max_tier"))).select(F.to_json(F.struct(F.col("m").alias("identities")))),
+        "expected_admin_paths": users.agg(listed(("environment", F.lit("on_prem")), ("identity", F.col("who")), ("target_tier", F.lit(0))).alias("c"), listed(("identity", F.col("who")), ("via", F.lit("H1")), ("to_tier", F.lit(0))).alias("p")).select(F.to_json(F.struct(F.struct(F.lit("2024-01-01").alias("valid_from"), F.lit("2024-12-31").alias("valid_until"), F.col("c").alias("complete_for")).alias("policy_metadata"), F.col("p").alias("approved_paths")))),
+        "approved_changes": users.agg(listed(("identity", F.col("who")), ("target_host", F.lit("H2"))).alias("approved_changes")).select(F.to_json(F.struct("approved_changes"))),
+        "known_reachability": as_map(users, F.col("who"), F.array(F.concat(F.lit("H"), F.col("u") % 4))).select(F.to_json(F.struct(F.col("m").alias("known_edges")))),
+    }
+    for document, df in documents.items():
+        df.write.text(f"{folder}/{document}.json")
+    as_map(numbers, F.concat(F.lit("10.0.0."), "n"), host).select(F.to_json("m")).write.text(f"{folder}/map.json")
+    ctx = contexts.load_context_json(spark, folder)
+    row = lambda df, item, a, b: df.select(F.lit(item).alias("item"), F.col(a).alias("name"), F.col(b).cast("string").alias("value"))
+    parts = [row(ctx.hosts, "host", "host", "tier"), row(ctx.identities, "identity", "identity", "justified_max_tier"), row(ctx.policy, "policy", "valid_from", "valid_until"), row(ctx.complete_for, "complete_for", "identity", "environment")]
+    parts += [row(ctx.approved_paths, "approved_path", "identity", "via"), row(ctx.approved_changes, "approved_change", "identity", "target_host"), row(ctx.known_edges, "known_edge", "identity", "host"), row(contexts.load_ip_map(spark, f"{folder}/map.json"), "ip", "ip", "host")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(BASE + rf"""SELECT {_ISO} AS ts_raw, 'network' AS category, from_ip AS source_ip, 1000 AS source_port, from_ip AS client_ip, host_ip AS destination_ip, port AS destination_port, host_ip AS server_ip, 1 AS source_packets, 60 + k AS source_bytes, 0 AS destination_packets,
+  protocol, 'tcp' AS transport, 1 AS packets, 60 + k AS bytes, 0 AS duration, 'unknown' AS direction, 'sensor' AS observer FROM p WHERE event_type = 'view' AND k % 5 <> u % 5""")
+def nested_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of one packet each, in the nested layout of network logs."""
+    k, u = F.col("k"), F.col("u")
+    e = Evidence(spark, sf_dir).events.where("event_type = 'view' AND k % 5 <> u % 5")
+    packets = e.select("seq", "ts", F.concat(F.lit("10.0.0."), u % 5).alias("src_ip"), F.lit(1000).alias("src_port"), F.concat(F.lit("10.0.0."), k % 5).alias("dst_ip"), F.when(k % 3 == 0, 3389).when(k % 3 == 1, 445).otherwise(443).alias("dst_port"), F.lit("tcp").alias("transport"), F.lit("S").alias("flags"), (F.lit(60) + k).alias("size"), F.col("seq").alias("capture"))
+    n = flows.to_ecs(flows.flow_events(flows.fold_flows(packets, "capture")))
+    return n.select(
+        F.col("@timestamp").alias("ts_raw"), F.col("event.category")[0].alias("category"), F.col("source.ip").alias("source_ip"), F.col("source.port").alias("source_port"), F.col("client.ip").alias("client_ip"), F.col("destination.ip").alias("destination_ip"),
+        F.col("destination.port").alias("destination_port"), F.col("server.ip").alias("server_ip"), F.col("source.packets").alias("source_packets"), F.col("source.bytes").alias("source_bytes"), F.col("destination.packets").alias("destination_packets"),
+        "network.protocol", "network.transport", "network.packets", "network.bytes", F.col("event.duration").alias("duration"), "network.direction", F.col("observer.hostname").alias("observer"),
+    )
+
+
+@query(BASE + "SELECT 'H' || (k % 5) || '-' || (u % 20) AS edge_id, count(*) AS n FROM e WHERE event_type = 'click' GROUP BY 1 HAVING count(*) > 1")
+def duplicate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Evidence(spark, sf_dir).events.where("event_type = 'click'")
+    return graph.duplicate_edge_ids(e.select(F.concat(F.lit("H"), F.col("k") % 5, F.lit("-"), F.col("u") % 20).alias("edge_id")))
+
+
+@query(BASE + "SELECT (us // 43200000000 - i) * 43200000000 AS window_us, '10.0.0.' || (u % 5) AS src_ip, host_ip AS dst_ip, count(DISTINCT 1024 + k) AS distinct_ports FROM p, range(2) t(i) WHERE event_type = 'view' GROUP BY 1, 2, 3 HAVING count(DISTINCT 1024 + k) >= 2")
+def live_port_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.streaming import detect
+
+    e = Evidence(spark, sf_dir).events.where("event_type = 'view'")
+    x = e.select("ts", F.concat(F.lit("10.0.0."), F.col("u") % 5).alias("src_ip"), F.concat(F.lit("10.0.0."), F.col("k") % 5).alias("dst_ip"), (F.col("k") + 1024).alias("dst_port"), F.lit("tcp").alias("transport"))
+    found = detect.live_port_fan_out(x, 2, "1 day", "12 hours")
+    return found.select(F.unix_micros("window_start").alias("window_us"), "src_ip", "dst_ip", F.col("distinct_ports").cast("long").alias("distinct_ports"))
+
+
+@query(JOINED + f"SELECT {_EDGE_COLUMNS} FROM edges")
+def live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges as the stream makes them, on tables; tests hold the stream against this."""
+    from trailweave.streaming import detect
+
+    ev = Evidence(spark, sf_dir)
+    return _flat_edges(detect.live_edges(ev.logons, ev.flows, ev.privs, ev.creds, ev.ip_map, WINDOW, WINDOW, WINDOW))

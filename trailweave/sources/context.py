@@ -53,6 +53,6 @@ def load_context_json(spark: SparkSession, folder: str) -> Context:
 
 
 def load_ip_map(spark: SparkSession, path: str) -> DataFrame:
-    """(ip, host) from one JSON object of texts."""
+    """(pos, ip, host) from one JSON object of texts, in its order."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", "map<string, string>")).alias("ip", "host"))
+    return text.select(F.posexplode(F.from_json("value", "map<string, string>")).alias("pos", "ip", "host"))

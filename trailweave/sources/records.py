@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trailweave.functions import scalars as S
 
@@ -27,8 +28,7 @@ def read_json_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file")
     clean = lambda c: F.regexp_replace(c, "^﻿", "")
     if lines_of:
-        at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-        parts.append(spark.read.text(lines_of).select(name, at.getField("col2").alias("line"), clean(F.col("value")).alias("raw")))
+        parts.append(_numbered(spark.read.text(lines_of).select(name, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), clean(F.col("value")).alias("raw"))))
     if whole_of:
         texts = spark.read.text(whole_of, wholetext=True).select(name, clean(F.col("value")).alias("value"))
         one = F.try_parse_json("value")
@@ -39,6 +39,18 @@ def read_json_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     return rows.where("v is not null"), rows.where("v is null").select("source_file", "line")
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """(source_file, line, raw): each line with its number in its file, from 0.
+
+    Within a block of a file, lines are read one after the other; what comes before a block is summed
+    from one row for each block, so a large file is numbered by many tasks.
+    """
+    blocks = lines.groupBy("path", "block").agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    blocks = blocks.select("path", "block", "least", before.alias("before"))
+    return lines.join(blocks, ["path", "block"]).select("source_file", (F.col("before") + F.col("at") - F.col("least")).alias("line"), "raw")
+
+
 def require_no_bad(bad: DataFrame) -> None:
     """Raise if there are bad lines, naming one."""
     first = bad.orderBy("source_file", "line").first()
@@ -52,21 +64,23 @@ def _has(v: Column, path: str) -> Column:
 
 def unwrap_envelope(records: DataFrame) -> DataFrame:
     """Arrays to their object items, search responses to their ``_source`` (with ``_id`` as missing event id), bulk action lines dropped, all else itself."""
-    kind = F.schema_of_variant("v")
     keep = [c for c in records.columns if c not in ("v", "raw")]
-    marked = records.withColumn("_kind", kind)
-    hits = _has(F.col("v"), "$.hits.hits")
-    is_array = F.col("_kind").startswith("ARRAY")
-    many = lambda df, path: df.select(*keep, F.posexplode(F.try_variant_get("v", path, "array<variant>")).alias("item", "v"))
-    items = many(marked.where(is_array), "$").where(F.schema_of_variant("v").startswith("OBJECT")).select(*keep, "item", "v", F.lit(None).cast("string").alias("doc_id"))
-    found = many(marked.where(~is_array & hits), "$.hits.hits").where(_has(F.col("v"), "$._source"))
-    found = found.select(*keep, "item", F.try_variant_get("v", "$._source", "variant").alias("v"), F.try_variant_get("v", "$._id", "string").alias("doc_id"))
-    rest = marked.where(~is_array & ~hits).withColumn("item", F.lit(0))
-    single = rest.where(_has(F.col("v"), "$._source")).select(*keep, "item", F.try_variant_get("v", "$._source", "variant").alias("v"), F.try_variant_get("v", "$._id", "string").alias("doc_id"))
-    action = reduce(lambda a, b: a | b, [_has(F.col("v"), f"$.{k}") for k in _BULK]) & ~_has(F.col("v"), "$.event") & ~_has(F.col("v"), "$.winlog")
-    plain = rest.where(~_has(F.col("v"), "$._source") & ~action).select(*keep, "item", "v", F.lit(None).cast("string").alias("doc_id"))
-    out = items.unionByName(found).unionByName(single).unionByName(plain)
-    return out.withColumn("raw", F.to_json("v"))
+    v = F.col("v")
+    at = lambda x, path: F.try_variant_get(x, path, "variant")
+    item = lambda x, doc_id: F.struct(x.alias("v"), doc_id.alias("doc_id"))
+    none = F.lit(None).cast("string")
+    source = lambda x: item(at(x, "$._source"), F.try_variant_get(x, "$._id", "string"))
+    objects = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    hits = F.filter(F.try_variant_get(v, "$.hits.hits", "array<variant>"), lambda x: _has(x, "$._source"))
+    action = reduce(lambda a, b: a | b, [_has(v, f"$.{k}") for k in _BULK]) & ~_has(v, "$.event") & ~_has(v, "$.winlog")
+    inner = (
+        F.when(F.schema_of_variant(v).startswith("ARRAY"), F.transform(objects, lambda x: item(x, none)))
+        .when(_has(v, "$.hits.hits"), F.transform(hits, source))
+        .when(_has(v, "$._source"), F.array(source(v)))
+        .when(~action, F.array(item(v, none)))
+    )
+    out = records.select(*keep, F.posexplode(inner).alias("item", "x"))
+    return out.select(*keep, "item", "x.v", "x.doc_id").withColumn("raw", F.to_json("v"))
 
 
 def expand_cloudtrail(records: DataFrame) -> DataFrame:
@@ -128,6 +142,7 @@ def windows_records(records: DataFrame) -> DataFrame:
         S.host_ips(v).alias("host_ips"),
         get("$.winlog.computer_name").alias("computer_name"),
         get("$.winlog.record_id").alias("record_id"),
+        get("$.event.sequence").alias("sequence"),
         get("$.source.ip").alias("source_ip"),
         F.try_variant_get(v, "$.winlog.event_data", "map<string,string>").alias("data"),
         F.to_json(v).alias("raw"),

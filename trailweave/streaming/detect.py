@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trailweave.functions import scalars as S
 from trailweave.operators import detections
 from trailweave.operators import edges as E
 from trailweave.operators import flows as FL
@@ -100,16 +101,61 @@ def live_sequence(events: DataFrame, n_stages: int, max_span_seconds: float, lat
     return timed.groupBy("key").applyInPandasWithState(_sequence_step(n_stages, max_span_seconds), "key string, seqs string", "pending array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_edges(logons: DataFrame, flows: DataFrame, window: float = E.FLOW_WINDOW, lateness: str = "1 minute") -> DataFrame:
-    """Logons with the latest compatible flow before them: a watermarked stream-stream join, the latest flow of each logon once its window has closed.
+def _span(seconds: float) -> Column:
+    return F.expr(f"make_dt_interval(0, 0, 0, {float(seconds)})")
 
-    ``logons``: seq, ts, src_ip, host_ips, logon_type; ``flows``: ts, seq, src_ip, dst_ip, dst_port, ref.
+
+def live_edges(
+    logons: DataFrame, flows: DataFrame, privs: DataFrame, creds: DataFrame, ip_map: DataFrame,
+    flow_window: float = E.FLOW_WINDOW, privilege_window: float = E.PRIVILEGE_WINDOW, credential_window: float = E.CREDENTIAL_WINDOW, lateness: str = "1 minute",
+) -> DataFrame:
+    """Edges of a stream (append mode), as ``operators.edges.materialize_edges`` makes them of tables, with ``seq`` and ``ts`` of the logon.
+
+    Inputs are those of ``operators.edges``; ``ip_map`` is a table.  The events that may bear on a logon
+    are joined to it by watermarked stream-stream joins on equal keys and a time range, as (kind, event)
+    rows of one union; one aggregation for each logon then takes the latest flow, the first privilege and
+    the session of the credential uses, and gives the edge once the watermark has passed the logon's
+    instant, when none of them can come any more (privileges come up to their window later: the join
+    holds the logon's rows back until then).  Of equal edges the first in a stretch of ten minutes stays.
     """
-    from trailweave.functions import scalars as S
-
-    left = logons.withWatermark("ts", lateness).select("seq", "ts", "src_ip", F.explode("host_ips").alias("dst_ip"), S.service_of_logon_type(F.col("logon_type")).alias("service"))
-    right = flows.withWatermark("ts", lateness).select(F.col("ts").alias("flow_ts"), F.col("seq").alias("flow_seq"), F.col("src_ip").alias("f_src"), F.col("dst_ip").alias("f_dst"), S.service_of_port(F.col("dst_port")).alias("f_service"), F.col("ref").alias("flow_ref"))
-    span = F.expr(f"make_dt_interval(0, 0, 0, {float(window)})")
-    on = (F.col("src_ip") == F.col("f_src")) & (F.col("dst_ip") == F.col("f_dst")) & (F.col("service") == F.col("f_service")) & (F.col("flow_ts") <= F.col("ts")) & (F.col("flow_ts") >= F.col("ts") - span)
-    joined = left.join(right, on)
-    return joined.groupBy(F.window("ts", "1 second").alias("w"), "seq").agg(F.max_by(F.struct("flow_ref", F.col("f_dst").alias("target_ip"), F.col("f_service").alias("service")), F.struct("flow_ts", "flow_seq")).alias("hit")).select("seq", "hit.flow_ref", "hit.target_ip", "hit.service")
+    timed = lambda df: df.withWatermark("ts", lateness)
+    held = ["seq", "ts", "ts_raw", "host_name", "src_ip", "identity", "logon_id", "ref"]
+    base = timed(logons).select(*held, F.explode(F.array_distinct("host_ips")).alias("dst_ip"), S.service_of_logon_type(F.col("logon_type")).alias("service")).where("service is not null and dst_ip is not null")
+    row = F.struct("ts_raw", "host_name", "src_ip", "identity", "logon_id", "ref")
+    event = "struct<at: timestamp, order: long, ref: string, target_ip: string, service: string, who: string, session: string, server: string>"
+    made = lambda at, order, ref, target=None, service=None, who=None, session=None, server=None: F.struct(*[(F.lit(None) if c is None else c).alias(n) for n, c in (("at", at), ("order", order), ("ref", ref), ("target_ip", target), ("service", service), ("who", who), ("session", session), ("server", server))]).cast(event)
+    out = lambda joined, kind, what: joined.select("seq", "ts", row.alias("logon"), F.lit(kind).alias("kind"), what.alias("event"))
+
+    f = timed(flows).select(F.col("ts").alias("o_ts"), F.col("seq").alias("o_seq"), F.col("src_ip").alias("o_src"), F.col("dst_ip").alias("o_dst"), S.service_of_port(F.col("dst_port")).alias("o_service"), F.col("ref").alias("o_ref"))
+    on = F.col("src_ip").eqNullSafe(F.col("o_src")) & (F.col("dst_ip") == F.col("o_dst")) & (F.col("service") == F.col("o_service")) & (F.col("o_ts") <= F.col("ts")) & (F.col("o_ts") >= F.col("ts") - _span(flow_window))
+    by_flow = out(base.join(f, on), "flow", made(F.col("o_ts"), F.col("o_seq"), F.col("o_ref"), F.col("o_dst"), F.col("o_service")))
+
+    p = timed(privs).select(F.col("ts").alias("o_ts"), F.col("seq").alias("o_seq"), F.explode(F.array_distinct("host_ips")).alias("o_ip"), F.col("identity").alias("o_identity"), F.col("logon_id").alias("o_logon"), F.col("ref").alias("o_ref"))
+    on = F.col("logon_id").eqNullSafe(F.col("o_logon")) & F.col("identity").eqNullSafe(F.col("o_identity")) & (F.col("dst_ip") == F.col("o_ip")) & (F.col("o_ts") >= F.col("ts")) & (F.col("o_ts") <= F.col("ts") + _span(privilege_window))
+    by_privilege = out(base.join(p, on), "privilege", made(F.col("o_ts"), F.col("o_seq"), F.col("o_ref")))
+
+    c = timed(creds).where("coalesce(subject_logon_id, '') != ''").select(F.col("ts").alias("o_ts"), F.col("seq").alias("o_seq"), F.explode(F.array_distinct("host_ips")).alias("o_ip"), "subject_identity", "target_identity", "subject_logon_id", "target_server", F.col("ref").alias("o_ref"))
+    on = (F.col("src_ip") == F.col("o_ip")) & F.col("identity").eqNullSafe(F.col("target_identity")) & (F.col("o_ts") <= F.col("ts")) & (F.col("o_ts") >= F.col("ts") - _span(credential_window))
+    by_credential = out(base.join(c, on), "credential", made(F.col("o_ts"), F.col("o_seq"), F.col("o_ref"), F.col("dst_ip"), None, F.col("subject_identity"), F.col("subject_logon_id"), F.col("target_server")))
+
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    every = by_flow.unionByName(by_privilege).unionByName(by_credential)
+    found = every.groupBy(F.window("ts", "1 second").alias("w"), "seq", "ts").agg(
+        F.first("logon").alias("logon"),
+        F.max_by(of("flow", F.col("event")), of("flow", F.struct("event.at", "event.order"))).alias("flow"),
+        F.min_by(of("privilege", F.col("event.ref")), of("privilege", F.col("event.order"))).alias("privilege_ref"),
+        F.collect_set(of("credential", F.col("event"))).alias("uses"),
+    )
+    found = found.where("flow is not null").select("seq", "ts", "logon.*", "privilege_ref", F.col("flow.ref").alias("flow_ref"), F.col("flow.target_ip").alias("target_ip"), F.col("flow.service").alias("service"), "uses")
+    names = ip_map.groupBy("ip").agg(F.min("host").alias("host"))
+    mapped = lambda df, ip, name: df.join(names.select(F.col("ip").alias(f"{name}_ip"), F.col("host").alias(name)), F.col(ip) == F.col(f"{name}_ip"), "left").drop(f"{name}_ip")
+    found = mapped(mapped(found, "src_ip", "source_mapped"), "target_ip", "target_mapped")
+    table = names.select(F.struct("ip", "host").alias("x")).agg(F.map_from_entries(F.collect_list("x")).alias("m")).scalar()  # the address map, as small as a document
+    fits = lambda u: S.host_equivalent(u["server"], F.element_at(F.col("map"), F.trim(u["server"])), F.col("host_name"), F.col("target_ip"), F.col("target_mapped"))
+    found = found.withColumn("map", table).withColumn("fitting", F.array_sort(F.filter("uses", fits)))
+    sessions = F.array_distinct(F.transform("fitting", lambda u: u["session"]))
+    found = found.withColumns({"single": F.size(sessions) == 1, "first": F.get("fitting", F.lit(0))})
+    transition = F.when(F.size("fitting") > 0, F.struct(F.col("first.who").alias("from_identity"), F.col("identity").alias("to_identity"), F.when(F.col("single"), "confirmed").otherwise("unknown").alias("state"), F.col("first.ref").alias("evidence_ref")))
+    found = found.withColumn("edge_id", S.edge_id(F.col("host_name"), F.col("identity"), F.col("logon_id"), F.col("ts_raw"), F.col("src_ip")))
+    made_edges = E.edge_columns(found.withColumns({"credential_transition": transition, "source_logon_id": F.when(F.col("single"), F.col("first.session")), "mapped": F.col("source_mapped")}))
+    return made_edges.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["edge_id"]) if logons.isStreaming else made_edges.dropDuplicates(["edge_id"])
