@@ -8,21 +8,34 @@ exact); a pair whose upper bound stays below the threshold is settled, a pair wh
 lower bound reaches it is a link, and only the pairs in between are computed again in
 double precision from the original components.
 
-Work: the vectors are dealt into blocks of ``BLOCK`` rows, and each pair of blocks is
-one group of at most 2 * BLOCK rows, so memory is bounded and no pair of vectors is
+Work: comparing all vectors is quadratic by definition, so they are dealt into few, large
+blocks: as many as memory asks for (``BLOCK_VALUES`` components a block), or, for a small
+table, a grid of about the square root of the tasks, so each vector travels to few pairs
+of blocks.  A block holds vectors that are nearest to the same pivot (some vectors of the
+table, chosen by a hash); a large cell is cut into several blocks by a hash.  With the
+angle r of a cell's farthest vector from its pivot, a vector whose angle to the pivot
+exceeds r plus the threshold's angle can't link with any vector of the cell (triangle
+inequality), and isn't sent there.  Memory is bounded and no pair of vectors is
 ever a row: a block pair returns a link count for each vector and, for the components,
 one edge from each linked vector to the smallest vector of its piece.  Equal vectors
 collapse to one row with a weight first, so large groups of copies cost one row.
-Comparing all vectors is quadratic work by definition; blocks spread it evenly.
+
+Lengths of vectors: each length is compared by itself.  The ``LENGTHS`` most frequent
+ones have pivots (at most ``PIVOTS`` each, which reach the driver); any other length is
+dealt by the hash alone, with the same result.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link
 with nothing; vectors of different lengths never link; a null id is passed through
 without links; rows that repeat an id are linked like other rows and add up under
-their id; an empty table gives an empty table; other columns are ignored.
+their id; an empty table gives an empty table; other columns, whatever their names, are
+ignored; ties can't occur, as a pair links or doesn't.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +44,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import table
 
-BLOCK = 4096
+BLOCK_VALUES, LEAST_ROWS = 1 << 21, 1024
+PIVOTS, LENGTHS = 4096, 16
 _TILE = 1024
 _SLACK = 1e-6  # covers the rounding of the bounds themselves
+_EXACT = 1024  # so many products of codes add up exactly in float32
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,8 +65,8 @@ def _tile_links(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.nd
     """Index pairs of two quantised tiles whose cosine reaches the threshold."""
     (ua, qa, sa, ea), (ub, qb, sb, eb) = a, b
     worst = ea.max() + eb.max() + ea.max() * eb.max() + _SLACK
-    product = qa @ qb.T
-    i, j = np.nonzero(product >= np.float32((threshold - worst) / (sa.max() * sb.max()) * (1 - 1e-6)) if threshold > worst else np.ones(product.shape, bool))
+    product = qa @ qb.T if qa.shape[1] <= _EXACT else sum((qa[:, k : k + _EXACT] @ qb[:, k : k + _EXACT].T).astype(np.float64) for k in range(0, qa.shape[1], _EXACT))
+    i, j = np.nonzero(product >= product.dtype.type((threshold - worst) / (sa.max() * sb.max()) * (1 - 1e-6)) if threshold > worst else np.ones(product.shape, bool))
     about = sa[i] * sb[j] * product[i, j].astype(np.float64)
     bound = ea[i] + eb[j] + ea[i] * eb[j] + _SLACK
     linked = about - bound >= threshold
@@ -74,13 +89,19 @@ def _block_pair(rows: pa.Table, threshold: float) -> pa.Table:
     left = len(ids) if alone else int((side == 0).sum())
     first, second = range(0, left, _TILE), range(0 if alone else left, len(ids), _TILE)
     count = np.zeros(len(ids), np.int64)
-    piece = np.arange(len(ids))
-
-    def root(k: int) -> int:
-        while piece[k] != k:
-            piece[k] = piece[piece[k]]
-            k = piece[k]
-        return k
+    rank = np.argsort(np.argsort(ids, kind="stable"))
+    piece = np.arange(len(ids))  # by rank: the smallest rank of the piece known so far
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal piece
+        while True:
+            low, high = np.minimum(piece[a], piece[b]), np.maximum(piece[a], piece[b])
+            go = low < high
+            if not go.any():
+                return
+            np.minimum.at(piece, high[go], low[go])
+            while not np.array_equal(piece, piece[piece]):
+                piece = piece[piece]
 
     for p in first:
         for q in second:
@@ -93,39 +114,112 @@ def _block_pair(rows: pa.Table, threshold: float) -> pa.Table:
                 i, j = i[i < j], j[i < j]
             np.add.at(count, i, weight[j])
             np.add.at(count, j, weight[i])
-            for a in np.unique(i):
-                near = j[i == a] if len(i) < 4096 else j[np.searchsorted(i, a) : np.searchsorted(i, a, side="right")]
-                tops = {root(k) for k in near.tolist()} | {root(int(a))}
-                least = min(tops, key=lambda k: ids[k])
-                for k in tops:
-                    piece[k] = least
-    tops = np.array([root(k) for k in range(len(ids))], np.int64) if len(ids) else piece
+            join(rank[i], rank[j])
+    ordered = np.empty(len(ids), np.int64)
+    ordered[rank] = ids
     hit = count > 0
-    return pa.table({"vec": pa.array(ids[hit], pa.int64()), "links": pa.array(count[hit]), "other": pa.array(ids[tops[hit]], pa.int64())})
-
-
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
+    return pa.table({"vec": pa.array(ids[hit], pa.int64()), "links": pa.array(count[hit]), "other": pa.array(ordered[piece[rank[hit]]], pa.int64())})
+
+
+class Cells:
+    """The pivots of one length, with each cell's radius, blocks and first block (known after the first pass)."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.radius, self.blocks, self.base = np.zeros(len(pivots)), np.ones(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.arccos(np.clip(unit @ self.pivots.T, -1, 1))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(length, rows of that length, their vectors) of batches with the columns size and embedding."""
+    for batch in batches:
+        sizes = batch.column(batch.schema.names.index("size")).to_numpy()
+        for size in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == size)
+            for lo in range(0, len(of), rows):
+                own = batch.take(pa.array(of[lo : lo + rows]))
+                yield size, own, own.column(own.schema.names.index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, size)
+
+
+def _spread(batches: Iterator[pa.RecordBatch], cells: dict[int, Cells]) -> Iterator[pa.RecordBatch]:
+    """(size, cell, vectors, angle of the farthest) of parts of each cell."""
+    for size, own, x in _by_length(batches):
+        angle = cells[size].angles(x)
+        cell = angle.argmin(axis=1)
+        n = np.bincount(cell, minlength=angle.shape[1])
+        far = np.zeros(angle.shape[1])
+        np.maximum.at(far, cell, angle.min(axis=1))
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size), pa.int32()), pa.array(k, pa.int32()), pa.array(n[k], pa.int64()), pa.array(far[k])], names=["size", "cell", "n", "far"])
+
+
+def _route(batches: Iterator[pa.RecordBatch], cells: dict[int, Cells], reach: float) -> Iterator[pa.RecordBatch]:
+    """Each vector (vec, weight, draw, blocks, size, embedding) once for each pair of blocks in which it may find links."""
+    for size, own, x in _by_length(batches):
+        vec, weight, draw, blocks, _, vectors = own.columns
+        draw = draw.to_numpy()
+        if size in cells:
+            c = cells[size]
+            angle = c.angles(x)
+            cell = angle.argmin(axis=1)
+            mine = c.base[cell] + draw % c.blocks[cell]
+            row, near = np.nonzero((angle <= c.radius + reach) | (np.arange(angle.shape[1]) == cell[:, None]))
+            times, base = c.blocks[near], c.base[near]
+        else:
+            row, times, base = np.arange(len(draw)), blocks.to_numpy(), np.zeros(len(draw), np.int64)
+            mine = draw % times
+        at = np.repeat(np.arange(len(row)), times)
+        other = base[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        row = row[at]
+        i, j = np.minimum(mine[row], other), np.maximum(mine[row], other)
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size), pa.int32()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array((mine[row] > other).astype(np.int32)), vec.take(take), weight.take(take), vectors.take(take)], names=["size", "i", "j", "side", "vec", "weight", "embedding"])
+
+
+def _cells(reps: DataFrame, sizes: DataFrame, values: int, grid: int) -> dict[int, Cells]:
+    """Pivots, radii and blocks of the most frequent lengths; at most PIVOTS short rows of each reach the driver."""
+    top = sizes.where(f"n > {LEAST_ROWS}").orderBy(F.desc("n"), "size").limit(LENGTHS).collect()
+    if not top:
+        return {}
+    rows = {r["size"]: max(1, values // r["size"]) for r in top}
+    wanted = {r["size"]: min(PIVOTS // 2, max(-(-r["n"] // rows[r["size"]]), min(grid, -(-r["n"] // LEAST_ROWS)))) for r in top}
+    every = F.element_at(F.create_map(*[F.lit(v) for r in top for v in (r["size"], max(1, r["n"] // wanted[r["size"]]))]), F.col("size"))
+    known = reps.where(F.col("size").isin(list(rows)))
+    drawn: dict[int, list] = {}
+    for r in known.where(F.pmod(F.xxhash64(F.lit(7), "rep"), every) == 0).orderBy("rep").select("size", "embedding").collect():
+        drawn.setdefault(r["size"], []).append(r.embedding)
+    cells = {}
+    for size, found in drawn.items():
+        x = np.array(found[:PIVOTS], np.float64)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        cells[size] = Cells(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    if cells:
+        parts = known.where(F.col("size").isin(list(cells))).select("size", "embedding").mapInArrow(lambda it: _spread(it, cells), "size int, cell int, n long, far double")
+        for r in parts.groupBy("size", "cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect():
+            cells[r["size"]].radius[r.cell], cells[r["size"]].blocks[r.cell] = r.far + _SLACK, -(-r.n // rows[r["size"]])
+    for c in cells.values():
+        c.base = np.cumsum(c.blocks) - c.blocks
+    return cells
+
+
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row; links are pairs of vectors with cosine >= ``threshold``."""
-    spark = vectors.sparkSession
     x = F.col(embedding).cast("array<double>")
     good = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     own = table(vectors.select(F.col(vec_id).cast("long").alias("vec"), F.when(good, F.col(embedding)).alias("embedding")).withColumn("key", F.xxhash64("embedding")), "vectors")
     good_rows = own.where("embedding is not null and vec is not null")
     reps = good_rows.groupBy("key", "embedding").agg(F.min("vec").alias("rep"), F.count("*").alias("weight"))
     reps = table(reps.withColumn("size", F.size("embedding")), "representatives")
-    sizes = [r["size"] for r in reps.select("size").distinct().collect()]  # the lengths of vectors: one in any sound table
-    found = None
-    for size in sizes:
-        part = reps.where(F.col("size") == size)
-        blocks = max(1, -(-part.count() // block))
-        part = part.select(F.col("rep").alias("vec"), "weight", "embedding", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("of"))
-        others = F.sequence(F.lit(0), F.lit(blocks - 1))
-        pairs = part.withColumn("other", F.explode(others)).select(
-            F.least("of", "other").alias("i"), F.greatest("of", "other").alias("j"), F.when(F.col("of") <= F.col("other"), 0).otherwise(1).alias("side"), "vec", "weight", "embedding"
-        )
-        links = pairs.groupBy("i", "j").applyInArrow(lambda t: _block_pair(t, threshold), "vec long, links long, other long")
-        found = links if found is None else found.unionByName(links)
-    found = table(found if found is not None else spark.createDataFrame([], "vec long, links long, other long"), "found")
+    sizes = table(reps.groupBy("size").agg(F.count("*").alias("n")), "sizes")
+    cells = _cells(reps, sizes, block_values, math.ceil(math.sqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    dealt = reps.join(sizes, "size").select(F.col("rep").alias("vec"), "weight", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)).alias("draw"), F.ceil(F.col("n") * F.col("size") / block_values).cast("long").alias("blocks"), "size", "embedding")
+    kind = reps.schema["embedding"].dataType.simpleString()
+    pairs = dealt.mapInArrow(lambda it: _route(it, cells, math.acos(threshold) + _SLACK), f"size int, i long, j long, side int, vec long, weight long, embedding {kind}")
+    found = table(pairs.groupBy("size", "i", "j").applyInArrow(lambda t: _block_pair(t, threshold), "vec long, links long, other long"), "found")
     rep_links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     label = table(components(found.select(F.col("vec").alias("a"), F.col("other").alias("b"))), "labels")
     reps = reps.select("key", F.col("embedding").alias("rep_embedding"), "rep", "weight").join(rep_links.withColumnRenamed("vec", "rep"), "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
