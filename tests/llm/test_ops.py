@@ -26,9 +26,9 @@ def clashing(frame):
 
 
 def unharmed(frame, but=()):
-    for c in CLASH:
-        if c.lower() not in {b.lower() for b in but}:
-            assert {r[0] for r in frame.select(F.col(f"`{c}`")).collect()} == {f"mine {c}"}, c
+    names = [c for c in CLASH if c not in but]
+    rows = frame.select(*[F.col(f"`{c}`") for c in names]).distinct().collect()
+    assert [tuple(r) for r in rows] == [tuple(f"mine {c}" for c in names)]
 
 
 def corpus():
@@ -120,13 +120,16 @@ def test_a_chain_of_copies_is_one_component(spark):
     assert {r.component_id for r in got} == {89}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block_values": 16 * 16}, {"block_values": 16 * 7}])
+@pytest.mark.parametrize("least", [1024, 5])
+def test_embeddings(spark, monkeypatch, sizes, least):
+    monkeypatch.setattr(embed_dedup, "LEAST_ROWS", least)  # so that small tables have pivots too
     rnd = np.random.default_rng(2)
     base = rnd.normal(size=(40, 16))
     near = base[:10] + 0.12 * rnd.normal(size=(10, 16))
     rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.concatenate((base, near, near[:3], 5 * base[:2])))]
     rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] + [1.0] * 15), (904, [1.0]), (905, [float("inf")] + [0.0] * 15)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=16).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), **sizes).collect()}
     x = np.array([v for i, v in rows if i < 900], np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1)[:, None]
     link = x @ x.T >= 0.95
@@ -138,6 +141,19 @@ def test_embeddings(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_long_vectors_and_pruned_cells(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LEAST_ROWS", 5)
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(8, 1500))
+    x = np.concatenate([c + rnd.choice([0.05, 0.2, 0.5]) * rnd.normal(size=(25, 1500)) for c in centres])
+    x[0], x[1] = np.sign(x[0]), np.sign(x[0])  # flat vectors, the largest products
+    x[1, :37] *= -1
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_values=1500 * 20).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert got == {i: int(n) - 1 for i, n in enumerate((x @ x.T >= 0.95).sum(axis=1))} and len(set(got.values())) > 2
+
+
 def test_quantisation_bounds_hold():
     x = np.random.default_rng(1).normal(size=(200, 64))
     unit, codes, step, rest = embed_dedup.quantise(x)
