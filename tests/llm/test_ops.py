@@ -77,8 +77,9 @@ def test_substrings(docs, none, sizes):
     assert odd.count() == docs.count()
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_near_duplicates(spark, docs, none, percent):
+@pytest.mark.parametrize("percent,few", [(85, 8), (80, 8), (80, 0)])
+def test_near_duplicates(spark, monkeypatch, docs, none, percent, few):
+    monkeypatch.setattr(minmax, "FEW", few)
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
     for i, t in known():
@@ -98,6 +99,34 @@ def test_near_duplicates(spark, docs, none, percent):
     assert len(got) == docs.count()
     assert minmax.near_duplicates(none).count() == 0
     assert minmax.keep_one(docs, percent=percent).columns == docs.columns
+    unharmed(minmax.keep_one(clashing(docs), percent=percent))
+
+
+@pytest.mark.parametrize("few,rounds", [(8, 4), (0, 1), (0, 9)])
+def test_groups_that_are_alike_but_for_their_leader(spark, monkeypatch, few, rounds):
+    monkeypatch.setattr(minmax, "FEW", few)
+    monkeypatch.setattr(minmax, "ROUNDS", rounds)
+    rnd = random.Random(3)
+    core = ["c%d" % i for i in range(150)]
+    rows = []
+    for family in range(4):  # each is alike, and shares with the others just less than the threshold
+        tail = ["f%d-%d" % (family, i) for i in range(27)]
+        for k in range(12):
+            words = core + tail + ["x%d-%d" % (family, rnd.randint(0, 3)) for _ in range(rnd.randint(0, 4))]
+            rows.append((family * 100 + k, " ".join(words)))
+    rows += [(5, " ".join(core[:60])), (950, " ".join(core[:60] + ["y"])), (5, rows[20][1])]  # an id with two texts
+    sets = defaultdict(list)
+    for i, t in rows:
+        w = t.split()
+        sets[i].append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    label = {i: i for i in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=80, bands=36).collect()
+    assert {r.doc_id: r.component_id for r in got} == label and len(set(label.values())) > 2
 
 
 def test_bands_follow_from_the_threshold(docs, monkeypatch):
