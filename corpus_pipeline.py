@@ -1,9 +1,16 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept;
-all but the last return the columns of ``documents``.  ``run`` writes each stage's
-result as Parquet in the shared folder and reads it back, so a lost executor costs no
-more than one stage's tasks.
+all but the last return the columns of ``documents``, whatever columns those are.  The
+operators see the columns they need and the rest as one struct, so no column of
+``documents`` can clash with a result.  ``run`` writes each stage's result as Parquet in
+the shared folder and reads it back, so a lost executor costs no more than one stage's tasks.
+
+Defined cases, by stage, are those of its operator: a null or empty text goes in the
+first stage (as do very short ones); a null id is kept through the others, and counts as
+a document of its own; rows that repeat an id are judged and cut each, and stay or go
+together as near-duplicates of others; of equal documents the smallest id stays; very
+long texts are handled whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,26 +28,28 @@ END_ID, CAPACITY = 2, 1024
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence from their language let pass."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    whole = F.struct(*shared.pick(docs.columns)).alias("row")
+    return quality.judge(docs.select(whole, "text", "lang")).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return minmax.keep_one(docs, percent=SIMILARITY).select(*docs.columns)
+    return minmax.keep_one(docs, percent=SIMILARITY).select(*shared.pick(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that an earlier document holds."""
-    cut = substrings.remove_repeats(docs)
+    """All documents, without the words of passages that an earlier document holds; n_chars follows."""
+    rest = F.struct(F.lit(0).alias("none"), *shared.pick(shared.others(docs, "doc_id", "text", "n_chars"))).alias("row")
+    cut = substrings.remove_repeats(docs.select("doc_id", "text", rest))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its place in a sequence."""
+    """The pieces of all documents with their ids, each with its place in a sequence; ``packing.sequences`` puts them together."""
     pieces = packing.cut(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), END_ID, CAPACITY)
-    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(pieces, by=["doc_id", "piece"], capacity=CAPACITY)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")), by=["doc_id", "piece"], capacity=CAPACITY)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -73,7 +74,7 @@ def test_pipeline(spark, tmp_path):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
         at = 0
         for r in sorted(got[i], key=lambda r: r.piece):
-            assert (r.start, r.ids_crc32) == (at, zlib.crc32(ids[at : at + r.length].tobytes()))
+            assert (r.start, r.ids_crc32, bytes(r.ids)) == (at, zlib.crc32(ids[at : at + r.length].tobytes()), ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
     for items in bins.values():
@@ -85,7 +86,12 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_stages_keep_the_columns_of_documents(spark):
-    docs = spark.createDataFrame(corpus()[0], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([*corpus()[0], (None, None, None, None, None), (None, "the of and to in is " * 30, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = ["n_words", "kept", "row", "own0", "_text", "a.b", "Kept_Text", "component_id", "ids"]
+    docs = docs.withColumns({c: F.lit(f"mine {c}") for c in odd})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns
+        made = stage(spark, docs, "")
+        assert made.columns == docs.columns
+        assert [tuple(r) for r in made.select(*[F.col(f"`{c}`") for c in odd]).distinct().collect()] == [tuple(f"mine {c}" for c in odd)]
         assert stage(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
