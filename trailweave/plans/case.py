@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.operators import checks, edges, flows, graph, hybrid, policy, windows
+from trailweave.sources import scratch
 
 TOOL_VERSION = "1.0"
 
@@ -34,21 +35,28 @@ class Case:
 
 
 def reconstruct_case(packets: DataFrame, windows_events: DataFrame, cloud_records: DataFrame | None, ip_map: DataFrame, ctx: policy.Context, params: Params | None = None, clock_offset: float = 0.0) -> Case:
-    """All datasets of a case, lazily.  The edges have three consumers; call ``case.pivot_edges.persist()`` or write them before using several."""
+    """All datasets of a case.
+
+    Each of them has several consumers, so each is written as a table in the shared folder and read back:
+    it is computed once, and a lost executor costs no more than its own tasks.
+    """
+    kept = scratch.table
     p = params or Params()
-    network = flows.load_network(packets, clock_offset=clock_offset)
-    events = windows.normalize_windows_events(windows_events, ip_map)
+    network = kept(flows.load_network(packets, clock_offset=clock_offset), "flows")
+    events = kept(windows.normalize_windows_events(windows_events, ip_map), "events")
     logons, privs, creds = windows.split_events(events)
     flow_refs = network.withColumn("ref", flow_ref())
-    pivot = edges.materialize_edges(flow_refs, logons, privs, creds, ip_map, p.flow_window, p.privilege_window, p.credential_window, p.strict_keys)
-    findings = policy.classify(pivot, ctx, p.continuation_minutes)
+    found_edges = edges.materialize_edges(flow_refs, logons, privs, creds, ip_map, p.flow_window, p.privilege_window, p.credential_window, p.strict_keys)
+    pivot = kept(found_edges, "edges")
+    findings = kept(policy.classify(pivot, ctx, p.continuation_minutes), "findings")
     lifted = hybrid.pivot_to_reachability(pivot)
     quality = windows.windows_quality(events).select(F.lit("windows").alias("source"), F.concat_ws(": ", "code", "issue").alias("issue"), "n")
     if cloud_records is not None:
-        records = hybrid.assume_role_records(cloud_records)
+        records = kept(hybrid.assume_role_records(cloud_records), "cloud")
         lifted = hybrid.unify_edges(lifted, records.where("reason is null").drop("reason", "source_file"))
         reasons, _ = windows.cloudtrail_quality(records)
         quality = quality.unionByName(reasons.select(F.lit("cloud").alias("source"), F.col("reason").alias("issue"), "n"))
+    lifted = kept(lifted, "reachability")
     found = checks.check_pivot_edges(pivot).withColumn("contract", F.lit("pivot_edge"))
     for name, df in (("edge_semantics", checks.check_edge_semantics(pivot)), ("reachability_edge", checks.check_reachability_edges(lifted)), ("finding", checks.check_findings(findings))):
         found = found.unionByName(df.withColumn("contract", F.lit(name)))

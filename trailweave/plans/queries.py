@@ -121,6 +121,11 @@ def _edges(ev: Evidence) -> DataFrame:
     return edges.materialize_edges(ev.flows, ev.logons, ev.privs, ev.creds, ev.ip_map, WINDOW, WINDOW, WINDOW)
 
 
+def _kept_edges(ev: Evidence) -> DataFrame:
+    """Edges for queries that use them more than once, written and read back."""
+    return scratch.table(_edges(ev), "edges")
+
+
 _MINUTES = WINDOW / 60
 
 
@@ -171,7 +176,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ADDRESSES = BASE + r""", x AS (SELECT seq, u, k, lower(printf('%x', k)) AS h FROM e)
+_ADDRESSES = BASE + r""", x AS (SELECT seq, u, k, lower(printf('%x', k + 1)) AS h FROM e)
 SELECT seq, CASE k % 8 WHEN 0 THEN '2001:db8::' || h WHEN 1 THEN '1:0:0:2::' || h WHEN 2 THEN 'host ' || u WHEN 3 THEN '::ffff:999.1.1.' || u WHEN 4 THEN '10.0.' || (k // 256) || '.' || (k % 256)
   WHEN 5 THEN 'fe80::' || h || '%eth0' WHEN 6 THEN '-' END AS ip FROM x"""
 
@@ -181,12 +186,12 @@ def canonical_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("k"), F.col("u")
     digits = F.lower(F.hex("k"))
     forms = [
-        F.concat(F.lit("2001:DB8:0:0:0::"), F.lpad(digits, 4, "0")),
-        F.concat(F.lit("1:0:0:2:0:0:0:"), F.upper(digits)),
+        F.concat(F.lit("2001:DB8:0:0:0::"), F.lpad(F.lower(F.hex(k + 1)), 4, "0")),
+        F.concat(F.lit("1:0:0:2:0:0:0:"), F.upper(F.hex(k + 1))),
         F.concat(F.lit(" host "), u, F.lit("\t")),
         F.concat(F.lit(" ::ffff:999.1.1."), u),
         F.concat(F.lit("::FFFF:0a00:"), digits),
-        F.concat(F.lit("FE80:0::"), digits, F.lit("%eth0")),
+        F.concat(F.lit("FE80:0::"), F.lower(F.hex(k + 1)), F.lit("%eth0")),
         F.lit("-"),
     ]
     text = F.coalesce(*[F.when(k % 8 == i, form) for i, form in enumerate(forms)])
@@ -342,7 +347,7 @@ def _flat_edges(made: DataFrame) -> DataFrame:
 
 @query(PAIRED + "SELECT first_id, next_id, lineage, linked FROM pairs")
 def continuation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.continuation_pairs(graph.sanitize_edges(_edges(Evidence(spark, sf_dir))), _MINUTES)
+    found = graph.continuation_pairs(graph.sanitize_edges(_kept_edges(Evidence(spark, sf_dir))), _MINUTES)
     return found.select(F.col("first.edge_id").alias("first_id"), F.col("next.edge_id").alias("next_id"), "lineage", graph.transition_links().alias("linked"))
 
 
@@ -359,7 +364,7 @@ def continuation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRED + "SELECT h.edge_id, d.edge_id IS NOT NULL AS second_hop FROM edges h LEFT JOIN (SELECT DISTINCT next_id AS edge_id FROM pairs) d USING (edge_id)")
 def second_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(Evidence(spark, sf_dir))
+    e = _kept_edges(Evidence(spark, sf_dir))
     _, second = graph.build_index(graph.sanitize_edges(e), _MINUTES)
     return e.select("edge_id").join(second.withColumn("hop", F.lit(True)), "edge_id", "left").select("edge_id", F.coalesce("hop", F.lit(False)).alias("second_hop"))
 
@@ -377,13 +382,13 @@ def _flat_findings(found: DataFrame) -> DataFrame:
 
 @query(CLASSIFIED + f"SELECT {_FINDING_COLUMNS} FROM findings")
 def classify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_findings(policy.classify(_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES))
+    return _flat_findings(policy.classify(_kept_edges(Evidence(spark, sf_dir)), context(spark), _MINUTES))
 
 
 @query(CLASSIFIED + """SELECT first_id, next_id, label, route, novel, approved, nullif(src_tier, 99) AS src_tier, dst_tier, critical, privilege_scope, lineage, CAST(i % 3 AS INT) AS entitlement, route_state,
   transition_state IS NOT NULL AS transition, linked, undeclared_hosts, undeclared_identities FROM hops""")
 def classify_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = policy.with_context(graph.sanitize_edges(_edges(Evidence(spark, sf_dir))), context(spark))
+    known = policy.with_context(graph.sanitize_edges(_kept_edges(Evidence(spark, sf_dir))), context(spark))
     pairs = graph.continuation_pairs(known, _MINUTES)
     looked_up = pairs.select(F.col("first.edge_id").alias("first_id"), F.col("next.edge_id").alias("next_id"), "next.route", F.col("next.approved_change").alias("approved"))
     m = F.col("modifiers")
@@ -628,7 +633,7 @@ _COMMON = ["schema_version is not the supported one", "edge_id is missing", "@ti
 
 @query(JOINED + _expected("'onprem:' || edge_id", [("edge_id" if m == "edge_id is missing" else "", None, m) for m in _COMMON], "edges", f"seq % {len(_COMMON) + 1} <> {len(_COMMON) - 1}"))
 def check_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(Evidence(spark, sf_dir))
+    e = _kept_edges(Evidence(spark, sf_dir))
     numbered = e.select(F.concat(F.lit("onprem:"), "edge_id").alias("edge_id"), "seq")
     lifted = hybrid.pivot_to_reachability(e).join(numbered, "edge_id")
     return checks.check_reachability_edges(_seeded(lifted, _common_faults()))
@@ -759,8 +764,9 @@ _OUTPUTS = {"findings": _FINDING_COLUMNS.split(", "), "pivot_edges": _EDGE_COLUM
 
 @query(CLASSIFIED + "".join(f", {_digest_sql(n, t, _OUTPUTS[n])}" for n, t in (("findings", "findings"), ("pivot_edges", "edges"))) + f" SELECT sha256('{cases.TOOL_VERSION}||events=table|window={WINDOW}|' || f.d || '|' || e.d) AS derivation_id FROM d_findings f, d_pivot_edges e")
 def derivation_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(Evidence(spark, sf_dir))
-    outputs = {"pivot_edges": _flat_edges(e), "findings": _flat_findings(policy.classify(e, context(spark), _MINUTES))}
+    e = _kept_edges(Evidence(spark, sf_dir))
+    found = scratch.table(policy.classify(e, context(spark), _MINUTES), "findings")
+    outputs = {"pivot_edges": _flat_edges(e), "findings": _flat_findings(found)}
     return cases.derivation_id(outputs, {"events": "table"}, {"window": str(WINDOW)})
 
 
