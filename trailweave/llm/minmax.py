@@ -167,8 +167,8 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _mixed(listed: DataFrame) -> DataFrame:
-    """The lists that still hold sets of different components: (a, t, size, and the smallest set as leader with its label, n and shared)."""
-    first = F.min(F.struct(F.col("x").alias("leader"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("shared").alias("_shared")))
+    """The lists that still hold sets of different components: (a, t, size, and as leader a set of the smallest component with its label, n and shared)."""
+    first = F.min(F.struct(F.col("label").alias("_label"), F.col("x").alias("leader"), F.col("n").alias("_n"), F.col("shared").alias("_shared")))
     found = listed.groupBy("a", "s").agg(F.min("label").alias("least"), F.max("label").alias("most"), first.alias("first"), F.count("*").alias("size"))
     return found.where("least < most").select(F.col("a").alias("_a"), F.col("s").alias("t"), "size", "first.*")
 
@@ -222,7 +222,8 @@ def link_components(docs: DataFrame, doc_id: str, text: str, percent: int = 85,
     reps = table(reps, "representatives")
     copies = full.select(*same, "doc").join(reps.where("rep < most").select(*same, "rep"), same).where("doc > rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     member = reps.select(F.col("set_a").alias("node"), "rep", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most").select("key", "leader")
+    # The leader is the set of the smallest document: copies come after what they are copies of.
+    shared = member.groupBy("key").agg(F.min(F.struct("rep", "node")).alias("first"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", F.col("first.node").alias("leader"))
     star = table(member.join(shared, "key").select(F.col("leader").alias("a"), F.col("node").alias("b"), "rep").distinct(), "stars")
     node = table(star.select(F.col("b").alias("node"), "rep").distinct(), "nodes")
     bodies = keyed.join(node.select(F.col("rep").alias("doc")).distinct().hint("merge"), "doc", "left_semi").mapInArrow(lambda it: _full_sets(it, width), "node long, shingles array<long>")
