@@ -2,6 +2,10 @@
 
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
+from trailweave.operators import edges as E
+from trailweave.operators.sequences import Stage, sequence
 from trailweave.streaming import detect
 
 BASE = datetime(2026, 8, 10, 10, 0, 0, tzinfo=timezone.utc)
@@ -34,3 +38,68 @@ def test_live_sequences(spark, tmp_path):
     batches = [[e(0, 1, 0), e(5, 2, 0)], [e(9, 3, 1), e(10, 4, 1)], [e(12, 5, 2), e(100, 6, 0), e(200, 7, 1), e(0, 8, 1, "other")]]
     got = run(spark, tmp_path, batches, schema, lambda s: detect.live_sequence(s, 3, 60), "sequences")
     assert [(r.key, r.seqs) for r in got] == [("k", "2,3,5")]
+
+
+LOGONS = "seq long, ts timestamp, ts_raw string, host_name string, host_ips array<string>, src_ip string, identity string, logon_id string, logon_type string, ref string"
+EVENTS = f"kind string, {LOGONS}, dst_ip string, dst_port int, subject_identity string, target_identity string, subject_logon_id string, target_server string"
+
+
+def evidence(rows):
+    """(flows, logons, privileges, credential uses) out of one table or stream of all."""
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    return (
+        of("logon").select(*[c.split(" ")[0] for c in LOGONS.split(", ")]),
+        of("flow").select("seq", "ts", "src_ip", "dst_ip", "dst_port", "ref"),
+        of("priv").select("seq", "ts", "host_ips", "identity", "logon_id", "ref"),
+        of("cred").select("seq", "ts", "host_ips", "subject_identity", "target_identity", "subject_logon_id", "target_server", "ref"),
+    )
+
+
+def test_live_edges_equal_batch_edges(spark, tmp_path):
+    def row(kind, seq, t, src=None, ips=None, who=None, session=None, port=None, dst=None, subject=None, server=None):
+        raw = f"t{seq}"
+        return (kind, seq, BASE + timedelta(seconds=t), raw, "APP" if ips else None, ips, src, None if kind == "cred" else who, None if kind == "cred" else session, "10" if kind == "logon" else None, f"r{seq}", dst, port, subject, who if kind == "cred" else None, session if kind == "cred" else None, server)
+
+    rows = [
+        row("flow", 1, 0, "1.1", dst="2.2", port=3389), row("flow", 2, 5, "1.1", dst="2.2", port=3389), row("flow", 3, 8, "1.1", dst="2.2", port=445),
+        row("cred", 4, 9, ips=["1.1"], who="bob", session="S1", subject="al", server="app"), row("cred", 5, 9, ips=["1.1"], who="bob", session="S9", subject="al", server="other"),
+        row("logon", 6, 20, "1.1", ["2.2", "3.3"], "bob", "L1"), row("logon", 7, 30, "9.9", ["2.2"], "bob", "L2"), row("priv", 8, 25, ips=["3.3"], who="bob", session="L1"), row("priv", 9, 26, ips=["2.2"], who="bob", session="L1"),
+        row("logon", 10, 200, "1.1", ["2.2"], "bob", "L3"), row("flow", 11, 300, None, dst="2.2", port=3389), row("logon", 12, 310, None, ["2.2"], None, None), row("priv", 13, 365, ips=["2.2"]),
+    ]
+    end = [[row("flow", 90, 4000 + t, "z", dst="y", port=3389), row("logon", 91, 4000 + t, "x", ["y"]), row("priv", 92, 4000 + t, ips=["y"]), row("cred", 93, 4000 + t, ips=["y"], session="S")] for t in (0, 600, 1200)]
+    ip_map = spark.createDataFrame([("1.1", "WS"), ("2.2", "APP")], "ip string, host string")
+    make = lambda df: detect.live_edges(*evidence(df), ip_map, lateness="30 seconds")
+    got = run(spark, tmp_path, [rows[:5], rows[5:9], rows[9:], *end], EVENTS, make, "edges")
+    logons, flows, privs, creds = evidence(spark.createDataFrame(rows, EVENTS))
+    want = E.materialize_edges(flows, logons, privs, creds, ip_map).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 2
+    assert {(r.identity, r.privilege_state, r.credential_transition and r.credential_transition.state) for r in got} == {("bob", "confirmed", "confirmed"), (None, "confirmed", None)}
+
+
+def test_live_rules(spark, tmp_path):
+    schema = "_id string, ts timestamp, category string, type string, host_name string, user_name string, parent_name string, process_name string, command_line string"
+    e = lambda i, cmd, t=0: (f"d{i}", BASE + timedelta(seconds=t), "process", "start", "h", "u", "p", "pwsh.exe", cmd)
+    batches = [[e(1, "pwsh -enc " + "aB3+" * 9), e(2, "pwsh -file x")], [e(3, "pwsh -e " + "aB3+" * 9), e(1, "pwsh -enc " + "aB3+" * 9, 1)]]
+    got = run(spark, tmp_path, batches, schema, lambda s: detect.live_alerts(detect.live_encoded_powershell(s)), "rules")
+    assert sorted(r._id for r in got) == ["d1", "d3"]
+
+
+def test_a_busy_key_is_cut_into_bins(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, BASE + timedelta(seconds=rnd.randint(0, 4000)), rnd.randint(0, 2)) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "seq long, ts timestamp, stage int").withColumn("host", F.lit("h"))
+    got = {tuple(r[f"stage{k}"].seq for k in (1, 2, 3)) for r in sequence(frame, [Stage(F.col("stage") == k) for k in range(3)], 9, by=[F.col("host")], carry=["seq"]).collect()}
+    pending, want = [None, None], set()
+    for seq, ts, stage in sorted(rows, key=lambda r: (r[1], r[0])):
+        if stage == 0:
+            pending[0] = (ts, (seq,))
+            continue
+        held, pending[stage - 1] = pending[stage - 1], None
+        if held and (ts - held[0]).total_seconds() <= 9:
+            if stage == 1:
+                pending[1] = (held[0], (*held[1], seq))
+            else:
+                want.add((*held[1], seq))
+    assert got == want and len(want) > 20

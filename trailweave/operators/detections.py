@@ -24,10 +24,11 @@ def rc4_tgt(events: DataFrame) -> DataFrame:
     return events.where((F.col("code") == "4768") & (F.col("outcome") == "success") & (F.col("ticket_encryption") == "0x17") & user.isNotNull() & ~user.endswith("$") & ~user.isin(EXCLUDED_USERS))
 
 
-def encoded_powershell(events: DataFrame) -> DataFrame:
-    """PowerShell starts with an encoded command of 20 characters or more, newest first."""
+def encoded_powershell(events: DataFrame, ordered: bool = True) -> DataFrame:
+    """PowerShell starts with an encoded command of 20 characters or more, newest first (a stream can't be ``ordered``)."""
     named = events.where((F.col("category") == "process") & (F.col("type") == "start") & F.lower("process_name").isin("powershell.exe", "pwsh.exe") & F.lower("command_line").rlike(ENCODED_COMMAND))
-    return named.select("_id", "ts", "host_name", "user_name", "parent_name", "process_name", "command_line").orderBy(F.desc("ts"), "_id")
+    found = named.select("_id", "ts", "host_name", "user_name", "parent_name", "process_name", "command_line")
+    return found.orderBy(F.desc("ts"), "_id") if ordered else found
 
 
 def allowlist_filter(alerts: DataFrame, allowed: DataFrame, on: list[str]) -> DataFrame:

@@ -56,6 +56,16 @@ def live_rc4_tgt(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return detections.rc4_tgt(events.withWatermark("ts", lateness))
 
 
+def live_encoded_powershell(events: DataFrame) -> DataFrame:
+    """Stateless, so without order: each event is judged as it comes."""
+    return detections.encoded_powershell(events, ordered=False)
+
+
+def live_alerts(alerts: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """Each alert once, by its id, for as long as ``lateness``."""
+    return detections.dedupe_alerts(alerts.withWatermark("ts", lateness))
+
+
 def live_port_fan_out(flows: DataFrame, threshold: int = detections.FAN_OUT, length: str = "10 minutes", slide: str | None = "5 minutes", lateness: str = "1 minute") -> DataFrame:
     """Fan-out in look-back windows; a window's row comes when the watermark has passed it."""
     return detections.port_fan_out_windowed(flows.withWatermark("ts", lateness), threshold, length, slide)
@@ -111,12 +121,13 @@ def live_edges(
 ) -> DataFrame:
     """Edges of a stream (append mode), as ``operators.edges.materialize_edges`` makes them of tables, with ``seq`` and ``ts`` of the logon.
 
-    Inputs are those of ``operators.edges``; ``ip_map`` is a table.  The events that may bear on a logon
+    Inputs are those of ``operators.edges``; ``ip_map`` is a table.  Time goes on with the slowest input: one
+    that is silent holds the edges back.  The events that may bear on a logon
     are joined to it by watermarked stream-stream joins on equal keys and a time range, as (kind, event)
     rows of one union; one aggregation for each logon then takes the latest flow, the first privilege and
     the session of the credential uses, and gives the edge once the watermark has passed the logon's
     instant, when none of them can come any more (privileges come up to their window later: the join
-    holds the logon's rows back until then).  Of equal edges the first in a stretch of ten minutes stays.
+    holds the logon's rows back until then).  Of equal edges one stays for as long as ``lateness``.
     """
     timed = lambda df: df.withWatermark("ts", lateness)
     held = ["seq", "ts", "ts_raw", "host_name", "src_ip", "identity", "logon_id", "ref"]
@@ -140,7 +151,7 @@ def live_edges(
 
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     every = by_flow.unionByName(by_privilege).unionByName(by_credential)
-    found = every.groupBy(F.window("ts", "1 second").alias("w"), "seq", "ts").agg(
+    found = every.groupBy("seq", "ts").agg(
         F.first("logon").alias("logon"),
         F.max_by(of("flow", F.col("event")), of("flow", F.struct("event.at", "event.order"))).alias("flow"),
         F.min_by(of("privilege", F.col("event.ref")), of("privilege", F.col("event.order"))).alias("privilege_ref"),
@@ -158,4 +169,4 @@ def live_edges(
     transition = F.when(F.size("fitting") > 0, F.struct(F.col("first.who").alias("from_identity"), F.col("identity").alias("to_identity"), F.when(F.col("single"), "confirmed").otherwise("unknown").alias("state"), F.col("first.ref").alias("evidence_ref")))
     found = found.withColumn("edge_id", S.edge_id(F.col("host_name"), F.col("identity"), F.col("logon_id"), F.col("ts_raw"), F.col("src_ip")))
     made_edges = E.edge_columns(found.withColumns({"credential_transition": transition, "source_logon_id": F.when(F.col("single"), F.col("first.session")), "mapped": F.col("source_mapped")}))
-    return made_edges.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["edge_id"]) if logons.isStreaming else made_edges.dropDuplicates(["edge_id"])
+    return made_edges.dropDuplicatesWithinWatermark(["edge_id"]) if logons.isStreaming else made_edges.dropDuplicates(["edge_id"])
