@@ -28,8 +28,9 @@ END_ID, CAPACITY = 2, 1024
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence from their language let pass."""
-    whole = F.struct(*shared.pick(docs.columns)).alias("row")
-    return quality.judge(docs.select(whole, "text", "lang")).where("kept").select("row.*")
+    rest = F.struct(*shared.pick(shared.others(docs, "text"))).alias("row")
+    kept = quality.judge(docs.select(rest, "text", "lang")).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

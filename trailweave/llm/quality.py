@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .shared import map_arrow, others
+from .shared import map_arrow, others, pick
 
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.35
@@ -220,7 +220,7 @@ def _judge(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, refs: dict
             held = np.array([x in refs for x in langs[row:to]], bool)
             kept = ~failed & ~(held & (word_chars >= min_chars) & (by_char > max_char)) & ~(held & (n_words >= min_words) & (by_word > max_word))
             values = n_words, word_chars, np.diff(symbols), n_dup, n_repeat, by_char, by_word, failed, kept
-            yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns[:-2], *map(pa.array, values)], names=batch.schema.names[:-2] + [x.split()[0] for x in _RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns[:-1], *map(pa.array, values)], names=batch.schema.names[:-1] + [x.split()[0] for x in _RESULT.split(", ")])
 
 
 _RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
@@ -229,5 +229,8 @@ _RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def judge(docs: DataFrame, lang: str = "lang", text: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``docs`` with the counts, the two distances, base_failed and kept; columns of those names are replaced."""
     vocabulary, refs = references(docs, lang, text, min_words)
-    own = others(docs, *[x.split()[0] for x in _RESULT.split(", ")])
-    return map_arrow(docs, own, [F.col(text).alias("body"), F.col(lang).cast("string").alias("lang")], lambda it: _judge(it, vocabulary, refs, min_words, min_chars, max_char, max_word), _RESULT)
+    results = [x.split()[0] for x in _RESULT.split(", ")]
+    own = others(docs, *results)
+    rest = others(docs, text, *results)  # the text itself travels once
+    made = map_arrow(docs, rest, [F.col(text).alias("body"), F.col(lang).cast("string").alias("lang")], lambda it: _judge(it, vocabulary, refs, min_words, min_chars, max_char, max_word), f"body string, {_RESULT}")
+    return made.toDF(*rest, text, *results).select(*pick(own), *results)
