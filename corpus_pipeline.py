@@ -48,9 +48,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their ids, each with its place in a sequence; ``packing.sequences`` puts them together."""
+    """The pieces of all documents, each with its place in a sequence and the checksum of its ids.
+
+    The ids themselves don't travel with the lengths; ``packing.sequences`` makes whole sequences of pieces that carry them.
+    """
     pieces = packing.cut(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), END_ID, CAPACITY)
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")), by=["doc_id", "piece"], capacity=CAPACITY)
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces, by=["doc_id", "piece"], capacity=CAPACITY)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]

@@ -74,7 +74,7 @@ def test_pipeline(spark, tmp_path):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
         at = 0
         for r in sorted(got[i], key=lambda r: r.piece):
-            assert (r.start, r.ids_crc32, bytes(r.ids)) == (at, zlib.crc32(ids[at : at + r.length].tobytes()), ids[at : at + r.length].tobytes())
+            assert (r.start, r.ids_crc32) == (at, zlib.crc32(ids[at : at + r.length].tobytes()))
             at += r.length
         assert at == len(ids)
     for items in bins.values():
@@ -94,4 +94,4 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert made.columns == docs.columns
         assert [tuple(r) for r in made.select(*[F.col(f"`{c}`") for c in odd]).distinct().collect()] == [tuple(f"mine {c}" for c in odd)]
         assert stage(spark, docs.limit(0), "").count() == 0
-    assert corpus_pipeline.best_fit_packing(spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

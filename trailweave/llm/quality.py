@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
+from . import tokens
 from .shared import map_arrow, others, pick
 
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.35
 MIN_DOCS, COMMON = 20, 25
+_SLICE = 2 << 20  # bytes of text handled at once
 _STEPS = 1000  # shares of character classes are counted in steps of 1/_STEPS
 _UNIT = 1 << 24  # word shares are summed as integers, so that the order of tasks doesn't matter
 
@@ -85,9 +87,10 @@ def _of(common: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 def _spread(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """(language, word, long documents with it); the null word counts the long documents."""
+    tokens.forget()
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for row, to, data, off in tv.slices(batch.column(1)):
+        for row, to, data, off in tv.slices(batch.column(1), _SLICE):
             words = tv.Words(data, off, lower=True)
             for lang in {x for x in langs[row:to] if x is not None}:
                 of = (langs[row:to] == lang) & (words.counts >= min_words)
@@ -125,7 +128,7 @@ def _gather(batches: Iterator[pa.RecordBatch], min_words: int, vocabulary: np.nd
     sums = {lang: [0, np.zeros(_CLASSES * (_STEPS + 1), np.int64), np.zeros(len(own) + 1, np.int64)] for lang, own in columns.items()}
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for row, to, data, off in tv.slices(batch.column(1)):
+        for row, to, data, off in tv.slices(batch.column(1), _SLICE):
             chars, common, n = _histograms(data, off, vocabulary)
             for lang, held in sums.items():
                 of = (langs[row:to] == lang) & (n >= min_words)
@@ -205,7 +208,7 @@ def _repeats(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _judge(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, refs: dict, min_words: int, min_chars: int, max_char: float, max_word: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(batch.num_columns - 1).to_pylist()
-        for row, to, data, off in tv.slices(batch.column(batch.num_columns - 2)):
+        for row, to, data, off in tv.slices(batch.column(batch.num_columns - 2), _SLICE):
             n = to - row
             n_words, n_repeat, n_dup = _repeats(data, off)
             chars, common, _ = _histograms(data, off, vocabulary)

@@ -218,6 +218,11 @@ def cached(path: str) -> Chunks:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop the encoders of this worker, so that their tables don't lie beside the work of another operator."""
+    _loaded.clear()
+
+
 def encoded(texts, encoder: Chunks) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, ids, number of ids of each) of an Arrow column of texts; null texts are empty."""
     for row, to, _, _ in tv.slices(texts, SLICE_BYTES):
