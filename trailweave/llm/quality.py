@@ -39,7 +39,7 @@ from .shared import map_arrow, others, pick
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.35
 MIN_DOCS, COMMON = 20, 25
-_SLICE = 2 << 20  # bytes of text handled at once
+_SLICE = 1 << 20  # bytes of text handled at once
 _STEPS = 1000  # shares of character classes are counted in steps of 1/_STEPS
 _UNIT = 1 << 24  # word shares are summed as integers, so that the order of tasks doesn't matter
 
