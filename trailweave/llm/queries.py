@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, licences, minmax, packing, quality, shared, substrings, token_files, urls
+from . import bpe, chat, embed_dedup, filter_audit, licences, minmax, packing, periodic, quality, shared, substrings, token_counts, token_files, urls
 
 
 def tokenizer(name: str) -> str:
@@ -74,6 +74,37 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _read(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Of a tenth of the documents, by a checksum of their id, the words from one place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    some = docs.withColumns({"h": h, "g": g}).withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda x: x != "")))
+    some = some.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("w", 1, F.col("a")), F.slice(again, 1, rest)), " ")
+    return some.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_made_periodic(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.p")).alias("period"), F.expr("1000 * top.length div -top.p").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _WORDS = r"""
 docs AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -256,6 +287,33 @@ SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat
 FROM failing f LEFT JOIN by_char c USING (row) LEFT JOIN by_word w USING (row)"""
 
 
+_OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+said AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM docs LEFT JOIN said USING (doc_id)),
+counts AS (SELECT part, good, toxic, f, count(*) AS n FROM failing GROUP BY ALL),
+letters(c, k) AS (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT filter_order, CAST(s AS INT) AS step, ks[s] AS k, ks[1:s - 1] AS before FROM orders, range(1, 6) r(s)),
+judged AS (
+  SELECT part, good, toxic, n, filter_order, step, k, f[k] AS own, len(list_filter(before, lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS fails FROM counts, steps),
+totals AS (
+  SELECT part, filter_order, step, k,
+    sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN own AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN own AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM totals"""
+
+
 _QUERIES = (
     op1_token_files,
     op2_licence_rules,
@@ -267,6 +325,9 @@ _QUERIES = (
     op8_bpe_round_trip,
     op9_substring_dedup,
     op10_distribution_divergence,
+    op11_filter_audit,
+    op12_token_counts,
+    op13_periodic_runs,
 )
 
 
@@ -283,4 +344,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_cascade": _OP7,
         "op9_substring_dedup": _OP9,
         "op10_distribution_divergence": _OP10,
+        "op11_filter_audit": _OP11,
     }
