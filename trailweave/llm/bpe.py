@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from . import tokens
-from .shared import map_arrow, others
+from .shared import map_arrow, others, worker_tables
 
 _LONG = 256  # pre-tokens of more bytes are walked one by one, so that the others don't wait for them
 
@@ -221,14 +221,12 @@ class Codec:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One codec for each file and Python worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    codecs = worker_tables("bpe")
+    if path not in codecs:
+        codecs[path] = Codec(path)
+    return codecs[path]
 
 
 def _round(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

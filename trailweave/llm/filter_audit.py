@@ -150,9 +150,10 @@ def failures(docs: DataFrame, labels: DataFrame, filters: dict[str, str] | None
     mask = sum((bit(k, F.expr(f)) for k, f in enumerate(filters.values())), F.lit(0))
     rows = measure(slim).select("id", "part", "hash", mask.alias("mask")).groupBy("hash", "id", "part", "mask").agg(F.count("*").alias("n"))
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
+    # Rows without id find no label; a second key, 0 for any id, spreads them over the join's tasks.
+    spread = lambda otherwise: F.coalesce(F.pmod("id", F.lit(1)), otherwise).alias("spread")
     no = F.lit(False)
-    named = rows.where("id is not null").join(said, "id", "left").withColumns({"good": F.coalesce("good", no), "toxic": F.coalesce("toxic", no)})
-    rows = named.unionByName(rows.where("id is null").withColumns({"good": no, "toxic": no}))
+    rows = rows.select("*", spread(F.xxhash64("hash"))).join(said.select("*", spread(F.lit(0).cast("long"))), ["id", "spread"], "left").withColumns({"good": F.coalesce("good", no), "toxic": F.coalesce("toxic", no)})
     alike = rows.groupBy("hash", "part", "mask", "good", "toxic").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("nameless"),

@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from . import tokens
-from .shared import map_arrow, others, pick
+from .shared import map_arrow, others, pick, worker_tables
 
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.35
 MIN_DOCS, COMMON = 20, 25
 _SLICE = 1 << 20  # bytes of text handled at once
+_HELD, _ROWS = 400_000, 1 << 15  # words held before they are merged, and rows handed on at once
 _STEPS = 1000  # shares of character classes are counted in steps of 1/_STEPS
 _UNIT = 1 << 24  # word shares are summed as integers, so that the order of tasks doesn't matter
 
@@ -57,6 +57,8 @@ _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TAIL = (np.arange(256) & 0xC0) == 0x80
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _histograms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,38 +87,89 @@ def _of(common: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return np.column_stack((own, common.sum(axis=1) - own.sum(axis=1)))
 
 
+class _Spread:
+    """Long documents that hold each word, by label: gathered over slices as columns, merged when there are many, so that few rows of a task say the same word."""
+
+    def __init__(self):
+        self.labels: dict[str, int] = {}
+        self.parts: list[tuple] = []
+        self.size = 0
+        self.docs = np.empty(0, np.int64)
+
+    def add(self, langs: np.ndarray, long: np.ndarray, words: tv.Words) -> None:
+        code = np.array([self.labels.setdefault(x, len(self.labels)) if x is not None else -1 for x in langs.tolist()], np.int64)
+        code[~long] = -1
+        inside = np.flatnonzero(code[words.doc] >= 0)
+        hashes, doc, label = words.hashes[inside], words.doc[inside], code[words.doc[inside]]
+        order = np.lexsort((doc, hashes, label))
+        hashes, doc, label = hashes[order], doc[order], label[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (label[1:] != label[:-1])
+        own = new.copy()
+        own[1:] |= doc[1:] != doc[:-1]
+        at = inside[order[new]]
+        if len(at):
+            length = words.end[at] - words.begin[at]
+            names = _LOWER[words.data[tv.gather(words.begin[at], length)]]
+            self._keep(label[new], hashes[new], np.add.reduceat(own.astype(np.int64), np.flatnonzero(new)), names, length)
+        self.docs = np.pad(self.docs, (0, len(self.labels) - len(self.docs))) + np.bincount(code[code >= 0], minlength=len(self.labels))
+
+    def _keep(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def _merged(self) -> tuple:
+        label, hashes, n, names, length = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((hashes, label))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (label[order][1:] != label[order][:-1])
+        at = order[new]
+        begin = np.cumsum(length) - length
+        return label[at], hashes[at], np.add.reduceat(n[order], np.flatnonzero(new)), names[tv.gather(begin[at], length[at])], length[at]
+
+    def rows(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """(language, word, long documents with it) once there are many, and of the rest at the end; the null word counts the long documents."""
+        if self.parts and (last or self.size > _HELD):
+            merged = self._merged()
+            self.parts, self.size = [], 0
+            if not last and len(merged[0]) < _HELD // 2:
+                self._keep(*merged)
+                return
+            label, _, n, names, length = merged
+            labels = pa.array(list(self.labels))
+            ends = np.concatenate(([0], np.cumsum(length)))
+            for a in range(0, len(label), _ROWS):
+                b = min(a + _ROWS, len(label))
+                words = pa.StringArray.from_buffers(b - a, pa.py_buffer((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(names[ends[a] : ends[b]])))
+                yield pa.RecordBatch.from_arrays([labels.take(pa.array(label[a:b])), words, pa.array(n[a:b])], names=["lang", "word", "n"])
+        if last and self.labels:
+            held = np.flatnonzero(self.docs)
+            yield pa.RecordBatch.from_arrays([pa.array(list(self.labels), pa.string()).take(pa.array(held)), pa.nulls(len(held), pa.string()), pa.array(self.docs[held])], names=["lang", "word", "n"])
+
+
 def _spread(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """(language, word, long documents with it); the null word counts the long documents."""
-    tokens.forget()
+    worker_tables("quality")
+    spread = _Spread()
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for row, to, data, off in tv.slices(batch.column(1), _SLICE):
             words = tv.Words(data, off, lower=True)
-            for lang in {x for x in langs[row:to] if x is not None}:
-                of = (langs[row:to] == lang) & (words.counts >= min_words)
-                if of.any():
-                    inside = np.flatnonzero(of[words.doc])
-                    hashes, doc = words.hashes[inside], words.doc[inside]
-                    order = np.lexsort((doc, hashes))
-                    hashes, doc = hashes[order], doc[order]
-                    new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(order) else np.empty(0, bool)
-                    own = new | np.concatenate(([True], doc[1:] != doc[:-1])) if len(order) else new
-                    n = np.add.reduceat(own.astype(np.int64), np.flatnonzero(new))
-                    at = inside[order[new]]
-                    names = [data[b:e].tobytes().lower() for b, e in zip(words.begin[at].tolist(), words.end[at].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(names) + 1)), pa.array([None, *names], pa.binary()).cast(pa.string()), pa.array([int(of.sum()), *n.tolist()], pa.int64())], names=["lang", "word", "n"])
+            spread.add(langs[row:to], words.counts >= min_words, words)
+            yield from spread.rows()
+    yield from spread.rows(last=True)
 
 
 def common_words(docs: DataFrame, min_words: int = MIN_WORDS) -> dict[str, list[str]]:
-    """The words that most long documents of a label hold, for each label that has enough of them; COMMON + 1 short rows a label reach the driver."""
+    """The words that most long documents of a label hold, for each label that has enough of them; COMMON + 1 short rows of each such label reach the driver."""
     spread = docs.select("lang", "text").mapInArrow(lambda it: _spread(it, min_words), "lang string, word string, n long")
     counted = spread.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word"))
+    first = counted.withColumn("rank", rank).where(F.col("rank") <= COMMON + 1)
+    enough = first.withColumn("docs", F.max(F.when(F.col("word").isNull(), F.col("n"))).over(Window.partitionBy("lang"))).where((F.col("docs") >= MIN_DOCS) & F.col("word").isNotNull())
     found: dict[str, list] = {}
-    for r in counted.withColumn("rank", rank).where(F.col("rank") <= COMMON + 1).collect():
-        found.setdefault(r.lang, []).append((r["rank"], r.word, r.n))
-    ranked = {lang: sorted(rows) for lang, rows in found.items()}
-    return {lang: [word for _, word, _ in rows[1:]] for lang, rows in ranked.items() if rows[0][2] >= MIN_DOCS}
+    for r in enough.orderBy("lang", "rank").collect():
+        found.setdefault(r.lang, []).append(r.word)
+    return found
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -216,8 +269,9 @@ def _judge(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, refs: dict
             word_chars = chars.sum(axis=1)
             failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
             if refs:
-                by_char = np.stack([distance(_share(chars[:, :-1]), c) for c, _, _ in refs.values()]).min(axis=0)
-                by_word = np.stack([distance(_share(_of(common, at)), w) for _, w, at in refs.values()]).min(axis=0)
+                by_char = by_word = np.full(n, np.inf)
+                for c, w, at in refs.values():
+                    by_char, by_word = np.minimum(by_char, distance(_share(chars[:, :-1]), c)), np.minimum(by_word, distance(_share(_of(common, at)), w))
             else:
                 by_char = by_word = np.zeros(n)
             held = np.array([x in refs for x in langs[row:to]], bool)

@@ -10,7 +10,16 @@ from pyspark.sql import types as T
 
 from trailweave.sources.scratch import new_path, shared_dir, table
 
-__all__ = ["map_arrow", "new_path", "others", "pick", "quoted", "shared_dir", "table"]
+__all__ = ["map_arrow", "new_path", "others", "pick", "quoted", "shared_dir", "table", "worker_tables"]
+
+_tables: dict[str, dict] = {}
+
+
+def worker_tables(owner: str) -> dict:
+    """What a Python worker keeps for one operator from task to task; asking for it drops what it kept for others, so that a worker's memory holds one operator's tables."""
+    for name in [n for n in _tables if n != owner]:
+        del _tables[name]
+    return _tables.setdefault(owner, {})
 
 
 def quoted(name: str) -> str:

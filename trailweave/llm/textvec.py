@@ -44,11 +44,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = -(-n // (1 << 20)) << 20
         out = np.full(size, _U(base), dtype=np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if n <= SLICE_BYTES + 4096:
+        if n <= SLICE_BYTES + 4096:  # those of a single longer text are not kept
             _powers[base] = have
     return have[:n]
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from . import tokens
-from .shared import map_arrow, others, pick, quoted
+from .shared import map_arrow, others, pick, quoted, worker_tables
 
 LIMIT = 512
 _SLICE = 4 << 20
@@ -127,16 +127,14 @@ class Counter:
         return np.diff(np.concatenate(([0], np.cumsum(chunks.count[every])))[np.cumsum([0, *map(len, parts)])])
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    if path not in _counters:
-        _counters[path] = Counter(path)
+    counters = worker_tables("token_counts")
+    if path not in counters:
+        counters[path] = Counter(path)
     for batch in batches:
         body = batch.column(batch.num_columns - 1)
         for row, to, _, off in tv.slices(body, _SLICE):
-            n = _counters[path].count([t or "" for t in body.slice(row, to - row).to_pylist()])
+            n = counters[path].count([t or "" for t in body.slice(row, to - row).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.slice(row, to - row).columns[:-1], pa.array(np.diff(off), pa.int64()), pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], "n_bytes", "n_tokens"])
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import regex
 
 from . import textvec as tv
+from .shared import worker_tables
 
 MAX_CHUNKS, MAX_PIECES = 600_000, 600_000
 SLICE_BYTES = 4 << 20
@@ -208,19 +209,12 @@ def load(path: str, encode: Callable | None = None) -> Chunks:
     raise ValueError(f"{path}: neither a byte-level nor a lower-cased word BPE")
 
 
-_loaded: dict[str, Chunks] = {}
-
-
 def cached(path: str) -> Chunks:
     """One encoder for each file and Python worker."""
-    if path not in _loaded:
-        _loaded[path] = load(path)
-    return _loaded[path]
-
-
-def forget() -> None:
-    """Drop the encoders of this worker, so that their tables don't lie beside the work of another operator."""
-    _loaded.clear()
+    loaded = worker_tables("tokens")
+    if path not in loaded:
+        loaded[path] = load(path)
+    return loaded[path]
 
 
 def encoded(texts, encoder: Chunks) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
