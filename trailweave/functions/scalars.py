@@ -82,6 +82,16 @@ def _ipv6(text: Column) -> Column:
     return F.when(~F.contains(text, F.lit("%")) | (scope != ""), _let(F.split(full, "::", -1), lambda h: _let(filled(h), written)))
 
 
+def is_ip(text: Column) -> Column:
+    """Whether a text is an IPv4 or IPv6 address; null for null."""
+    return F.when(F.contains(text, F.lit(":")), _ipv6(text).isNotNull()).otherwise(text.rlike(f"^{_V4}$"))
+
+
+def iso_date(text: Column) -> Column:
+    """A date written in full (YYYY-MM-DD); null for any other text."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text))
+
+
 def host_aliases(name: Column) -> Column:
     """The lower-cased name without a final dot, and its first label; none for null or empty names."""
     n = F.lower(F.rtrim(F.trim(name), F.lit(".")))
@@ -155,8 +165,10 @@ def canonical_hash(raw_json: Column) -> Column:
 
 
 def evidence_ref(event_id: Column, raw_json: Column) -> Column:
-    """The event's id, or ``raw-`` and 16 hex digits that depend on its content alone."""
-    return F.when(F.coalesce(event_id, F.lit("")) != "", event_id).otherwise(F.concat(F.lit("raw-"), F.substring(canonical_hash(raw_json), 1, 16)))
+    """The event's id, or ``raw-`` and 16 hex digits that depend on its content alone; never null (no content is JSON's null, text that isn't JSON counts as it is)."""
+    content = F.coalesce(raw_json, F.lit("null"))
+    digest = F.sha2(F.coalesce(F.to_json(F.try_parse_json(content)), content), 256)
+    return F.when(F.coalesce(event_id, F.lit("")) != "", event_id).otherwise(F.concat(F.lit("raw-"), F.substring(digest, 1, 16)))
 
 
 def entity(kind: str, prefix: str, identifier: Column, display: Column | None = None) -> Column:

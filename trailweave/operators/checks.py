@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailweave.functions import scalars as S
+
 from .policy import CONFIDENCE, Context
 
 # The states and labels of the contracts.
 STATES = ["confirmed", "absent", "unknown"]
 LINK_STATES = ["confirmed", "unknown"]
 PROGRESSIONS = ["CRITICAL_UNAPPROVED_PATH", "CREDENTIAL_TRANSITION_PROGRESSION", "PRIVILEGED_PROGRESSION", "POSSIBLE_PRIVILEGED_PROGRESSION", "PRIVILEGED_DESTINATION_REACH", "PIVOT_PROGRESSION"]
-_IP = r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}|[0-9a-fA-F:]*:[0-9a-fA-F:.]*)$"
 
 
 def _blank(c: str) -> Column:
@@ -43,8 +44,8 @@ def check_pivot_edges(edges: DataFrame) -> DataFrame:
             (_outside("service", ["rdp", "smb"]), "service is not rdp or smb"),
             (_outside("privilege_state", STATES), "privilege_state is not a known state"),
             (_outside("auth_state", STATES), "auth_state is not a known state"),
-            (~F.col("source_ip").rlike(_IP), "source_ip is not an address"),
-            (~F.col("target_ip").rlike(_IP), "target_ip is not an address"),
+            (~S.is_ip(F.col("source_ip")), "source_ip is not an address"),
+            (~S.is_ip(F.col("target_ip")), "target_ip is not an address"),
             (t.isNotNull() & (_blank("credential_transition.from_identity") | _blank("credential_transition.to_identity")), "credential_transition lacks an identity"),
             (t.isNotNull() & _outside("credential_transition.state", LINK_STATES), "credential_transition.state is not a known state"),
             (F.col("evidence_refs").isNull(), "evidence_refs is missing"),
@@ -88,6 +89,7 @@ def check_findings(findings: DataFrame) -> DataFrame:
     """The key is the label, identity and path of a finding."""
     keyed = findings.withColumn("_key", F.concat_ws("|", "label", F.coalesce("identity", F.lit("None")), F.array_join("path", ">", "None")))
     progression = F.col("label").isin(PROGRESSIONS)
+    hosts, n_edges = (F.coalesce(F.size(c), F.lit(0)) for c in ("path", "edges"))
     return violations(
         keyed,
         "_key",
@@ -95,10 +97,11 @@ def check_findings(findings: DataFrame) -> DataFrame:
             (_outside("label", list(CONFIDENCE)), "label is not known"),
             (_outside("confidence", sorted(set(CONFIDENCE.values()))), "confidence is not known"),
             (_blank("identity"), "identity is missing"),
-            (F.size("path") < 2, "path has fewer than two hosts"),
-            (F.size("edges") < 1, "edges is empty"),
-            (progression & ((F.size("path") != 3) | (F.size("edges") != 2)), "a progression needs three hosts and two edges"),
-            ((F.col("label") == "NONE") & (F.size("edges") != 1), "NONE needs one edge"),
+            (_blank("rationale"), "rationale is missing"),
+            (hosts < 1, "path is empty"),
+            (n_edges < 1, "edges is empty"),
+            (progression & ((hosts < 3) | (n_edges < 2)), "a progression needs three hosts and two edges"),
+            ((F.col("label") == "NONE") & (n_edges != 1), "NONE needs one edge"),
         ],
     )
 
@@ -132,13 +135,13 @@ def check_context(ctx: Context) -> DataFrame:
         lost = df.select(F.col(column).alias("key")).join(known.select(F.col(other).alias("key")), "key", "left_anti")
         return lost.select(F.col("key").cast("string"), F.lit(f"{where}: {column} is not declared").alias("message"))
 
-    bad_date = lambda c: F.col(c).isNotNull() & F.try_to_date(c).isNull()
+    bad_date = lambda c: F.col(c).isNotNull() & S.iso_date(F.col(c)).isNull()
     policy = violations(
         ctx.policy.withColumn("_key", F.lit("policy")),
         "_key",
         [
-            *[(F.try_to_date(c).isNull(), f"policy: {c} is not an ISO date") for c in ("valid_from", "valid_until")],
-            (F.try_to_date("valid_from") > F.try_to_date("valid_until"), "policy: valid_from is after valid_until"),
+            *[(S.iso_date(F.col(c)).isNull(), f"policy: {c} is not an ISO date") for c in ("valid_from", "valid_until")],
+            (S.iso_date(F.col("valid_from")) > S.iso_date(F.col("valid_until")), "policy: valid_from is after valid_until"),
         ],
     )
     scopes = violations(ctx.complete_for, "identity", [(_blank("environment"), "complete_for: environment is missing"), (F.col("target_tier").isNull(), "complete_for: target_tier is not an integer")])

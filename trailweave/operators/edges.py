@@ -37,6 +37,12 @@ def _same(a: Column, b: Column, strict: bool) -> Column:
     return a == b if strict else a.eqNullSafe(b)
 
 
+def host_names(ip_map: DataFrame) -> DataFrame:
+    """(ip, host): one host for each address; of a repeated address the first in the map's order (``pos``), else in text order."""
+    order = F.struct("pos", "host") if "pos" in ip_map.columns else F.struct("host")
+    return ip_map.groupBy("ip").agg(F.min_by("host", order).alias("host"))
+
+
 def logon_flow_asof(logons: DataFrame, flows: DataFrame, window: float = FLOW_WINDOW, strict_keys: bool = False) -> DataFrame:
     """``logons`` that have a flow, with flow_ref, flow_ts, target_ip and service of the latest compatible one.
 
@@ -62,7 +68,7 @@ def logon_flow_asof(logons: DataFrame, flows: DataFrame, window: float = FLOW_WI
 
 
 def privilege_match(logons: DataFrame, privs: DataFrame, window: float = PRIVILEGE_WINDOW, strict_keys: bool = False) -> DataFrame:
-    """``logons`` with privilege_ref of the first special-privilege event of the same session, host and identity, 0 to ``window`` seconds after; else null.
+    """``logons`` with ``privileged``: a special-privilege event of the same session, host and identity came 0 to ``window`` seconds after; and privilege_ref of the first of them.
 
     The host's addresses are part of the key: sessions that exist on every host (the system's own) and
     missing session ids meet only on one host.
@@ -74,8 +80,8 @@ def privilege_match(logons: DataFrame, privs: DataFrame, window: float = PRIVILE
     on = (F.col("bin") == F.col("p_bin")) & (F.col("ip") == F.col("p_ip")) & _same(F.col("logon_id"), F.col("p_logon"), strict_keys) & _same(F.col("identity"), F.col("p_identity"), strict_keys)
     age = _age(F.col("p_ts"), F.col("ts"))
     pairs = left.join(right, on).where((age >= 0) & (age <= int(window * 1_000_000)))
-    first = pairs.groupBy("seq").agg(F.min_by("p_ref", "p_seq").alias("privilege_ref"))
-    return logons.join(first, "seq", "left")
+    first = pairs.groupBy("seq").agg(F.lit(True).alias("privileged"), F.min_by("p_ref", "p_seq").alias("privilege_ref"))
+    return logons.join(first, "seq", "left").withColumn("privileged", F.coalesce("privileged", F.lit(False)))
 
 
 def credential_transition_match(logons: DataFrame, creds: DataFrame, ip_map: DataFrame, window: float = CREDENTIAL_WINDOW) -> DataFrame:
@@ -85,7 +91,7 @@ def credential_transition_match(logons: DataFrame, creds: DataFrame, ip_map: Dat
     session, and came 0 to ``window`` seconds before.  One session: confirmed by its earliest event.
     Several: ``unknown``, without lineage.  None: null.
     """
-    names = ip_map.select("ip", "host")
+    names = host_names(ip_map)
     right = creds.where("coalesce(subject_logon_id, '') != ''").select(F.col("seq").alias("c_seq"), F.col("ts").alias("c_ts"), F.explode(F.array_distinct("host_ips")).alias("c_ip"), "subject_identity", F.col("target_identity").alias("c_identity"), "subject_logon_id", "target_server", F.col("ref").alias("c_ref"))
     right = right.join(names.select(F.col("ip").alias("server_ip"), F.col("host").alias("server_mapped")), F.trim("target_server") == F.col("server_ip"), "left")
     b = _bin(F.col("c_ts"), window)
@@ -107,7 +113,7 @@ def credential_transition_match(logons: DataFrame, creds: DataFrame, ip_map: Dat
 
 def assemble_edges(found: DataFrame, ip_map: DataFrame) -> DataFrame:
     """Edges in their contract's form; of equal edge ids the first in input order stays."""
-    names = ip_map.select(F.col("ip").alias("src_ip"), F.col("host").alias("mapped"))
+    names = host_names(ip_map).select(F.col("ip").alias("src_ip"), F.col("host").alias("mapped"))
     edge = S.edge_id(F.col("host_name"), F.col("identity"), F.col("logon_id"), F.col("ts_raw"), F.col("src_ip"))
     ranked = found.join(names, "src_ip", "left").withColumn("edge_id", edge)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("edge_id").orderBy("seq"))).where("rank = 1")
@@ -130,7 +136,7 @@ def edge_columns(found: DataFrame) -> DataFrame:
         "service",
         "logon_id",
         "source_logon_id",
-        F.when(F.col("privilege_ref").isNotNull(), "confirmed").otherwise("absent").alias("privilege_state"),
+        F.when(F.col("privileged"), "confirmed").otherwise("absent").alias("privilege_state"),
         F.lit("confirmed").alias("auth_state"),
         "credential_transition",
         F.struct(F.col("flow_ref").alias("network"), F.col("ref").alias("logon"), F.col("privilege_ref").alias("privilege")).alias("evidence_refs"),

@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.functions import scalars as S
+from trailweave.sources import scratch
+
 from .graph import CONTINUATION_MINUTES, continuation_pairs, sanitize_edges, transition_links
 
 # The confidence of each label.
@@ -75,7 +78,7 @@ def with_route_decision(df: DataFrame, ctx: Context, identity: str, via: str, ti
     an approved path authorises; a missing one prohibits only where the policy says it is complete for
     the identity and tier.  The policy's rows, one in any sound context, travel as one array.
     """
-    spans = ctx.policy.select(F.struct(F.try_to_date("valid_from").alias("a"), F.try_to_date("valid_until").alias("b")).alias("s")).agg(F.collect_set("s").alias("s"))
+    spans = ctx.policy.select(F.struct(S.iso_date(F.col("valid_from")).alias("a"), S.iso_date(F.col("valid_until")).alias("b")).alias("s")).agg(F.collect_set("s").alias("s"))
     approved = ctx.approved_paths.select(F.col("identity").alias("_ai"), F.col("via").alias("_av"), F.col("to_tier").alias("_at")).distinct().withColumn("_approved", F.lit(True))
     complete = ctx.complete_for.where(F.col("environment") == environment).select(F.col("identity").alias("_ci"), F.col("target_tier").alias("_ct")).distinct().withColumn("_complete", F.lit(True))
     out = df.join(approved, (F.col(identity) == F.col("_ai")) & (F.col(via) == F.col("_av")) & (F.col(tier) == F.col("_at")), "left")
@@ -88,10 +91,13 @@ def with_route_decision(df: DataFrame, ctx: Context, identity: str, via: str, ti
 def with_approved_change(df: DataFrame, changes: DataFrame, identity: str, target: str, via: str, service: str, ts: str) -> DataFrame:
     """``df`` with ``approved_change``: some change ticket covers the identity, target and day, and its via and service if it names them.
 
-    The tickets of an identity and target are joined as one array, so no row of ``df`` comes twice.
+    A missing day bounds nothing; a ticket with a day that is no ISO date covers nothing.  The tickets of an
+    identity and target are joined as one array, so no row of ``df`` comes twice.
     """
-    ticket = F.struct(F.try_to_date("approved_from").alias("a"), F.try_to_date("approved_until").alias("b"), "via", "service")
-    c = changes.groupBy(F.col("identity").alias("_i"), F.col("target_host").alias("_t")).agg(F.collect_set(ticket).alias("_tickets"))
+    first, last = S.iso_date(F.col("approved_from")), S.iso_date(F.col("approved_until"))
+    sound = changes.where((F.col("approved_from").isNull() | first.isNotNull()) & (F.col("approved_until").isNull() | last.isNotNull()))
+    ticket = F.struct(first.alias("a"), last.alias("b"), "via", "service")
+    c = sound.groupBy(F.col("identity").alias("_i"), F.col("target_host").alias("_t")).agg(F.collect_set(ticket).alias("_tickets"))
     out = df.join(c, (F.col(identity) == F.col("_i")) & (F.col(target) == F.col("_t")), "left").withColumns({"_day": F.to_date(ts), "_via": F.col(via), "_service": F.col(service)})
     free = lambda bound, ok: F.coalesce(bound.isNull() | ok, F.lit(False))
     fits = lambda t: free(t["a"], F.col("_day") >= t["a"]) & free(t["b"], F.col("_day") <= t["b"]) & free(t["via"], t["via"] == F.col("_via")) & free(t["service"], t["service"] == F.col("_service"))
@@ -141,21 +147,25 @@ def _judged(pairs: DataFrame) -> DataFrame:
     src_priv, dst_priv = confirmed("first.privilege_state"), confirmed("next.privilege_state")
     crown = F.coalesce((F.col("dst_tier") == 0) & F.col("dst_critical"), F.lit(False))
     unknown = (F.size("undeclared_hosts") > 0) | (F.size("undeclared_identities") > 0)
-    label = (
-        F.when(~auth, "INSUFFICIENT_EVIDENCE")
-        .when(has_transition & ~F.col("linked"), "INSUFFICIENT_EVIDENCE")
-        .when(unknown, "INSUFFICIENT_CONTEXT")
-        .when(crown & (F.col("route") == "AUTHORIZED"), "EXPECTED")
-        .when(crown & (F.col("route") == "PROHIBITED"), "CRITICAL_UNAPPROVED_PATH")
-        .when(crown, "INSUFFICIENT_CONTEXT")
-        .when(F.col("approved_change"), "JUSTIFIED")
-        .when(F.col("route") == "AUTHORIZED", "EXPECTED")
-        .when(F.col("linked"), "CREDENTIAL_TRANSITION_PROGRESSION")
-        .when(src_priv & (F.col("lineage") == "session-exact"), "PRIVILEGED_PROGRESSION")
-        .when(src_priv, "POSSIBLE_PRIVILEGED_PROGRESSION")
-        .when(dst_priv, "PRIVILEGED_DESTINATION_REACH")
-        .otherwise("PIVOT_PROGRESSION")
-    )
+    listed = lambda c: F.array_join(c, ", ")
+    undeclared = F.concat(F.lit("The context doesn't declare all of the path: hosts ["), listed("undeclared_hosts"), F.lit("], identities ["), listed("undeclared_identities"), F.lit("]."))
+    clauses = [
+        (~auth, "INSUFFICIENT_EVIDENCE", F.lit("The authentication of one of the hops isn't confirmed.")),
+        (has_transition & ~F.col("linked"), "INSUFFICIENT_EVIDENCE", F.lit("A change of credentials is indicated, but not confirmed to come from the first hop.")),
+        (unknown, "INSUFFICIENT_CONTEXT", undeclared),
+        (crown & (F.col("route") == "AUTHORIZED"), "EXPECTED", F.lit("An approved administrative path leads to this tier-0 host.")),
+        (crown & (F.col("route") == "PROHIBITED"), "CRITICAL_UNAPPROVED_PATH", F.lit("A critical tier-0 host was reached over a path that the valid and complete policy doesn't approve.")),
+        (crown, "INSUFFICIENT_CONTEXT", F.lit("A critical tier-0 host was reached; the policy is not valid that day, or not complete for this identity and tier.")),
+        (F.col("approved_change"), "JUSTIFIED", F.lit("A change ticket covers this access.")),
+        (F.col("route") == "AUTHORIZED", "EXPECTED", F.lit("The path is an approved administrative one.")),
+        (F.col("linked"), "CREDENTIAL_TRANSITION_PROGRESSION", F.lit("After a confirmed change of credentials the access went on.")),
+        (src_priv & (F.col("lineage") == "session-exact"), "PRIVILEGED_PROGRESSION", F.lit("The very session that was privileged on the middle host went on.")),
+        (src_priv, "POSSIBLE_PRIVILEGED_PROGRESSION", F.lit("The identity was privileged on the middle host and went on; that it was the same session isn't shown.")),
+        (dst_priv, "PRIVILEGED_DESTINATION_REACH", F.lit("The onward hop ended in a privileged session.")),
+    ]
+    label, rationale = F.lit("PIVOT_PROGRESSION"), F.lit("Access spread to a host that is new to the identity or of a higher tier, without privileges.")
+    for applies, name, why in reversed(clauses):
+        label, rationale = F.when(applies, name).otherwise(label), F.when(applies, why).otherwise(rationale)
     considered = ~(~auth | (has_transition & ~F.col("linked")) | unknown)
     modifiers = F.struct(
         F.col("src_tier"),
@@ -179,6 +189,7 @@ def _judged(pairs: DataFrame) -> DataFrame:
         F.array("h1", "h2", "h3").alias("path"),
         F.col("who").alias("identity"),
         F.array("first.edge_id", "next.edge_id").alias("edges"),
+        rationale.alias("rationale"),
         modifiers.alias("modifiers"),
         F.struct(F.col("first.ts").alias("t1"), F.col("first.edge_id").alias("e1"), F.col("next.ts").alias("t2"), F.col("next.edge_id").alias("e2")).alias("order"),
     )
@@ -187,7 +198,7 @@ def _judged(pairs: DataFrame) -> DataFrame:
 def aggregate_findings(findings: DataFrame) -> DataFrame:
     """One finding for each (label, identity, path): the first seen, with the number of occurrences."""
     path = F.array_join("path", "|", "None")
-    first = F.min_by(F.struct("path", "edges", "modifiers"), F.struct(F.col("order"), F.array_join("edges", "|"))).alias("f")
+    first = F.min_by(F.struct("path", "edges", "rationale", "modifiers"), F.struct(F.col("order"), F.array_join("edges", "|"))).alias("f")
     grouped = findings.groupBy("label", "identity", path.alias("_path")).agg(first, F.count("*").alias("occurrence_count"))
     return grouped.select(
         "label",
@@ -195,6 +206,7 @@ def aggregate_findings(findings: DataFrame) -> DataFrame:
         F.col("f.path").alias("path"),
         "identity",
         F.col("f.edges").alias("edges"),
+        F.col("f.rationale").alias("rationale"),
         F.col("f.modifiers").alias("modifiers"),
         "occurrence_count",
         F.lit(True).alias("first_seen_in_window"),
@@ -206,11 +218,13 @@ def standalone_findings(edges: DataFrame, judged: DataFrame) -> DataFrame:
     """Edges that neither lead to a finding nor are a second hop: NONE, or INSUFFICIENT_EVIDENCE without confirmed authentication."""
     hops = judged.select(F.explode(F.array(F.when(F.col("label").isNotNull(), F.col("edges")[0]), F.col("edges")[1])).alias("edge_id"))
     alone = edges.join(hops.distinct(), "edge_id", "left_anti")
+    sure = F.coalesce(F.col("auth_state") == "confirmed", F.lit(False))
     return alone.select(
-        F.when(F.coalesce(F.col("auth_state") == "confirmed", F.lit(False)), "NONE").otherwise("INSUFFICIENT_EVIDENCE").alias("label"),
+        F.when(sure, "NONE").otherwise("INSUFFICIENT_EVIDENCE").alias("label"),
         F.array("source_host", "target_host").alias("path"),
         F.col("effective_identity").alias("identity"),
         F.array("edge_id").alias("edges"),
+        F.when(sure, "An authenticated session from which nothing went on.").otherwise("A single edge whose authentication isn't confirmed.").alias("rationale"),
         F.lit(None).cast(judged.schema["modifiers"].dataType).alias("modifiers"),
         F.struct(F.col("ts").alias("t1"), F.col("edge_id").alias("e1"), F.lit(None).cast("timestamp").alias("t2"), F.lit(None).cast("string").alias("e2")).alias("order"),
     )

@@ -47,13 +47,16 @@ def normalize_windows_events(events: DataFrame, ip_map: DataFrame) -> DataFrame:
     ``events``: seq (unique), ts_raw, code, outcome, event_id, host_name, host_ips, computer_name, record_id,
     sequence, source_ip, data, raw (as ``sources.records`` makes them; missing columns count as null).
     The id of an event without one is made of its host and record number, or its sequence number; with
-    neither, ``ref`` is the reference that follows from its content.
+    neither, ``ref`` is the reference that follows from its content: ``raw``, or where that is null what
+    the event's own columns hold.
     """
     for c, kind in (("outcome", "string"), ("event_id", "string"), ("host_name", "string"), ("host_ips", "array<string>"), ("computer_name", "string"), ("record_id", "string"), ("sequence", "string"), ("source_ip", "string"), ("raw", "string"), ("source_file", "string")):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast(kind))
     blank = F.lit("")
     nothing = F.array().cast("array<string>")
+    content = [c for c in ("ts_raw", "code", "outcome", "host_name", "host_ips", "computer_name", "source_ip", "data") if c in events.columns]
+    events = events.withColumn("raw", F.coalesce("raw", F.to_json(F.struct(*content))))
     e = events.where(F.col("code").isin(list(REQUIRED_FIELDS)))
     e = e.withColumns({"host_name": F.coalesce(F.nullif("host_name", blank), F.nullif("computer_name", blank)), "own_ips": F.transform(F.filter(F.coalesce("host_ips", nothing), lambda x: x.isNotNull() & (x != "")), S.canonical_ip)})
     e = e.withColumn("aliases", S.host_aliases(F.col("host_name")))

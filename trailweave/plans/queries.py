@@ -542,6 +542,9 @@ def _transition(origin: str | None, to: str | None, state: str, ref: str | None
     return F.struct(F.lit(origin).alias("from_identity"), F.lit(to).alias("to_identity"), F.lit(state).alias("state"), F.lit(ref).alias("evidence_ref")).cast(_TRANSITION)
 
 
+_NO_ADDRESSES = [":::::::", "12345::", "1:2:3:4:5:6:7:8:9", "::1.2.3.999"]
+
+
 def _pivot_faults() -> list[tuple[str, Column, str]]:
     nothing = F.lit(None).cast("struct<network: string, logon: string, privilege: string>")
     return [
@@ -552,6 +555,7 @@ def _pivot_faults() -> list[tuple[str, Column, str]]:
         ("auth_state", F.lit(None).cast("string"), "auth_state is not a known state"),
         ("source_ip", F.lit("10.0.0.256"), "source_ip is not an address"),
         ("target_ip", F.lit("host"), "target_ip is not an address"),
+        *[("target_ip", F.lit(bad), "target_ip is not an address") for bad in _NO_ADDRESSES],
         ("credential_transition", _transition("", "x", "confirmed"), "credential_transition lacks an identity"),
         ("credential_transition", _transition("x", "y", "absent"), "credential_transition.state is not a known state"),
         ("evidence_refs", nothing, "evidence_refs is missing"),
@@ -610,7 +614,7 @@ def _some(df: DataFrame) -> DataFrame:
 
 @query(JOINED + _expected("edge_id", [(c, None, m) for c, m in [(c, f"{c} is missing") for c in ("edge_id", "source_host", "target_host", "identity", "effective_identity")] + [
     ("ts", "@timestamp is not a date-time"), ("service", "service is not rdp or smb"), ("privilege_state", "privilege_state is not a known state"), ("auth_state", "auth_state is not a known state"),
-    ("source_ip", "source_ip is not an address"), ("target_ip", "target_ip is not an address"), ("", "credential_transition lacks an identity"), ("", "credential_transition.state is not a known state"), ("", "evidence_refs is missing")]], "edges"))
+    ("source_ip", "source_ip is not an address"), *[("", "target_ip is not an address")] * (1 + len(_NO_ADDRESSES)), ("", "credential_transition lacks an identity"), ("", "credential_transition.state is not a known state"), ("", "evidence_refs is missing")]], "edges"))
 def check_pivot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_pivot_edges(_seeded(_edges(Evidence(spark, sf_dir)), _pivot_faults()))
 
@@ -641,14 +645,17 @@ def check_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + r"""
 SELECT DISTINCT key, message FROM (
-  SELECT CASE m WHEN 0 THEN 'NOTHING' WHEN 6 THEN 'NONE' WHEN 5 THEN 'PIVOT_PROGRESSION' ELSE 'EXPECTED' END || '|' || CASE WHEN m = 2 THEN '' ELSE 'u' || (u % 20) END || '|' || CASE m WHEN 3 THEN 'a' WHEN 5 THEN 'a>b' ELSE 'a>b>c' END AS key,
-    CASE m WHEN 0 THEN 'label is not known' WHEN 1 THEN 'confidence is not known' WHEN 2 THEN 'identity is missing' WHEN 3 THEN 'path has fewer than two hosts' WHEN 4 THEN 'edges is empty' WHEN 5 THEN 'a progression needs three hosts and two edges' WHEN 6 THEN 'NONE needs one edge' END AS message
-  FROM (SELECT u, k % 8 AS m FROM e)) WHERE message IS NOT NULL""")
+  SELECT CASE m WHEN 0 THEN 'NOTHING' WHEN 6 THEN 'NONE' WHEN 5 THEN 'PIVOT_PROGRESSION' ELSE 'EXPECTED' END || '|' || CASE WHEN m = 2 THEN '' ELSE 'u' || (u % 20) END || CASE m WHEN 3 THEN '|' WHEN 5 THEN '|a>b' WHEN 8 THEN '' ELSE '|a>b>c' END AS key,
+    CASE m WHEN 0 THEN 'label is not known' WHEN 1 THEN 'confidence is not known' WHEN 2 THEN 'identity is missing' WHEN 3 THEN 'path is empty' WHEN 4 THEN 'edges is empty' WHEN 5 THEN 'a progression needs three hosts and two edges' WHEN 6 THEN 'NONE needs one edge'
+      WHEN 7 THEN 'rationale is missing' WHEN 8 THEN 'path is empty' WHEN 9 THEN 'edges is empty' END AS message
+  FROM (SELECT u, k % 11 AS m FROM e)) WHERE message IS NOT NULL""")
 def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, path = F.col("k") % 8, ["a", "b", "c"]
+    m, path = F.col("k") % 11, ["a", "b", "c"]
+    none = F.array().cast("array<string>")
     found = Evidence(spark, sf_dir).events.select(
         F.when(m == 0, "NOTHING").when(m == 6, "NONE").when(m == 5, "PIVOT_PROGRESSION").otherwise("EXPECTED").alias("label"), F.when(m == 1, "sure").otherwise("low").alias("confidence"), F.when(m == 2, "").otherwise(F.concat(F.lit("u"), F.col("u") % 20)).alias("identity"),
-        F.when(m == 3, F.array(F.lit("a"))).when(m == 5, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(*map(F.lit, path))).alias("path"), F.when(m == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("e1"), F.lit("e2"))).alias("edges"),
+        F.when(m == 3, none).when(m == 5, F.array(F.lit("a"), F.lit("b"))).when(m != 8, F.array(*map(F.lit, path))).alias("path"), F.when(m == 4, none).when(m != 9, F.array(F.lit("e1"), F.lit("e2"))).alias("edges"),
+        F.when(m == 7, "").otherwise("because").alias("rationale"),
     )
     return checks.check_findings(found).distinct()
 
@@ -673,8 +680,8 @@ def check_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx.known_edges = rows.select("identity", "host")
     ctx.approved_paths = rows.select("identity", F.col("host").alias("via"), F.lit(0).alias("to_tier"))
     ctx.complete_for = rows.select(F.when(i % 3 == 0, "").otherwise("on_prem").alias("environment"), "identity", F.when(i % 4 != 0, 0).alias("target_tier"))
-    ctx.approved_changes = rows.select("identity", F.col("host").alias("target_host"), day(5, "soon").alias("approved_from"), day(7, "2024-13-01").alias("approved_until"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("service"))
-    ctx.policy = rows.where("i < 3").select(F.when(i == 0, "x").when(i == 2, "2025-01-01").otherwise("2024-01-01").alias("valid_from"), F.when(i == 1, "y").otherwise("2024-12-31").alias("valid_until"))
+    ctx.approved_changes = rows.select("identity", F.col("host").alias("target_host"), day(5, "2024").alias("approved_from"), day(7, "2024-01-01 junk").alias("approved_until"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("service"))
+    ctx.policy = rows.where("i < 3").select(F.when(i == 0, "2024-1").when(i == 2, "2025-01-01").otherwise("2024-01-01").alias("valid_from"), F.when(i == 1, "2024-02-30").otherwise("2024-12-31").alias("valid_until"))
     return checks.check_context(ctx).distinct()
 
 
@@ -686,15 +693,9 @@ logons AS (SELECT seq, us, ts, {_ISO} AS ts_raw, 'H' || (k % 5) AS host_name, ho
 """ + BASE[BASE.index("privs AS (") :] + _JOINS + _PAIRS + _FINDINGS + _UNIFIED
 
 
-def _case(spark: SparkSession, sf_dir: str) -> cases.Case:
-    """A whole case from packets, event documents and cloud records, which are written from events."""
-    ev = Evidence(spark, sf_dir)
+def _windows_documents(ev: Evidence, named: bool = True) -> DataFrame:
+    """Windows events as rows before normalisation, from documents that are written from events; only ``named`` ones have an id."""
     k, u = F.col("k"), F.col("u")
-    view = ev.events.where("event_type = 'view'")
-    client, server = F.struct(F.concat(F.lit("10.0.0."), u % 5).alias("ip"), (F.lit(10_000) + F.col("seq")).cast("int").alias("port")), F.struct(F.concat(F.lit("10.0.0."), k % 5).alias("ip"), F.when(k % 3 == 0, 3389).when(k % 3 == 1, 445).otherwise(443).alias("port"))
-    sent = lambda a, b, flags, size: F.struct(a.alias("a"), b.alias("b"), F.lit(flags).alias("flags"), size.alias("size"))
-    both = view.select("seq", "ts", F.posexplode(F.array(sent(client, server, "S", 60 + k), sent(server, client, "SA", F.lit(40)))).alias("n", "x"))
-    packets = both.select((F.col("seq") * 2 + F.col("n")).alias("seq"), "ts", F.col("x.a.ip").alias("src_ip"), F.col("x.a.port").alias("src_port"), F.col("x.b.ip").alias("dst_ip"), F.col("x.b.port").alias("dst_port"), F.lit("tcp").alias("transport"), "x.flags", "x.size")
     user = lambda n: F.concat(F.lit("u"), n % 20)
     error = F.col("event_type") == "error"
     code = F.when(F.col("event_type") == "click", "4624").when(F.col("event_type") == "signup", "4672").when(error, "4648")
@@ -702,10 +703,33 @@ def _case(spark: SparkSession, sf_dir: str) -> cases.Case:
         "TargetUserName": user(u), "TargetDomainName": F.lit("CORP"), "SubjectUserName": F.when(error, user(u + 1)).otherwise(user(u)), "SubjectDomainName": F.lit("CORP"), "TargetLogonId": F.concat(F.lit("0x"), u % 20),
         "SubjectLogonId": F.concat(F.lit("0x"), F.when(error, u % 40).otherwise(u % 20)), "IpAddress": F.concat(F.lit("::ffff:10.0.0."), u % 5), "LogonType": F.when(k % 2 == 0, "10").otherwise("3"), "TargetServerName": F.concat(F.lit("h"), u % 5, F.lit(".corp.example")),
     }
-    doc = F.struct(S.iso_text(F.col("ts")).alias("@timestamp"), F.struct(code.alias("code"), F.concat(F.lit("e"), "seq").alias("id")).alias("event"), F.struct(F.concat(F.lit("h"), k % 5, F.lit(".corp.example")).alias("name")).alias("host"), F.struct(F.struct(*[v.alias(n) for n, v in data.items()]).alias("event_data")).alias("winlog"))
+    event = [code.alias("code"), *([F.concat(F.lit("e"), "seq").alias("id")] if named else [])]
+    doc = F.struct(S.iso_text(F.col("ts")).alias("@timestamp"), F.struct(*event).alias("event"), F.struct(F.concat(F.lit("h"), k % 5, F.lit(".corp.example")).alias("name")).alias("host"), F.struct(F.struct(*[v.alias(n) for n, v in data.items()]).alias("event_data")).alias("winlog"))
     docs = ev.events.where(code.isNotNull()).select("seq", F.parse_json(F.to_json(doc)).alias("v"), F.lit(None).cast("string").alias("raw"))
-    found = records.windows_records(records.unwrap_envelope(docs))
-    return cases.reconstruct_case(packets, found, _cloud(ev), ev.ip_map, context(spark), cases.Params(WINDOW, WINDOW, WINDOW, _MINUTES))
+    return records.windows_records(records.unwrap_envelope(docs))
+
+
+@query(_CASE + "SELECT edge_id, privilege_state, true AS logon_named, privilege_ref IS NOT NULL AS privilege_named FROM edges")
+def edges_of_unnamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of events without id or raw document: each has a reference that follows from its content."""
+    ev = Evidence(spark, sf_dir)
+    found = windows.normalize_windows_events(_windows_documents(ev, named=False).drop("raw"), ev.ip_map)
+    logons, privs, creds = windows.split_events(scratch.table(found, "events"))
+    made = edges.materialize_edges(ev.flows, logons, privs, creds, ev.ip_map, WINDOW, WINDOW, WINDOW)
+    named = lambda c: F.coalesce(F.col(f"evidence_refs.{c}").startswith("raw-"), F.lit(False))
+    return made.select("edge_id", "privilege_state", named("logon").alias("logon_named"), named("privilege").alias("privilege_named"))
+
+
+def _case(spark: SparkSession, sf_dir: str) -> cases.Case:
+    """A whole case from packets, event documents and cloud records, which are written from events."""
+    ev = Evidence(spark, sf_dir)
+    k, u = F.col("k"), F.col("u")
+    view = ev.events.where("event_type = 'view'")
+    client, server = F.struct(F.concat(F.lit("10.0.0."), u % 5).alias("ip"), (F.lit(10_000) + F.col("seq")).cast("int").alias("port")), F.struct(F.concat(F.lit("10.0.0."), k % 5).alias("ip"), F.when(k % 3 == 0, 3389).when(k % 3 == 1, 445).otherwise(443).alias("port"))
+    sent = lambda a, b, flags, size: F.struct(a.alias("a"), b.alias("b"), F.lit(flags).alias("flags"), size.alias("size"))
+    both = view.select("seq", "ts", F.posexplode(F.array(sent(client, server, "S", 60 + k), sent(server, client, "SA", F.lit(40)))).alias("n", "x"))
+    packets = both.select((F.col("seq") * 2 + F.col("n")).alias("seq"), "ts", F.col("x.a.ip").alias("src_ip"), F.col("x.a.port").alias("src_port"), F.col("x.b.ip").alias("dst_ip"), F.col("x.b.port").alias("dst_port"), F.lit("tcp").alias("transport"), "x.flags", "x.size")
+    return cases.reconstruct_case(packets, _windows_documents(ev), _cloud(ev), ev.ip_map, context(spark), cases.Params(WINDOW, WINDOW, WINDOW, _MINUTES))
 
 
 @query(_CASE + """SELECT 'network_flows' AS name, count(*) AS n FROM flows UNION ALL SELECT 'windows_events', count(*) FROM p WHERE event_type IN ('click', 'signup', 'error') UNION ALL SELECT 'pivot_edges', count(*) FROM edges

@@ -98,16 +98,17 @@ def windows_xml_to_ecs(events: DataFrame, xml: str = "xml") -> DataFrame:
     """Exported event XML as flat event rows of the supported codes."""
     e = events.withColumn("_e", F.from_xml(F.col(xml), _XML))
     data = F.map_from_entries(F.transform(F.filter(F.coalesce("_e.EventData.Data", F.array().cast("array<struct<_Name: string, _VALUE: string>>")), lambda d: d["_Name"].isNotNull()), lambda d: F.struct(d["_Name"], d["_VALUE"])))
-    computer = F.col("_e.System.Computer")
+    computer, record = F.col("_e.System.Computer"), F.col("_e.System.EventRecordID")
     out = e.where(F.col("_e.System.EventID").isin(CODES))
     return out.select(
         *[F.col(c) for c in events.columns if c != xml],
         F.col("_e.System.TimeCreated._SystemTime").alias("ts_raw"),
         F.col("_e.System.EventID").alias("code"),
         F.when(F.col("_e.System.EventID") == "4624", "success").alias("outcome"),
-        F.concat(F.lit("evtx:"), F.coalesce(F.nullif(computer, F.lit("")), F.lit("unknown")), F.lit(":"), F.col("_e.System.EventRecordID")).alias("event_id"),
+        # Without a record number there is no id; normalisation then makes a reference of the content.
+        F.when(record != "", F.concat(F.lit("evtx:"), F.coalesce(F.nullif(computer, F.lit("")), F.lit("unknown")), F.lit(":"), record)).alias("event_id"),
         computer.alias("computer_name"),
-        F.col("_e.System.EventRecordID").alias("record_id"),
+        record.alias("record_id"),
         data.alias("data"),
     )
 

@@ -154,11 +154,12 @@ def live_edges(
     found = every.groupBy("seq", "ts").agg(
         F.first("logon").alias("logon"),
         F.max_by(of("flow", F.col("event")), of("flow", F.struct("event.at", "event.order"))).alias("flow"),
+        F.bool_or(F.col("kind") == "privilege").alias("privileged"),
         F.min_by(of("privilege", F.col("event.ref")), of("privilege", F.col("event.order"))).alias("privilege_ref"),
         F.collect_set(of("credential", F.col("event"))).alias("uses"),
     )
-    found = found.where("flow is not null").select("seq", "ts", "logon.*", "privilege_ref", F.col("flow.ref").alias("flow_ref"), F.col("flow.target_ip").alias("target_ip"), F.col("flow.service").alias("service"), "uses")
-    names = ip_map.groupBy("ip").agg(F.min("host").alias("host"))
+    found = found.where("flow is not null").select("seq", "ts", "logon.*", "privileged", "privilege_ref", F.col("flow.ref").alias("flow_ref"), F.col("flow.target_ip").alias("target_ip"), F.col("flow.service").alias("service"), "uses")
+    names = E.host_names(ip_map)
     mapped = lambda df, ip, name: df.join(names.select(F.col("ip").alias(f"{name}_ip"), F.col("host").alias(name)), F.col(ip) == F.col(f"{name}_ip"), "left").drop(f"{name}_ip")
     found = mapped(mapped(found, "src_ip", "source_mapped"), "target_ip", "target_mapped")
     table = names.select(F.struct("ip", "host").alias("x")).agg(F.map_from_entries(F.collect_list("x")).alias("m")).scalar()  # the address map, as small as a document
