@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from trailweave.functions import scalars as S
 from trailweave.operators import detections
@@ -52,8 +51,9 @@ def live_flow_fold(packets: DataFrame, idle: str = "60 seconds", lateness: str =
     )
 
 
-def live_rc4_tgt(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    return detections.rc4_tgt(events.withWatermark("ts", lateness))
+def live_rc4_tgt(events: DataFrame) -> DataFrame:
+    """Stateless, so without watermark; ``live_alerts`` sets one."""
+    return detections.rc4_tgt(events)
 
 
 def live_encoded_powershell(events: DataFrame) -> DataFrame:
@@ -66,49 +66,85 @@ def live_alerts(alerts: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return detections.dedupe_alerts(alerts.withWatermark("ts", lateness))
 
 
-def live_port_fan_out(flows: DataFrame, threshold: int = detections.FAN_OUT, length: str = "10 minutes", slide: str | None = "5 minutes", lateness: str = "1 minute") -> DataFrame:
-    """Fan-out in look-back windows; a window's row comes when the watermark has passed it."""
-    return detections.port_fan_out_windowed(flows.withWatermark("ts", lateness), threshold, length, slide)
+def live_port_fan_out(flows: DataFrame, threshold: int = detections.FAN_OUT, length: str = "10 minutes", slide: str | None = "5 minutes", lateness: str = "1 minute", approximate: bool = False) -> DataFrame:
+    """Fan-out in look-back windows; a window's row comes when the watermark has passed it.  State: a set (or sketch) of ports for each pane, then for each window."""
+    return detections.port_fan_out_windowed(flows.withWatermark("ts", lateness) if flows.isStreaming else flows, threshold, length, slide, approximate)
 
 
-def _sequence_step(n_stages: int, span: float) -> Callable:
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # pending[k]: (begin in seconds, seqs) of the latest sequence that has passed stage k
-        pending = list(state.get[0]) if state.exists else [""] * (n_stages - 1)
-        if state.hasTimedOut:
-            state.remove()
+class SequenceMachine(StatefulProcessor):
+    """The pending sequences of a key, and the events that still wait for their turn.
+
+    Events come in any order within the watermark's lateness.  They wait in a list; a timer at the earliest of
+    them fires when the watermark has passed it, when no earlier event can come any more, and all that the watermark
+    has passed are taken in order of (time, number, stage).  ``pending[k]``: time and numbers of the latest
+    sequence that has passed stage k; a key without waiting events is forgotten a span after its last one.
+    """
+
+    def __init__(self, n_stages: int, span_micros: int):
+        self.n_stages, self.span = n_stages, span_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, seq long, stage int")
+        self.pending = handle.getValueState("pending", "latest long, begun array<long>, seqs array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        new = [(r.at, r.seq, r.stage) for r in rows]
+        self.waiting.appendList(new)
+        self._wake(min(at for at, _, _ in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [e for e in events if e[0] <= passed], [e for e in events if e[0] > passed]
+        if not ready and (rest or not self.pending.exists() or self.pending.get()[0] + self.span >= passed):
+            if rest:
+                self._wake(rest[0][0])
             return
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        latest = 0.0
-        for at, seq, stage in zip(rows["at"], rows["seq"], rows["stage"], strict=True):
-            latest = max(latest, at)
-            if stage == 0:
-                grown = f"{at!r}|{seq}"
-            else:
-                held, pending[stage - 1] = pending[stage - 1], ""
-                if not held or at - float(held.split("|", 1)[0]) > span:
+        latest, begun, seqs = self.pending.get() if self.pending.exists() else (0, [None] * (self.n_stages - 1), [""] * (self.n_stages - 1))
+        begun, seqs = list(begun), list(seqs)
+        for at, seq, stage in ready:
+            latest = at
+            if stage:
+                since, said, begun[stage - 1] = begun[stage - 1], seqs[stage - 1], None
+                if since is None or at - since > self.span:
                     continue
-                grown = f"{held},{seq}"
-            if stage == n_stages - 1:
-                out.append((*key, grown.split("|", 1)[1]))
+                said = f"{said},{seq}"
+            else:
+                since, said = at, str(seq)
+            if stage == self.n_stages - 1:
+                yield Row(key=key[0], seqs=said)
             else:
-                pending[stage] = grown
-        state.update((pending,))
-        state.setTimeoutTimestamp(max(int((latest + span) * 1000), state.getCurrentWatermarkMs() + 1) + 1000)
-        yield pd.DataFrame(out, columns=["key", "seqs"])
+                begun[stage], seqs[stage] = since, said
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+        if rest or latest + self.span >= passed:
+            self.pending.update((latest, begun, seqs))
+            self._wake(latest + self.span + 1)
+        else:
+            self.pending.clear()
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def live_sequence(events: DataFrame, n_stages: int, max_span_seconds: float, lateness: str = "1 minute") -> DataFrame:
-    """(key, seqs): ordered sequences on a stream of (key, ts, seq, stage), ``stage`` from 0.
+    """(key, seqs): ordered sequences on a stream of (key, ts, seq, stage), ``stage`` from 0, as ``operators.sequences`` finds them in a table.
 
-    The state of a key is the latest pending sequence of each stage; it goes when the watermark is a
-    span past its last event.  Events must come in time order for each key; within a batch they are sorted.
+    Events may come out of order within ``lateness``; a sequence comes when the watermark has passed its last event.
+    Rows with a null key, time or stage match nothing.  Runs with the RocksDB state store (see ``run.drain``).
     """
-    timed = events.withWatermark("ts", lateness).select("key", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "seq", "stage")
-    return timed.groupBy("key").applyInPandasWithState(_sequence_step(n_stages, max_span_seconds), "key string, seqs string", "pending array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.withWatermark("ts", lateness).where("key is not null and ts is not null and stage is not null")
+    timed = timed.select(F.col("key").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("stage").cast("int").alias("stage"))
+    machine = SequenceMachine(n_stages, int(max_span_seconds * 1_000_000))
+    return timed.groupBy("key").transformWithState(machine, "key string, seqs string", "Append", "EventTime")
 
 
 def _span(seconds: float) -> Column:
@@ -122,7 +158,7 @@ def live_edges(
     """Edges of a stream (append mode), as ``operators.edges.materialize_edges`` makes them of tables, with ``seq`` and ``ts`` of the logon.
 
     Inputs are those of ``operators.edges``; ``ip_map`` is a table.  Time goes on with the slowest input: one
-    that is silent holds the edges back.  The events that may bear on a logon
+    that is silent, or gives only rows that can't match (Spark filters those before it looks at their time), holds the edges back.  The events that may bear on a logon
     are joined to it by watermarked stream-stream joins on equal keys and a time range, as (kind, event)
     rows of one union; one aggregation for each logon then takes the latest flow, the first privilege and
     the session of the credential uses, and gives the edge once the watermark has passed the logon's
