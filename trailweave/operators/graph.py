@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 CONTINUATION_MINUTES = 30
 
 
-def _confirmed(edge: str) -> Column:
+def confirmed_transition(edge: str) -> Column:
     """A confirmed transition that names both its ends."""
     t = F.col(f"{edge}credential_transition")
     named = lambda c: F.coalesce(t[c], F.lit("")) != ""
@@ -19,7 +19,7 @@ def sanitize_edges(edges: DataFrame) -> DataFrame:
     """The effective identity is where a confirmed transition leads, else the identity, whatever the edge claims; missing states are ``unknown``."""
     return edges.withColumns(
         {
-            "effective_identity": F.when(_confirmed(""), F.col("credential_transition.to_identity")).otherwise(F.col("identity")),
+            "effective_identity": F.when(confirmed_transition(""), F.col("credential_transition.to_identity")).otherwise(F.col("identity")),
             "privilege_state": F.coalesce("privilege_state", F.lit("unknown")),
             "auth_state": F.coalesce("auth_state", F.lit("unknown")),
         }
@@ -50,7 +50,7 @@ def transition_links(first: str = "first", nxt: str = "next") -> Column:
     """Whether the next hop's confirmed transition goes from the first hop's effective identity to its own."""
     t = F.col(f"{nxt}.credential_transition")
     ends = (t["from_identity"] == F.col(f"{first}.effective_identity")) & (t["to_identity"] == F.col(f"{nxt}.effective_identity"))
-    return _confirmed(f"{nxt}.") & F.coalesce(ends, F.lit(False))
+    return confirmed_transition(f"{nxt}.") & F.coalesce(ends, F.lit(False))
 
 
 def continuation_pairs(edges: DataFrame, minutes: float = CONTINUATION_MINUTES) -> DataFrame:
@@ -64,7 +64,7 @@ def continuation_pairs(edges: DataFrame, minutes: float = CONTINUATION_MINUTES)
     whole = F.struct(*[F.col(f"`{c}`") for c in edges.columns])
     slot = F.floor(F.unix_micros("ts") / micros)
     first = edges.select(F.col("target_host").alias("host"), F.col("effective_identity").alias("key"), F.explode(F.array(slot, slot + 1)).alias("bin"), whole.alias("first"))
-    came = F.when(_confirmed(""), F.col("credential_transition.from_identity"))
+    came = F.when(confirmed_transition(""), F.col("credential_transition.from_identity"))
     keys = F.array_distinct(F.array_compact(F.array("identity", came)))
     then = edges.select(F.col("source_host").alias("host"), F.explode(keys).alias("key"), slot.alias("bin"), whole.alias("next"))
     age = F.unix_micros("next.ts") - F.unix_micros("first.ts")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from trailweave.functions import scalars as S
 from trailweave.sources import scratch
 
-from .graph import CONTINUATION_MINUTES, continuation_pairs, sanitize_edges, transition_links
+from .graph import CONTINUATION_MINUTES, sanitize_edges, transition_links
+from .progression import continuation_counts
 
 # The confidence of each label.
 CONFIDENCE = {
@@ -124,13 +125,20 @@ def with_context(edges: DataFrame, ctx: Context) -> DataFrame:
 
 def classify_hops(pairs: DataFrame) -> DataFrame:
     """One finding for each pair (of edges :func:`with_context`) that is worth one; the first clause that applies gives the label."""
-    return _judged(pairs).where("label is not null")
+    order = F.struct(F.col("first.ts").alias("t1"), F.col("first.edge_id").alias("e1"), F.col("next.ts").alias("t2"), F.col("next.edge_id").alias("e2"))
+    return _judged(pairs.withColumn("order", order).where(_worth()))
 
 
-def _judged(pairs: DataFrame) -> DataFrame:
-    """Every pair with its label, which is null where the pair isn't worth a finding."""
+def _worth() -> Column:
+    """Whether a hop is worth a finding: its target is new to the identity, of a higher tier or critical, or there is a change of credentials."""
+    higher = F.coalesce(F.col("next.dst_tier") < F.col("first.dst_tier"), F.lit(False))
+    return F.col("next.novel") | higher | F.col("next.credential_transition").isNotNull() | F.col("next.dst_critical")
+
+
+def _judged(pairs: DataFrame, *also: str) -> DataFrame:
+    """The findings of pairs (first, next, lineage, order), of edges or of classes of edges."""
     p = pairs.select(
-        "first", "next", "lineage", transition_links().alias("linked"),
+        "first", "next", "lineage", "order", *also, transition_links().alias("linked"),
         F.col("next.effective_identity").alias("who"), F.col("first.source_host").alias("h1"), F.col("first.target_host").alias("h2"), F.col("next.target_host").alias("h3"),
         F.col("first.identity").alias("i1"), F.col("first.effective_identity").alias("i2"), F.col("next.identity").alias("i3"),
         F.col("first.src_known").alias("a_known"), F.col("first.dst_known").alias("src_known"), F.col("first.dst_tier").alias("src_tier"),
@@ -142,7 +150,6 @@ def _judged(pairs: DataFrame) -> DataFrame:
     p = p.withColumns({"undeclared_hosts": missing([("h1", "a"), ("h2", "src"), ("h3", "dst")]), "undeclared_identities": missing([("i1", "p"), ("i2", "q"), ("i3", "r"), ("who", "w")])})
     confirmed = lambda c: F.coalesce(F.col(c) == "confirmed", F.lit(False))
     has_transition = F.col("next.credential_transition").isNotNull()
-    higher = F.coalesce(F.col("dst_tier") < F.col("src_tier"), F.lit(False))
     auth = confirmed("first.auth_state") & confirmed("next.auth_state")
     src_priv, dst_priv = confirmed("first.privilege_state"), confirmed("next.privilege_state")
     crown = F.coalesce((F.col("dst_tier") == 0) & F.col("dst_critical"), F.lit(False))
@@ -185,21 +192,22 @@ def _judged(pairs: DataFrame) -> DataFrame:
         F.col("undeclared_identities"),
     )
     return p.select(
-        F.when(F.col("novel") | higher | has_transition | F.col("dst_critical"), label).alias("label"),
+        label.alias("label"),
         F.array("h1", "h2", "h3").alias("path"),
         F.col("who").alias("identity"),
-        F.array("first.edge_id", "next.edge_id").alias("edges"),
+        F.array("order.e1", "order.e2").alias("edges"),
         rationale.alias("rationale"),
         modifiers.alias("modifiers"),
-        F.struct(F.col("first.ts").alias("t1"), F.col("first.edge_id").alias("e1"), F.col("next.ts").alias("t2"), F.col("next.edge_id").alias("e2")).alias("order"),
+        "order",
+        *also,
     )
 
 
 def aggregate_findings(findings: DataFrame) -> DataFrame:
-    """One finding for each (label, identity, path): the first seen, with the number of occurrences."""
+    """One finding for each (label, identity, path): the first seen, with the number of occurrences (each row's ``n``)."""
     path = F.array_join("path", "|", "None")
     first = F.min_by(F.struct("path", "edges", "rationale", "modifiers"), F.struct(F.col("order"), F.array_join("edges", "|"))).alias("f")
-    grouped = findings.groupBy("label", "identity", path.alias("_path")).agg(first, F.count("*").alias("occurrence_count"))
+    grouped = findings.groupBy("label", "identity", path.alias("_path")).agg(first, F.sum("n").alias("occurrence_count"))
     return grouped.select(
         "label",
         confidence_of(F.col("label")).alias("confidence"),
@@ -214,10 +222,9 @@ def aggregate_findings(findings: DataFrame) -> DataFrame:
     )
 
 
-def standalone_findings(edges: DataFrame, judged: DataFrame) -> DataFrame:
-    """Edges that neither lead to a finding nor are a second hop: NONE, or INSUFFICIENT_EVIDENCE without confirmed authentication."""
-    hops = judged.select(F.explode(F.array(F.when(F.col("label").isNotNull(), F.col("edges")[0]), F.col("edges")[1])).alias("edge_id"))
-    alone = edges.join(hops.distinct(), "edge_id", "left_anti")
+def standalone_findings(edges: DataFrame, used: DataFrame, judged: DataFrame) -> DataFrame:
+    """Edges that neither lead to a finding nor are a second hop (those are ``used``): NONE, or INSUFFICIENT_EVIDENCE without confirmed authentication."""
+    alone = edges.join(used, "edge_id", "left_anti")
     sure = F.coalesce(F.col("auth_state") == "confirmed", F.lit(False))
     return alone.select(
         F.when(sure, "NONE").otherwise("INSUFFICIENT_EVIDENCE").alias("label"),
@@ -227,11 +234,18 @@ def standalone_findings(edges: DataFrame, judged: DataFrame) -> DataFrame:
         F.when(sure, "An authenticated session from which nothing went on.").otherwise("A single edge whose authentication isn't confirmed.").alias("rationale"),
         F.lit(None).cast(judged.schema["modifiers"].dataType).alias("modifiers"),
         F.struct(F.col("ts").alias("t1"), F.col("edge_id").alias("e1"), F.lit(None).cast("timestamp").alias("t2"), F.lit(None).cast("string").alias("e2")).alias("order"),
+        F.lit(1).cast("long").alias("n"),
     )
 
 
 def classify(edges: DataFrame, ctx: Context, minutes: float = CONTINUATION_MINUTES) -> DataFrame:
-    """All findings of a set of edges."""
+    """All findings of a set of edges with unique ids (see ``graph.reject_duplicate_edge_ids``).
+
+    The context is looked up once for each edge, and hops are counted by classes of edges, not as pairs
+    (see ``progression``).
+    """
     clean = sanitize_edges(edges)
-    judged = _judged(continuation_pairs(with_context(clean, ctx), minutes))
-    return aggregate_findings(judged.where("label is not null").unionByName(standalone_findings(clean, judged)))
+    known = scratch.table(with_context(clean, ctx), "edges-in-context")
+    counted, used = continuation_counts(known, _worth(), minutes)
+    judged = _judged(counted, "n")
+    return aggregate_findings(judged.unionByName(standalone_findings(clean, used, judged)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def sequence(events: DataFrame, stages: list[Stage], max_span_seconds: float, by
     takes it over, or is dropped if it comes more than the span after the first event.  So an event
     of stage k carries on exactly if the row just before it in (ts, seq) order, among pending rows
     of stage k-1 and rows of stage k, is a pending one.  Each pass is a window over the same key,
-    all on one shuffle.  Rows with a null in their key match nothing.
+    all on one shuffle and one scan of the events.  Rows with a null in their key match nothing.
 
     What an event matches depends on no event further back than the span.  So a key's timeline is cut
     into bins, each of which also sees the last span of the bin before, and a match counts in the bin
@@ -35,19 +36,19 @@ def sequence(events: DataFrame, stages: list[Stage], max_span_seconds: float, by
     return (all if not given); they are what travels.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in carry or events.columns])
-    rows = None
-    n_keys = len(by or []) + len(stages[0].by)
+    names = [f"_k{i}" for i in range(len(by or []) + len(stages[0].by))]
+    taken = []
     for k, stage in enumerate(stages):
-        keys = [c.cast("string").alias(f"_k{i}") for i, c in enumerate([*(by or []), *stage.by])]
-        part = events.where(stage.where).select(*keys, F.col(ts).alias("_ts"), F.col(seq).alias("_seq"), F.lit(k).alias("_stage"), whole.alias("_event"))
-        rows = part if rows is None else rows.unionByName(part)
-    names = [f"_k{i}" for i in range(n_keys)]
-    rows = rows.where(" and ".join(f"{n} is not null" for n in names)) if names else rows
+        keys = [c.cast("string") for c in [*(by or []), *stage.by]]
+        there = reduce(lambda a, b: a & b, [stage.where, *[c.isNotNull() for c in keys]])
+        taken.append(F.when(there, F.struct(*[c.alias(n) for c, n in zip(keys, names, strict=True)], F.lit(k).alias("_stage"))))
+    rows = events.select(F.inline(F.array_compact(F.array(*taken))), F.col(ts).alias("_ts"), F.col(seq).alias("_seq"), whole.alias("_event"))
     micros = int(max_span_seconds * 1_000_000)
     width = max(BIN_SPANS * micros, 1)
     at = F.unix_micros("_ts")
     rows = rows.withColumn("_home", F.floor(at / width))
     rows = rows.withColumn("_bin", F.explode(F.when(at >= (F.col("_home") + 1) * width - micros, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
+    rows = rows.repartition(*names, "_bin")  # every window below is over these and one column more
     rows = rows.withColumns({f"stage{k + 1}": F.when((F.lit(k) == 0) & (F.col("_stage") == 0), F.col("_event")) for k in range(len(stages))})
     span = F.expr(f"make_dt_interval(0, 0, 0, {float(max_span_seconds)})")
     rows = rows.withColumn("_begin", F.when(F.col("_stage") == 0, F.col("_ts")))

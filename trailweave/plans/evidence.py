@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import scalars as S
 from trailweave.operators.policy import Context
-from trailweave.sources.context import context_from_rows
+from trailweave.sources.context import context_from_rows, local_table
 
 WINDOW = 12 * 3600  # seconds; the table is sparse
 
@@ -40,7 +40,7 @@ class Evidence:
         self.logons = of("click").select("seq", "ts", _text("t", F.col("seq")).alias("ts_raw"), _text("H", k % 5).alias("host_name"), F.array(host_ip).alias("host_ips"), from_ip.alias("src_ip"), identity.alias("identity"), session.alias("logon_id"), F.when(k % 2 == 0, "10").otherwise("3").alias("logon_type"), ref.alias("ref"))
         self.privs = of("signup").select("seq", "ts", F.array(host_ip).alias("host_ips"), identity.alias("identity"), session.alias("logon_id"), ref.alias("ref"))
         self.creds = of("error").select("seq", "ts", F.array(host_ip).alias("host_ips"), _text("CORP\\u", (u + 1) % 20).alias("subject_identity"), identity.alias("target_identity"), _text("0x", u % 40).alias("subject_logon_id"), F.concat(_text("h", u % 5), F.lit(".corp.example")).alias("target_server"), ref.alias("ref"))
-        self.ip_map = spark.createDataFrame([(f"10.0.0.{i}", f"H{i}") for i in range(5)], "ip string, host string")
+        self.ip_map = local_table(spark, [(f"10.0.0.{i}", f"H{i}") for i in range(5)], "ip string, host string")
         self.sequence_events = e.select(
             "seq",
             "ts",

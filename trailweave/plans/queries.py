@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from trailweave.functions import scalars as S
 from trailweave.operators import checks, detections, edges, flows, graph, hybrid, policy, windows
 from trailweave.sources import context as contexts
 from trailweave.sources import loaders, records, scratch
+from trailweave.streaming import detect, run, schedule
 
 from . import case as cases
 from .evidence import WINDOW, Evidence, context, read
@@ -812,14 +814,19 @@ s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY pair ORDER BY us, seq)
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY pair ORDER BY us, seq) AS session FROM s)
 SELECT pair, count(*) AS packets, max(us) - min(us) AS us FROM n GROUP BY pair, session""")
 def live_flow_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trailweave.streaming import detect
-
+    """The events as a stream of packets that runs to its end."""
     p = Evidence(spark, sf_dir).packets.withColumns({"src_port": F.lit(1), "dst_port": F.lit(1), "transport": F.lit("tcp")})
-    found = detect.live_flow_fold(p, "1 hour")
+    found = run.run_over(p, _last(p, src_ip="end", dst_ip="end"), lambda s: detect.live_flow_fold(s, "1 hour"), "flows")
     ends = F.array_sort(F.array("client.ip", "server.ip"))
     return found.select(F.concat_ws("-", ends[0], F.substring_index(ends[1], ".", -1)).alias("pair"), "packets", (F.unix_micros("last_ts") - F.unix_micros("ts")).alias("us"))
 
 
+def _last(rows: DataFrame, **other: str | int) -> DataFrame:
+    """One row a year after the last of ``rows``, with ``other`` values: it ends a stream's windows."""
+    late = rows.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(365)))
+    return late.withColumns({c: F.lit(v).cast(rows.schema[c].dataType) for c, v in other.items()})
+
+
 def _written(lines: DataFrame, name: str, suffix: str = "", by: str | None = None) -> str:
     """One text column (and the column to partition by) as a folder of text files in the shared folder."""
     path = scratch.new_path(lines.sparkSession, name) + suffix
@@ -962,18 +969,82 @@ def duplicate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + "SELECT (us // 43200000000 - i) * 43200000000 AS window_us, '10.0.0.' || (u % 5) AS src_ip, host_ip AS dst_ip, count(DISTINCT 1024 + k) AS distinct_ports FROM p, range(2) t(i) WHERE event_type = 'view' GROUP BY 1, 2, 3 HAVING count(DISTINCT 1024 + k) >= 2")
 def live_port_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trailweave.streaming import detect
-
+    """Sliding windows of a stream that runs to its end."""
     e = Evidence(spark, sf_dir).events.where("event_type = 'view'")
     x = e.select("ts", F.concat(F.lit("10.0.0."), F.col("u") % 5).alias("src_ip"), F.concat(F.lit("10.0.0."), F.col("k") % 5).alias("dst_ip"), (F.col("k") + 1024).alias("dst_port"), F.lit("tcp").alias("transport"))
-    found = detect.live_port_fan_out(x, 2, "1 day", "12 hours")
+    found = run.run_over(x, _last(x, src_ip="end"), lambda s: detect.live_port_fan_out(s, 2, "1 day", "12 hours"), "fan-out")
     return found.select(F.unix_micros("window_start").alias("window_us"), "src_ip", "dst_ip", F.col("distinct_ports").cast("long").alias("distinct_ports"))
 
 
 @query(JOINED + f"SELECT {_EDGE_COLUMNS} FROM edges")
 def live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges as the stream makes them, on tables; tests hold the stream against this."""
-    from trailweave.streaming import detect
-
+    """Edges of one stream of flows, logons, privileges and credential uses that runs to its end."""
     ev = Evidence(spark, sf_dir)
-    return _flat_edges(detect.live_edges(ev.logons, ev.flows, ev.privs, ev.creds, ev.ip_map, WINDOW, WINDOW, WINDOW))
+    kinds = {"logon": ev.logons, "flow": ev.flows, "priv": ev.privs, "cred": ev.creds}
+    tagged = [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
+    rows = tagged[0]
+    for part in tagged[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    split = lambda s: [s.where(F.col("kind") == kind).select(*df.columns) for kind, df in kinds.items()]
+
+    def make(stream: DataFrame) -> DataFrame:
+        logons, found, privs, creds = split(stream)
+        return detect.live_edges(logons, found, privs, creds, ev.ip_map, WINDOW, WINDOW, WINDOW)
+
+    # Each input ends by a row of its own that no filter before the watermark takes away and that meets none of the others.
+    other = {"logon": {"src_ip": "end logon", "logon_type": "10"}, "flow": {"src_ip": "end flow", "dst_port": 3389}, "priv": {"logon_id": "end priv"}, "cred": {"subject_logon_id": "end cred"}}
+    ends = [_last(df, **other[kind]) for kind, df in zip(kinds, tagged, strict=True)]
+    end = ends[0]
+    for part in ends[1:]:
+        end = end.unionByName(part, allowMissingColumns=True)
+    return _flat_edges(run.run_over(rows, end, make, "live-edges", slices=2))
+
+
+@query(_sequence_sql([_FLOW, _LOGON, ("event_type = 'purchase'", "host_ip")], WINDOW))
+def live_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow, logon and process start on a host, by the state machine of a stream that runs to its end."""
+    e = Evidence(spark, sf_dir).sequence_events
+    remote = F.col("dst_port").isin(3389, 445)
+    stage = F.when((F.col("category") == "network") & remote, 0).when(F.col("code") == "4624", 1).when(F.col("category") == "process", 2)
+    rows = e.select(F.col("host_ip").alias("key"), "ts", "seq", stage.alias("stage")).where("stage is not null")
+    return run.run_over(rows, _last(rows, key="end"), lambda s: detect.live_sequence(s, 3, WINDOW), "sequences")
+
+
+@query(BASE + "SELECT 'rc4 ' || seq AS alert FROM e WHERE event_type = 'click' AND k % 2 = 0 UNION ALL SELECT 'command d' || seq FROM e WHERE event_type = 'purchase' AND k % 3 = 0")
+def live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on single events of streams in which every event comes twice; each alert comes once."""
+    e = Evidence(spark, sf_dir).events
+    twice = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    ids = F.concat(F.lit("d"), "seq").alias("_id")
+    tickets = twice.where("event_type = 'click'").select(F.col("seq").cast("string").alias("_id"), "ts", F.lit("4768").alias("code"), F.lit("success").alias("outcome"), F.when(F.col("k") % 2 == 0, "0x17").otherwise("0x12").alias("ticket_encryption"), F.lit("u").alias("target_user"))
+    starts = twice.where("event_type = 'purchase'").select(ids, "ts", F.lit("process").alias("category"), F.lit("start").alias("type"), F.lit("pwsh.exe").alias("process_name"), F.when(F.col("k") % 3 == 0, "pwsh -enc " + "aB3+" * 9).otherwise("pwsh -file x").alias("command_line"), *[F.lit("x").alias(c) for c in ("host_name", "user_name", "parent_name")])
+    rc4 = run.run_over(tickets, None, lambda s: detect.live_alerts(detect.live_rc4_tgt(s)), "tickets")
+    commands = run.run_over(starts, None, lambda s: detect.live_alerts(detect.live_encoded_powershell(s)), "commands")
+    return rc4.select(F.concat(F.lit("rc4 "), "_id").alias("alert")).unionByName(commands.select(F.concat(F.lit("command "), "_id").alias("alert")))
+
+
+@query(_sequence_sql([_FLOW, _LOGON, ("event_type = 'purchase'", "host_ip")], WINDOW))
+def scheduled_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivots found by runs over consecutive intervals, each of which looks back one span over evidence kept by day."""
+    e = Evidence(spark, sf_dir).sequence_events
+    folder = scratch.new_path(spark, "schedule")
+    schedule.keep(e, f"{folder}/evidence")
+
+    def rule(evidence: DataFrame) -> DataFrame:
+        return _seqs(detections.authenticated_pivot(evidence, WINDOW), 3, "host_ip").withColumn("_id", F.col("seqs"))
+
+    least, most = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    runs, zero = 5, datetime(1970, 1, 1, tzinfo=timezone.utc)
+    edges_of = [zero + timedelta(microseconds=least - 1 + (most - least + 1) * i // runs) for i in range(runs + 1)] if least is not None else [zero, zero]
+    for start, end in zip(edges_of[:-1], edges_of[1:], strict=True):
+        schedule.run_rule(spark, f"{folder}/evidence", f"{folder}/alerts", rule, start, end, WINDOW)
+    return schedule.alerts(spark, f"{folder}/alerts").select("key", "seqs")
+
+
+@query(BASE + "SELECT (us // 21600000000 - i) * 21600000000 AS window_us, '10.0.0.' || (u % 5) AS src_ip, host_ip AS dst_ip, count(DISTINCT 1024 + k) AS distinct_ports FROM p, range(4) t(i) WHERE event_type = 'view' GROUP BY 1, 2, 3 HAVING count(DISTINCT 1024 + k) >= 3")
+def port_fan_out_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fan-out in windows of a day, four of which overlap, by a sweep over panes."""
+    e = Evidence(spark, sf_dir).events.where("event_type = 'view'")
+    x = e.select("ts", F.concat(F.lit("10.0.0."), F.col("u") % 5).alias("src_ip"), F.concat(F.lit("10.0.0."), F.col("k") % 5).alias("dst_ip"), (F.col("k") + 1024).alias("dst_port"), F.lit("tcp").alias("transport"))
+    found = detections.port_fan_out_windowed(x, 3, "1 day", "6 hours")
+    return found.select(F.unix_micros("window_start").alias("window_us"), "src_ip", "dst_ip", "distinct_ports")

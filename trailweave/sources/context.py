@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,19 @@ def _fields(table: str) -> str:
     return ", ".join(": ".join(c.split(" ")) for c in _TABLES[table].split(", "))
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that is part of the plan, so that Spark knows its size (and broadcasts it, if that is small enough)."""
+    fields = [c.split(" ") for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table({name: pa.array(column, _ARROW[kind]) for (name, kind), column in zip(fields, columns, strict=True)}))
+
+
 def context_from_rows(spark: SparkSession, **rows: list[tuple]) -> Context:
     """A context from rows of its tables (missing ones are empty)."""
-    return Context(**{name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in _TABLES.items()})
+    return Context(**{name: local_table(spark, rows.get(name, []), schema) for name, schema in _TABLES.items()})
 
 
 def load_context(spark: SparkSession, folder: str) -> Context:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators import hybrid, windows
 
-from . import records
+from . import records, scratch
 
 
 @dataclass
@@ -29,8 +29,9 @@ def load_windows_sources(spark: SparkSession, paths: list[str], ip_map: DataFram
     if xml_events is not None:
         exported = records.windows_xml_to_ecs(xml_events).withColumn("item", F.lit(0))
         raw = raw.unionByName(exported, allowMissingColumns=True)
-    raw = windows.dense_seq(raw, ["source_file", "line", "item"])
-    events = windows.normalize_windows_events(raw, ip_map)
+    # Rows, issues and counts are made of these two tables, so each file is parsed once for them.
+    raw = scratch.table(windows.dense_seq(raw, ["source_file", "line", "item"]), "windows-raw")
+    events = scratch.table(windows.normalize_windows_events(raw, ip_map), "windows-events")
     issues = windows.windows_quality(events).select(F.concat_ws(": ", "code", "issue").alias("issue"), "n")
     sizes = raw.groupBy("source_file").agg(F.count("*").alias("raw_records"))
     taken = events.groupBy("source_file").agg(F.count("*").alias("accepted_records"))
