@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from trailweave.llm import packing
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -65,7 +66,8 @@ def test_pipeline(spark, tmp_path):
     want = brute(rows, junk)
     got = defaultdict(list)
     bins = defaultdict(list)
-    for r in corpus_pipeline.run(spark, sf_dir).collect():
+    packed = corpus_pipeline.run(spark, sf_dir)
+    for r in packed.collect():
         got[r.doc_id].append(r)
         bins[r.sequence_id].append((r.offset, r.length))
     assert set(got) == set(want) and len(want) < len(rows) - len(junk)
@@ -74,7 +76,7 @@ def test_pipeline(spark, tmp_path):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
         at = 0
         for r in sorted(got[i], key=lambda r: r.piece):
-            assert (r.start, r.ids_crc32) == (at, zlib.crc32(ids[at : at + r.length].tobytes()))
+            assert (r.start, r.ids_crc32, r.ids) == (at, zlib.crc32(ids[at : at + r.length].tobytes()), ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
     for items in bins.values():
@@ -83,6 +85,8 @@ def test_pipeline(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 1024
+    whole = packing.sequences(packed).collect()
+    assert len(whole) == len(bins) and all(len(r.ids) == 4 * r.n_tokens == 4 * sum(n for _, n in bins[r.sequence_id]) for r in whole)
 
 
 def test_stages_keep_the_columns_of_documents(spark):
@@ -94,4 +98,4 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert made.columns == docs.columns
         assert [tuple(r) for r in made.select(*[F.col(f"`{c}`") for c in odd]).distinct().collect()] == [tuple(f"mine {c}" for c in odd)]
         assert stage(spark, docs.limit(0), "").count() == 0
-    assert corpus_pipeline.best_fit_packing(spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]

@@ -21,7 +21,7 @@ one edge from each linked vector to the smallest vector of its piece.  Equal vec
 collapse to one row with a weight first, so large groups of copies cost one row.
 
 Lengths of vectors: each length is compared by itself.  The ``LENGTHS`` most frequent
-ones have pivots (at most ``PIVOTS`` each, which reach the driver); any other length is
+ones have pivots (at most ``PIVOTS`` each, ``PIVOT_VALUES`` numbers in all, which reach the driver); any other length is
 dealt by the hash alone, with the same result.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link
@@ -45,7 +45,7 @@ from .components import components
 from .shared import table
 
 BLOCK_VALUES, LEAST_ROWS = 1 << 21, 1024
-PIVOTS, LENGTHS = 4096, 16
+PIVOTS, LENGTHS, PIVOT_VALUES = 4096, 16, 1 << 24  # at most so many pivots a length, lengths, and numbers in all pivots
 _TILE = 1024
 _SLACK = 1e-6  # covers the rounding of the bounds themselves
 _EXACT = 1024  # so many products of codes add up exactly in float32
@@ -186,7 +186,8 @@ def _cells(reps: DataFrame, sizes: DataFrame, values: int, grid: int) -> dict[in
     if not top:
         return {}
     rows = {r["size"]: max(1, values // r["size"]) for r in top}
-    wanted = {r["size"]: min(PIVOTS // 2, max(-(-r["n"] // rows[r["size"]]), min(grid, -(-r["n"] // LEAST_ROWS)))) for r in top}
+    most = {r["size"]: max(2, min(PIVOTS, PIVOT_VALUES // (len(top) * r["size"]))) for r in top}  # of all lengths together a bounded number of values
+    wanted = {r["size"]: min(most[r["size"]] // 2, max(-(-r["n"] // rows[r["size"]]), min(grid, -(-r["n"] // LEAST_ROWS)))) for r in top}
     every = F.element_at(F.create_map(*[F.lit(v) for r in top for v in (r["size"], max(1, r["n"] // wanted[r["size"]]))]), F.col("size"))
     known = reps.where(F.col("size").isin(list(rows)))
     drawn: dict[int, list] = {}
@@ -194,7 +195,7 @@ def _cells(reps: DataFrame, sizes: DataFrame, values: int, grid: int) -> dict[in
         drawn.setdefault(r["size"], []).append(r.embedding)
     cells = {}
     for size, found in drawn.items():
-        x = np.array(found[:PIVOTS], np.float64)
+        x = np.array(found[: most[size]], np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         cells[size] = Cells(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
     if cells:
@@ -223,7 +224,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     rep_links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     label = table(components(found.select(F.col("vec").alias("a"), F.col("other").alias("b"))), "labels")
     reps = reps.select("key", F.col("embedding").alias("rep_embedding"), "rep", "weight").join(rep_links.withColumnRenamed("vec", "rep"), "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    result = own.join(reps, (own["key"] == reps["key"]) & (own["embedding"] == reps["rep_embedding"]) & own["vec"].isNotNull(), "left")
+    # Rows that link with nothing all have one key or none: they stay out of the join.
+    linked = own["vec"].isNotNull() & own["embedding"].isNotNull()
+    result = own.where(linked).join(reps, (own["key"] == reps["key"]) & (own["embedding"] == reps["rep_embedding"]), "left")
+    result = result.select(own["vec"], "links", "weight", "component", "rep").unionByName(own.where(~linked).select("vec"), allowMissingColumns=True)
     component = F.coalesce("component", "rep", "vec")
     return result.select(
         F.col("vec").alias(vec_id),

@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .components import components
-from .shared import table
+from .shared import table, worker_tables
 
 WIDTH, BANDS, ROWS = 5, 24, 5
 MISSED = 1e-6
@@ -93,6 +93,7 @@ def _set_hash(hashes: np.ndarray, doc: np.ndarray, n_docs: int, seed: int) -> np
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     times, plus = _permutations(bands * rows // 2)
+    worker_tables("minmax")
     for batch in batches:
         for row, to, data, off in tv.slices(batch.column(1)):
             n_docs = to - row
@@ -119,6 +120,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: i
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    worker_tables("minmax")
     for batch in batches:
         for row, to, data, off in tv.slices(batch.column(1)):
             hashes, ends = _sets(*shingles(tv.Words(data, off, lower=True), width), to - row)

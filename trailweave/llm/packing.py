@@ -4,10 +4,10 @@ Method: bounded-space online best-fit.  Each packing task keeps at most ``open_b
 open sequences in a bitset keyed by free space; the next piece goes into the open
 sequence with the least free space that still holds it (one mask and lowest-bit step),
 and when a new sequence would be one too many, the fullest open one closes.  Pieces
-come longest first within a task, so the short ones fill what the long ones leave.
+come in the order of a hash, so long and short ones are mixed.
 
-Only lengths travel: pieces are cut where the documents are encoded, and a shuffle on a
-hash of the document deals out the rows that are to be packed.  Sequences are numbered
+Pieces are cut where the documents are encoded, and one shuffle on a hash of the
+document deals them out to be packed; the ids need only travel where they are wanted.  Sequences are numbered
 by task, so no task waits for another.  A task of very few pieces leaves at most its
 last sequences part-filled; adaptive execution merges small partitions before that.
 

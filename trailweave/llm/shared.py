@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,11 @@ _tables: dict[str, dict] = {}
 
 def worker_tables(owner: str) -> dict:
     """What a Python worker keeps for one operator from task to task; asking for it drops what it kept for others, so that a worker's memory holds one operator's tables."""
-    for name in [n for n in _tables if n != owner]:
+    gone = [n for n in _tables if n != owner]
+    for name in gone:
         del _tables[name]
+    if gone:
+        gc.collect()  # encoders refer to themselves, so they wait for the collector
     return _tables.setdefault(owner, {})
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .shared import map_arrow, others, pick
+from .shared import map_arrow, others, pick, worker_tables
 
 WINDOW = 13
 GRAM = 7
@@ -103,6 +103,7 @@ def _sketch(chunk: pa.Table, body: str, blocks: int, window: int, gram: int) ->
 
 def _slices(chunk: pa.Table, body: str, window: int, gram: int) -> Iterator[tuple]:
     """(first row, words, and the windows' hashes, first words and minimizers) of a chunk, some texts at a time."""
+    worker_tables("substrings")
     for row, _, data, off in tv.slices(chunk.column(body), _SLICE):
         words = tv.Words(data, off)
         yield row, words, *_windows(words, window, gram)

@@ -40,6 +40,7 @@ SEGMENT_IDS = 2 << 20
 _MAGIC = b"TWEF1\0"
 _HEAD = struct.Struct("<6sBBQQQQ")
 _SAMPLE = 64
+MOST_SHARDS = 500_000  # rows of 16 bytes that are broadcast
 SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids array<long>, image binary"
 
 
@@ -152,5 +153,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SCHEMA).parquet(path)
     sizes = segments.groupBy("shard").agg(F.sum("n_ids").alias("size"))  # one row for each partition that was written
     base = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("base"))
-    placed = segments.join(F.broadcast(base), "shard").select("doc_ids", (F.col("base") + F.col("before")).alias("base"), "image")
+    few = sizes.limit(MOST_SHARDS + 1).count() <= MOST_SHARDS  # so that the ids themselves stay where they are
+    placed = segments.join(F.broadcast(base) if few else base, "shard").select("doc_ids", (F.col("base") + F.col("before")).alias("base"), "image")
     return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
