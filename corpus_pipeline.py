@@ -48,12 +48,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its place in a sequence and the checksum of its ids.
+    """The pieces of all documents, each with its ids (and their checksum) and its place in a sequence.
 
-    The ids themselves don't travel with the lengths; ``packing.sequences`` makes whole sequences of pieces that carry them.
+    ``packing.sequences`` puts the pieces of each sequence together.
     """
     pieces = packing.cut(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), END_ID, CAPACITY)
-    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids")
     return packing.pack(pieces, by=["doc_id", "piece"], capacity=CAPACITY)
 
 
