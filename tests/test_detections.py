@@ -222,8 +222,13 @@ def test_case_end_to_end(spark):
     (f,) = case.findings.collect()
     assert (f.label, f.path) == ("CRITICAL_UNAPPROVED_PATH", ["WS-ENG-12", "SRV-APP-01", "DC01"])
     assert {r.name: r.n for r in cases.case_counts(case).collect()} == {"network_flows": 2, "windows_events": 4, "pivot_edges": 2, "reachability_edges": 2, "findings": 1, "violations": 0}
-    ids = {cases.derivation_id({"edges": case.pivot_edges.repartition(n)}, {"a": "b"}, {}).first()[0] for n in (1, 3)}
-    assert len(ids) == 1 and set(cases.report_tables(case)) == {"evidence", "quality", "edges", "findings"}
+    plan = cases.case_counts(case)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan and "LocalTableScan" in plan  # counted when written
+    assert {stage for stage, took, _ in cases.timed_counts(case) if took > 0} == {*case.milliseconds}
+    files = lambda digest: spark.createDataFrame([("windows", 5, digest)], "role string, size long, sha256 string")
+    ids = {cases.derivation_id({"edges": case.pivot_edges.repartition(n)}, files("aa"), {}).first()[0] for n in (1, 3)}
+    assert len(ids) == 1 and cases.derivation_id({"edges": case.pivot_edges}, files("ab"), {}).first()[0] not in ids
+    assert set(cases.report_tables(case)) == {"evidence", "quality", "edges", "findings"}
 
 
 def S_iso(t):
@@ -236,13 +241,65 @@ def test_fingerprint_sees_content(spark):
     assert len(same) == 1 and cases.fingerprint(df.where("a > 0")).first()[0] not in same
 
 
-def test_fingerprint_gathers_one_digest_a_bucket(spark, monkeypatch):
-    df, held = spark.range(5000), []
-    agg = type(df).agg
-    monkeypatch.setattr(type(df), "agg", lambda self, *a: held.append(self.count()) or agg(self, *a))
-    digest = cases.fingerprint(df, digits=1).first()[0]
-    assert held == [16] and len(digest) == 64
-    assert cases.fingerprint(df.limit(0)).first()[0] != digest
+def test_fingerprint_counts_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "a long, b string")
+    digests = [cases.fingerprint(x).first() for x in (df, df.distinct(), df.limit(0), df.select("b", "a"))]
+    assert [d.n for d in digests] == [3, 2, 0, 3] and len({d.digest for d in digests[:3]}) == 3 and digests[3] == digests[0]
+
+
+def test_large_documents_are_read_by_many_tasks(spark, tmp_path):
+    rnd = random.Random(4)
+    items = [LOGON | {"n": i, "x": rnd.choice(['a"b', "\\", "[x]", "}{", "é中", '" : [']) * rnd.randint(0, 4)} if i % 9 else rnd.choice([5, None, [1, {"a": "]"}], "text"]) for i in range(300)]
+    documents = {"a.json": items, "b.json": {"Records": items}, "c.json": {"took": 1, "hits": {"total": "]", "hits": [{"_id": f"i{n}", "_source": x} for n, x in enumerate(items) if n % 9]}, "z": 3}, "d.json": {"other": items}, "e.json": []}
+    paths = [write(tmp_path / name, ("﻿" if name == "b.json" else "") + json.dumps(d, indent=1 if name == "a.json" else None, ensure_ascii=False)) for name, d in documents.items()]
+    paths.append(write(tmp_path / "f.json", "\n".join(json.dumps(x) for x in items)))  # lines, not one document
+    paths.append(write(tmp_path / "g.json", '{"Records": [1]}\n{"Records": [2]}'))
+
+    def read(size):
+        good, bad = records.read_json_records(spark, paths, split_bytes=size)
+        every = records.unwrap_envelope(good.where("source_file != 'b.json'")).select("source_file", "raw", "doc_id").unionByName(records.expand_cloudtrail(good.where("source_file = 'b.json'").drop("raw")).select("source_file", F.to_json("v").alias("raw"), F.lit("cloud").alias("doc_id")))
+        return good, sorted(map(str, every.collect())), bad.count()
+
+    whole, split = read(1 << 30), read(1000)
+    mine = split[0].where("source_file != 'f.json'").groupBy("source_file").count().collect()
+    assert split[1:] == whole[1:] and {r.source_file for r in mine if r["count"] > 200} == {"a.json", "b.json", "c.json"}
+    old = records.split_json.RANGE_BYTES
+    good = records.split_json.read_split(spark, paths[0], (tmp_path / "a.json").stat().st_size, range_bytes=997)
+    assert [json.loads(r.raw)[0] for r in good.orderBy("line").collect()] == items and good.rdd.getNumPartitions() > 10 and old == 32 << 20
+
+
+def test_hashes_of_files_of_any_size(spark, tmp_path):
+    import hashlib
+
+    large = tmp_path / "large.bin"
+    with large.open("wb") as f:
+        f.write(b"begin")
+        f.truncate((2 << 30) + 77)
+    write(tmp_path / "small.txt", "x" * 100)
+    want = hashlib.sha256(b"begin")
+    for n in (32 << 20,) * 64:
+        want.update(bytes(n))
+    want.update(bytes(77 - 5))
+    got = {r.file_name: (r.size, r.sha256) for r in records.evidence_descriptors(spark, [f"file://{tmp_path}"], "x").collect()}
+    assert got == {"large.bin": ((2 << 30) + 77, want.hexdigest()), "small.txt": (100, hashlib.sha256(b"x" * 100).hexdigest())}
+
+
+def test_published_as_a_whole(spark, tmp_path):
+    from trailweave.sources import publish
+
+    path = f"file://{tmp_path}/p"
+    df = spark.createDataFrame([(2, {"b": 1, "a": None}), (1, None)], "z int, m map<string, int>")
+    assert publish.published(spark, path).count() == 0 and publish.read_published(spark, path) == {}
+    assert publish.publish({"one": df.where("z = 1"), "two": df}, path, cases.fingerprint) == 1
+    assert publish.publish({"one": df}, path, cases.fingerprint) == 2
+    with pytest.raises(Exception, match="no more"):
+        publish.publish({"one": df.where("z = 1"), "two": df.select(F.raise_error(F.lit("no more")).alias("z"))}, path, cases.fingerprint)
+    found = publish.read_published(spark, path, cases.fingerprint)
+    assert {k: v.count() for k, v in found.items()} == {"one": 2}
+    assert {r.value for r in publish.sorted_json(df).collect()} == {'{"m":{"a":null,"b":1},"z":2}', '{"z":1}'}
+    spark.range(1).select(F.lit(3).alias("z"), F.lit(None).cast("map<string, int>").alias("m")).write.mode("append").parquet(publish.published(spark, path).first().folder)
+    with pytest.raises(ValueError, match="not what was published"):
+        publish.read_published(spark, path, cases.fingerprint)
 
 
 def test_loaders(spark, tmp_path):

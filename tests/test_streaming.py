@@ -1,12 +1,15 @@
 """Streams give what the batch forms give."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from trailweave.operators import detections
 from trailweave.operators import edges as E
 from trailweave.operators.sequences import Stage, sequence
-from trailweave.streaming import detect
+from trailweave.streaming import detect, schedule
+from trailweave.streaming import run as streams
 
 BASE = datetime(2026, 8, 10, 10, 0, 0, tzinfo=timezone.utc)
 
@@ -32,14 +35,99 @@ def test_live_flows_equal_batch_flows(spark, tmp_path):
     assert sorted(map(key, got)) == sorted(map(key, want)) == [(0, "a", 10, 5), (20, "a", 3, 3)]
 
 
+SEQUENCE = "key string, ts timestamp, seq long, stage int"
+
+
+def drained(spark, tmp_path, batches, schema, make):
+    """What the sink holds after a stream that is stopped and started between its batches."""
+    path = f"file://{tmp_path}"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/files")
+        stream = make(streams.source(spark, schema, f"{path}/files"))
+        streams.drain(stream, path)
+    return streams.held(spark, path, stream.schema)
+
+
 def test_live_sequences(spark, tmp_path):
-    schema = "key string, ts timestamp, seq long, stage int"
     e = lambda t, seq, stage, key="k": (key, BASE + timedelta(seconds=t), seq, stage)
-    batches = [[e(0, 1, 0), e(5, 2, 0)], [e(9, 3, 1), e(10, 4, 1)], [e(12, 5, 2), e(100, 6, 0), e(200, 7, 1), e(0, 8, 1, "other")]]
-    got = run(spark, tmp_path, batches, schema, lambda s: detect.live_sequence(s, 3, 60), "sequences")
+    batches = [[e(0, 1, 0), e(5, 2, 0)], [e(9, 3, 1), e(10, 4, 1)], [e(12, 5, 2), e(100, 6, 0), e(200, 7, 1), e(0, 8, 1, "other"), (None, BASE, 9, 0)], [e(9999, 10, 2, "end")]]
+    got = drained(spark, tmp_path, batches, SEQUENCE, lambda s: detect.live_sequence(s, 3, 60)).collect()
     assert [(r.key, r.seqs) for r in got] == [("k", "2,3,5")]
 
 
+def test_events_out_of_order_give_the_batch_result(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(f"k{rnd.randint(0, 5)}", BASE + timedelta(seconds=rnd.randint(0, 4000)), i, rnd.randint(0, 2)) for i in range(1500)]
+    arrived = sorted(rows, key=lambda r: r[1] + timedelta(seconds=rnd.randint(0, 290)))
+    batches = [arrived[:700], arrived[700:], [("end", BASE + timedelta(hours=9), -1, 2)]]
+    got = drained(spark, tmp_path, batches, SEQUENCE, lambda s: detect.live_sequence(s, 3, 60, "300 seconds")).collect()
+    found = sequence(spark.createDataFrame(rows, SEQUENCE), [Stage(F.col("stage") == k, [F.col("key")]) for k in range(3)], 60).collect()
+    want = [(r.stage1.key, f"{r.stage1.seq},{r.stage2.seq},{r.stage3.seq}") for r in found]
+    assert sorted((r.key, r.seqs) for r in got) == sorted(want) and len(want) > 100
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    write = streams.write_batch(f"{path}/rows")
+    for rows, number in (([(1,), (2,)], 0), ([(3,)], 1), ([(3,)], 1), ([(1,), (2,)], 0)):
+        write(spark.createDataFrame(rows, "x long"), number)
+    assert sorted(r.x for r in streams.held(spark, path, spark.range(0).select(F.col("id").alias("x")).schema).collect()) == [1, 2, 3]
+
+
+def test_windows_of_a_stream_stopped_between_batches(spark, tmp_path):
+    rnd = random.Random(3)
+    schema = "ts timestamp, src_ip string, dst_ip string, dst_port int, transport string"
+    rows = sorted((BASE + timedelta(seconds=rnd.randint(0, 5000)), rnd.choice("ab"), "d", rnd.randint(1, 40), rnd.choice(["tcp", "tcp", "udp"])) for _ in range(600))
+    batches = [rows[:200], rows[200:450], rows[450:], [(BASE + timedelta(days=9), "end", "d", 1, "tcp")]]
+    table = detections.port_fan_out_windowed(spark.createDataFrame(rows, schema), 5, "10 minutes", "4 minutes")
+    key = lambda r: (r.window_start, r.src_ip, r.dst_ip, r.distinct_ports)
+    want = sorted(map(key, table.collect()))
+    brute = {}
+    for ts, src, dst, port, transport in rows:
+        if transport == "tcp":
+            s = int(ts.timestamp()) // 240 * 240
+            while s > ts.timestamp() - 600:
+                brute.setdefault((s, src, dst), set()).add(port)
+                s -= 240
+    assert sorted((int(w.replace(tzinfo=timezone.utc).timestamp()) if w.tzinfo is None else int(w.timestamp()), a, b, n) for w, a, b, n in want) == sorted((*k, len(v)) for k, v in brute.items() if len(v) >= 5)
+    for approximate in (False, True):  # so few ports are exact in a sketch
+        got = drained(spark, tmp_path / str(approximate), batches, schema, lambda s: detect.live_port_fan_out(s, 5, "10 minutes", "4 minutes", approximate=approximate))  # noqa: B023
+        assert sorted(map(key, got.collect())) == want
+
+
+def test_sketches_of_panes(spark):
+    """Many ports: within the error of a sketch; kept panes can be merged into other windows."""
+    flows = spark.range(200_000).select((F.lit(BASE) + F.make_dt_interval(secs=F.col("id") % 3600)).alias("ts"), F.lit("a").alias("src_ip"), F.lit("b").alias("dst_ip"), (F.col("id") % 50_021).cast("int").alias("dst_port"), F.lit("tcp").alias("transport"))
+    exact = {r.window_start: r.distinct_ports for r in detections.port_fan_out_windowed(flows, 1, "20 minutes", "10 minutes").collect()}
+    sketches = detections.pane_sketches(flows, "1 minute")
+    for found in (detections.port_fan_out_windowed(flows, 1, "20 minutes", "10 minutes", approximate=True), detections.fan_out_of_sketches(sketches, "20 minutes", "10 minutes", "1 minute")):
+        rows = {r.window_start: r.distinct_ports for r in found.collect()}
+        assert rows.keys() == exact.keys() and all(abs(rows[w] - n) < 0.06 * n for w, n in exact.items())
+    assert max(exact.values()) > 40_000 and detections.port_fan_out_windowed(flows.limit(0), 1, "1 minute").count() == 0
+
+
+def test_scheduled_runs_equal_one_run(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(f"k{rnd.randint(0, 3)}", BASE + timedelta(seconds=rnd.randint(0, 4 * 86400)), i, rnd.randint(0, 2)) for i in range(1200)]
+    evidence, found = f"file://{tmp_path}/evidence", f"file://{tmp_path}/alerts"
+    span = 7200
+    stages = [Stage(F.col("stage") == k, [F.col("key")]) for k in range(3)]
+    rule = lambda e: sequence(e, stages, span).select(F.concat_ws(",", *[F.col(f"stage{k}.seq").cast("string") for k in (1, 2, 3)]).alias("_id"))
+    frame = spark.createDataFrame(rows, SEQUENCE)
+    schedule.keep(frame, evidence)
+    bounds = [BASE + timedelta(hours=h) for h in (-1, 20, 21, 47, 72, 97)]
+    for n, (start, end) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        schedule.run_rule(spark, evidence, found, rule, start, end, span)
+        if n == 1:
+            schedule.run_rule(spark, evidence, found, rule, start, end, span)  # done again
+    ids = [r._id for r in schedule.alerts(spark, found).collect()]
+    assert sorted(ids) == sorted(r._id for r in rule(frame).collect()) and len(ids) > 50
+    plan = schedule.look_back(spark, evidence, bounds[1], bounds[2], span)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    scanned = schedule.look_back(spark, evidence, bounds[1], bounds[2], span).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r.f.split("day=")[1][:10] for r in scanned} == {"2026-08-11"}
+
+
 LOGONS = "seq long, ts timestamp, ts_raw string, host_name string, host_ips array<string>, src_ip string, identity string, logon_id string, logon_type string, ref string"
 EVENTS = f"kind string, {LOGONS}, dst_ip string, dst_port int, subject_identity string, target_identity string, subject_logon_id string, target_server string"
 
@@ -85,8 +173,6 @@ def test_live_rules(spark, tmp_path):
 
 
 def test_a_busy_key_is_cut_into_bins(spark):
-    import random
-
     rnd = random.Random(4)
     rows = [(i, BASE + timedelta(seconds=rnd.randint(0, 4000)), rnd.randint(0, 2)) for i in range(1500)]
     frame = spark.createDataFrame(rows, "seq long, ts timestamp, stage int").withColumn("host", F.lit("h"))

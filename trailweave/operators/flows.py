@@ -88,14 +88,18 @@ def flow_events(flows: DataFrame, observer: str = "sensor", *also: str) -> DataF
     )
 
 
-def to_ecs(events: DataFrame) -> DataFrame:
-    """Flat flow events in the nested layout of network logs."""
+ECS_VERSION = "8.11.0"  # fixed value: the layout's version
+
+
+def to_ecs(events: DataFrame, product: str = "flow-folding", vendor: str = "trailweave", ordered: bool = False) -> DataFrame:
+    """Flat flow events in the nested layout of network logs; ``ordered``: by first packet, then server port, as a log is written."""
+    events = events.orderBy("ts", "dst_port", "seq") if ordered else events
     end = lambda ip, port, side: F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"), F.col(f"{side}_packets").alias("packets"), F.col(f"{side}_bytes").alias("bytes"))
     client, server = end("src_ip", "src_port", "client"), end("dst_ip", "dst_port", "server")
     one = lambda v: F.array(F.lit(v))
     event = F.struct(F.lit("event").alias("kind"), one("network").alias("category"), one("connection").alias("type"), F.lit("network_flow").alias("action"), F.lit("network_flow").alias("module"), F.lit("network_flow.flow").alias("dataset"), F.col("duration_ns").alias("duration"))
     network = F.struct("transport", "protocol", "packets", "bytes", F.lit("unknown").alias("direction"))
-    return events.select(F.col("ts_raw").alias("@timestamp"), event.alias("event"), F.struct(F.col("observer").alias("hostname"), F.lit("sensor").alias("type")).alias("observer"), client.alias("client"), server.alias("server"), client.alias("source"), server.alias("destination"), network.alias("network"))
+    return events.select(F.col("ts_raw").alias("@timestamp"), event.alias("event"), F.struct(F.lit(ECS_VERSION).alias("version")).alias("ecs"), F.struct(F.col("observer").alias("hostname"), F.lit("sensor").alias("type"), F.lit(product).alias("product"), F.lit(vendor).alias("vendor")).alias("observer"), client.alias("client"), server.alias("server"), client.alias("source"), server.alias("destination"), network.alias("network"))
 
 
 def load_network(packets: DataFrame, observer: str = "sensor", clock_offset: float = 0.0, evidence: DataFrame | None = None, file: str = "source_file") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,14 +112,20 @@ def dense_seq(records: DataFrame, order: list[str], name: str = "seq") -> DataFr
     return within.join(base, file).withColumn(name, F.col("_base") + F.col("_n") - 1).drop("_n", "_base")
 
 
+def quality_metrics() -> dict[str, Column]:
+    """The counts of :func:`windows_quality` as aggregates, named ``code: issue``, for the pass that writes the events."""
+    return {f"{code}: {issue}": F.count_if(F.coalesce((F.col("code") == code) & bad, F.lit(False))) for code in REQUIRED_FIELDS for issue, bad in _issues(code)}
+
+
+def _issues(code: str) -> list[tuple[str, Column]]:
+    empty = lambda c: F.coalesce(c, F.lit("")).isin("", "-")
+    found = [("missing @timestamp", F.col("ts").isNull()), ("missing host.name", F.coalesce("host_name", F.lit("")) == ""), ("missing host.ip", F.size("host_ips") == 0)]
+    return found + [(f"missing winlog.event_data.{f}", empty(F.col("src_ip") if f == "IpAddress" else F.element_at("data", f))) for f in REQUIRED_FIELDS[code]]
+
+
 def windows_quality(windows: DataFrame) -> DataFrame:
     """(code, issue, n): what required parts are missing, by event code."""
-    empty = lambda c: F.coalesce(c, F.lit("")).isin("", "-")
-    issues = [F.when(F.col("ts").isNull(), "missing @timestamp"), F.when(F.coalesce("host_name", F.lit("")) == "", "missing host.name"), F.when(F.size("host_ips") == 0, "missing host.ip")]
-    for code, fields in REQUIRED_FIELDS.items():
-        for f in fields:
-            value = F.col("src_ip") if f == "IpAddress" else F.element_at("data", f)
-            issues.append(F.when((F.col("code") == code) & empty(value), f"missing winlog.event_data.{f}"))
+    issues = [F.when((F.col("code") == code) & bad, issue) for code in REQUIRED_FIELDS for issue, bad in _issues(code)]
     return windows.select("code", F.explode(F.array_compact(F.array(*issues))).alias("issue")).groupBy("code", "issue").agg(F.count("*").alias("n"))
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.operators import checks, edges, flows, graph, hybrid, policy, windows
-from trailweave.sources import scratch
+from trailweave.sources import context, scratch
 
 TOOL_VERSION = "1.0"
 
@@ -32,35 +32,53 @@ class Case:
     findings: DataFrame
     quality: DataFrame
     violations: DataFrame
+    #: Rows and milliseconds of each stage, from the pass that wrote its dataset.
+    counts: dict[str, int] = field(default_factory=dict)
+    milliseconds: dict[str, float] = field(default_factory=dict)
 
 
 def reconstruct_case(packets: DataFrame, windows_events: DataFrame, cloud_records: DataFrame | None, ip_map: DataFrame, ctx: policy.Context, params: Params | None = None, clock_offset: float = 0.0) -> Case:
     """All datasets of a case.
 
     Each of them has several consumers, so each is written as a table in the shared folder and read back:
-    it is computed once, and a lost executor costs no more than its own tasks.
+    it is computed once, and a lost executor costs no more than its own tasks.  Counts, times and the quality of the
+    Windows events are taken in those passes; nothing is read again for them.
     """
-    kept = scratch.table
     p = params or Params()
-    network = kept(flows.load_network(packets, clock_offset=clock_offset), "flows")
-    events = kept(windows.normalize_windows_events(windows_events, ip_map), "events")
+    counts: dict[str, int] = {}
+    took: dict[str, float] = {}
+    begun = time.time()
+
+    def kept(df: DataFrame, name: str, stage: str, metrics: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, int]]:
+        t = time.time()
+        made, seen = scratch.observed_table(df, name, metrics)
+        counts[name], took[stage] = seen["n"], 1000 * (time.time() - t)
+        return made, seen
+
+    network, _ = kept(flows.load_network(packets, clock_offset=clock_offset), "network_flows", "network_ingest_ms")
+    events, seen = kept(windows.normalize_windows_events(windows_events, ip_map), "windows_events", "windows_ingest_ms", windows.quality_metrics())
     logons, privs, creds = windows.split_events(events)
     flow_refs = network.withColumn("ref", flow_ref())
     found_edges = edges.materialize_edges(flow_refs, logons, privs, creds, ip_map, p.flow_window, p.privilege_window, p.credential_window, p.strict_keys)
-    pivot = kept(found_edges, "edges")
-    findings = kept(policy.classify(pivot, ctx, p.continuation_minutes), "findings")
+    pivot, _ = kept(found_edges, "pivot_edges", "edge_materialization_ms")
+    t = time.time()
+    findings, _ = kept(policy.classify(pivot, ctx, p.continuation_minutes), "findings", "graph_classification_ms")
+    took["graph_classification_ms"] = 1000 * (time.time() - t)  # with the tables on the way
     lifted = hybrid.pivot_to_reachability(pivot)
-    quality = windows.windows_quality(events).select(F.lit("windows").alias("source"), F.concat_ws(": ", "code", "issue").alias("issue"), "n")
+    spark = packets.sparkSession
+    quality = context.local_table(spark, [("windows", issue, n) for issue, n in seen.items() if n and issue != "n"], "source string, issue string, n long")
     if cloud_records is not None:
-        records = kept(hybrid.assume_role_records(cloud_records), "cloud")
+        records, _ = kept(hybrid.assume_role_records(cloud_records), "cloud_records", "cloud_ingest_ms")
         lifted = hybrid.unify_edges(lifted, records.where("reason is null").drop("reason", "source_file"))
         reasons, _ = windows.cloudtrail_quality(records)
         quality = quality.unionByName(reasons.select(F.lit("cloud").alias("source"), F.col("reason").alias("issue"), "n"))
-    lifted = kept(lifted, "reachability")
+    lifted, _ = kept(lifted, "reachability_edges", "hybrid_normalization_ms")
     found = checks.check_pivot_edges(pivot).withColumn("contract", F.lit("pivot_edge"))
     for name, df in (("edge_semantics", checks.check_edge_semantics(pivot)), ("reachability_edge", checks.check_reachability_edges(lifted)), ("finding", checks.check_findings(findings))):
         found = found.unionByName(df.withColumn("contract", F.lit(name)))
-    return Case(network, events, pivot, lifted, findings, quality, found)
+    found, _ = kept(found, "violations", "derived_output_ms")
+    took["pipeline_total_ms"] = 1000 * (time.time() - begun)
+    return Case(network, events, pivot, lifted, findings, quality, found, counts, took)
 
 
 def flow_ref() -> Column:
@@ -69,43 +87,34 @@ def flow_ref() -> Column:
 
 
 def case_counts(case: Case) -> DataFrame:
-    """(name, n): the size of each dataset."""
-    parts = [("network_flows", case.flows), ("windows_events", case.windows), ("pivot_edges", case.pivot_edges), ("reachability_edges", case.reachability_edges), ("findings", case.findings), ("violations", case.violations)]
-    out = None
-    for name, df in parts:
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(name, n): the size of each dataset, as counted when it was written."""
+    rows = [(name, n) for name, n in case.counts.items() if name != "cloud_records"]
+    return context.local_table(case.findings.sparkSession, rows, "name string, n long")
+
 
+def fingerprint(df: DataFrame) -> DataFrame:
+    """(digest, n): one SHA-256 that depends on the rows alone, not on their order or files.
 
-def bucket_digests(df: DataFrame, digits: int = 2) -> DataFrame:
-    """(b, d): one digest for each beginning of ``digits`` hex digits of the rows' hashes; each is hashed in parts, by longer beginnings, first."""
+    Each row is hashed, the hash is cut into eight numbers of 32 bits, and these are summed over all rows; the
+    digest is the hash of the number of rows and the sums.  Sums of parts add up to those of the whole, so
+    nothing is sorted, and each task sends on one row.
+    """
     plain = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in sorted(df.columns)]
     row = F.sha2(F.concat_ws("\n", *plain), 256)
-    begins = lambda n: F.substring("h", 1, n)
-    parts = df.select(row.alias("h")).groupBy(begins(digits).alias("b"), begins(digits + 2).alias("s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return parts.groupBy("b").agg(F.sha2(_joined("s"), 256).alias("d"))
-
-
-def _joined(key: str) -> Column:
-    """The digests of a group in the order of ``key``."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "d"))), lambda x: x["d"]), "")
+    part = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    summed = df.select(row.alias("h")).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(8)])
+    return summed.select(F.sha2(F.concat_ws("|", "n", *[f"s{i}" for i in range(8)]), 256).alias("digest"), "n")
 
 
-def fingerprint(df: DataFrame, digits: int = 2) -> DataFrame:
-    """(digest): one SHA-256 that depends on the rows alone, not on their order or files.
+def derivation_id(outputs: dict[str, DataFrame], inputs: DataFrame, config: dict[str, str], revision: str = "") -> DataFrame:
+    """(derivation_id): what a result follows from (version, input files, settings) and what it is; no times, no layout.
 
-    Rows are hashed, the hashes are sorted and hashed within each bucket, and one digest for each
-    bucket is hashed at the end.
+    ``inputs``: (role, size, sha256) of every input file, from ``records.evidence_descriptors``.
     """
-    return bucket_digests(df, digits).agg(F.sha2(_joined("b"), 256).alias("digest"))
-
-
-def derivation_id(outputs: dict[str, DataFrame], inputs: dict[str, str], config: dict[str, str], revision: str = "") -> DataFrame:
-    """(derivation_id): what a result follows from (version, inputs, settings) and what it is; no times."""
-    head = "|".join([TOOL_VERSION, revision, *[f"{k}={v}" for k, v in sorted(inputs.items())], *[f"{k}={v}" for k, v in sorted(config.items())]])
+    head = "|".join([TOOL_VERSION, revision, *[f"{k}={v}" for k, v in sorted(config.items())]])
+    named = {f"output {k}": v for k, v in outputs.items()} | {"inputs": inputs.select("role", "size", "sha256")}
     out = None
-    for name, df in sorted(outputs.items()):
+    for name, df in sorted(named.items()):
         one = fingerprint(df).select(F.concat(F.lit(f"{name}="), "digest").alias("d"))
         out = one if out is None else out.unionByName(one)
     return out.agg(F.array_join(F.array_sort(F.collect_list("d")), "|").alias("d")).select(F.sha2(F.concat(F.lit(head + "|"), "d"), 256).alias("derivation_id"))
@@ -121,11 +130,7 @@ def report_tables(case: Case) -> dict[str, DataFrame]:
 
 
 def timed_counts(case: Case) -> list[tuple[str, float, int]]:
-    """(stage, milliseconds, rows): wall time of computing each dataset, and of all."""
-    stages = [("network_ingest_ms", case.flows), ("windows_ingest_ms", case.windows), ("edge_materialization_ms", case.pivot_edges), ("hybrid_normalization_ms", case.reachability_edges), ("graph_classification_ms", case.findings), ("derived_output_ms", case.violations)]
-    out, begun = [], time.time()
-    for name, df in stages:
-        t = time.time()
-        n = df.count()
-        out.append((name, 1000 * (time.time() - t), n))
-    return [*out, ("pipeline_total_ms", 1000 * (time.time() - begun), sum(n for _, _, n in out))]
+    """(stage, milliseconds, rows): wall time and rows of each stage, as measured when its dataset was written, and of all."""
+    rows = {"network_ingest_ms": "network_flows", "windows_ingest_ms": "windows_events", "cloud_ingest_ms": "cloud_records", "edge_materialization_ms": "pivot_edges", "graph_classification_ms": "findings", "hybrid_normalization_ms": "reachability_edges", "derived_output_ms": "violations"}
+    timed = [(stage, ms, case.counts[rows[stage]]) for stage, ms in case.milliseconds.items() if stage in rows]
+    return [*timed, ("pipeline_total_ms", case.milliseconds["pipeline_total_ms"], sum(n for _, _, n in timed))]

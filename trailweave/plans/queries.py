@@ -7,11 +7,12 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trailweave.functions import scalars as S
 from trailweave.operators import checks, detections, edges, flows, graph, hybrid, policy, windows
 from trailweave.sources import context as contexts
-from trailweave.sources import loaders, records, scratch
+from trailweave.sources import loaders, publish, records, scratch
 from trailweave.streaming import detect, run, schedule
 
 from . import case as cases
@@ -768,7 +769,7 @@ def report_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_CASE + """SELECT 'network_ingest_ms' AS stage, count(*) AS n FROM flows UNION ALL SELECT 'windows_ingest_ms', count(*) FROM p WHERE event_type IN ('click', 'signup', 'error') UNION ALL SELECT 'edge_materialization_ms', count(*) FROM edges
-UNION ALL SELECT 'hybrid_normalization_ms', count(*) FROM unified UNION ALL SELECT 'graph_classification_ms', count(*) FROM findings UNION ALL SELECT 'derived_output_ms', 0""")
+UNION ALL SELECT 'hybrid_normalization_ms', count(*) FROM unified UNION ALL SELECT 'graph_classification_ms', count(*) FROM findings UNION ALL SELECT 'cloud_ingest_ms', count(*) FROM e WHERE event_type = 'error' UNION ALL SELECT 'derived_output_ms', 0""")
 def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each timed stage; its milliseconds, which no SQL can give, are measured and must be there."""
     timed = cases.timed_counts(_case(spark, sf_dir))
@@ -776,24 +777,52 @@ def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "stage string, n long")
 
 
-def _digest_sql(name: str, table: str, columns: list[str]) -> str:
-    """The fingerprint of ``table`` in SQL."""
+def _digest_sql(name: str, label: str, table: str, columns: list[str]) -> str:
+    """The fingerprint of ``table`` in SQL: d_<name>."""
     parts = " || chr(10) || ".join(f"CASE WHEN {c} IS NULL THEN '{{}}' ELSE '{{\"{c}\":' || to_json({c}) || '}}' END" for c in sorted(columns))
+    sums = " || '|' || ".join(f"CAST(coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::UBIGINT), 0) AS VARCHAR)" for i in range(8))
     return f"""h_{name} AS (SELECT sha256({parts}) AS h FROM {table}),
-s_{name} AS (SELECT substr(h, 1, 2) AS b, substr(h, 1, 4) AS s, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h_{name} GROUP BY 1, 2),
-b_{name} AS (SELECT b, sha256(string_agg(d, '' ORDER BY s)) AS d FROM s_{name} GROUP BY b),
-d_{name} AS (SELECT '{name}=' || sha256(coalesce(string_agg(d, '' ORDER BY b), '')) AS d FROM b_{name})"""
+d_{name} AS (SELECT '{label}=' || sha256(count(*) || '|' || {sums}) AS d FROM h_{name})"""
 
 
 _OUTPUTS = {"findings": _FINDING_COLUMNS.split(", "), "pivot_edges": _EDGE_COLUMNS.split(", ")}
+_GROUPED = """, g AS (SELECT u % 6 AS part, string_agg(seq || ',' || event_type || chr(10), '' ORDER BY seq) AS body FROM e GROUP BY 1),
+files AS (SELECT 'windows' AS role, CAST(length(body) AS BIGINT) AS size, sha256(body) AS sha256 FROM g)"""
 
 
-@query(CLASSIFIED + "".join(f", {_digest_sql(n, t, _OUTPUTS[n])}" for n, t in (("findings", "findings"), ("pivot_edges", "edges"))) + f" SELECT sha256('{cases.TOOL_VERSION}||events=table|window={WINDOW}|' || f.d || '|' || e.d) AS derivation_id FROM d_findings f, d_pivot_edges e")
+def _grouped_files(ev: Evidence) -> str:
+    """Files that are written from events, one for each group of users."""
+    e = ev.events.select((F.col("u") % 6).alias("part"), "seq", F.concat_ws(",", "seq", "event_type").alias("value")).repartition("part").sortWithinPartitions("part", "seq")
+    return _written(e.select("part", "value"), "evidence", "", "part")
+
+
+@query(CLASSIFIED + _GROUPED + f", {_digest_sql('i', 'inputs', 'files', ['role', 'size', 'sha256'])}, {_digest_sql('f', 'output findings', 'findings', _OUTPUTS['findings'])}, {_digest_sql('e', 'output pivot_edges', 'edges', _OUTPUTS['pivot_edges'])}" + f" SELECT sha256('{cases.TOOL_VERSION}||window={WINDOW}|' || i.d || '|' || f.d || '|' || e.d) AS derivation_id FROM d_i i, d_f f, d_e e")
 def derivation_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _kept_edges(Evidence(spark, sf_dir))
+    """What findings and edges follow from: input files (written from events), settings and the rows themselves."""
+    ev = Evidence(spark, sf_dir)
+    e = _kept_edges(ev)
     found = scratch.table(policy.classify(e, context(spark), _MINUTES), "findings")
     outputs = {"pivot_edges": _flat_edges(e), "findings": _flat_findings(found)}
-    return cases.derivation_id(outputs, {"events": "table"}, {"window": str(WINDOW)})
+    return cases.derivation_id(outputs, records.evidence_descriptors(spark, [_grouped_files(ev)], "windows"), {"window": str(WINDOW)})
+
+
+@query(JOINED + ", p_edges AS (SELECT edge_id, source_host, target_host FROM edges) SELECT 'edges' AS name, edge_id AS item, 2 AS number FROM p_edges UNION ALL SELECT 'flows', ref, 2 FROM flows")
+def published_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and flows, published twice and then by a commit that fails on the way; readers see the second."""
+    ev = Evidence(spark, sf_dir)
+    e, path = _kept_edges(ev), scratch.new_path(spark, "published")
+    for edges_of in (e.where("source_host = 'H1'"), e):
+        publish.publish({"edges": edges_of, "flows": ev.flows}, path, cases.fingerprint)
+    broken = e.withColumn("edge_id", F.when(F.col("seq") > 0, F.raise_error(F.lit("the case fails here"))).otherwise(F.col("edge_id")))
+    try:
+        publish.publish({"flows": ev.flows.limit(1), "edges": broken}, path, cases.fingerprint)
+    except Exception as failure:
+        if "the case fails here" not in str(failure):
+            raise
+    numbers = publish.published(spark, path).select("name", F.col("number").cast("int").alias("number"))
+    found = publish.read_published(spark, path, cases.fingerprint)
+    rows = [found[name].select(F.lit(name).alias("name"), F.col(column).alias("item")) for name, column in (("edges", "edge_id"), ("flows", "ref"))]
+    return rows[0].unionByName(rows[1]).join(numbers, "name")
 
 
 @query(BASE + r"""SELECT 'T' || (k % 4) AS tactic, 'A' || (k % 9) AS technique_id, count(DISTINCT 'D' || (u % 6)) AS n_detections, string_agg(DISTINCT 'name' || (u % 6), ', ' ORDER BY 'name' || (u % 6)) AS names FROM e GROUP BY 1, 2""")
@@ -873,14 +902,26 @@ def cloudtrail_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(made.issues.select(F.col("issue").alias("item"), "n")).unionByName(files).unionByName(hashed)
 
 
-_GROUPED = """, g AS (SELECT u % 6 AS part, string_agg(seq || ',' || event_type || chr(10), '' ORDER BY seq) AS body FROM e GROUP BY 1)"""
-
-
-@query(BASE + _GROUPED + "SELECT 'windows' AS role, CAST(length(body) AS BIGINT) AS size, sha256(body) AS sha256 FROM g")
+@query(BASE + _GROUPED + "SELECT role, size, sha256 FROM files")
 def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and hash of files that are written from events, one for each group of users."""
-    e = Evidence(spark, sf_dir).events.select((F.col("u") % 6).alias("part"), "seq", F.concat_ws(",", "seq", "event_type").alias("value")).repartition("part").sortWithinPartitions("part", "seq")
-    return records.evidence_descriptors(spark, [_written(e.select("part", "value"), "evidence", "", "part")], "windows").select("role", "size", "sha256")
+    """Size and hash of files that are written from events."""
+    return records.evidence_descriptors(spark, [_grouped_files(Evidence(spark, sf_dir))], "windows").select("role", "size", "sha256")
+
+
+@query(BASE + r"""SELECT seq, 'c' || (u % 3) AS code FROM e UNION ALL SELECT -1, 'many' FROM e HAVING count(*) > 1""")
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each day as one JSON document (an array), which many tasks read, each some bytes of it."""
+    e = Evidence(spark, sf_dir).events.withColumn("part", F.to_date("ts"))
+    item = F.concat(F.lit('{"id":'), "seq", F.lit(',"note":"],[{\\"","event":{"code":"c'), F.col("u") % 3, F.lit('"}}'))
+    order = Window.partitionBy("part").orderBy("seq")
+    first, last = F.lag("seq").over(order).isNull(), F.lead("seq").over(order).isNull()
+    lines = e.select("part", "seq", F.concat(F.when(first, "[").otherwise(""), item, F.when(last, "]").otherwise(",")).alias("value"))
+    folder = _written(lines.repartition("part").sortWithinPartitions("part", "seq").select("part", "value"), "documents", "", "part")
+    names = [r.path for r in spark.read.format("binaryFile").load(folder).select("path").collect()]  # one a day
+    good, bad = records.read_json_records(spark, names, split_bytes=1 << 10)
+    rows = records.unwrap_envelope(good).select(F.try_variant_get("v", "$.id", "long").alias("seq"), S.event_code(F.col("v")).alias("code"))
+    many = good.agg(F.count_distinct("source_file", "line").alias("n")).where("n > 1").select(F.lit(-1).cast("long").alias("seq"), F.lit("many").alias("code"))
+    return rows.unionByName(many).unionByName(bad.select(F.col("line").alias("seq"), F.lit("bad").alias("code")))
 
 
 @query(BASE + "SELECT 'json' AS kind, seq, host_ip, port FROM p UNION ALL SELECT 'parquet', seq, host_ip, port FROM p")
@@ -947,17 +988,18 @@ def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BASE + rf"""SELECT {_ISO} AS ts_raw, 'network' AS category, from_ip AS source_ip, 1000 AS source_port, from_ip AS client_ip, host_ip AS destination_ip, port AS destination_port, host_ip AS server_ip, 1 AS source_packets, 60 + k AS source_bytes, 0 AS destination_packets,
-  protocol, 'tcp' AS transport, 1 AS packets, 60 + k AS bytes, 0 AS duration, 'unknown' AS direction, 'sensor' AS observer FROM p WHERE event_type = 'view' AND k % 5 <> u % 5""")
+  protocol, 'tcp' AS transport, 1 AS packets, 60 + k AS bytes, 0 AS duration, 'unknown' AS direction, 'sensor' AS observer, '8.11.0' AS ecs_version, 'sensor flow-folding trailweave' AS observed_by FROM p WHERE event_type = 'view' AND k % 5 <> u % 5""")
 def nested_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of one packet each, in the nested layout of network logs."""
     k, u = F.col("k"), F.col("u")
     e = Evidence(spark, sf_dir).events.where("event_type = 'view' AND k % 5 <> u % 5")
     packets = e.select("seq", "ts", F.concat(F.lit("10.0.0."), u % 5).alias("src_ip"), F.lit(1000).alias("src_port"), F.concat(F.lit("10.0.0."), k % 5).alias("dst_ip"), F.when(k % 3 == 0, 3389).when(k % 3 == 1, 445).otherwise(443).alias("dst_port"), F.lit("tcp").alias("transport"), F.lit("S").alias("flags"), (F.lit(60) + k).alias("size"), F.col("seq").alias("capture"))
-    n = flows.to_ecs(flows.flow_events(flows.fold_flows(packets, "capture")))
+    n = flows.to_ecs(flows.flow_events(flows.fold_flows(packets, "capture")), ordered=True)
     return n.select(
         F.col("@timestamp").alias("ts_raw"), F.col("event.category")[0].alias("category"), F.col("source.ip").alias("source_ip"), F.col("source.port").alias("source_port"), F.col("client.ip").alias("client_ip"), F.col("destination.ip").alias("destination_ip"),
         F.col("destination.port").alias("destination_port"), F.col("server.ip").alias("server_ip"), F.col("source.packets").alias("source_packets"), F.col("source.bytes").alias("source_bytes"), F.col("destination.packets").alias("destination_packets"),
         "network.protocol", "network.transport", "network.packets", "network.bytes", F.col("event.duration").alias("duration"), "network.direction", F.col("observer.hostname").alias("observer"),
+        F.col("ecs.version").alias("ecs_version"), F.concat_ws(" ", "observer.type", "observer.product", "observer.vendor").alias("observed_by"),
     )
 
 

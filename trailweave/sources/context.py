@@ -24,7 +24,7 @@ def _fields(table: str) -> str:
     return ", ".join(": ".join(c.split(" ")) for c in _TABLES[table].split(", "))
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailweave.functions import scalars as S
 
+from . import split_json
+
 _BULK = ("index", "create", "update", "delete")
 _XML = "System struct<EventID: string, TimeCreated: struct<_SystemTime: string>, Computer: string, EventRecordID: string>, EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>"
 CODES = ["4624", "4672", "4648"]
 
 
-def read_json_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+SPLIT_BYTES = 256 << 20
+
+
+def read_json_records(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(records: source_file, line, raw, v) and (bad: source_file, line).
 
     ``.ndjson`` and ``.jsonl`` files, and files that are not one JSON document, are read line by
     line; blank lines are skipped and a byte order mark is tolerated.  Bad lines are kept apart
-    (see :func:`require_no_bad`).
+    (see :func:`require_no_bad`).  A document of more than ``split_bytes`` is read by many tasks, an item of
+    its array a record, if it can be split (see ``split_json``); ``line`` is then the byte at which the item begins.
     """
     lines_of = [p for p in paths if p.endswith((".ndjson", ".jsonl"))]
     whole_of = [p for p in paths if p not in lines_of]
     parts = []
+    for path, size in _sizes(spark, whole_of, split_bytes).items():
+        items = split_json.read_split(spark, path, size)
+        if items is not None:
+            whole_of = [p for p in whole_of if not _same_path(p, path)]
+            parts.append(items)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file")
     clean = lambda c: F.regexp_replace(c, "^﻿", "")
     if lines_of:
@@ -39,6 +54,20 @@ def read_json_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     return rows.where("v is not null"), rows.where("v is null").select("source_file", "line")
 
 
+def _same_path(a: str, b: str) -> bool:
+    plain = lambda p: re.sub("^file:/*", "/", p)
+    return plain(a) == plain(b)
+
+
+def _sizes(spark: SparkSession, paths: list[str], least: int) -> dict[str, int]:
+    """The files named by ``paths`` that are larger than ``least`` and can be opened by path, one for each such file."""
+    named = [p for p in paths if not set(p) & set("*?[{") and re.match(_OPENABLE, p)]
+    if not named:
+        return {}
+    files = spark.read.format("binaryFile").load(named).where(F.col("length") > least).select("path", "length")  # names and sizes only
+    return {r.path: r.length for r in files.collect() if any(_same_path(p, r.path) for p in named)}
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
     """(source_file, line, raw): each line with its number in its file, from 0.
 
@@ -113,10 +142,35 @@ def windows_xml_to_ecs(events: DataFrame, xml: str = "xml") -> DataFrame:
     )
 
 
+_OPENABLE = r"(/|file:|hdfs:|s3:|gs:)"  # paths that a task can open by itself
+_CHUNK = 8 << 20
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            digest, at = hashlib.sha256(), 0
+            with split_json.opened(path) as f:
+                while chunk := f.read_at(_CHUNK, at):
+                    digest.update(chunk)
+                    at += len(chunk)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, "sha256"])
+
+
 def evidence_descriptors(spark: SparkSession, paths: list[str], role: str) -> DataFrame:
-    """(file_name, role, size, sha256, modified) of input files."""
+    """(file_name, role, size, sha256, modified) of input files, of any size: a task reads each in chunks.
+
+    Files of a store that only Spark's readers open are read whole, up to 2 GB each.
+    """
     files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.lit(role).alias("role"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
+    names = [F.element_at(F.split("path", "/"), -1).alias("file_name"), F.lit(role).alias("role"), F.col("length").alias("size")]
+    if not all(re.match(_OPENABLE, p) for p in paths):
+        return files.select(*names, F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
+    listed = files.select("path", "length", "modificationTime").repartition("path")
+    hashed = listed.mapInArrow(_hash_files, "path string, length long, modificationTime timestamp, sha256 string")
+    return hashed.select(*names, "sha256", F.col("modificationTime").alias("modified"))
 
 
 def write_results(df: DataFrame, path: str, kind: str = "json", partition_by: list[str] | None = None) -> None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,10 @@ def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed_table(df: DataFrame, name: str, metrics: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`table`, and what the pass that wrote it has seen: ``n`` rows and other ``metrics`` (aggregates)."""
+    seen = Observation()
+    kept = table(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (metrics or {}).items()]), name)
+    return kept, seen.get
