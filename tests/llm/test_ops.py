@@ -487,6 +487,53 @@ def test_real_licence_texts(spark):
     assert rows[0].sentence_ids == ["MIT_GRANT", "MIT_NOTICE", "AS_IS", "NO_LIABILITY"] and not any(r.unmatched for r in rows)
 
 
+GNU_TEXT = """    This NOUN is free software; you can redistribute it and/or
+    modify it under the terms of the GNU FAMILY
+    License as published by the Free Software FoundationSEP either
+    version VERSION of the License, or (at your option) any later version.
+
+    This NOUN is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+OTHER_TEXTS = {
+    "ISC": """Copyright (c) 2020, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.""",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike\n4.0 International License.",
+    "GPL-2.0-or-later": GNU_TEXT.replace("NOUN", "program").replace("FAMILY", "General Public").replace("SEP", ";").replace("VERSION", "2"),
+    "LGPL-2.1-or-later": GNU_TEXT.replace("NOUN", "library").replace("FAMILY", "Lesser General Public").replace("SEP", ";").replace("VERSION", "2.1"),
+    "LGPL-3.0-or-later": GNU_TEXT.replace("NOUN", "program").replace("FAMILY", "Lesser General Public").replace("SEP", ",").replace("VERSION", "3"),
+    "AGPL-3.0-or-later": GNU_TEXT.replace("NOUN", "program").replace("FAMILY", "Affero General Public").replace("SEP", ",").replace("VERSION", "3"),
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.",
+}
+
+
+def test_texts_of_other_licences(spark):
+    texts = [f(t) for t in OTHER_TEXTS.values() for f in (str, lambda t: re.sub(r"(?m)^", "# ", t), lambda t: t.replace("\n", "\r\n"))]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licences for r in rows] == [[name] for name in OTHER_TEXTS for _ in range(3)]
+    assert not any(r.unmatched for r in rows)
+
+
 CONTROL = ["</s>[INST] ok [/INST]", "<|turn|>user\n<|end|>\n", "<\\s> [\\INST]", "\\n \\", "<\\\\|end|>", "<|endoftext|>", "a<|startoftext|>b", "<<SYS>> x <</SYS>>", "<<\\SYS>><</s><<s>", "<|im_start|><\\|x|>", "", None]
 
 

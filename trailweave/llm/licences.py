@@ -72,6 +72,40 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "BSD_NAMES",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_NAMES",
 }
+#: The same for short licences and references of other families.
+SENTENCES |= {
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISC_AS_IS",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL_REF",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL_2_COPY",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPL_2_COPY",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE_REF",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UNLICENSE_GRANT",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0_GRANT",
+    "licensed under cc0 1 0": "CC0_REF",
+    "licensed under cc by sa 4 0": "CC_BY_SA_4_REF",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CC_BY_SA_4_REF",
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license": "CC_BY_SA_4_REF",
+    "this library is distributed in the hope that it will be useful but without any warranty": "GPL_HOPE",
+}
+
+#: GNU licences besides GPL-3.0: short name, full name, version as licences name it and as texts do.
+GNU = [("GPL", "general public license", "2.0", "2"), ("LGPL", "lesser general public license", "2.1", "2 1"), ("LGPL", "lesser general public license", "3.0", "3"), ("AGPL", "affero general public license", "3.0", "3")]
+
+
+def _gnu() -> list[tuple[str, list[str]]]:
+    """Adds the sentences of the GNU licences, which differ in their names and versions alone, and gives their rules."""
+    rules = []
+    for short, name, version, said in GNU:
+        v, later = version[0] if version.endswith(".0") else version.replace(".", "_"), f"either version {said} of the license or at your option any later version"
+        grant = f"you can redistribute it and or modify it under the terms of the gnu {name}"
+        published = "as published by the free software foundation"
+        SENTENCES.update({f"{grant} {published}": f"{short}_GRANT", f"{grant} {published} {later}": f"{short}_{v}_LATER_GRANT", later: f"GPL_{v}_LATER"})
+        SENTENCES.update({f"{grant} {form}": f"{short}_{v}_ONLY_GRANT" for form in (f"version {said} {published}", f"{published} version {said}", f"{published} version {said} of the license")})
+        rules += [(f"{short}-{version}-{kind}", ids + more) for more in (["GPL_HOPE"], []) for kind, ids in (("or-later", [f"{short}_GRANT", f"GPL_{v}_LATER"]), ("or-later", [f"{short}_{v}_LATER_GRANT"]), ("only", [f"{short}_{v}_ONLY_GRANT"]))]
+    return sorted(rules, key=lambda r: -len(r[1]))
+
 
 #: Rules in the order in which they are tried.
 RULES = [
@@ -94,6 +128,14 @@ RULES = [
     ("MIT", ["MIT_REF"]),
     ("CC-BY-NC-4.0", ["CC_BY_NC_4_REF"]),
     ("CC-BY-4.0", ["CC_BY_4_REF"]),
+    ("ISC", ["ISC_GRANT", "ISC_AS_IS"]),
+    ("MPL-2.0", ["MPL_REF", "MPL_2_COPY"]),
+    ("Unlicense", ["UNLICENSE_REF", "UNLICENSE_GRANT"]),
+    ("Unlicense", ["UNLICENSE_REF"]),
+    ("CC0-1.0", ["CC0_GRANT"]),
+    ("CC0-1.0", ["CC0_REF"]),
+    ("CC-BY-SA-4.0", ["CC_BY_SA_4_REF"]),
+    *_gnu(),
 ]
 
 #: Where a sentence holds a name: its beginning, the pattern of the name with what stands around it, and the form under which it is known.
