@@ -109,7 +109,7 @@ def _slices(chunk: pa.Table, body: str, window: int, gram: int) -> Iterator[tupl
         yield row, words, *_windows(words, window, gram)
 
 
-_SLICE = 3 << 20
+_SLICE = 1 << 20
 
 
 def _merge(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
