@@ -169,6 +169,17 @@ def test_embeddings(spark, monkeypatch, sizes, least):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_that_link_with_nothing_and_repeated_ids(spark):
+    """A third of the rows has no usable vector; one id has two vectors; columns have the operator's own names."""
+    rows = [(i, None) for i in range(100, 130)] + [(i, [0.0, 0.0]) for i in range(130, 160)] + [(None, [1.0, 0.0])] * 3 + [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 3.0]), (4, [float("nan"), 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("key", "rep", "weight", "links", "component", "vec", "size", "node")})
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(frame).collect()), key=repr)
+    alone = [(i, 0, i, True) for i, v in rows if i is not None and (i >= 100 or i == 4)] + [(None, 0, None, True)] * 3
+    assert [g for g in got if g in alone] == sorted(alone, key=repr)
+    assert {g[0] for g in got if g not in alone} == {1, 2, 3} and len(got) == len(rows)
+    assert all(g[2] == 1 for g in got if g[0] in (1, 2) and g[1]) and embed_dedup.near_vectors(frame.limit(0)).count() == 0
+
+
 def test_long_vectors_and_pruned_cells(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "LEAST_ROWS", 5)
     rnd = np.random.default_rng(5)
@@ -293,6 +304,9 @@ def test_token_files(spark, docs, none):
         ids = [*library.encode(t, add_special_tokens=False).ids, 1]
         assert (r.doc_id, r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (i, at, len(ids), ids)
         at += len(ids)
+    odd = clashing(docs).withColumns({c: F.lit(1) for c in ("shard", "segment", "ids", "image", "text2")})
+    token_files.write(odd, again := shared.new_path(spark, "tokens"), P.path("word_bpe_49k.json"), end_id=1)
+    assert sorted(map(str, token_files.read(spark, again).collect())) == sorted(map(str, rows))
     token_files.write(none, empty := shared.new_path(spark, "tokens"), P.path("word_bpe_49k.json"), end_id=1)
     assert token_files.read(spark, empty).count() == 0
 
