@@ -284,6 +284,19 @@ def test_hashes_of_files_of_any_size(spark, tmp_path):
     assert got == {"large.bin": ((2 << 30) + 77, want.hexdigest()), "small.txt": (100, hashlib.sha256(b"x" * 100).hexdigest())}
 
 
+def test_owned_tables_are_removed(spark, tmp_path):
+    import os
+
+    from trailweave.sources import scratch
+
+    with scratch.owned(spark):
+        kept = scratch.table(spark.range(5), "five")
+        (folder,) = {f.removeprefix("file:").rsplit("/", 1)[0] for f in kept.inputFiles()}
+        folder = "/" + folder.lstrip("/")
+        assert os.path.isdir(folder) and kept.count() == 5
+    assert not os.path.exists(folder)
+
+
 def test_published_as_a_whole(spark, tmp_path):
     from trailweave.sources import publish
 
