@@ -161,7 +161,9 @@ def test_line_numbers_count_within_each_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_windows_ids_addresses_and_map_order(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_windows_ids_addresses_and_map_order(spark, monkeypatch, small):
+    monkeypatch.setattr(windows, "SMALL_MAP", small)
     rows = [(0, "4624", "a.corp", ["2001:DB8:0::1"], "7", None, {"IpAddress": "2001:db8::0:2"}), (1, "4672", "b", None, None, "12", {}), (2, "4672", "c", ["9.9.9.9", "10.0.0.2", "10.0.0.1"], None, None, {}), (3, "4672", None, None, None, "1", {})]
     events = spark.createDataFrame([(*r[:4], None, r[4], r[5], r[6], '{"n":%d}' % r[0], "2026-08-10T10:00:00") for r in rows], "seq long, code string, host_name string, host_ips array<string>, computer_name string, record_id string, sequence string, data map<string, string>, raw string, ts_raw string")
     ip_map = spark.createDataFrame([(0, "10.0.0.2", "B.corp"), (1, "10.0.0.1", "b"), (2, "2001:db8::1", "A")], "pos int, ip string, host string")

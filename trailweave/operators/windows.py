@@ -27,6 +27,35 @@ def reverse_host_map(ip_map: DataFrame) -> DataFrame:
     return aliases.groupBy("alias").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ip"))), lambda x: x["ip"])).alias("ips"))
 
 
+SMALL_MAP = 1000  # addresses; a map of no more is one value in the plan
+
+
+def _as_value(table: DataFrame, key: str, value: str) -> Column:
+    """A small table as one map, made once for the query."""
+    return table.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m")).scalar()
+
+
+def _placed(events: DataFrame, ip_map: DataFrame) -> DataFrame:
+    """``events`` (with ``aliases`` and ``own_ips``) with host_ips, their own or else the map's of their aliases, and name, the map's host of the first of these that it has, or else their own.
+
+    A small map is looked up as a value, in one pass over the events and without joins; a larger one is joined.
+    """
+    nothing = F.array().cast("array<string>")
+    chosen = lambda first, second: F.when(F.size("own_ips") > 0, F.col("own_ips")).otherwise(F.array_distinct(F.concat(F.coalesce(first, nothing), F.coalesce(second, nothing))))
+    by_alias = reverse_host_map(ip_map)
+    alias = lambda n: F.get("aliases", F.lit(n))
+    if ip_map.limit(SMALL_MAP + 1).count() > SMALL_MAP:
+        for n in range(2):
+            events = events.join(by_alias.select(F.col("alias").alias(f"alias{n}"), F.col("ips").alias(f"ips{n}")), alias(n) == F.col(f"alias{n}"), "left")
+        events = events.withColumn("host_ips", chosen(F.col("ips0"), F.col("ips1"))).drop("own_ips", "aliases", "alias0", "alias1", "ips0", "ips1")
+        return _named(events, ip_map)
+    ips = _as_value(by_alias, "alias", "ips")
+    names = _as_value(_ordered(ip_map).where("ip is not null").groupBy("ip").agg(F.min_by("host", "pos").alias("host")), "ip", "host")
+    events = events.withColumn("host_ips", chosen(F.element_at(ips, alias(0)), F.element_at(ips, alias(1)))).drop("own_ips", "aliases").withColumn("_names", names)
+    known = F.filter(F.transform("host_ips", lambda ip: F.element_at("_names", ip)), lambda h: h.isNotNull())
+    return events.withColumn("name", F.coalesce(F.get(known, F.lit(0)), "host_name")).drop("_names")
+
+
 def _named(events: DataFrame, ip_map: DataFrame) -> DataFrame:
     """``events`` with ``name``: the map's host of the first of their addresses that it has, else their own.
 
@@ -59,13 +88,7 @@ def normalize_windows_events(events: DataFrame, ip_map: DataFrame) -> DataFrame:
     events = events.withColumn("raw", F.coalesce("raw", F.to_json(F.struct(*content))))
     e = events.where(F.col("code").isin(list(REQUIRED_FIELDS)))
     e = e.withColumns({"host_name": F.coalesce(F.nullif("host_name", blank), F.nullif("computer_name", blank)), "own_ips": F.transform(F.filter(F.coalesce("host_ips", nothing), lambda x: x.isNotNull() & (x != "")), S.canonical_ip)})
-    e = e.withColumn("aliases", S.host_aliases(F.col("host_name")))
-    by_alias = reverse_host_map(ip_map)
-    for n in range(2):
-        e = e.join(by_alias.select(F.col("alias").alias(f"alias{n}"), F.col("ips").alias(f"ips{n}")), F.get("aliases", F.lit(n)) == F.col(f"alias{n}"), "left")
-    mapped = F.array_distinct(F.concat(F.coalesce("ips0", nothing), F.coalesce("ips1", nothing)))
-    e = e.withColumn("host_ips", F.when(F.size("own_ips") > 0, F.col("own_ips")).otherwise(mapped)).drop("own_ips", "aliases", "alias0", "alias1", "ips0", "ips1")
-    e = _named(e, ip_map)
+    e = _placed(e.withColumn("aliases", S.host_aliases(F.col("host_name"))), ip_map)
     ts = S.utc_ts(F.col("ts_raw"))
     logon = F.col("code") == "4624"
     source = S.canonical_ip(F.coalesce(F.nullif(F.element_at("data", "IpAddress"), blank), "source_ip"))
