@@ -131,3 +131,36 @@ def test_plans_have_no_nested_loops(spark):
     flows, logons = spark.createDataFrame([flow()], FLOW), spark.createDataFrame([logon()], LOGON)
     plan = edges.logon_flow_asof(logons, flows)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_dense_events_are_swept_without_pairs(spark):
+    """Many events of one key: answers as by brute force, and the only join is the one by ``seq``."""
+    import random
+
+    rnd = random.Random(8)
+    when = lambda: rnd.randint(0, 900)
+    names = ["SRV-APP-01", "srv-app-01.corp.example", "10.0.0.60", "other", "10.0.0.90", "DC01."]
+    logons = [logon(i, when(), rnd.choice(["SRV-APP-01", "DC01"]), rnd.choice([("10.0.0.60",), ("10.0.0.60", "10.0.0.90"), ()]), lid=rnd.choice(["0xA1", None]), who=rnd.choice(["a", "b", None])) for i in range(300)]
+    privs = [priv(1000 + rnd.randint(0, 10**6), when(), rnd.choice([("10.0.0.60",), ("10.0.0.90", "10.0.0.60"), (None,)]), rnd.choice(["a", "b", None]), rnd.choice(["0xA1", None]), f"p{i}") for i in range(200)]
+    creds = [cred(5000 + i, when(), rnd.choice([("10.0.0.10",), ("10.0.0.11",)]), f"s{i}", rnd.choice(["a", "b", None]), rnd.choice(["0xC1", "0xC2", "", None]) if i % 9 else "0xC3", rnd.choice(names), f"c{i}") for i in range(120)]
+    left, p, c = (spark.createDataFrame(rows, schema) for rows, schema in ((logons, LOGON), (privs, PRIV), (creds, CRED)))
+    left = left.withColumn("target_ip", edges.F.get("host_ips", edges.F.lit(0)))
+    ip_map = spark.createDataFrame([("10.0.0.10", "WS-ENG-12"), ("10.0.0.60", "SRV-APP-01"), ("10.0.0.90", "DC01")], "ip string, host string")
+    hosts = {"10.0.0.60": "srv-app-01", "10.0.0.90": "dc01"}
+    for strict in (False, True):
+        found = edges.privilege_match(left, p, 60, strict)
+        for r in found.collect():
+            fits = [q for q in privs if any(ip in q[2] for ip in r.host_ips) and q[3] == r.identity and q[4] == r.logon_id and 0 <= (q[1] - at(0)).total_seconds() - int(r.ts_raw[1:]) <= 60]
+            fits = [] if strict and (r.identity is None or r.logon_id is None) else fits
+            assert (r.privileged, r.privilege_ref) == (bool(fits), min(fits)[5] if fits else None)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    n = set()
+    for r in edges.credential_transition_match(left, c, ip_map, 45).collect():
+        same = lambda server: server == r.target_ip or {server.lower().rstrip(".").split(".")[0] if server[0].isalpha() else hosts.get(server)} & {r.host_name.lower(), hosts.get(r.target_ip)}  # noqa: B023, E731
+        fits = sorted((q for q in creds if "10.0.0.10" in q[2] and q[4] == r.identity and q[5] and 0 <= int(r.ts_raw[1:]) - (q[1] - at(0)).total_seconds() <= 45 and same(q[6])), key=lambda q: (q[1], q[0]))
+        sessions = {q[5] for q in fits}
+        want = (("confirmed" if len(sessions) == 1 else "unknown"), fits[0][3], fits[0][7]) if fits else None
+        got = r.credential_transition
+        assert (got and (got.state, got.from_identity, got.evidence_ref)) == want and r.source_logon_id == (min(sessions) if len(sessions) == 1 else None)
+        n.add(want and want[0])
+    assert n == {None, "confirmed", "unknown"}

@@ -111,6 +111,12 @@ def host_equivalent(observed: Column, observed_mapped: Column, target_host: Colu
     return F.when(F.coalesce(observed, F.lit("")) == "", F.lit(False)).otherwise(F.coalesce(F.trim(observed) == target_ip, F.lit(False)) | F.arrays_overlap(seen, target))
 
 
+def host_keys(name: Column, mapped: Column, ip: Column) -> Column:
+    """What a host goes by: the aliases of its name and of its mapped name, and its IP.  Two sides are equivalent (see :func:`host_equivalent`) if they share one of them."""
+    aliases = F.transform(F.array_union(host_aliases(name), host_aliases(mapped)), lambda a: F.concat(F.lit("name "), a))
+    return F.array_compact(F.array_append(aliases, F.concat(F.lit("ip "), ip)))
+
+
 def event_code(variant: Column) -> Column:
     """``event.code`` as text whether it was a number or text; ``winlog.event_id`` where it is missing."""
     return F.coalesce(F.try_variant_get(variant, "$.event.code", "string"), F.try_variant_get(variant, "$.winlog.event_id", "string"))

@@ -11,11 +11,14 @@ Flat inputs:
 other (a missing logon id equals a missing logon id) unless ``strict_keys``.
 
 Every time window is also an equality of time bins, so a hot pair of hosts or a service account
-is spread over many tasks and no row meets events further away than its window's two bins.
+is spread over many tasks.  In a bin, events are swept in order of time; pairs of them are never made,
+so the work grows with the events also where they grow denser.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,21 +70,44 @@ def logon_flow_asof(logons: DataFrame, flows: DataFrame, window: float = FLOW_WI
     return logons.join(best, "seq").select(*[F.col(f"`{c}`") for c in logons.columns], "hit.flow_ref", "hit.flow_ts", "hit.target_ip", "hit.service")
 
 
+def _in_window(questions: DataFrame, facts: DataFrame, key: list[str], micros: int, best: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(seq, *best): minima or maxima of the columns of ``facts`` that ``best`` names, over each question's facts; questions without facts are left out.
+
+    ``questions``: key, seq and ``low``; facts count from there to ``low + micros``, both included.  ``facts``: key, at and the columns of ``best``, the first never null.
+    Such a window is the end of one time bin and the beginning of the next.  So each fact is one row, and running
+    minima from either end of its bin answer every question: no pairs are made, however many events share a key and a bin.
+    """
+    width = max(micros, 1)
+    bin_of = lambda c: F.floor(F.col(c) / width)
+    mark = lambda kind, at, later: F.struct(F.lit(kind).alias("kind"), at.alias("at"), (bin_of("low") + later).alias("bin"))
+    ends = F.array(mark(0, F.col("low"), 0), mark(2, F.col("low") + micros, 1))
+    rows = facts.where("at is not null").withColumns({"bin": bin_of("at"), "kind": F.lit(1)})
+    rows = rows.unionByName(questions.where("low is not null").select(*key, "seq", F.inline(ends)), allowMissingColumns=True)
+    running = lambda *order: Window.partitionBy(*key, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upwards, downwards = running("at", "kind"), running(F.desc("at"), F.desc("kind"))
+    swept = rows.withColumns({f"{side}_{c}": of(F.col(c)).over(w) for side, w in (("up", upwards), ("down", downwards)) for c, of in best.items()})
+    answers = swept.where("kind != 1").select("seq", *[F.when(F.col("kind") == 2, F.col(f"up_{c}")).otherwise(F.col(f"down_{c}")).alias(c) for c in best])
+    return answers.where(F.col(next(iter(best))).isNotNull()).groupBy("seq").agg(*[of(F.col(c)).alias(c) for c, of in best.items()])
+
+
+def _privileges(logons: DataFrame, privs: DataFrame, window: float, strict_keys: bool) -> DataFrame:
+    """(seq, privileged, privilege_ref) of the logons that have a privilege."""
+    key = ["ip", "logon_id", "identity"]
+    left = logons.select("seq", "logon_id", "identity", F.unix_micros("ts").alias("low"), F.explode(F.array_distinct("host_ips")).alias("ip"))
+    right = privs.select("logon_id", "identity", F.unix_micros("ts").alias("at"), F.struct(F.col("seq").alias("p_seq"), F.col("ref").alias("p_ref")).alias("first"), F.explode(F.array_distinct("host_ips")).alias("ip"))
+    for c in key if strict_keys else key[:1]:
+        left, right = left.where(F.col(c).isNotNull()), right.where(F.col(c).isNotNull())
+    found = _in_window(left, right, key, int(window * 1_000_000), {"first": F.min})
+    return found.select("seq", F.lit(True).alias("privileged"), F.col("first.p_ref").alias("privilege_ref"))
+
+
 def privilege_match(logons: DataFrame, privs: DataFrame, window: float = PRIVILEGE_WINDOW, strict_keys: bool = False) -> DataFrame:
     """``logons`` with ``privileged``: a special-privilege event of the same session, host and identity came 0 to ``window`` seconds after; and privilege_ref of the first of them.
 
     The host's addresses are part of the key: sessions that exist on every host (the system's own) and
     missing session ids meet only on one host.
     """
-    b = _bin(F.col("ts"), window)
-    left = logons.select("seq", "ts", "identity", "logon_id", F.explode(F.array_distinct("host_ips")).alias("ip"), F.array(b, b + 1).alias("bins")).where("ip is not null")
-    left = left.select("seq", "ts", "identity", "logon_id", "ip", F.explode("bins").alias("bin"))
-    right = privs.select(F.col("seq").alias("p_seq"), F.col("ts").alias("p_ts"), F.explode(F.array_distinct("host_ips")).alias("p_ip"), F.col("identity").alias("p_identity"), F.col("logon_id").alias("p_logon"), F.col("ref").alias("p_ref"), _bin(F.col("ts"), window).alias("p_bin"))
-    on = (F.col("bin") == F.col("p_bin")) & (F.col("ip") == F.col("p_ip")) & _same(F.col("logon_id"), F.col("p_logon"), strict_keys) & _same(F.col("identity"), F.col("p_identity"), strict_keys)
-    age = _age(F.col("p_ts"), F.col("ts"))
-    pairs = left.join(right, on).where((age >= 0) & (age <= int(window * 1_000_000)))
-    first = pairs.groupBy("seq").agg(F.lit(True).alias("privileged"), F.min_by("p_ref", "p_seq").alias("privilege_ref"))
-    return logons.join(first, "seq", "left").withColumn("privileged", F.coalesce("privileged", F.lit(False)))
+    return logons.join(_privileges(logons, privs, window, strict_keys), "seq", "left").withColumn("privileged", F.coalesce("privileged", F.lit(False)))
 
 
 def credential_transition_match(logons: DataFrame, creds: DataFrame, ip_map: DataFrame, window: float = CREDENTIAL_WINDOW) -> DataFrame:
@@ -89,26 +115,22 @@ def credential_transition_match(logons: DataFrame, creds: DataFrame, ip_map: Dat
 
     A use fits if it was on the source host, names the logon's identity and its target host, has a
     session, and came 0 to ``window`` seconds before.  One session: confirmed by its earliest event.
-    Several: ``unknown``, without lineage.  None: null.
+    Several: ``unknown``, without lineage.  None: null.  A use is listed under each name of its server, a logon under
+    each of its target (``scalars.host_equivalent`` in the form of equal keys).
     """
-    names = host_names(ip_map)
-    right = creds.where("coalesce(subject_logon_id, '') != ''").select(F.col("seq").alias("c_seq"), F.col("ts").alias("c_ts"), F.explode(F.array_distinct("host_ips")).alias("c_ip"), "subject_identity", F.col("target_identity").alias("c_identity"), "subject_logon_id", "target_server", F.col("ref").alias("c_ref"))
+    micros = int(window * 1_000_000)
+    names, key = host_names(ip_map), ["ip", "identity", "name"]
+    right = creds.where("coalesce(subject_logon_id, '') != '' and coalesce(target_server, '') != ''")
     right = right.join(names.select(F.col("ip").alias("server_ip"), F.col("host").alias("server_mapped")), F.trim("target_server") == F.col("server_ip"), "left")
-    b = _bin(F.col("c_ts"), window)
-    right = right.withColumn("c_bin", F.explode(F.array(b, b + 1)))
-    left = logons.select("seq", "ts", "src_ip", "identity", "host_name", "target_ip", _bin(F.col("ts"), window).alias("bin"))
-    left = left.join(names.select(F.col("ip").alias("t_ip"), F.col("host").alias("target_mapped")), F.col("target_ip") == F.col("t_ip"), "left")
-    age = _age(F.col("ts"), F.col("c_ts"))
-    pairs = left.join(right, (F.col("bin") == F.col("c_bin")) & (F.col("src_ip") == F.col("c_ip")) & F.col("identity").eqNullSafe(F.col("c_identity")))
-    pairs = pairs.where((age >= 0) & (age <= int(window * 1_000_000)) & S.host_equivalent(F.col("target_server"), F.col("server_mapped"), F.col("host_name"), F.col("target_ip"), F.col("target_mapped")))
-    found = pairs.groupBy("seq").agg(
-        F.min("subject_logon_id").alias("one"),
-        (F.min("subject_logon_id") == F.max("subject_logon_id")).alias("single"),
-        F.min_by(F.struct("subject_identity", "c_ref"), F.struct("c_ts", "c_seq")).alias("first"),
-    )
+    first = F.struct(F.col("ts").alias("c_ts"), F.col("seq").alias("c_seq"), "subject_identity", F.col("ref").alias("c_ref"))
+    right = right.select(F.unix_micros("ts").alias("at"), first.alias("first"), F.col("subject_logon_id").alias("one"), F.col("subject_logon_id").alias("last"), F.col("target_identity").alias("identity"), F.explode(F.array_distinct("host_ips")).alias("ip"), S.host_keys(F.trim("target_server"), F.col("server_mapped"), F.trim("target_server")).alias("names"))
+    left = logons.join(names.select(F.col("ip").alias("t_ip"), F.col("host").alias("target_mapped")), F.col("target_ip") == F.col("t_ip"), "left")
+    left = left.select("seq", (F.unix_micros("ts") - micros).alias("low"), "identity", F.col("src_ip").alias("ip"), F.explode(S.host_keys(F.col("host_name"), F.col("target_mapped"), F.col("target_ip"))).alias("name")).where("ip is not null")
+    right = right.where("ip is not null").select("at", "first", "one", "last", "identity", "ip", F.explode("names").alias("name"))
+    found = _in_window(left, right, key, micros, {"first": F.min, "one": F.min, "last": F.max}).withColumn("single", F.col("one") == F.col("last"))
     joined = logons.join(found, "seq", "left")
     transition = F.when(F.col("single").isNotNull(), F.struct(F.col("first.subject_identity").alias("from_identity"), F.col("identity").alias("to_identity"), F.when(F.col("single"), "confirmed").otherwise("unknown").alias("state"), F.col("first.c_ref").alias("evidence_ref")))
-    return joined.withColumns({"credential_transition": transition, "source_logon_id": F.when(F.col("single"), F.col("one"))}).drop("one", "single", "first")
+    return joined.withColumns({"credential_transition": transition, "source_logon_id": F.when(F.col("single"), F.col("one"))}).drop("one", "last", "single", "first")
 
 
 def assemble_edges(found: DataFrame, ip_map: DataFrame) -> DataFrame:
