@@ -70,7 +70,7 @@ def logon_flow_asof(logons: DataFrame, flows: DataFrame, window: float = FLOW_WI
     return logons.join(best, "seq").select(*[F.col(f"`{c}`") for c in logons.columns], "hit.flow_ref", "hit.flow_ts", "hit.target_ip", "hit.service")
 
 
-def _in_window(questions: DataFrame, facts: DataFrame, key: list[str], micros: int, best: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def in_window(questions: DataFrame, facts: DataFrame, key: list[str], micros: int, best: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(seq, *best): minima or maxima of the columns of ``facts`` that ``best`` names, over each question's facts; questions without facts are left out.
 
     ``questions``: key, seq and ``low``; facts count from there to ``low + micros``, both included.  ``facts``: key, at and the columns of ``best``, the first never null.
@@ -97,7 +97,7 @@ def _privileges(logons: DataFrame, privs: DataFrame, window: float, strict_keys:
     right = privs.select("logon_id", "identity", F.unix_micros("ts").alias("at"), F.struct(F.col("seq").alias("p_seq"), F.col("ref").alias("p_ref")).alias("first"), F.explode(F.array_distinct("host_ips")).alias("ip"))
     for c in key if strict_keys else key[:1]:
         left, right = left.where(F.col(c).isNotNull()), right.where(F.col(c).isNotNull())
-    found = _in_window(left, right, key, int(window * 1_000_000), {"first": F.min})
+    found = in_window(left, right, key, int(window * 1_000_000), {"first": F.min})
     return found.select("seq", F.lit(True).alias("privileged"), F.col("first.p_ref").alias("privilege_ref"))
 
 
@@ -127,7 +127,7 @@ def credential_transition_match(logons: DataFrame, creds: DataFrame, ip_map: Dat
     left = logons.join(names.select(F.col("ip").alias("t_ip"), F.col("host").alias("target_mapped")), F.col("target_ip") == F.col("t_ip"), "left")
     left = left.select("seq", (F.unix_micros("ts") - micros).alias("low"), "identity", F.col("src_ip").alias("ip"), F.explode(S.host_keys(F.col("host_name"), F.col("target_mapped"), F.col("target_ip"))).alias("name")).where("ip is not null")
     right = right.where("ip is not null").select("at", "first", "one", "last", "identity", "ip", F.explode("names").alias("name"))
-    found = _in_window(left, right, key, micros, {"first": F.min, "one": F.min, "last": F.max}).withColumn("single", F.col("one") == F.col("last"))
+    found = in_window(left, right, key, micros, {"first": F.min, "one": F.min, "last": F.max}).withColumn("single", F.col("one") == F.col("last"))
     joined = logons.join(found, "seq", "left")
     transition = F.when(F.col("single").isNotNull(), F.struct(F.col("first.subject_identity").alias("from_identity"), F.col("identity").alias("to_identity"), F.when(F.col("single"), "confirmed").otherwise("unknown").alias("state"), F.col("first.c_ref").alias("evidence_ref")))
     return joined.withColumns({"credential_transition": transition, "source_logon_id": F.when(F.col("single"), F.col("one"))}).drop("one", "last", "single", "first")

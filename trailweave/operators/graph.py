@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .edges import in_window
+
 CONTINUATION_MINUTES = 30
 
 
@@ -72,7 +74,23 @@ def continuation_pairs(edges: DataFrame, minutes: float = CONTINUATION_MINUTES)
     return pairs.select("first", "next", session_lineage(F.col("first.logon_id"), F.col("next.source_logon_id")).alias("lineage")).where("lineage != 'mismatch'")
 
 
+def second_hops(edges: DataFrame, minutes: float = CONTINUATION_MINUTES) -> DataFrame:
+    """(edge_id) of the edges that are the next hop of some pair of :func:`continuation_pairs`; the pairs aren't made.
+
+    A next hop that names its source session meets the first hops of that session and those that know none; one that names none meets all.
+    """
+    micros = int(minutes * 60_000_000)
+    at, exact = F.unix_micros("ts"), lambda c: F.concat(F.lit("="), c)
+    first = edges.where("target_host is not null and effective_identity is not null and edge_id is not null")
+    first = first.select(F.col("target_host").alias("host"), F.col("effective_identity").alias("key"), F.explode(F.array(F.lit("any"), F.coalesce(exact("logon_id"), F.lit("none")))).alias("via"), at.alias("at"), F.col("edge_id").alias("least"), F.col("edge_id").alias("most"))
+    came = F.when(confirmed_transition(""), F.col("credential_transition.from_identity"))
+    vias = F.when(F.col("source_logon_id").isNull(), F.array(F.lit("any"))).otherwise(F.array(exact("source_logon_id"), F.lit("none")))
+    then = edges.where("source_host is not null").select(F.col("source_host").alias("host"), F.explode(F.array_distinct(F.array_compact(F.array("identity", came)))).alias("key"), vias.alias("vias"), F.col("edge_id").alias("seq"), (at - micros).alias("low"))
+    then = then.select("host", "key", F.explode("vias").alias("via"), "seq", "low")
+    near = in_window(then, first, ["host", "key", "via"], micros - 1, {"least": F.min, "most": F.max})
+    return near.where("least != seq or most != seq").select(F.col("seq").alias("edge_id"))
+
+
 def build_index(edges: DataFrame, minutes: float = CONTINUATION_MINUTES) -> tuple[DataFrame, DataFrame]:
     """All pairs, and the ids of the edges that are a second hop."""
-    pairs = continuation_pairs(edges, minutes)
-    return pairs, pairs.select(F.col("next.edge_id").alias("edge_id")).distinct()
+    return continuation_pairs(edges, minutes), second_hops(edges, minutes)
