@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from trailweave.operators import checks, graph, policy
+from trailweave.plans import queries
 from trailweave.sources.context import context_from_rows
 
 EDGE = """edge_id string, seq long, ts timestamp, ts_raw string, source_host string, source_ip string, target_host string, target_ip string, identity string,
@@ -102,3 +103,28 @@ def test_context_violations(spark):
     bad = context_from_rows(spark, hosts=[(DC, 0, True)], identities=[(BOB, 1)], policy=[("2026-13-01", "2026-01-01")], complete_for=[("", "x", None)], approved_paths=[(BOB, "gone", 0)], approved_changes=[(BOB, DC, "soon", None, None, None)], known_edges=[("who", DC)])
     got = sorted(r.message for r in checks.check_context(bad).collect())
     assert got == ["approved_changes: approved_from is not an ISO date", "approved_paths: via is not declared", "complete_for: environment is missing", "complete_for: identity is not declared", "complete_for: target_tier is not an integer", "known_edges: identity is not declared", "policy: valid_from is not an ISO date"]
+
+
+def test_second_hops_are_those_of_the_pairs(spark):
+    """Dense hops with sessions, transitions and repeated ids: the second hops of all pairs, found without a join of edges."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    base = datetime(2026, 8, 10, tzinfo=timezone.utc)
+    rnd = random.Random(6)
+    change = lambda: (rnd.choice("ab"), rnd.choice("ab"), rnd.choice(["confirmed", "unknown"]), "r") if rnd.random() < 0.4 else None
+    rows = [(f"e{i - i % 9 % 2}", base + timedelta(seconds=rnd.randint(0, 4000)), rnd.choice("xyz"), rnd.choice(["x", "y", None]), rnd.choice(["a", "b", None]), rnd.choice(["s", "t", None]), rnd.choice(["s", "t", "u", None]), change()) for i in range(500)]
+    e = spark.createDataFrame(rows, "edge_id string, ts timestamp, source_host string, target_host string, identity string, logon_id string, source_logon_id string, credential_transition struct<from_identity: string, to_identity: string, state: string, evidence_ref: string>")
+    e = graph.sanitize_edges(e.withColumns({"privilege_state": F.lit("absent"), "auth_state": F.lit("confirmed")}))
+    for minutes in (2, 0.5):
+        pairs, second = graph.build_index(e, minutes)
+        want = {r.next.edge_id for r in pairs.select("next").collect()}
+        assert sorted(r.edge_id for r in second.collect()) == sorted(want) and 5 < len(want) < 450
+    assert "Join " not in second._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hops_are_made_once(spark):
+    """Lookups ride along with their pair: the only join is the one that makes the pairs."""
+    found = queries.QUERIES["classify_hops"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

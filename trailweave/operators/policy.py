@@ -123,10 +123,10 @@ def with_context(edges: DataFrame, ctx: Context) -> DataFrame:
     return with_approved_change(e, ctx.approved_changes, "effective_identity", "target_host", "source_host", "service", "ts")
 
 
-def classify_hops(pairs: DataFrame) -> DataFrame:
-    """One finding for each pair (of edges :func:`with_context`) that is worth one; the first clause that applies gives the label."""
+def classify_hops(pairs: DataFrame, *also: str) -> DataFrame:
+    """One finding for each pair (of edges :func:`with_context`) that is worth one, with the pairs' columns ``also``; the first clause that applies gives the label."""
     order = F.struct(F.col("first.ts").alias("t1"), F.col("first.edge_id").alias("e1"), F.col("next.ts").alias("t2"), F.col("next.edge_id").alias("e2"))
-    return _judged(pairs.withColumn("order", order).where(_worth()))
+    return _judged(pairs.withColumn("order", order).where(_worth()), *also)
 
 
 def _worth() -> Column:

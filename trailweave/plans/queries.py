@@ -391,16 +391,15 @@ def classify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CLASSIFIED + """SELECT first_id, next_id, label, route, novel, approved, nullif(src_tier, 99) AS src_tier, dst_tier, critical, privilege_scope, lineage, CAST(i % 3 AS INT) AS entitlement, route_state,
   transition_state IS NOT NULL AS transition, linked, undeclared_hosts, undeclared_identities FROM hops""")
 def classify_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = policy.with_context(graph.sanitize_edges(_kept_edges(Evidence(spark, sf_dir))), context(spark))
-    pairs = graph.continuation_pairs(known, _MINUTES)
-    looked_up = pairs.select(F.col("first.edge_id").alias("first_id"), F.col("next.edge_id").alias("next_id"), "next.route", F.col("next.approved_change").alias("approved"))
+    known = scratch.table(policy.with_context(graph.sanitize_edges(_edges(Evidence(spark, sf_dir))), context(spark)), "edges-in-context")
+    pairs = graph.continuation_pairs(known, _MINUTES).withColumns({"looked_up": F.col("next.route"), "approved": F.col("next.approved_change")})
     m = F.col("modifiers")
-    hops = policy.classify_hops(pairs).select(
+    return policy.classify_hops(pairs, "looked_up", "approved").select(
         F.col("edges")[0].alias("first_id"), F.col("edges")[1].alias("next_id"), "label", m["target_novelty"].alias("novel"), m["src_tier"].alias("src_tier"), m["dst_tier"].alias("dst_tier"), m["target_critical"].alias("critical"),
         m["privilege_scope"].alias("privilege_scope"), m["session_lineage"].alias("lineage"), m["identity_tier_entitlement"].alias("entitlement"), m["route_policy_state"].alias("route_state"),
         m["credential_transition_present"].alias("transition"), m["credential_transition_confirmed"].alias("linked"), F.array_join(m["undeclared_hosts"], ",").alias("undeclared_hosts"), F.array_join(m["undeclared_identities"], ",").alias("undeclared_identities"),
+        F.col("looked_up").alias("route"), "approved",
     )
-    return hops.join(looked_up, ["first_id", "next_id"])
 
 
 _H1 = JOINED + r"""
