@@ -189,3 +189,13 @@ def test_a_busy_key_is_cut_into_bins(spark):
             else:
                 want.add((*held[1], seq))
     assert got == want and len(want) > 20
+
+
+def test_live_edges_hold_one_join_in_bins(spark):
+    """One stateful join for all kinds of events, with the time bin among its keys; the other two look up names."""
+    ip_map = spark.createDataFrame([("1.1", "WS")], "ip string, host string")
+    logons, flows, privs, creds = evidence(spark.createDataFrame([], EVENTS))
+    plan = detect.live_edges(logons, flows, privs, creds, ip_map)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join " in line]
+    assert len([j for j in joins if "Join Inner" in j]) == 1 and len(joins) == 3
+    assert all("bin#" in j for j in joins if "Join Inner" in j)

@@ -28,8 +28,9 @@ from trailweave.functions import scalars as S
 FLOW_WINDOW, PRIVILEGE_WINDOW, CREDENTIAL_WINDOW = 120, 60, 300
 
 
-def _bin(ts: Column, seconds: float) -> Column:
-    return F.floor(F.unix_micros(ts) / int(seconds * 1_000_000))
+def bin_of(ts: Column, seconds: float) -> Column:
+    """The number of the time bin, ``seconds`` long, in which a time lies."""
+    return F.floor(F.unix_micros(ts) / max(int(seconds * 1_000_000), 1))
 
 
 def _age(later: Column, earlier: Column) -> Column:
@@ -60,9 +61,9 @@ def logon_flow_asof(logons: DataFrame, flows: DataFrame, window: float = FLOW_WI
         left, right = left.where("src_ip is not null"), right.where("src_ip is not null")
     flow = F.struct("flow_ts", "flow_seq", F.col("ref").alias("flow_ref"))
     key = ["src_ip", "dst_ip", "service", "bin"]
-    b = _bin(F.col("flow_ts"), window)
+    b = bin_of(F.col("flow_ts"), window)
     right = right.select("src_ip", "dst_ip", "service", F.explode(F.array(b, b + 1)).alias("bin"), F.col("flow_ts").alias("at"), F.lit(0).alias("kind"), F.col("flow_seq").alias("order"), flow.alias("flow"))
-    left = left.select("src_ip", "dst_ip", "service", _bin(F.col("ts"), window).alias("bin"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("seq").alias("order"), F.lit(None).cast(right.schema["flow"].dataType).alias("flow"))
+    left = left.select("src_ip", "dst_ip", "service", bin_of(F.col("ts"), window).alias("bin"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("seq").alias("order"), F.lit(None).cast(right.schema["flow"].dataType).alias("flow"))
     order = Window.partitionBy(*key).orderBy("at", "kind", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     latest = left.unionByName(right).withColumn("latest", F.last("flow", ignorenulls=True).over(order))
     latest = latest.where((F.col("kind") == 1) & (_age(F.col("at"), F.col("latest.flow_ts")) <= w))
@@ -78,10 +79,10 @@ def in_window(questions: DataFrame, facts: DataFrame, key: list[str], micros: in
     minima from either end of its bin answer every question: no pairs are made, however many events share a key and a bin.
     """
     width = max(micros, 1)
-    bin_of = lambda c: F.floor(F.col(c) / width)
-    mark = lambda kind, at, later: F.struct(F.lit(kind).alias("kind"), at.alias("at"), (bin_of("low") + later).alias("bin"))
+    slot = lambda c: F.floor(F.col(c) / width)
+    mark = lambda kind, at, later: F.struct(F.lit(kind).alias("kind"), at.alias("at"), (slot("low") + later).alias("bin"))
     ends = F.array(mark(0, F.col("low"), 0), mark(2, F.col("low") + micros, 1))
-    rows = facts.where("at is not null").withColumns({"bin": bin_of("at"), "kind": F.lit(1)})
+    rows = facts.where("at is not null").withColumns({"bin": slot("at"), "kind": F.lit(1)})
     rows = rows.unionByName(questions.where("low is not null").select(*key, "seq", F.inline(ends)), allowMissingColumns=True)
     running = lambda *order: Window.partitionBy(*key, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upwards, downwards = running("at", "kind"), running(F.desc("at"), F.desc("kind"))

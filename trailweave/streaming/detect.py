@@ -159,34 +159,38 @@ def live_edges(
 
     Inputs are those of ``operators.edges``; ``ip_map`` is a table.  Time goes on with the slowest input: one
     that is silent, or gives only rows that can't match (Spark filters those before it looks at their time), holds the edges back.  The events that may bear on a logon
-    are joined to it by watermarked stream-stream joins on equal keys and a time range, as (kind, event)
-    rows of one union; one aggregation for each logon then takes the latest flow, the first privilege and
+    are one union of (kind, key, event) rows, joined to it by one watermarked stream-stream join on equal keys, a time
+    bin (so a row meets those of its window's two bins only, not all that the state has of its key) and a time range; one aggregation for each logon then takes the latest flow, the first privilege and
     the session of the credential uses, and gives the edge once the watermark has passed the logon's
     instant, when none of them can come any more (privileges come up to their window later: the join
     holds the logon's rows back until then).  Of equal edges one stays for as long as ``lateness``.
     """
     timed = lambda df: df.withWatermark("ts", lateness)
-    held = ["seq", "ts", "ts_raw", "host_name", "src_ip", "identity", "logon_id", "ref"]
-    base = timed(logons).select(*held, F.explode(F.array_distinct("host_ips")).alias("dst_ip"), S.service_of_logon_type(F.col("logon_type")).alias("service")).where("service is not null and dst_ip is not null")
     row = F.struct("ts_raw", "host_name", "src_ip", "identity", "logon_id", "ref")
     event = "struct<at: timestamp, order: long, ref: string, target_ip: string, service: string, who: string, session: string, server: string>"
-    made = lambda at, order, ref, target=None, service=None, who=None, session=None, server=None: F.struct(*[(F.lit(None) if c is None else c).alias(n) for n, c in (("at", at), ("order", order), ("ref", ref), ("target_ip", target), ("service", service), ("who", who), ("session", session), ("server", server))]).cast(event)
-    out = lambda joined, kind, what: joined.select("seq", "ts", row.alias("logon"), F.lit(kind).alias("kind"), what.alias("event"))
-
-    f = timed(flows).select(F.col("ts").alias("o_ts"), F.col("seq").alias("o_seq"), F.col("src_ip").alias("o_src"), F.col("dst_ip").alias("o_dst"), S.service_of_port(F.col("dst_port")).alias("o_service"), F.col("ref").alias("o_ref"))
-    on = F.col("src_ip").eqNullSafe(F.col("o_src")) & (F.col("dst_ip") == F.col("o_dst")) & (F.col("service") == F.col("o_service")) & (F.col("o_ts") <= F.col("ts")) & (F.col("o_ts") >= F.col("ts") - _span(flow_window))
-    by_flow = out(base.join(f, on), "flow", made(F.col("o_ts"), F.col("o_seq"), F.col("o_ref"), F.col("o_dst"), F.col("o_service")))
-
-    p = timed(privs).select(F.col("ts").alias("o_ts"), F.col("seq").alias("o_seq"), F.explode(F.array_distinct("host_ips")).alias("o_ip"), F.col("identity").alias("o_identity"), F.col("logon_id").alias("o_logon"), F.col("ref").alias("o_ref"))
-    on = F.col("logon_id").eqNullSafe(F.col("o_logon")) & F.col("identity").eqNullSafe(F.col("o_identity")) & (F.col("dst_ip") == F.col("o_ip")) & (F.col("o_ts") >= F.col("ts")) & (F.col("o_ts") <= F.col("ts") + _span(privilege_window))
-    by_privilege = out(base.join(p, on), "privilege", made(F.col("o_ts"), F.col("o_seq"), F.col("o_ref")))
-
-    c = timed(creds).where("coalesce(subject_logon_id, '') != ''").select(F.col("ts").alias("o_ts"), F.col("seq").alias("o_seq"), F.explode(F.array_distinct("host_ips")).alias("o_ip"), "subject_identity", "target_identity", "subject_logon_id", "target_server", F.col("ref").alias("o_ref"))
-    on = (F.col("src_ip") == F.col("o_ip")) & F.col("identity").eqNullSafe(F.col("target_identity")) & (F.col("o_ts") <= F.col("ts")) & (F.col("o_ts") >= F.col("ts") - _span(credential_window))
-    by_credential = out(base.join(c, on), "credential", made(F.col("o_ts"), F.col("o_seq"), F.col("o_ref"), F.col("dst_ip"), None, F.col("subject_identity"), F.col("subject_logon_id"), F.col("target_server")))
+    made = lambda target=None, service=None, who=None, session=None, server=None: F.struct(*[(F.lit(None) if c is None else F.col(c)).alias(n) for n, c in (("at", "ts"), ("order", "seq"), ("ref", "ref"), ("target_ip", target), ("service", service), ("who", who), ("session", session), ("server", server))]).cast(event).alias("event")
+    key = lambda kind, *parts: F.to_json(F.struct(F.lit(kind).alias("kind"), *[F.col(c).alias(f"p{n}") for n, c in enumerate(parts)]))  # null parts are left out and meet each other
+
+    base = timed(logons).select("seq", "ts", row.alias("logon"), "src_ip", "identity", "logon_id", F.explode(F.array_distinct("host_ips")).alias("dst_ip"), S.service_of_logon_type(F.col("logon_type")).alias("service")).where("service is not null and dst_ip is not null")
+    side = lambda k, seconds: F.struct(k.alias("key"), E.bin_of(F.col("ts"), seconds).alias("bin"))
+    credential_key = F.when(F.col("src_ip").isNotNull(), key("credential", "src_ip", "identity"))
+    sides = F.array(side(key("flow", "src_ip", "dst_ip", "service"), flow_window), side(key("privilege", "logon_id", "identity", "dst_ip"), privilege_window), side(credential_key, credential_window))
+    base = base.select("seq", "ts", "logon", F.inline(sides)).where("key is not null")
+
+    # A logon meets an event in the bin of its own time, so an event lies in the bins of all logons that its window reaches.
+    placed = lambda df, kind, k, what, seconds, *shifts: df.select(F.col("ts").alias("o_ts"), F.lit(kind).alias("kind"), k.alias("o_key"), what, F.explode(F.array(*[E.bin_of(F.col("ts"), seconds) + n for n in shifts])).alias("o_bin"))
+    f = timed(flows).withColumn("service", S.service_of_port(F.col("dst_port"))).where("dst_ip is not null and service is not null")
+    p = timed(privs).withColumn("ip", F.explode(F.array_distinct("host_ips"))).where("ip is not null")
+    c = timed(creds).where("coalesce(subject_logon_id, '') != ''").withColumn("ip", F.explode(F.array_distinct("host_ips"))).where("ip is not null")
+    others = placed(f, "flow", key("flow", "src_ip", "dst_ip", "service"), made("dst_ip", "service"), flow_window, 0, 1)
+    others = others.unionByName(placed(p, "privilege", key("privilege", "logon_id", "identity", "ip"), made(), privilege_window, 0, -1))
+    others = others.unionByName(placed(c, "credential", key("credential", "ip", "target_identity"), made(None, None, "subject_identity", "subject_logon_id", "target_server"), credential_window, 0, 1))
+    since = F.when(F.col("kind") == "flow", F.col("ts") - _span(flow_window)).when(F.col("kind") == "credential", F.col("ts") - _span(credential_window)).otherwise(F.col("ts"))
+    until = F.when(F.col("kind") == "privilege", F.col("ts") + _span(privilege_window)).otherwise(F.col("ts"))
+    held = (F.col("o_ts") >= F.col("ts") - _span(max(flow_window, credential_window))) & (F.col("o_ts") <= F.col("ts") + _span(privilege_window))  # what the state keeps
+    every = base.join(others, (F.col("key") == F.col("o_key")) & (F.col("bin") == F.col("o_bin")) & held & (F.col("o_ts") >= since) & (F.col("o_ts") <= until)).select("seq", "ts", "logon", "kind", "event")
 
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
-    every = by_flow.unionByName(by_privilege).unionByName(by_credential)
     found = every.groupBy("seq", "ts").agg(
         F.first("logon").alias("logon"),
         F.max_by(of("flow", F.col("event")), of("flow", F.struct("event.at", "event.order"))).alias("flow"),
