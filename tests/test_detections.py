@@ -5,6 +5,7 @@ import json
 import random
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,36 @@ def test_large_documents_are_read_by_many_tasks(spark, tmp_path):
     assert [json.loads(r.raw)[0] for r in good.orderBy("line").collect()] == items and good.rdd.getNumPartitions() > 10 and old == 32 << 20
 
 
+def test_documents_are_dealt_to_tasks_together(spark, tmp_path):
+    paths = [write(tmp_path / f"{n}.json", json.dumps([{"n": n, "i": i} for i in range(20)])) for n in range(12)]
+    good, bad = records.read_json_records(spark, paths, split_bytes=10)
+    tasks = good.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 3 and max(r["count"] for r in tasks) < 200 and sum(r["count"] for r in tasks) == 240 and bad.count() == 0
+
+
+def test_a_range_is_read_in_pieces(monkeypatch, tmp_path):
+    split = records.split_json
+    items = [{"n": i, "x": "\\" * (i % 5) + '",[' * (i % 3), "long": "]" * (400 if i == 7 else 0)} for i in range(40)]
+    path = write(tmp_path / "a.json", json.dumps(items))
+    size, seen, whole_file = (tmp_path / "a.json").stat().st_size, [], (tmp_path / "a.json").read_bytes()
+    array, structure = split._array_of(whole_file), split._structure
+    monkeypatch.setattr(split, "_structure", lambda data, *state: (seen.append(len(data)), structure(data, *state))[1])
+
+    def read(width):
+        ranges = [(path, a, min(a + width, size)) for a in range(0, size, width)]
+        batch = pa.RecordBatch.from_pylist([dict(zip(("path", "start", "stop"), r, strict=True)) for r in ranges])
+        said = [r for b in split._summaries([batch]) for r in b.to_pylist()]
+        states = split._states({(r["start"], r["inside"]): r for r in said}, ranges, array)
+        with split.opened(path) as f:
+            return said, [(a, json.loads(x)) for r in states for a, x in split._items_of(f, r)]
+
+    whole = [read(width) for width in (size, 300, 31)]
+    seen.clear()
+    monkeypatch.setattr(split, "_MORE", 16)
+    assert [read(width) for width in (size, 300, 31)] == whole and max(seen) <= 16
+    assert all([x for _, x in found] == items for _, found in whole)
+
+
 def test_hashes_of_files_of_any_size(spark, tmp_path):
     import hashlib
 

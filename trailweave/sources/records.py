@@ -35,11 +35,11 @@ def read_json_records(spark: SparkSession, paths: list[str], split_bytes: int =
     lines_of = [p for p in paths if p.endswith((".ndjson", ".jsonl"))]
     whole_of = [p for p in paths if p not in lines_of]
     parts = []
-    for path, size in _sizes(spark, whole_of, split_bytes).items():
-        items = split_json.read_split(spark, path, size)
-        if items is not None:
-            whole_of = [p for p in whole_of if not _same_path(p, path)]
-            parts.append(items)
+    items, split = split_json.read_many(spark, _sizes(spark, whole_of, split_bytes))
+    if items is not None:
+        taken = {_plain_path(p) for p in split}
+        whole_of = [p for p in whole_of if _plain_path(p) not in taken]
+        parts.append(items)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file")
     clean = lambda c: F.regexp_replace(c, "^﻿", "")
     if lines_of:
@@ -54,9 +54,8 @@ def read_json_records(spark: SparkSession, paths: list[str], split_bytes: int =
     return rows.where("v is not null"), rows.where("v is null").select("source_file", "line")
 
 
-def _same_path(a: str, b: str) -> bool:
-    plain = lambda p: re.sub("^file:/*", "/", p)
-    return plain(a) == plain(b)
+def _plain_path(path: str) -> str:
+    return re.sub("^file:/*", "/", path)
 
 
 def _sizes(spark: SparkSession, paths: list[str], least: int) -> dict[str, int]:
@@ -65,7 +64,8 @@ def _sizes(spark: SparkSession, paths: list[str], least: int) -> dict[str, int]:
     if not named:
         return {}
     files = spark.read.format("binaryFile").load(named).where(F.col("length") > least).select("path", "length")  # names and sizes only
-    return {r.path: r.length for r in files.collect() if any(_same_path(p, r.path) for p in named)}
+    plain = {_plain_path(p) for p in named}
+    return {r.path: r.length for r in files.collect() if _plain_path(r.path) in plain}
 
 
 def _numbered(lines: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ whole document would with that item alone.  Files are opened by path through Arr
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -67,68 +68,81 @@ def _escaped(f: pa.NativeFile, start: int) -> bool:
 _SUMMARY = pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("inside", pa.bool_()), ("ends_inside", pa.bool_()), ("change", pa.int64()), ("least", pa.int64()), ("opens", pa.int64()), ("opens_after", pa.int64())])
 
 
+def _pieces(f: pa.NativeFile, start: int, stop: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(place in the file, bytes): a file from a place on, ``_MORE`` bytes at a time, so a task holds no more than that of a range."""
+    while stop is None or start < stop:
+        data = f.read_at(_MORE if stop is None else min(_MORE, stop - start), start)
+        if not data:
+            return
+        yield start, data
+        start += len(data)
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             with opened(r["path"]) as f:
-                data, escaped = f.read_at(r["stop"] - r["start"], r["start"]), _escaped(f, r["start"])
-            for inside in (False, True):
-                at, change, _, ends_inside, _ = _structure(data, inside, escaped)
-                change = change[change != 0]
-                depth = np.cumsum(change)
-                least = int(np.argmin(depth)) if len(depth) else 0
-                opens = int((change > 0).sum()), int((change[least + 1 :] > 0).sum())
-                yield pa.RecordBatch.from_pylist([{"path": r["path"], "start": r["start"], "stop": r["stop"], "inside": inside, "ends_inside": ends_inside, "change": int(change.sum()), "least": int(depth[least]) if len(depth) else None, "opens": opens[0], "opens_after": opens[1]}], schema=_SUMMARY)
+                before = _escaped(f, r["start"])
+                said = [{"path": r["path"], "start": r["start"], "stop": r["stop"], "inside": i, "ends_inside": i, "change": 0, "least": None, "opens": 0, "opens_after": 0} for i in (False, True)]
+                escaped = [before, before]
+                for _, data in _pieces(f, r["start"], r["stop"]):
+                    for i, s in enumerate(said):
+                        _, change, _, s["ends_inside"], escaped[i] = _structure(data, s["ends_inside"], escaped[i])
+                        change = change[change != 0]
+                        if not len(change):
+                            continue
+                        depth = s["change"] + np.cumsum(change)
+                        least = int(np.argmin(depth))
+                        opens = int((change > 0).sum())
+                        if s["least"] is None or depth[least] < s["least"]:
+                            s["least"], s["opens_after"] = int(depth[least]), int((change[least + 1 :] > 0).sum())
+                        else:
+                            s["opens_after"] += opens
+                        s["opens"] += opens
+                        s["change"] = int(depth[-1])
+            yield pa.RecordBatch.from_pylist(said, schema=_SUMMARY)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
+            name = r["path"].rsplit("/", 1)[-1]
             with opened(r["path"]) as f:
-                yield from _items_of(f, r)
-
-
-def _items_of(f: pa.NativeFile, r: dict) -> Iterator[pa.RecordBatch]:
-    """The items that begin after a bracket or comma of the range."""
-    target, start, length = r["target"], r["start"], r["stop"] - r["start"]
-    data, inside, escaped, depth = f.read_at(length, start), r["inside"], _escaped(f, start), r["depth"]
-    begins: list[int] = []
-    ends: list[int] = []
-    done, scanned, in_array = False, 0, r["in_array"]
-    more = data
-    while more and not done:
-        at, change, byte, inside, escaped = _structure(more, inside, escaped)
+                found = ((begin, r["prefix"] + text + r["suffix"]) for begin, data in _items_of(f, r) if (text := data.decode("utf-8", "replace").strip()))
+                while part := list(itertools.islice(found, 1000)):
+                    yield pa.RecordBatch.from_pydict({"source_file": [name] * len(part), "line": pa.array([x[0] for x in part], pa.int64()), "raw": [x[1] for x in part]})
+
+
+def _items_of(f: pa.NativeFile, r: dict) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of the items that begin after a bracket or comma of the range; besides a piece, only the open item is held."""
+    target, stop = r["target"], r["stop"]
+    inside, escaped, depth, in_array = r["inside"], _escaped(f, r["start"]), r["depth"], r["in_array"]
+    begin, held = None, []  # where the open item begins, and what earlier pieces have of it
+    for start, data in _pieces(f, r["start"]):
+        if begin is None and start >= stop:
+            return
+        at, change, byte, inside, escaped = _structure(data, inside, escaped)
         levels = depth + np.cumsum(change)
         near = np.flatnonzero((levels == target) & (byte == 44) | (levels == target) & (byte == 91) | (levels == target - 1) & (byte == 93))
-        for place, b in zip((at[near] + scanned).tolist(), byte[near].tolist(), strict=True):
-            if b == 91 and (in_array or start + place != r["array"]):
+        for here, b in zip(at[near].tolist(), byte[near].tolist(), strict=True):
+            if b == 91 and (in_array or start + here != r["array"]):
                 continue
-            if len(begins) > len(ends):
-                ends.append(place)
+            if begin is not None:
+                yield begin, b"".join(held) + data[max(begin - start, 0) : here]
+                begin, held = None, []
             if b == 93:
                 if in_array:
-                    done = True
-                    break
+                    return
                 continue
             in_array = in_array or b == 91
             if not in_array:
                 continue
-            if place >= length:
-                done = True
-                break
-            begins.append(place + 1)
+            if start + here >= stop:
+                return
+            begin = start + here + 1
+        if begin is not None:
+            held.append(data[max(begin - start, 0) :])
         depth = int(levels[-1]) if len(levels) else depth
-        scanned += len(more)
-        if len(begins) == len(ends) and scanned >= length:
-            break
-        more = f.read_at(_MORE, start + scanned) if not done else b""
-        data += more
-    begins = begins[: len(ends)]
-    texts = [data[a:b].decode("utf-8", "replace").strip() for a, b in zip(begins, ends, strict=True)]
-    rows = [(start + a, r["prefix"] + t + r["suffix"]) for a, t in zip(begins, texts, strict=True) if t]
-    for k in range(0, len(rows), 1000):
-        part = rows[k : k + 1000]
-        yield pa.RecordBatch.from_pydict({"source_file": [r["path"].rsplit("/", 1)[-1]] * len(part), "line": pa.array([x[0] for x in part], pa.int64()), "raw": [x[1] for x in part]})
 
 
 def _array_of(head: bytes) -> tuple[int, int, str, str] | None:
@@ -167,16 +181,36 @@ def _states(said: dict, ranges: list[tuple], found: tuple) -> list[dict] | None:
 
 def read_split(spark: SparkSession, path: str, size: int, range_bytes: int = RANGE_BYTES) -> DataFrame | None:
     """(source_file, line, raw): the items of one large document, ``line`` being the byte after which they begin; None where it can't be split."""
-    with opened(path) as f:
-        head = f.read_at(min(HEAD, size), 0)
-    found = _array_of(head)
-    if found is None:
-        return None
-    ranges = [(path, a, min(a + range_bytes, size)) for a in range(0, size, range_bytes)]
-    listed = spark.createDataFrame(ranges, "path string, start long, stop long").repartition(len(ranges), "start")
-    said = listed.mapInArrow(_summaries, "path string, start long, stop long, inside boolean, ends_inside boolean, change long, least long, opens long, opens_after long")
-    states = _states({(r.start, r.inside): r.asDict() for r in said.collect()}, ranges, found)  # two short rows a range
-    if states is None:
-        return None
-    rows = spark.createDataFrame(states, "path string, start long, stop long, inside boolean, depth long, in_array boolean, target long, array long, prefix string, suffix string")
-    return rows.repartition(len(states), "start").mapInArrow(_items, "source_file string, line long, raw string")
+    return read_many(spark, {path: size}, range_bytes)[0]
+
+
+def read_many(spark: SparkSession, sizes: dict[str, int], range_bytes: int = RANGE_BYTES) -> tuple[DataFrame | None, list[str]]:
+    """The items of large documents (path: size) as :func:`read_split` gives them, and the paths of those that can be split.
+
+    The ranges of all files are dealt to tasks together, in two jobs for any number of files.
+    """
+    found = {}
+    for path, size in sizes.items():
+        with opened(path) as f:
+            array = _array_of(f.read_at(min(HEAD, size), 0))
+        if array is not None:
+            found[path] = array
+    ranges = {path: [(path, a, min(a + range_bytes, sizes[path])) for a in range(0, sizes[path], range_bytes)] for path in found}
+    listed = [x for r in ranges.values() for x in r]
+    if not listed:
+        return None, []
+    said: dict[str, dict] = {path: {} for path in found}
+    summaries = _dealt(spark, listed, "path string, start long, stop long").mapInArrow(_summaries, "path string, start long, stop long, inside boolean, ends_inside boolean, change long, least long, opens long, opens_after long")
+    for r in summaries.collect():  # two short rows a range
+        said[r.path][r.start, r.inside] = r.asDict()
+    states = {path: _states(said[path], ranges[path], found[path]) for path in found}
+    split = [path for path in found if states[path] is not None]
+    if not split:
+        return None, []
+    rows = _dealt(spark, [s for path in split for s in states[path]], "path string, start long, stop long, inside boolean, depth long, in_array boolean, target long, array long, prefix string, suffix string")
+    return rows.mapInArrow(_items, "source_file string, line long, raw string"), split
+
+
+def _dealt(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """``rows`` on as many tasks."""
+    return spark.createDataFrame(rows, schema).repartition(min(len(rows), 100_000))
