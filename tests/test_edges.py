@@ -164,3 +164,12 @@ def test_dense_events_are_swept_without_pairs(spark):
         assert (got and (got.state, got.from_identity, got.evidence_ref)) == want and r.source_logon_id == (min(sessions) if len(sessions) == 1 else None)
         n.add(want and want[0])
     assert n == {None, "confirmed", "unknown"}
+
+
+def test_windows_are_swept_in_one_sort(spark):
+    """Both ways of a window are one window over one sort, so a task holds its rows once."""
+    left = spark.createDataFrame([logon()], LOGON).withColumn("target_ip", edges.F.get("host_ips", edges.F.lit(0)))
+    p, c = spark.createDataFrame([], PRIV), spark.createDataFrame([], CRED)
+    ip_map = spark.createDataFrame([("10.0.0.60", "SRV-APP-01")], "ip string, host string")
+    for found in (edges.privilege_match(left, p), edges.credential_transition_match(left, c, ip_map)):
+        assert found._jdf.queryExecution().analyzed().toString().count("Window [") == 1

@@ -75,19 +75,20 @@ def in_window(questions: DataFrame, facts: DataFrame, key: list[str], micros: in
     """(seq, *best): minima or maxima of the columns of ``facts`` that ``best`` names, over each question's facts; questions without facts are left out.
 
     ``questions``: key, seq and ``low``; facts count from there to ``low + micros``, both included.  ``facts``: key, at and the columns of ``best``, the first never null.
-    Such a window is the end of one time bin and the beginning of the next.  So each fact is one row, and running
-    minima from either end of its bin answer every question: no pairs are made, however many events share a key and a bin.
+    Such a window is the end of one time bin and the beginning of the next.  So running minima from either end of
+    the bins answer every question: no pairs are made, however many events share a key and a bin.  Either way has its own
+    rows, with times negated for the way back, so all is one sort of narrow rows; facts are doubled after the shuffle.
     """
     width = max(micros, 1)
     slot = lambda c: F.floor(F.col(c) / width)
-    mark = lambda kind, at, later: F.struct(F.lit(kind).alias("kind"), at.alias("at"), (slot("low") + later).alias("bin"))
-    ends = F.array(mark(0, F.col("low"), 0), mark(2, F.col("low") + micros, 1))
-    rows = facts.where("at is not null").withColumns({"bin": slot("at"), "kind": F.lit(1)})
-    rows = rows.unionByName(questions.where("low is not null").select(*key, "seq", F.inline(ends)), allowMissingColumns=True)
-    running = lambda *order: Window.partitionBy(*key, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upwards, downwards = running("at", "kind"), running(F.desc("at"), F.desc("kind"))
-    swept = rows.withColumns({f"{side}_{c}": of(F.col(c)).over(w) for side, w in (("up", upwards), ("down", downwards)) for c, of in best.items()})
-    answers = swept.where("kind != 1").select("seq", *[F.when(F.col("kind") == 2, F.col(f"up_{c}")).otherwise(F.col(f"down_{c}")).alias(c) for c in best])
+    mark = lambda bin, way, at: F.struct(bin.alias("bin"), F.lit(way).alias("way"), at.alias("at"))
+    ends = F.array(mark(slot("low") + 1, 1, F.col("low") + micros), mark(slot("low"), -1, F.col("low")))
+    rows = facts.where("at is not null").select(*key, *best, slot("at").alias("bin"), "at")
+    rows = rows.unionByName(questions.where("low is not null").select(*key, "seq", F.inline(ends)), allowMissingColumns=True).repartition(*key, "bin")
+    ways = F.when(F.col("way").isNull(), F.array(F.lit(1), F.lit(-1))).otherwise(F.array("way"))
+    rows = rows.select(*key, "bin", *best, "seq", "at", F.col("way").isNotNull().alias("asks"), F.explode(ways).alias("way")).withColumn("at", F.col("at") * F.col("way"))
+    so_far = Window.partitionBy(*key, "bin", "way").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    answers = rows.withColumns({c: of(F.col(c)).over(so_far) for c, of in best.items()}).where("asks")
     return answers.where(F.col(next(iter(best))).isNotNull()).groupBy("seq").agg(*[of(F.col(c)).alias(c) for c, of in best.items()])
 
 
