@@ -362,3 +362,12 @@ def test_loaders(spark, tmp_path):
     (edge,) = cloud.rows.collect()
     assert len(edge.evidence_refs[0].source_sha256) == 64 and [tuple(r) for r in cloud.files.collect()] == [("c.json", 2, 1)]
     assert [tuple(r) for r in cloud.issues.collect()] == [("not sts:AssumeRole", 1)]
+
+
+def test_lifted_edges_keep_other_columns_without_a_join(spark):
+    from trailweave.plans import queries
+
+    made = queries.check_reachability_edges(spark, "/root/testdata/sf0.001")
+    scans = made._jdf.queryExecution().analyzed().toString()
+    plain = queries.materialize_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert scans.count("Join ") == plain.count("Join ")

@@ -10,8 +10,8 @@ from trailweave.functions import scalars as S
 SCHEMA_VERSION = "2.0"
 
 
-def pivot_to_reachability(edges: DataFrame, version: str = SCHEMA_VERSION) -> DataFrame:
-    """On-premises edges in the common form."""
+def pivot_to_reachability(edges: DataFrame, version: str = SCHEMA_VERSION, *also: str) -> DataFrame:
+    """On-premises edges in the common form, with their columns ``also``."""
     refs = F.array(*[F.struct(F.lit(k).alias("source_type"), F.col(f"evidence_refs.{k}").alias("evidence_ref"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("source_sha256")) for k in ("network", "logon", "privilege")])
     t = F.col("credential_transition")
     lifted = F.struct(S.on_prem_identity(t["from_identity"]).alias("from_subject"), S.on_prem_identity(t["to_identity"]).alias("to_subject"), t["state"].alias("state"), t["evidence_ref"].alias("evidence_ref"))
@@ -33,6 +33,7 @@ def pivot_to_reachability(edges: DataFrame, version: str = SCHEMA_VERSION) -> Da
         F.when(t.isNotNull(), lifted).alias("credential_transition"),
         F.filter(refs, lambda r: F.coalesce(r["evidence_ref"], F.lit("")) != "").alias("evidence_refs"),
         F.map_filter(native, lambda k, v: v.isNotNull()).alias("native_context"),
+        *also,
     )
 
 

@@ -639,9 +639,7 @@ _COMMON = ["schema_version is not the supported one", "edge_id is missing", "@ti
 
 @query(JOINED + _expected("'onprem:' || edge_id", [("edge_id" if m == "edge_id is missing" else "", None, m) for m in _COMMON], "edges", f"seq % {len(_COMMON) + 1} <> {len(_COMMON) - 1}"))
 def check_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _kept_edges(Evidence(spark, sf_dir))
-    numbered = e.select(F.concat(F.lit("onprem:"), "edge_id").alias("edge_id"), "seq")
-    lifted = hybrid.pivot_to_reachability(e).join(numbered, "edge_id")
+    lifted = hybrid.pivot_to_reachability(_edges(Evidence(spark, sf_dir)), hybrid.SCHEMA_VERSION, "seq")
     return checks.check_reachability_edges(_seeded(lifted, _common_faults()))
 
 
