@@ -57,3 +57,18 @@ def test_hops_of_a_hub_are_never_rows(spark):
     edges = side("in", 0, two("x", "y"), F.lit("hub")).unionByName(side("out", 600, F.lit("hub"), two("h0", "h3")))
     found = policy.classify(edges, some_context(spark), 30).collect()
     assert {(tuple(r.path), r.occurrence_count, tuple(r.edges)) for r in found} == {((a, "hub", b), n * n // 4, (f"in0000{i}", f"out0000{j}")) for i, a in enumerate("xy") for j, b in enumerate(("h0", "h3"))}
+
+
+def test_many_classes_are_counted_in_few_rows(spark):
+    """100 arrivals of 20 classes and 100 departures of 20: an edge isn't listed once for each class of the other side."""
+    from trailweave.operators import progression
+    from trailweave.sources import scratch
+
+    change = "cast(null as struct<from_identity: string, to_identity: string, state: string, evidence_ref: string>) as credential_transition"
+    side = lambda name, shift, source, target: spark.range(100).selectExpr(f"concat('{name}', id) as edge_id", f"timestamp_seconds({shift} + id) as ts", f"{source} as source_host", f"{target} as target_host", "'a' as identity", "'rdp' as service", "concat('s', id) as logon_id", "cast(null as string) as source_logon_id", "'absent' as privilege_state", "'confirmed' as auth_state", change)
+    edges = graph.sanitize_edges(side("in", 0, "concat('x', id % 20)", "'hub'").unionByName(side("out", 500, "'hub'", "concat('y', id % 20)")))
+    known = policy.with_context(edges, some_context(spark))
+    counted, used = progression.continuation_counts(known, policy._worth(), 30)
+    swept = [p for p in scratch._made if "/hops-" in p][-1]
+    assert spark.read.parquet(swept).count() == 2 * 100 * 3 + 100
+    assert counted.count() == 400 and counted.agg(F.sum("n")).first()[0] == 10_000 and used.count() == 200
