@@ -28,12 +28,15 @@ def utc_ts(text: Column) -> Column:
 _BLANKS = r"[\s\p{Z}\x1c-\x1f\x85]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_MAPPED = rf"^(?:{_BLANKS})?::[fF]{{4}}:({_V4})(?:{_BLANKS})?$"
 
 
 def canonical_ip(value: Column) -> Column:
     """Trimmed, IPv4-mapped IPv6 as IPv4, IPv6 compressed in lower case; null, '' and '-' unchanged, invalid text trimmed only."""
     plain = F.regexp_replace(value, f"^{_BLANKS}|{_BLANKS}$", "")
-    return F.when(value.isNull() | value.isin("", "-"), value).when(F.contains(plain, F.lit(":")), F.coalesce(_ipv6(plain), plain)).otherwise(plain)
+    mapped = F.regexp_extract(value, _MAPPED, 1)  # the usual form of mapped addresses; all others take the long way, with the same result
+    long_way = _let(plain, lambda text: F.coalesce(_ipv6(text), text))
+    return F.when(value.isNull() | value.isin("", "-"), value).when(~F.contains(value, F.lit(":")), plain).when(mapped != "", mapped).otherwise(long_way)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -49,17 +49,21 @@ def assume_role_records(records: DataFrame, version: str = SCHEMA_VERSION) -> Da
     for c in ("source_file", "source_sha256"):
         if c not in records.columns:
             records = records.withColumn(c, F.lit(None).cast("string"))
-    actor, display = S.aws_actor(_text("userIdentity.arn"), _text("userIdentity.principalId"), _text("userIdentity.userName"))
-    session = F.coalesce(_text("responseElements.credentials.accessKeyId"), _text("responseElements.assumedRoleUser.assumedRoleId"))
-    needed = {"eventID": _text("eventID"), "eventTime": _text("eventTime"), "actor": actor, "requestParameters.roleArn": _text("requestParameters.roleArn"), "assumed session id": session}
+    # Each field is looked up once in a record, however often it is used below.
+    fields = ["eventID", "eventTime", "eventSource", "eventName", "errorCode", "errorMessage", "awsRegion", "sourceIPAddress", "userIdentity.arn", "userIdentity.principalId", "userIdentity.userName", "requestParameters.roleArn", "requestParameters.roleSessionName", "responseElements.credentials.accessKeyId", "responseElements.assumedRoleUser.assumedRoleId", "responseElements.assumedRoleUser.arn"]
+    records = records.select("v", "source_file", "source_sha256", *[_text(f).alias(f) for f in fields])
+    text = lambda f: F.col(f"`{f}`")
+    actor, display = S.aws_actor(text("userIdentity.arn"), text("userIdentity.principalId"), text("userIdentity.userName"))
+    session = F.coalesce(text("responseElements.credentials.accessKeyId"), text("responseElements.assumedRoleUser.assumedRoleId"))
+    needed = {"eventID": text("eventID"), "eventTime": text("eventTime"), "actor": actor, "requestParameters.roleArn": text("requestParameters.roleArn"), "assumed session id": session}
     missing = F.array_join(F.array_compact(F.array(*[F.when(v.isNull(), k) for k, v in needed.items()])), ", ")
-    is_role = (_text("eventSource") == "sts.amazonaws.com") & (_text("eventName") == "AssumeRole")
-    failed = _text("errorCode").isNotNull() | _text("errorMessage").isNotNull()
+    is_role = (text("eventSource") == "sts.amazonaws.com") & (text("eventName") == "AssumeRole")
+    failed = text("errorCode").isNotNull() | text("errorMessage").isNotNull()
     reason = F.when(~F.coalesce(is_role, F.lit(False)), "not sts:AssumeRole").when(failed, "failed AssumeRole").when(missing != "", F.concat(F.lit("missing "), missing))
     role_arn = needed["requestParameters.roleArn"]
     subject = S.entity("cloud_principal", "principal:aws:", actor, display)
     role = S.entity("cloud_role", "role:aws:", role_arn, S.role_short_name(role_arn))
-    native = F.create_map(*[x for k, v in {"event_source": "eventSource", "event_name": "eventName", "aws_region": "awsRegion", "source_ip": "sourceIPAddress", "role_session_name": "requestParameters.roleSessionName", "assumed_role_arn": "responseElements.assumedRoleUser.arn"}.items() for x in (F.lit(k), _text(v))])
+    native = F.create_map(*[x for k, v in {"event_source": "eventSource", "event_name": "eventName", "aws_region": "awsRegion", "source_ip": "sourceIPAddress", "role_session_name": "requestParameters.roleSessionName", "assumed_role_arn": "responseElements.assumedRoleUser.arn"}.items() for x in (F.lit(k), text(v))])
     ref = F.struct(F.lit("cloudtrail").alias("source_type"), needed["eventID"].alias("evidence_ref"), "source_file", "source_sha256")
     return records.select(
         reason.alias("reason"),

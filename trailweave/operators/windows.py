@@ -85,7 +85,9 @@ def normalize_windows_events(events: DataFrame, ip_map: DataFrame) -> DataFrame:
     blank = F.lit("")
     nothing = F.array().cast("array<string>")
     content = [c for c in ("ts_raw", "code", "outcome", "host_name", "host_ips", "computer_name", "source_ip", "data") if c in events.columns]
-    events = events.withColumn("raw", F.coalesce("raw", F.to_json(F.struct(*content))))
+    number = F.coalesce(F.nullif("record_id", blank), "sequence")
+    unnamed = (F.coalesce("event_id", blank) == "") & number.isNull()
+    events = events.withColumn("raw", F.when(unnamed, F.coalesce("raw", F.to_json(F.struct(*content)))))
     e = events.where(F.col("code").isin(list(REQUIRED_FIELDS)))
     e = e.withColumns({"host_name": F.coalesce(F.nullif("host_name", blank), F.nullif("computer_name", blank)), "own_ips": F.transform(F.filter(F.coalesce("host_ips", nothing), lambda x: x.isNotNull() & (x != "")), S.canonical_ip)})
     e = _placed(e.withColumn("aliases", S.host_aliases(F.col("host_name"))), ip_map)
@@ -93,7 +95,6 @@ def normalize_windows_events(events: DataFrame, ip_map: DataFrame) -> DataFrame:
     logon = F.col("code") == "4624"
     source = S.canonical_ip(F.coalesce(F.nullif(F.element_at("data", "IpAddress"), blank), "source_ip"))
     user = F.when(logon, S.norm_identity(F.element_at("data", "TargetUserName"), F.element_at("data", "TargetDomainName")))
-    number = F.coalesce(F.nullif("record_id", blank), "sequence")
     event_id = F.coalesce(F.nullif("event_id", blank), F.when(number.isNotNull(), F.concat_ws(":", F.lit("windows"), F.coalesce("name", F.lit("unknown")), number)))
     return e.select(
         "seq",

@@ -414,6 +414,11 @@ def pivot_to_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifted.select("edge_id", F.col("subject.id").alias("subject"), F.col("source.id").alias("source"), F.col("target.id").alias("target"), refs.alias("refs"), F.col("session.id").alias("session_id"), F.col("session.state").alias("session_state"), F.col("credential_transition.state").alias("state"))
 
 
+def _dealt(events: DataFrame) -> DataFrame:
+    """Events dealt by number to four tasks for each core: documents that are made of them cost far more than the events, which may lie in a few large row groups."""
+    return events.repartition(4 * events.sparkSession.sparkContext.defaultParallelism, "seq")
+
+
 def _cloud_lines(ev: Evidence) -> DataFrame:
     """(source_file, raw): cloud audit records written from events: two thirds are role assumptions, some failed or incomplete."""
     k, u = F.col("k"), F.col("u")
@@ -427,7 +432,7 @@ def _cloud_lines(ev: Evidence) -> DataFrame:
         F.struct(F.when(k % 4 != 0, F.concat(F.lit("arn:aws:iam::1:role/r"), u)).alias("roleArn")).alias("requestParameters"),
         F.struct(F.struct(F.concat(F.lit("AK"), "seq").alias("accessKeyId")).alias("credentials")).alias("responseElements"),
     )
-    return ev.events.where("event_type = 'error'").select(F.concat(F.lit("f"), u % 3, F.lit(".json")).alias("source_file"), F.to_json(F.struct(F.array(record).alias("Records"))).alias("raw"))
+    return _dealt(ev.events.where("event_type = 'error'")).select(F.concat(F.lit("f"), u % 3, F.lit(".json")).alias("source_file"), F.to_json(F.struct(F.array(record).alias("Records"))).alias("raw"))
 
 
 def _cloud(ev: Evidence) -> DataFrame:
@@ -481,7 +486,7 @@ def _json_lines(ev: Evidence) -> DataFrame:
     data = F.struct(user.alias("TargetUserName"), F.lit("CORP").alias("TargetDomainName"), user.alias("SubjectUserName"), F.concat(F.lit("0x"), u % 20).alias("SubjectLogonId"), F.when(k % 7 != 0, F.concat(F.lit("0x"), u % 20)).alias("TargetLogonId"), F.concat(F.lit("::ffff:10.0.0."), u % 5).alias("IpAddress"), F.lit("10").alias("LogonType"))
     doc = F.struct(S.iso_text(F.col("ts")).alias("@timestamp"), F.struct(code.cast("int").alias("code")).alias("event"), F.struct(F.concat(F.lit("h"), k % 6, F.lit(".corp.example")).alias("name")).alias("host"), F.struct(data.alias("event_data")).alias("winlog"))
     raw = F.to_json(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("id"), "seq").alias("_id"), doc.alias("_source"))).alias("hits")).alias("hits")))
-    return ev.events.where(code.isNotNull()).select("seq", raw.alias("raw"))
+    return _dealt(ev.events.where(code.isNotNull())).select("seq", raw.alias("raw"))
 
 
 def _json_events(ev: Evidence) -> DataFrame:
@@ -705,7 +710,7 @@ def _windows_documents(ev: Evidence, named: bool = True) -> DataFrame:
     }
     event = [code.alias("code"), *([F.concat(F.lit("e"), "seq").alias("id")] if named else [])]
     doc = F.struct(S.iso_text(F.col("ts")).alias("@timestamp"), F.struct(*event).alias("event"), F.struct(F.concat(F.lit("h"), k % 5, F.lit(".corp.example")).alias("name")).alias("host"), F.struct(F.struct(*[v.alias(n) for n, v in data.items()]).alias("event_data")).alias("winlog"))
-    docs = ev.events.where(code.isNotNull()).select("seq", F.parse_json(F.to_json(doc)).alias("v"), F.lit(None).cast("string").alias("raw"))
+    docs = _dealt(ev.events.where(code.isNotNull())).select("seq", F.parse_json(F.to_json(doc)).alias("v"), F.lit(None).cast("string").alias("raw"))
     return records.windows_records(records.unwrap_envelope(docs))
 
 

@@ -99,11 +99,12 @@ def unwrap_envelope(records: DataFrame) -> DataFrame:
     item = lambda x, doc_id: F.struct(x.alias("v"), doc_id.alias("doc_id"))
     none = F.lit(None).cast("string")
     source = lambda x: item(at(x, "$._source"), F.try_variant_get(x, "$._id", "string"))
-    objects = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    listed = F.try_variant_get(v, "$", "array<variant>")  # null for all but arrays, and sooner known than a schema
+    objects = F.filter(listed, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
     hits = F.filter(F.try_variant_get(v, "$.hits.hits", "array<variant>"), lambda x: _has(x, "$._source"))
     action = reduce(lambda a, b: a | b, [_has(v, f"$.{k}") for k in _BULK]) & ~_has(v, "$.event") & ~_has(v, "$.winlog")
     inner = (
-        F.when(F.schema_of_variant(v).startswith("ARRAY"), F.transform(objects, lambda x: item(x, none)))
+        F.when(listed.isNotNull(), F.transform(objects, lambda x: item(x, none)))
         .when(_has(v, "$.hits.hits"), F.transform(hits, source))
         .when(_has(v, "$._source"), F.array(source(v)))
         .when(~action, F.array(item(v, none)))
@@ -115,12 +116,10 @@ def unwrap_envelope(records: DataFrame) -> DataFrame:
 def expand_cloudtrail(records: DataFrame) -> DataFrame:
     """``Records`` to its items, else the ``detail`` of an event envelope, else the record."""
     keep = [c for c in records.columns if c != "v"]
-    many = F.try_variant_get("v", "$.Records", "array<variant>")
-    listed = records.where(many.isNotNull()).select(*keep, F.explode(many).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    detail = F.try_variant_get("v", "$.detail", "variant")
-    is_object = F.coalesce(F.schema_of_variant(detail).startswith("OBJECT"), F.lit(False))
-    rest = records.where(many.isNull()).select(*keep, F.when(is_object, detail).otherwise(F.col("v")).alias("v"))
-    return listed.unionByName(rest)
+    many, detail = F.try_variant_get("v", "$.Records", "array<variant>"), F.try_variant_get("v", "$.detail", "variant")
+    is_object = lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+    inner = F.when(many.isNotNull(), F.filter(many, is_object)).otherwise(F.array(F.when(is_object(detail), detail).otherwise(F.col("v"))))
+    return records.select(*keep, F.explode(inner).alias("v"))  # one pass, as records may be parsed on the way
 
 
 def windows_xml_to_ecs(events: DataFrame, xml: str = "xml") -> DataFrame:
@@ -181,17 +180,18 @@ def write_results(df: DataFrame, path: str, kind: str = "json", partition_by: li
 
 
 def windows_records(records: DataFrame) -> DataFrame:
-    """Unwrapped Windows records (column ``v``) as flat event rows before normalisation."""
+    """Unwrapped Windows records (column ``v``) as flat event rows before normalisation; ``raw`` is the document of an event without an id, whose reference follows from it."""
     v = F.col("v")
     get = lambda p: F.try_variant_get(v, p, "string")
     doc_id = F.col("doc_id") if "doc_id" in records.columns else F.lit(None).cast("string")
     keep = [c for c in records.columns if c in ("source_file", "line", "item", "seq")]
+    event_id = F.coalesce(F.nullif(get("$.event.id"), F.lit("")), doc_id)
     return records.select(
         *keep,
         F.coalesce(F.nullif(get("$['@timestamp']"), F.lit("")), get("$.event.created")).alias("ts_raw"),
         S.event_code(v).alias("code"),
         get("$.event.outcome").alias("outcome"),
-        F.coalesce(F.nullif(get("$.event.id"), F.lit("")), doc_id).alias("event_id"),
+        event_id.alias("event_id"),
         S.categories(v).alias("categories"),
         F.coalesce(F.nullif(get("$.host.name"), F.lit("")), F.nullif(get("$.host.hostname"), F.lit(""))).alias("host_name"),
         S.host_ips(v).alias("host_ips"),
@@ -200,5 +200,5 @@ def windows_records(records: DataFrame) -> DataFrame:
         get("$.event.sequence").alias("sequence"),
         get("$.source.ip").alias("source_ip"),
         F.try_variant_get(v, "$.winlog.event_data", "map<string,string>").alias("data"),
-        F.to_json(v).alias("raw"),
+        F.when(F.coalesce(event_id, F.lit("")) == "", F.to_json(v)).alias("raw"),
     )
