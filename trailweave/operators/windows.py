@@ -124,16 +124,25 @@ def split_events(windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return logons, privs, creds
 
 
+LINES = 1 << 16  # of a file that are numbered together
+
+
 def dense_seq(records: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """A dense input order: rows are numbered within each file, and files by the rows before them.
 
-    Only one row for each file meets in a single task.
+    ``order``: file, line (a number) and further columns.  A file's rows are sorted in parts of ``LINES`` lines, by many tasks;
+    one row for each part of a file, and then one for each file, meet in a single task.  ``records`` is read twice.
     """
     file = order[0]
-    within = records.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy(*order[1:])))
-    sizes = records.groupBy(file).agg(F.count("*").alias("_size"))
-    base = sizes.select(file, (F.sum("_size").over(Window.orderBy(file)) - F.col("_size")).alias("_base"))
-    return within.join(base, file).withColumn(name, F.col("_base") + F.col("_n") - 1).drop("_n", "_base")
+    part = F.coalesce(F.floor(F.col(order[1]) / LINES), F.lit(-1))
+    rows = records.withColumn("_part", part)
+    sizes = rows.groupBy(file, "_part").agg(F.count("*").alias("_size"))
+    whole = sizes.groupBy(file).agg(F.sum("_size").alias("_whole"))
+    files = whole.select(F.col(file).alias("_file"), (F.sum("_whole").over(Window.orderBy(file)) - F.col("_whole")).alias("_files"))
+    earlier = F.sum("_size").over(Window.partitionBy(file).orderBy("_part")) - F.col("_size")
+    base = sizes.withColumn("_earlier", earlier).join(files, F.col(file) == F.col("_file")).select(file, "_part", (F.col("_files") + F.col("_earlier")).alias("_base"))
+    within = rows.withColumn("_n", F.row_number().over(Window.partitionBy(file, "_part").orderBy(*order[1:])))
+    return within.join(base, [file, "_part"]).withColumn(name, F.col("_base") + F.col("_n") - 1).drop("_n", "_base", "_part")
 
 
 def quality_metrics() -> dict[str, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators import hybrid, windows
 
-from . import records, scratch
+from . import context, records, scratch
 
 
 @dataclass
@@ -29,10 +29,11 @@ def load_windows_sources(spark: SparkSession, paths: list[str], ip_map: DataFram
     if xml_events is not None:
         exported = records.windows_xml_to_ecs(xml_events).withColumn("item", F.lit(0))
         raw = raw.unionByName(exported, allowMissingColumns=True)
-    # Rows, issues and counts are made of these two tables, so each file is parsed once for them.
-    raw = scratch.table(windows.dense_seq(raw, ["source_file", "line", "item"]), "windows-raw")
-    events = scratch.table(windows.normalize_windows_events(raw, ip_map), "windows-events")
-    issues = windows.windows_quality(events).select(F.concat_ws(": ", "code", "issue").alias("issue"), "n")
+    # Rows, issues and counts are made of these two tables, so each file is parsed once for them; issues are counted in the pass that writes.
+    raw = scratch.table(raw, "windows-raw")
+    numbered = windows.dense_seq(raw, ["source_file", "line", "item"])
+    events, seen = scratch.observed_table(windows.normalize_windows_events(numbered, ip_map), "windows-events", windows.quality_metrics())
+    issues = context.local_table(spark, [(issue, n) for issue, n in seen.items() if n and issue != "n"], "issue string, n long")
     sizes = raw.groupBy("source_file").agg(F.count("*").alias("raw_records"))
     taken = events.groupBy("source_file").agg(F.count("*").alias("accepted_records"))
     files = sizes.join(taken, "source_file", "left").withColumn("accepted_records", F.coalesce("accepted_records", F.lit(0)))

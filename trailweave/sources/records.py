@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from trailweave.functions import scalars as S
 
-from . import split_json
+from . import scratch, split_json
 
 _BULK = ("index", "create", "update", "delete")
 _XML = "System struct<EventID: string, TimeCreated: struct<_SystemTime: string>, Computer: string, EventRecordID: string>, EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>"
@@ -76,7 +76,8 @@ def _numbered(lines: DataFrame) -> DataFrame:
     """
     blocks = lines.groupBy("path", "block").agg(F.min("at").alias("least"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
-    blocks = blocks.select("path", "block", "least", before.alias("before"))
+    # As a table, Spark knows that it is small: then the lines themselves aren't shuffled.
+    blocks = scratch.table(blocks.select("path", "block", "least", before.alias("before")), "blocks")
     return lines.join(blocks, ["path", "block"]).select("source_file", (F.col("before") + F.col("at") - F.col("least")).alias("line"), "raw")
 
 
