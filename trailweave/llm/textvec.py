@@ -53,6 +53,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drops the kept powers; whoever needs them makes them anew."""
+    _powers.clear()
+
+
 class Words:
     """Words of some consecutive documents: ``hashes``, ``begin`` and ``end`` bytes, and the ``first`` word of each document."""
 

@@ -117,14 +117,8 @@ class Counter:
         return [bytes(4 * n) for n in self.merger.count(pieces).tolist()]
 
     def count(self, texts: list[str]) -> np.ndarray:
-        chunks = self.chunks
-        if chunks.known > tokens.MAX_CHUNKS:
-            chunks.reset()
-        parts = [np.array(chunks._numbers(t) if t else [], np.int64) for t in texts]
-        if chunks.new:
-            chunks._learn()
-        every = np.concatenate([np.empty(0, np.int64), *parts])
-        return np.diff(np.concatenate(([0], np.cumsum(chunks.count[every])))[np.cumsum([0, *map(len, parts)])])
+        every, cuts = self.chunks.numbers(texts)
+        return np.diff(np.concatenate(([0], np.cumsum(self.chunks.count[every])))[cuts])
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, special tokens
 stand in the text included.  A chunk of letters whose classes and cases are old and
 settled (``_SETTLED``) is normalised and cut here; any other chunk that is not ASCII goes
 through the file's own normaliser and pre-tokeniser, so no table of letters but the library's counts.
-The chunk table is bounded: it starts anew when it holds
-``MAX_CHUNKS`` chunks (and its pre-tokens at ``MAX_PIECES``), so memory doesn't grow with the input.
+The chunk table is bounded: when it holds more than ``MAX_CHUNKS`` chunks, those that came in one slice only are
+forgotten (pre-tokens start anew at ``MAX_PIECES``), so memory doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import regex
@@ -24,8 +25,8 @@ import regex
 from . import textvec as tv
 from .shared import worker_tables
 
-MAX_CHUNKS, MAX_PIECES = 600_000, 250_000
-SLICE_BYTES = 4 << 20
+MAX_CHUNKS, MAX_PIECES = 300_000, 200_000
+SLICE_BYTES = 2 << 20
 _WHITE = "\t-\r \x85\xa0  -     　"  # fixed values: what both files' patterns call white space
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{_WHITE}]+")
@@ -46,6 +47,14 @@ class _Table(dict):
         return n
 
 
+def _put(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` after its first n values; there may be room behind them."""
+    if n + len(more) > len(held):
+        held = np.concatenate((held[:n], np.empty(max(len(more), n // 2), held.dtype)))
+    held[n : n + len(more)] = more
+    return held
+
+
 class Chunks:
     """Ids of chunks.  ``pieces(kind, chunk)`` gives a chunk's pre-tokens, ``encode(pieces)`` the ids of many, as unsigned 32-bit bytes."""
 
@@ -55,9 +64,29 @@ class Chunks:
         self.reset()
 
     def reset(self) -> None:
-        self.known, self.new, self.of_piece = 0, [], {}
+        self.known, self.n_ids, self.new, self.of_piece = 0, 0, [], {}
         self.tables = [_Table(self, kind) for kind in range(3)]
         self.start, self.count, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.again = np.empty(0, bool)  # chunks that came in a later slice than their first, since the last ``_shrink``
+
+    def _shrink(self) -> None:
+        """Keeps the chunks that came again; if those are most of the table, it starts anew."""
+        kept = np.flatnonzero(self.again[: self.known])
+        if len(kept) > MAX_CHUNKS // 2:
+            self.reset()
+            return
+        number = np.full(self.known, -1)
+        number[kept] = np.arange(len(kept))
+        for kind, table in enumerate(self.tables):
+            old = np.fromiter(table.values(), np.int64, len(table))
+            stay = number[old] >= 0
+            self.tables[kind] = _Table(self, kind)
+            self.tables[kind].update(zip(compress(table, stay.tolist()), number[old[stay]].tolist(), strict=True))
+        self.flat = self.flat[tv.gather(self.start[kept], self.count[kept])]
+        self.count = self.count[kept]
+        self.start = np.cumsum(self.count) - self.count
+        self.again = np.zeros(len(kept), bool)
+        self.known, self.n_ids = len(kept), len(self.flat)
 
     def _learn(self) -> None:
         known = self.of_piece
@@ -66,10 +95,11 @@ class Chunks:
         known.update(zip(fresh, self.encode_pieces(fresh), strict=True))
         bodies = [array("I", [self.added[new[1]]]).tobytes() if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for new, ps in zip(self.new, cut, strict=True)]
         counts = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
-        self.count = np.concatenate((self.count, counts))
-        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(bodies), np.uint32)))
-        self.known, self.new = self.known + len(self.new), []
+        self.start = _put(self.start, self.known, self.n_ids + np.cumsum(counts) - counts)
+        self.count = _put(self.count, self.known, counts)
+        self.again = _put(self.again, self.known, np.zeros(len(counts), bool))
+        self.flat = _put(self.flat, self.n_ids, np.frombuffer(b"".join(bodies), np.uint32))
+        self.known, self.n_ids, self.new = self.known + len(counts), self.n_ids + int(counts.sum()), []
         if len(known) > MAX_PIECES:
             self.of_piece = {}
 
@@ -84,17 +114,22 @@ class Chunks:
             at = m.end()
         return out + (self.split(self.tables, text[at:]) if at < len(text) else [])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the chunks of all texts, where each text's begin and the last one's end); new chunks are learned."""
         if self.known > MAX_CHUNKS:
-            self.reset()
-        parts = [np.array(self._numbers(t), np.int64) if t else np.empty(0, np.int64) for t in texts]
+            self._shrink()
+        parts = [np.array(self._numbers(t) if t else [], np.int64) for t in texts]
+        every = np.concatenate([np.empty(0, np.int64), *parts])
+        self.again[every[every < self.known]] = True
         if self.new:
             self._learn()
-        every = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        return every, np.cumsum([0, *map(len, parts)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        every, cuts = self.numbers(texts)
         n = self.count[every]
-        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, parts)])]
-        return self.flat[tv.gather(self.start[every], n)], np.diff(ends)
+        return self.flat[tv.gather(self.start[every], n)], np.diff(np.concatenate(([0], np.cumsum(n)))[cuts])
 
 
 def _byte_letters() -> dict[int, str]:
