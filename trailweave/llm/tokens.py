@@ -25,7 +25,7 @@ import regex
 from . import textvec as tv
 from .shared import worker_tables
 
-MAX_CHUNKS, MAX_PIECES = 300_000, 200_000
+MAX_CHUNKS, MAX_PIECES = 450_000, 250_000
 SLICE_BYTES = 2 << 20
 _WHITE = "\t-\r \x85\xa0  -     　"  # fixed values: what both files' patterns call white space
 _CONTROL = re.compile("[\x1c-\x1f]")
