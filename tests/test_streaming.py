@@ -199,3 +199,53 @@ def test_live_edges_hold_one_join_in_bins(spark):
     joins = [line for line in plan.split("\n") if "Join " in line]
     assert len([j for j in joins if "Join Inner" in j]) == 1 and len(joins) == 3
     assert all("bin#" in j for j in joins if "Join Inner" in j)
+
+
+def dense_rows(n, seconds, seed):
+    """Evidence of all kinds under few keys, in no order of time."""
+    rnd = random.Random(seed)
+    pick = lambda *of: rnd.choice(of)
+    rows = []
+    for seq in range(n):
+        kind, at = pick("logon", "flow", "priv", "cred"), BASE + timedelta(seconds=rnd.randint(0, seconds), microseconds=pick(0, 0, 1, 999999))
+        ips = [["2.2"], ["3.3", "2.2"], ["3.3"], ["2.2", "2.2", None]][rnd.randrange(4)] if kind in ("logon", "priv") else [pick("1.1", None), "1.2"]
+        who, session = pick("al", "bo", None), pick("S1", "S2", None)
+        is_ = lambda *kinds: kind in kinds  # noqa: B023, E731
+        rows.append((
+            kind, seq, at, f"t{seq}", pick("APP", "app.x", None) if is_("logon") else None, None if is_("flow") else ips, pick("1.1", "1.1", None) if is_("logon", "flow") else None, who if is_("logon", "priv") else None,
+            session if is_("logon", "priv") else None, pick("10", "3") if is_("logon") else None, f"r{seq}", pick("2.2", "3.3") if is_("flow") else None, pick(3389, 445, 443) if is_("flow") else None,
+            "cy" if is_("cred") else None, who if is_("cred") else None, pick("S1", "S1", "S2", "") if is_("cred") else None, pick("app", "APP.corp", "3.3", " 2.2 ", "other", None) if is_("cred") else None,
+        ))
+    return rows
+
+
+def test_live_edges_equal_batch_edges_in_any_windows(spark):
+    """The sweep of a group answers what the windows hold, where they differ, where they are nothing, and at their ends."""
+    ip_map = spark.createDataFrame([("1.1", "WS"), ("2.2", "APP"), ("3.3", "DB")], "ip string, host string")
+    inputs = evidence(spark.createDataFrame(dense_rows(500, 150, 3), EVENTS))
+    kinds = set()
+    for spans in ((9, 4, 21), (30, 30, 30), (2, 0, 1.5)):
+        flows, logons = inputs[1], inputs[0]
+        got = detect.live_edges(logons, flows, *inputs[2:], ip_map, *spans).collect()
+        want = E.materialize_edges(flows, logons, *inputs[2:], ip_map, *spans).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 10
+        kinds |= {(r.privilege_state, r.credential_transition and r.credential_transition.state) for r in want}
+    assert {("confirmed", "confirmed"), ("confirmed", "unknown"), ("absent", None)} <= kinds
+
+
+def test_live_edges_join_groups_not_events(spark, tmp_path):
+    """However many events share a key and a bin, the stream's join holds a row for either side of it, and gives one."""
+    rows, spans = [r for r in dense_rows(2400, 50, 5) if r[0] != "logon" or r[9] == "10"], (60, 60, 60)
+    late = lambda t: [tuple([kind, 9000 + k, BASE + timedelta(days=1 + t), "t", "x" if kind == "logon" else None, ["y"], "z", "w", "s", "10", "r", "q", 3389, "v", "w", "end", None]) for k, kind in enumerate(("logon", "flow", "priv", "cred"))]
+    ip_map = spark.createDataFrame([("1.1", "WS"), ("2.2", "APP")], "ip string, host string")
+    for n, part in enumerate((rows, late(0), late(1))):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/files/b{n}")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/files")
+    logons, flows, privs, creds = evidence(stream)
+    q = detect.live_edges(logons, flows, privs, creds, ip_map, *spans).writeStream.format("memory").queryName("dense_edges").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    joined = sum(o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"] if o["operatorName"] == "symmetricHashJoin")
+    logons, flows, privs, creds = evidence(spark.createDataFrame(rows, EVENTS))
+    want = E.materialize_edges(flows, logons, privs, creds, ip_map, *spans).collect()
+    assert sorted(map(repr, spark.table("dense_edges").collect())) == sorted(map(repr, want)) and len(want) > 150
+    assert 10 < joined < 250

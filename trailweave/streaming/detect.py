@@ -147,8 +147,31 @@ def live_sequence(events: DataFrame, n_stages: int, max_span_seconds: float, lat
     return timed.groupBy("key").transformWithState(machine, "key string, seqs string", "Append", "EventTime")
 
 
-def _span(seconds: float) -> Column:
-    return F.expr(f"make_dt_interval(0, 0, 0, {float(seconds)})")
+_KNOWN = "struct<a: long, b: long, who: string, ref: string>"  # what decides among facts, the least first
+_LOGON = "struct<ts: timestamp, ts_raw: string, host_name: string, src_ip: string, identity: string, logon_id: string, ref: string, service: string>"
+_ITEM = f"struct<part: long, at: long, asks: boolean, seq: long, target_ip: string, logon: {_LOGON}, first: {_KNOWN}, one: string, last: string>"
+
+
+def _sweep(asks: Column, facts: Column, width: Column) -> Column:
+    """Answers (seq, target_ip, logon, first, one, last) to the questions of a group: the least ``first`` and ``one`` and the greatest ``last`` of the facts in their windows.
+
+    ``asks``: array of (low, seq, target_ip, logon); facts count from ``low`` to ``low + width``.  ``facts``: array of (at, first, session).
+    As in ``edges.in_window`` such a window is the end of one stretch of ``width`` and the beginning of the next, so running minima from
+    either end of the stretches answer every question, in up to two parts.  They are made by rounds that look 1, 2, 4 ... places back in
+    the sorted array: n questions and facts take about n log n steps, and pairs are never made.
+    """
+    slot = lambda at: F.floor(at / F.greatest(width, F.lit(1)))
+    null = F.lit(None)
+    item = lambda at, way, slot, *rest: F.struct(2 * slot + max(way, 0), at * way, *rest).cast(_ITEM)
+    mark = lambda q, at, way, slot: item(at, way, slot, F.lit(True), q["seq"], q["target_ip"], q["logon"], null, null, null)
+    fact = lambda f, way: item(f["at"], way, slot(f["at"]), F.lit(False), null, null, null, f["first"], f["session"], f["session"])
+    marks = F.transform(asks, lambda q: F.array(mark(q, q["low"] + width, 1, slot(q["low"]) + 1), mark(q, q["low"], -1, slot(q["low"]))))
+    both = F.transform(facts, lambda f: F.array(fact(f, 1), fact(f, -1)))
+    n, lag = 2 * (F.size(asks) + F.size(facts)), F.array(*[F.lit(1 << j) for j in range(31)])
+    held = lambda x, y: F.struct(x["asks"].alias("asks"), x["part"].alias("part"), x["seq"].alias("seq"), x["target_ip"].alias("target_ip"), x["logon"].alias("logon"), F.least(x["first"], y["first"]).alias("first"), F.least(x["one"], y["one"]).alias("one"), F.greatest(x["last"], y["last"]).alias("last"))
+    look = lambda acc, back: F.transform(acc, lambda x, i: F.when(F.get(acc, i - back)["part"] == x["part"], held(x, F.get(acc, i - back))).otherwise(x))
+    begun = F.transform(F.sort_array(F.concat(F.flatten(marks), F.flatten(both))), lambda x: held(x, x))
+    return F.filter(F.aggregate(F.filter(lag, lambda back: back < n), begun, look), lambda x: x["asks"] & x["first"].isNotNull())
 
 
 def live_edges(
@@ -158,56 +181,61 @@ def live_edges(
     """Edges of a stream (append mode), as ``operators.edges.materialize_edges`` makes them of tables, with ``seq`` and ``ts`` of the logon.
 
     Inputs are those of ``operators.edges``; ``ip_map`` is a table.  Time goes on with the slowest input: one
-    that is silent, or gives only rows that can't match (Spark filters those before it looks at their time), holds the edges back.  The events that may bear on a logon
-    are one union of (kind, key, event) rows, joined to it by one watermarked stream-stream join on equal keys, a time
-    bin (so a row meets those of its window's two bins only, not all that the state has of its key) and a time range; one aggregation for each logon then takes the latest flow, the first privilege and
-    the session of the credential uses, and gives the edge once the watermark has passed the logon's
-    instant, when none of them can come any more (privileges come up to their window later: the join
-    holds the logon's rows back until then).  Of equal edges one stays for as long as ``lateness``.
+    that is silent, or gives only rows that can't match (Spark filters those before it looks at their time), holds the edges back.
+    Logons ask for the latest flow, the first privilege and the sessions of the credential uses under equal keys.  Questions and facts
+    are gathered by key and time bin: bins are as long as the longest window, and a logon's bin reaches from the one before its own to the one after,
+    so it holds all that may bear on it.  When the watermark has passed a bin, one stream-stream join brings the questions of a key to its facts, a sweep
+    (:func:`_sweep`) answers them without pairs, so work and state grow with the events also where they grow denser, and one aggregation for each logon
+    makes the edge: once to twice the longest window after the logon.  Of equal edges one stays for as long as ``lateness`` after its bin.
     """
-    timed = lambda df: df.withWatermark("ts", lateness)
-    row = F.struct("ts_raw", "host_name", "src_ip", "identity", "logon_id", "ref")
-    event = "struct<at: timestamp, order: long, ref: string, target_ip: string, service: string, who: string, session: string, server: string>"
-    made = lambda target=None, service=None, who=None, session=None, server=None: F.struct(*[(F.lit(None) if c is None else F.col(c)).alias(n) for n, c in (("at", "ts"), ("order", "seq"), ("ref", "ref"), ("target_ip", target), ("service", service), ("who", who), ("session", session), ("server", server))]).cast(event).alias("event")
-    key = lambda kind, *parts: F.to_json(F.struct(F.lit(kind).alias("kind"), *[F.col(c).alias(f"p{n}") for n, c in enumerate(parts)]))  # null parts are left out and meet each other
-
-    base = timed(logons).select("seq", "ts", row.alias("logon"), "src_ip", "identity", "logon_id", F.explode(F.array_distinct("host_ips")).alias("dst_ip"), S.service_of_logon_type(F.col("logon_type")).alias("service")).where("service is not null and dst_ip is not null")
-    side = lambda k, seconds: F.struct(k.alias("key"), E.bin_of(F.col("ts"), seconds).alias("bin"))
-    credential_key = F.when(F.col("src_ip").isNotNull(), key("credential", "src_ip", "identity"))
-    sides = F.array(side(key("flow", "src_ip", "dst_ip", "service"), flow_window), side(key("privilege", "logon_id", "identity", "dst_ip"), privilege_window), side(credential_key, credential_window))
-    base = base.select("seq", "ts", "logon", F.inline(sides)).where("key is not null")
-
-    # A logon meets an event in the bin of its own time, so an event lies in the bins of all logons that its window reaches.
-    placed = lambda df, kind, k, what, seconds, *shifts: df.select(F.col("ts").alias("o_ts"), F.lit(kind).alias("kind"), k.alias("o_key"), what, F.explode(F.array(*[E.bin_of(F.col("ts"), seconds) + n for n in shifts])).alias("o_bin"))
-    f = timed(flows).withColumn("service", S.service_of_port(F.col("dst_port"))).where("dst_ip is not null and service is not null")
-    p = timed(privs).withColumn("ip", F.explode(F.array_distinct("host_ips"))).where("ip is not null")
-    c = timed(creds).where("coalesce(subject_logon_id, '') != ''").withColumn("ip", F.explode(F.array_distinct("host_ips"))).where("ip is not null")
-    others = placed(f, "flow", key("flow", "src_ip", "dst_ip", "service"), made("dst_ip", "service"), flow_window, 0, 1)
-    others = others.unionByName(placed(p, "privilege", key("privilege", "logon_id", "identity", "ip"), made(), privilege_window, 0, -1))
-    others = others.unionByName(placed(c, "credential", key("credential", "ip", "target_identity"), made(None, None, "subject_identity", "subject_logon_id", "target_server"), credential_window, 0, 1))
-    since = F.when(F.col("kind") == "flow", F.col("ts") - _span(flow_window)).when(F.col("kind") == "credential", F.col("ts") - _span(credential_window)).otherwise(F.col("ts"))
-    until = F.when(F.col("kind") == "privilege", F.col("ts") + _span(privilege_window)).otherwise(F.col("ts"))
-    held = (F.col("o_ts") >= F.col("ts") - _span(max(flow_window, credential_window))) & (F.col("o_ts") <= F.col("ts") + _span(privilege_window))  # what the state keeps
-    every = base.join(others, (F.col("key") == F.col("o_key")) & (F.col("bin") == F.col("o_bin")) & held & (F.col("o_ts") >= since) & (F.col("o_ts") <= until)).select("seq", "ts", "logon", "kind", "event")
-
-    of = lambda kind, value: F.when(F.col("kind") == kind, value)
-    found = every.groupBy("seq", "ts").agg(
-        F.first("logon").alias("logon"),
-        F.max_by(of("flow", F.col("event")), of("flow", F.struct("event.at", "event.order"))).alias("flow"),
-        F.bool_or(F.col("kind") == "privilege").alias("privileged"),
-        F.min_by(of("privilege", F.col("event.ref")), of("privilege", F.col("event.order"))).alias("privilege_ref"),
-        F.collect_set(of("credential", F.col("event"))).alias("uses"),
-    )
-    found = found.where("flow is not null").select("seq", "ts", "logon.*", "privileged", "privilege_ref", F.col("flow.ref").alias("flow_ref"), F.col("flow.target_ip").alias("target_ip"), F.col("flow.service").alias("service"), "uses")
+    micros = {"flow": int(flow_window * 1_000_000), "privilege": int(privilege_window * 1_000_000), "credential": int(credential_window * 1_000_000)}
+    widest = max(1, *micros.values())
+    place = F.floor((F.unix_micros("ts") - F.unix_micros("bin.start")) / widest)
+    binned = lambda df, *places: df.withWatermark("ts", lateness).withColumn("bin", F.window("ts", f"{3 * widest} microseconds", f"{widest} microseconds")).where(place.isin(*places))
+    key = lambda kind, **parts: F.to_json(F.struct(F.lit(kind).alias("kind"), *[c.alias(n) for n, c in parts.items()]))  # null parts are left out and meet each other
     names = E.host_names(ip_map)
     mapped = lambda df, ip, name: df.join(names.select(F.col("ip").alias(f"{name}_ip"), F.col("host").alias(name)), F.col(ip) == F.col(f"{name}_ip"), "left").drop(f"{name}_ip")
-    found = mapped(mapped(found, "src_ip", "source_mapped"), "target_ip", "target_mapped")
     table = names.select(F.struct("ip", "host").alias("x")).agg(F.map_from_entries(F.collect_list("x")).alias("m")).scalar()  # the address map, as small as a document
-    fits = lambda u: S.host_equivalent(u["server"], F.element_at(F.col("map"), F.trim(u["server"])), F.col("host_name"), F.col("target_ip"), F.col("target_mapped"))
-    found = found.withColumn("map", table).withColumn("fitting", F.array_sort(F.filter("uses", fits)))
-    sessions = F.array_distinct(F.transform("fitting", lambda u: u["session"]))
-    found = found.withColumns({"single": F.size(sessions) == 1, "first": F.get("fitting", F.lit(0))})
-    transition = F.when(F.size("fitting") > 0, F.struct(F.col("first.who").alias("from_identity"), F.col("identity").alias("to_identity"), F.when(F.col("single"), "confirmed").otherwise("unknown").alias("state"), F.col("first.ref").alias("evidence_ref")))
-    found = found.withColumn("edge_id", S.edge_id(F.col("host_name"), F.col("identity"), F.col("logon_id"), F.col("ts_raw"), F.col("src_ip")))
-    made_edges = E.edge_columns(found.withColumns({"credential_transition": transition, "source_logon_id": F.when(F.col("single"), F.col("first.session")), "mapped": F.col("source_mapped")}))
-    return made_edges.dropDuplicatesWithinWatermark(["edge_id"]) if logons.isStreaming else made_edges.dropDuplicates(["edge_id"])
+    grouped = lambda df, what: df.groupBy("kind", "key", "bin").agg(F.collect_list(what).alias(what))
+
+    base = binned(logons, 1).withColumn("target_ip", F.explode(F.array_distinct("host_ips"))).withColumn("service", S.service_of_logon_type(F.col("logon_type"))).where("service is not null and target_ip is not null")
+    base = mapped(base, "target_ip", "target_mapped")
+    at, t = F.unix_micros("ts"), F.col("target_ip")
+    ask = lambda kind, k, low, logon=F.lit(None).cast(_LOGON): F.struct(F.lit(kind).alias("kind"), k.alias("key"), F.struct(low.alias("low"), "seq", "target_ip", logon.alias("logon")).alias("asks"))  # noqa: E731, B008
+    whole = F.struct("ts", "ts_raw", "host_name", "src_ip", "identity", "logon_id", "ref", "service").cast(_LOGON)
+    about = [
+        ask("flow", key("flow", src=F.col("src_ip"), dst=t, service=F.col("service")), at - micros["flow"], whole),
+        ask("privilege", key("privilege", session=F.col("logon_id"), who=F.col("identity"), ip=t), at),
+    ]
+    uses = F.transform(S.host_keys(F.col("host_name"), F.col("target_mapped"), t), lambda name: ask("credential", F.when(F.col("src_ip").isNotNull(), key("credential", ip=F.col("src_ip"), who=F.col("identity"), name=name)), at - micros["credential"]))
+    asks = grouped(base.select("bin", F.inline(F.concat(F.array(*about), uses))).where("key is not null"), "asks")
+
+    known = lambda a, b, who=None: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(None).cast("string").alias("who") if who is None else F.col(who).alias("who"), "ref").cast(_KNOWN)
+    fact = lambda df, kind, k, first, session=None: df.select(F.lit(kind).alias("kind"), k.alias("key"), "bin", F.struct(at.alias("at"), first.alias("first"), (F.lit(None) if session is None else F.col(session)).cast("string").alias("session")).alias("facts"))
+    f = binned(flows, 0, 1).withColumn("service", S.service_of_port(F.col("dst_port"))).where("dst_ip is not null and service is not null")
+    p = binned(privs, 1, 2).withColumn("ip", F.explode(F.array_distinct("host_ips"))).where("ip is not null")
+    c = binned(creds, 0, 1).where("coalesce(subject_logon_id, '') != ''").withColumn("ip", F.explode(F.array_distinct("host_ips"))).where("ip is not null")
+    server = F.trim("target_server")
+    served = F.when(F.coalesce("target_server", F.lit("")) != "", S.host_keys(server, F.element_at(F.col("map"), server), server)).otherwise(F.array(F.lit("")))  # a use without a server has a name that no logon has: its time counts
+    c = c.withColumn("map", table).withColumn("name", F.explode(served))
+    facts = fact(f, "flow", key("flow", src=F.col("src_ip"), dst=F.col("dst_ip"), service=F.col("service")), known(-at, -F.col("seq")))
+    facts = facts.unionByName(fact(p, "privilege", key("privilege", session=F.col("logon_id"), who=F.col("identity"), ip=F.col("ip")), known(F.col("seq"), F.lit(0))))
+    facts = facts.unionByName(fact(c, "credential", key("credential", ip=F.col("ip"), who=F.col("target_identity"), name=F.col("name")), known(at, F.col("seq"), "subject_identity"), "subject_logon_id"))
+    every = asks.join(grouped(facts, "facts"), ["kind", "key", "bin"])
+    width = F.when(F.col("kind") == "flow", micros["flow"]).when(F.col("kind") == "privilege", micros["privilege"]).otherwise(micros["credential"])
+    every = every.select("kind", "bin", F.inline(_sweep(F.col("asks"), F.col("facts"), width)))
+
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    found = every.groupBy("seq", "bin").agg(
+        F.first("logon", ignorenulls=True).alias("logon"),
+        F.min(of("flow", F.struct("first", "target_ip"))).alias("flow"),
+        F.min(of("privilege", F.col("first"))).alias("privilege"),
+        F.collect_list(of("credential", F.struct("target_ip", "first", "one", "last"))).alias("uses"),
+    )
+    found = found.where("flow is not null").select("seq", F.window_time("bin").alias("passed"), "logon.*", F.col("privilege").isNotNull().alias("privileged"), F.col("privilege.ref").alias("privilege_ref"), F.col("flow.first.ref").alias("flow_ref"), "flow.target_ip", "uses")
+    found = mapped(found, "src_ip", "mapped").withColumn("uses", F.filter("uses", lambda u: u["target_ip"].eqNullSafe(F.col("target_ip"))))
+    of_uses = lambda name: F.transform("uses", lambda u: u[name])
+    found = found.withColumns({"first": F.array_min(of_uses("first")), "one": F.array_min(of_uses("one")), "single": F.array_min(of_uses("one")) == F.array_max(of_uses("last"))})
+    transition = F.when(F.col("single").isNotNull(), F.struct(F.col("first.who").alias("from_identity"), F.col("identity").alias("to_identity"), F.when(F.col("single"), "confirmed").otherwise("unknown").alias("state"), F.col("first.ref").alias("evidence_ref")))
+    found = found.withColumns({"edge_id": S.edge_id(F.col("host_name"), F.col("identity"), F.col("logon_id"), F.col("ts_raw"), F.col("src_ip")), "credential_transition": transition, "source_logon_id": F.when(F.col("single"), F.col("one"))})
+    return E.edge_columns(found.dropDuplicatesWithinWatermark(["edge_id"]) if logons.isStreaming else found.dropDuplicates(["edge_id"]))
