@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from trailweave.operators import graph, policy
+from trailweave.operators import graph, policy, progression
 from trailweave.sources import context
 
 BASE = datetime(2026, 8, 10, 10, 0, 0, tzinfo=timezone.utc)
@@ -72,3 +72,40 @@ def test_many_classes_are_counted_in_few_rows(spark):
     swept = [p for p in scratch._made if "/hops-" in p][-1]
     assert spark.read.parquet(swept).count() == 2 * 100 * 3 + 100
     assert counted.count() == 400 and counted.agg(F.sum("n")).first()[0] == 10_000 and used.count() == 200
+
+
+def test_hops_of_groups_equal_judged_pairs(spark):
+    """Each pair comes once with what it is judged by itself, however few edges a row of a group holds."""
+    rnd = random.Random(9)
+    hosts, who = ["h0", "h1", "h2", "h3", "h4", None], ["a", "b", "c", None]
+    session = lambda: rnd.choice([None, None, "s1", "s2"])
+    rows = []
+    for i in range(500):
+        change = None if rnd.random() < 0.7 else (rnd.choice(who), rnd.choice(who), rnd.choice(["confirmed", "unknown", None]), "r")
+        at = BASE + timedelta(seconds=rnd.choice([rnd.randint(0, 9000), 60 * rnd.randint(0, 150)]), microseconds=rnd.choice([0, 0, 1]))
+        rows.append((f"e{i - (i % 50 == 1):03}", None if rnd.random() < 0.02 else at, rnd.choice(hosts), rnd.choice(hosts), rnd.choice(who), None, rnd.choice(["rdp", "smb"]), session(), session(), rnd.choice(["confirmed", "absent", None]), rnd.choice(["confirmed", "confirmed", None]), change))
+    known = policy.with_context(graph.sanitize_edges(spark.createDataFrame(rows, EDGE)), some_context(spark)).localCheckpoint()
+    pairs = graph.continuation_pairs(known, 30).withColumn("looked_up", F.struct("next.route", "next.approved_change"))
+    names = ["label", "path", "identity", "rationale", "modifiers", "looked_up"]
+    want = policy.classify_hops(pairs, "looked_up").select(F.col("edges")[0].alias("first_id"), F.col("edges")[1].alias("next_id"), *names).collect()
+    for most in (1, 4, 1024):
+        got = progression.hops(policy.classify_hop_groups(known, 30, most), 30).select("first_id", "next_id", *names).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 300
+    assert progression.hops(policy.classify_hop_groups(known.limit(0), 30), 30).count() == 0
+
+
+def test_hops_of_a_hub_are_judged_by_groups(spark):
+    """4,000 arrivals and 4,000 departures are 16 million hops: the join gives a few rows, of at most 1,024 edges a side, and tasks share them."""
+    n = 4000
+    nothing = F.lit(None).cast("struct<from_identity: string, to_identity: string, state: string, evidence_ref: string>")
+    text = lambda v: F.lit(v).cast("string")
+    states = [text("a").alias("identity"), text("a").alias("effective_identity"), text("rdp").alias("service"), F.concat(F.lit("s"), "id").alias("logon_id"), text(None).alias("source_logon_id"), text("confirmed").alias("privilege_state"), text("confirmed").alias("auth_state"), nothing.alias("credential_transition")]
+    at = lambda shift: (F.lit(BASE) + F.make_dt_interval(secs=F.lit(shift) + F.col("id") / 1000)).alias("ts")
+    side = lambda name, shift, source, target: spark.range(n).select(F.concat(F.lit(name), "id").alias("edge_id"), at(shift), F.lit(source).alias("source_host"), F.lit(target).alias("target_host"), *states)
+    known = policy.with_context(graph.sanitize_edges(side("in", 0, "x", "hub").unionByName(side("out", 600, "hub", "h0"))), some_context(spark))
+    groups = policy.classify_hop_groups(known, 30)
+    held = groups.select(F.size("firsts").alias("firsts"), F.size("nexts").alias("nexts")).collect()
+    assert len(held) == 16 and max(max(r) for r in held) <= 1024
+    made = progression.hops(groups.select("label", "firsts", "nexts"), 30)
+    assert made.groupBy(F.spark_partition_id()).count().count() > 1
+    assert made.agg(F.count("*"), F.countDistinct("label")).first() == (n * n, 1)

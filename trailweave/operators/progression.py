@@ -28,6 +28,7 @@ _NEXT = ["target_host", "identity", "effective_identity", "dst_known", "dst_tier
 
 
 _PLACES = 8  # classes that a sweep counts at once
+HELD = 1024  # edges of a class in a row of hop groups
 
 
 def _classed(edges: DataFrame, columns: list[str], extra: list[Column]) -> DataFrame:
@@ -130,5 +131,37 @@ def continuation_counts(edges: DataFrame, worth: Column, minutes: float) -> tupl
     return counted.select("first", "next", "lineage", "n", "order"), used
 
 
+def hop_groups(edges: DataFrame, worth: Column, minutes: float, most: int = HELD) -> DataFrame:
+    """(first, next, lineage, firsts, nexts): classes of hops that are ``worth`` it and meet under a key and a bin, with the edges (at, id) of either class there.
+
+    ``edges``: as ``policy.with_context`` makes them.  :func:`hops` makes the pairs.  At most ``most`` edges of a class, neighbours in time, are in
+    a row, so a busy host's hops are many rows that any task can take; rows whose times can't meet are left out.
+    """
+    micros = int(minutes * 60_000_000)
+    first, then = _classes(edges)
+    sides = _sides(first, then.where(F.coalesce(worth, F.lit(False))), worth, micros)
+    place = F.row_number().over(Window.partitionBy(*_GROUP, "is_next", "class_id").orderBy("at"))
+    own = F.col("is_next") | (F.col("bin") == F.floor(F.col("at") / micros))  # first hops take their second bin as rows of many
+    sides = sides.where(own).repartition(*_GROUP).withColumn("part", F.floor((place - 1) / most))
+    rows = sides.groupBy(*_GROUP, "is_next", "class_id", "part").agg(F.collect_list(F.struct("at", "id")).alias("held"), F.min("at").alias("low"), F.max("at").alias("high"))
+    named = lambda side, n: side.select(F.col("class_id"), F.col("class").alias(n)).distinct()
+    rows = scratch.table(rows.drop("part").join(named(first, "first"), "class_id", "left").join(named(then, "next"), "class_id", "left").drop("class_id"), "hop-groups")
+    one = rows.where("not is_next").withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") + 1)))
+    one = one.select(*_GROUP, "first", F.col("held").alias("firsts"), F.col("low").alias("begun"), F.col("high").alias("ended"))
+    two = rows.where("is_next").select(*_GROUP, "next", F.col("held").alias("nexts"), "low", "high")
+    met = one.join(two, _GROUP).where((F.col("high") > F.col("begun")) & (F.col("low") <= F.col("ended") + micros))
+    return met.select("first", "next", _lineage().alias("lineage"), "firsts", "nexts")
+
+
+def hops(groups: DataFrame, minutes: float) -> DataFrame:
+    """A row (first_id, next_id, all but ``firsts`` and ``nexts``) for each hop of ``groups``, dealt to all tasks: nothing but ids and times is looked at for a pair."""
+    micros = int(minutes * 60_000_000)
+    rest = [F.col(f"`{c}`") for c in groups.columns if c not in ("firsts", "nexts")]
+    dealt = groups.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism, "firsts", "nexts")
+    pairs = dealt.select(*rest, "nexts", F.explode("firsts").alias("one")).select(*rest, "one", F.explode("nexts").alias("two"))
+    age = F.col("two.at") - F.col("one.at")
+    return pairs.where((age > 0) & (age <= micros) & (F.col("one.id") != F.col("two.id"))).select(F.col("one.id").alias("first_id"), F.col("two.id").alias("next_id"), *rest)
+
+
 def _lineage() -> Column:
     return F.when(F.col("via").startswith("="), "session-exact").otherwise("identity")

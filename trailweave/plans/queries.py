@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailweave.functions import scalars as S
-from trailweave.operators import checks, detections, edges, flows, graph, hybrid, policy, windows
+from trailweave.operators import checks, detections, edges, flows, graph, hybrid, policy, progression, windows
 from trailweave.sources import context as contexts
 from trailweave.sources import loaders, publish, records, scratch
 from trailweave.streaming import detect, run, schedule
@@ -392,14 +392,14 @@ def classify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
   transition_state IS NOT NULL AS transition, linked, undeclared_hosts, undeclared_identities FROM hops""")
 def classify_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = scratch.table(policy.with_context(graph.sanitize_edges(_edges(Evidence(spark, sf_dir))), context(spark)), "edges-in-context")
-    pairs = graph.continuation_pairs(known, _MINUTES).withColumns({"looked_up": F.col("next.route"), "approved": F.col("next.approved_change")})
     m = F.col("modifiers")
-    return policy.classify_hops(pairs, "looked_up", "approved").select(
-        F.col("edges")[0].alias("first_id"), F.col("edges")[1].alias("next_id"), "label", m["target_novelty"].alias("novel"), m["src_tier"].alias("src_tier"), m["dst_tier"].alias("dst_tier"), m["target_critical"].alias("critical"),
+    judged = policy.classify_hop_groups(known, _MINUTES).select(
+        "label", m["target_novelty"].alias("novel"), m["src_tier"].alias("src_tier"), m["dst_tier"].alias("dst_tier"), m["target_critical"].alias("critical"),
         m["privilege_scope"].alias("privilege_scope"), m["session_lineage"].alias("lineage"), m["identity_tier_entitlement"].alias("entitlement"), m["route_policy_state"].alias("route_state"),
         m["credential_transition_present"].alias("transition"), m["credential_transition_confirmed"].alias("linked"), F.array_join(m["undeclared_hosts"], ",").alias("undeclared_hosts"), F.array_join(m["undeclared_identities"], ",").alias("undeclared_identities"),
-        F.col("looked_up").alias("route"), "approved",
+        F.col("looked_up.route").alias("route"), F.col("looked_up.approved_change").alias("approved"), "firsts", "nexts",
     )
+    return progression.hops(judged, _MINUTES)
 
 
 _H1 = JOINED + r"""
